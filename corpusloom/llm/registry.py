@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, exact_dedup, quality_rules
+from corpusloom.llm import bpe, exact_dedup, html_text, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,28 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *base, "base_failed", "kept", "p_good")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def spans_text(spans: Column) -> Column:
+    """kind:start:end of each span, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    rank = lambda s: F.array_position(F.lit(list(secret_scan.ORDER)), s["kind"])
+    keyed = F.transform(F.concat("base", "decoded"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    return found.select(
+        "doc_id",
+        *[count(k) for k in secret_scan.BASE],
+        F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
+        spans_text(F.array_sort(keyed)).alias("spans"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -38,6 +60,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op10_bpe": op10_bpe,
+    "op3_html_text": op3_html_text,
+    "op7_secret_scan": op7_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
