@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, lang_id, packing, quality_rules, secret_scan
+from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, lang_id, line_dedup, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.length("text").alias("n_chars_before"))
+    return line_dedup.line_dedup(docs).select("doc_id", "n_chars_before", F.length("text").alias("n_chars"), "text")
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chat(table(spark, sf_dir, "conversations"))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_chat_format": op6_chat_format,
     "op8_packing": op8_packing,
     "op7_secret_scan": op7_secret_scan,
