@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, lang_id, line_dedup, packing, quality_rules, secret_scan
+from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, quality_rules, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *base, "base_failed", "kept", "p_good")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -77,6 +81,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op10_bpe": op10_bpe,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
