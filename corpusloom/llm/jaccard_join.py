@@ -8,7 +8,8 @@ Jaccard similarity is at least 3/4, and documents get the smallest id that they
    it holds four times or more; the most frequent of these, a fixed number, come last in the shingle order.
 2. Sets this similar share a shingle among their first n/4 + 1 in any common order. The rare ones come first,
    so a passage that many documents share stays out of these prefixes. A second pass deals the prefixes into
-   cells, one per shingle; cells of a single set are dropped.
+   cells, one per shingle; cells of a single set are dropped, as are all but one of those that hold the same
+   documents.
 3. Each set is first compared with one partner only, the smallest id of the cells that it shares the most
    with. That ties groups of near copies together without making their pairs.
 4. In the cells where sets of different groups meet, shingles are hashed into 64 coordinates, and the counts
@@ -50,7 +51,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than five are one shingle."""
-    bare = pc.utf8_trim(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), " \t\n\x0b\x0c\r")
+    texts = texts.take(pa.array(np.arange(len(texts))))  # the byte-wise functions below misread an array with an offset
+    bare = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), " \t\n\x0b\x0c\r")
     lists = pc.split_pattern_regex(bare, r"[\x20\x09-\x0D]+")
     coded = lists.flatten().dictionary_encode()
     hashed = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
@@ -228,17 +230,61 @@ class RTree:
                 yield rows[i[keep]], partners[j[keep]]
 
 
-def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different groups in one cell (or pair of tiles) that the R-tree leaves."""
-    points = np.frombuffer(b"".join(pdf["point"]), "<u2").reshape(-1, GROUPS).astype(np.int32)
-    ids, groups, tiles = (pdf[c].to_numpy() for c in ("doc_id", "grp", "tile"))
-    across = len(pdf) and pdf["lo"].iloc[0] != pdf["hi"].iloc[0]
-    found = []
-    for i, j in RTree(points, pdf["n"].to_numpy().astype(np.int64)).pairs():
-        keep = (groups[i] != groups[j]) & ((tiles[i] != tiles[j]) if across else True)
-        found.append(np.stack([np.minimum(ids[i], ids[j])[keep], np.maximum(ids[i], ids[j])[keep]]))
-    a, b = np.concatenate(found, axis=1) if found else (np.empty(0, np.int64),) * 2
-    return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+def meet(points: np.ndarray, sizes: np.ndarray, ids: np.ndarray, groups: np.ndarray, tiles: np.ndarray | None) -> np.ndarray:
+    """Pairs (two rows) of different groups in one cell that its R-tree leaves; of different tiles if tiles are given."""
+    found = [np.empty((2, 0), np.int64)]
+    for i, j in RTree(points, sizes).pairs():
+        keep = groups[i] != groups[j]
+        if tiles is not None:
+            keep &= tiles[i] != tiles[j]
+        found.append(np.stack([ids[i][keep], ids[j][keep]]))
+    return np.concatenate(found, axis=1)
+
+
+def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """meet() for every cell of a partition that is sorted by cell. A cell has a bounded number of rows."""
+    names = ["token", "lo", "hi", "doc_id", "n", "grp", "tile", "point"]
+    waiting: pa.Table | None = None
+
+    def cells(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal waiting
+        token, lo, hi, ids, sizes, groups, tiles = (table.column(c).to_numpy().astype(np.int64) for c in names[:-1])
+        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)
+        new = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        bounds = np.concatenate([[0], np.nonzero(new)[0] + 1, [len(token)]])
+        if not last:
+            waiting = table.slice(bounds[-2])
+            bounds = bounds[:-1]
+        starts, counts = bounds[:-1], np.diff(bounds)
+        two = starts[(counts == 2) & (groups[starts] != groups[np.minimum(starts + 1, len(groups) - 1)])] if len(starts) else starts
+        overlap = np.minimum(points[two], points[two + 1]).sum(axis=1, dtype=np.int64)  # a tree of two points is one comparison
+        x, y = sizes[two], sizes[two + 1]
+        good = two[(7 * overlap >= 3 * (x + y)) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & ((lo[two] == hi[two]) | (tiles[two] != tiles[two + 1]))]
+        found = [np.stack([ids[good], ids[good + 1]])]
+        for a, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
+            s = slice(a, a + n)
+            if (groups[s] != groups[a]).any():
+                found.append(meet(points[s].astype(np.int32), sizes[s], ids[s], groups[s], None if lo[a] == hi[a] else tiles[s]))
+        pairs = np.sort(np.concatenate(found, axis=1), axis=0)
+        pairs = np.unique(pairs, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch.select(names)])
+        if waiting is not None:
+            table = pa.concat_tables([waiting, table])
+        if len(table):
+            yield from cells(table.combine_chunks(), False)
+    if waiting is not None:
+        yield from cells(waiting.combine_chunks(), True)
+
+
+def unlike_cells(cells: DataFrame) -> DataFrame:
+    """cells without those that hold the same documents as another one: of these, the smallest token stays."""
+    sums = [F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"), F.count(F.lit(1)).alias("size")]
+    sums += [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    kept = cells.groupBy("token").agg(*sums).groupBy("d1", "d2", "size", "x1", "x2").agg(F.min("token").alias("token"))
+    return cells.join(kept.select("token"), "token", "left_semi")
 
 
 def cross_pairs(cells: DataFrame, groups: DataFrame, sets: DataFrame, tile_rows: int = 1024) -> DataFrame:
@@ -252,7 +298,8 @@ def cross_pairs(cells: DataFrame, groups: DataFrame, sets: DataFrame, tile_rows:
     dealt = dealt.select("token", "doc_id", "n", "grp", "tile", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     dealt = dealt.select("token", "doc_id", "n", "grp", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
     dealt = dealt.join(sets.select("doc_id", "point"), "doc_id")
-    return dealt.groupBy("token", "lo", "hi").applyInPandas(meet, "a long, b long").distinct()
+    dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return dealt.mapInArrow(meet_all, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536) -> DataFrame:
@@ -272,7 +319,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = prefix_rows(narrow, order)
     by_token = rows.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
     shared = by_token.where("hub != last").select("token", "hub")
-    cells = checkpointed(rows.join(shared, "token"))
+    cells = checkpointed(unlike_cells(checkpointed(rows.join(shared, "token"))))
     present = cells.select("doc_id").distinct()
     sets = checkpointed(packed_sets(narrow.join(present, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
 
