@@ -4,7 +4,7 @@ A text is cut into lines, and long lines again after each sentence, so that a pa
 was pasted. Every pair of neighbouring lines is hashed, and of each ``window`` neighbouring hashes the
 smallest is a fingerprint: any run of ``window`` + 1 lines that two places share has a fingerprint in common.
 The places of a fingerprint are joined to its first one (smallest doc_id, then position), and each match is
-extended line by line both ways. Runs that reach ``min_words`` words are deleted, but for their first place.
+extended line by line both ways. Runs that reach ``min_chars`` characters are deleted, but for their first place.
 
 An exchange carries hashes and places, never texts, except for the last one, in which each text meets
 the positions to delete. Hot fingerprints are spread over salts, and the first place of each is found by
@@ -16,42 +16,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.quality_rules import SEPARATORS, WORD_BREAK, _let, checkpointed
+from corpusloom.llm.quality_rules import SEPARATORS, _let, checkpointed
 
 LINE_BREAK = r"(?<=\n)|(?<=[.!?] )"
-NOTHING = 2**63 - 1
+BREAKS = ("\n", ". ", "! ", "? ")
+MARK = "\u0001"
+PLACE_BITS = 25  # positions within a text; lines beyond 2^25 of one text still match, but are not fingerprints of their own
 
 
 def lines_of(text: Column) -> Column:
-    """The lines of a text, each with what separates it from the next, so that joining them gives the text."""
-    return F.split(text, LINE_BREAK, -1)
+    """The lines of a text, each with what separates it from the next, so that joining them gives the text.
+
+    A mark is put after each break and the text is split there, which is much faster than looking back from
+    every character; the rare text that holds the mark itself is split by looking back.
+    """
+    marked = text
+    for b in BREAKS:
+        marked = F.replace(marked, F.lit(b), F.lit(b + MARK))
+    return F.when(text.contains(MARK), F.split(text, LINE_BREAK, -1)).otherwise(F.split(marked, MARK, -1))
 
 
 def line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.xxhash64(F.btrim(x, F.lit(SEPARATORS))))
 
 
-def word_counts(lines: Column) -> Column:
-    def count(x: Column) -> Column:
-        bare = F.btrim(x, F.lit(SEPARATORS))
-        return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, WORD_BREAK)))
-
-    return F.transform(lines, count)
-
-
 def fingerprints(hashes: Column, window: int) -> Column:
-    """(hash, position) of the window minima over the hashes of neighbouring lines; of equal ones the rightmost."""
+    """(print, pos) of the window minima over the hashes of neighbouring lines; of equal ones the rightmost.
+
+    Hash and position share one number while minima are sought: the position fills the low bits.
+    """
+    low = (1 << PLACE_BITS) - 1
+    pair = lambda h, i: F.xxhash64(F.get(h, i), F.get(h, i + 1))
 
-    def select(pairs: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(pairs) - (window - 1), F.lit(1)))
-        minima = F.transform(starts, lambda i: F.array_min(F.slice(pairs, i, window)))
-        return F.when(F.size(pairs) > 0, F.array_distinct(minima))
+    def packed(h: Column) -> Column:
+        at = F.when(F.size(h) > 1, F.sequence(F.lit(0), F.least(F.size(h) - 2, F.lit(low)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: pair(h, i).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
 
-    def pairs_of(h: Column) -> Column:
-        at = F.when(F.size(h) > 1, F.sequence(F.lit(0), F.size(h) - 2)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.struct(F.xxhash64(F.get(h, i), F.get(h, i + 1)).alias("print"), (-i).alias("pos")))
+    def select(p: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(p) - window, F.lit(0)))
+        minima = F.transform(starts, lambda i: F.least(*[F.get(p, i + k) for k in range(window)]))
+        return F.when(F.size(p) > 0, F.array_distinct(minima))
 
-    return _let(_let(hashes, pairs_of), select)
+    places = F.transform(_let(_let(hashes, packed), select), lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
+    return F.transform(places, lambda i: F.struct(pair(hashes, i).alias("print"), i.alias("pos")))
 
 
 def _matching(a: Column, b: Column) -> Column:
@@ -64,7 +71,7 @@ def _matching(a: Column, b: Column) -> Column:
 
 
 def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, min_words: int = 25, reach: int = 12, salts: int = 32
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, min_chars: int = 150, reach: int = 8, salts: int = 32
 ) -> DataFrame:
     """doc_id, n_lines and deleted, the positions of the lines that a later repeated run covers.
 
@@ -73,10 +80,12 @@ def repeated_lines(
     length. Null ids and texts have no lines; documents with one id count as one place, the first by hash.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
-    lines = narrow.select("doc_id", _let(lines_of(F.col("text")), lambda x: F.struct(line_hashes(x).alias("h"), word_counts(x).alias("n"))).alias("l"))
-    lines = checkpointed(lines.select("doc_id", "l.h", "l.n"))
-    prints = lines.select("doc_id", F.explode(fingerprints(F.col("h"), window)).alias("f"))
-    prints = prints.select("f.print", "doc_id", (-F.col("f.pos")).alias("pos"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    made = lambda x: F.struct(line_hashes(x).alias("h"), F.transform(x, lambda y: F.length(y)).alias("n"))
+    cut = narrow.select("doc_id", _let(lines_of(F.col("text")), made).alias("l"))
+    lines = cut.select("doc_id", _let(F.col("l"), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), fingerprints(x["h"], window).alias("f"))).alias("l"))
+    lines = checkpointed(lines.select("doc_id", "l.h", "l.n", "l.f"))
+    prints = lines.select("doc_id", F.explode("f").alias("f")).select("f.print", "doc_id", "f.pos", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    lines = lines.drop("f")
     place = F.struct("doc_id", "pos")
     part = prints.groupBy("print", "salt").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places"))
     firsts = part.groupBy("print").agg(F.min("first").alias("first"), F.sum("places").alias("places"), F.collect_set("salt").alias("salts"))
@@ -112,8 +121,8 @@ def repeated_lines(
 
         return F.aggregate(F.array_sort(F.array_distinct(spans)), empty, add)
 
-    words = lambda s: F.aggregate(F.slice("n", s["a"] + 1, s["b"] - s["a"]), F.lit(0), lambda x, y: x + y)
-    runs = F.filter(merged(F.filter(F.transform("matches", extend), lambda s: s["b"] > s["a"])), lambda s: words(s) >= min_words)
+    chars = lambda s: F.aggregate(F.slice("n", s["a"] + 1, s["b"] - s["a"]), F.lit(0), lambda x, y: x + y)
+    runs = F.filter(merged(F.filter(F.transform("matches", extend), lambda s: s["b"] > s["a"])), lambda s: chars(s) >= min_chars)
     positions = F.flatten(F.transform(runs, lambda s: F.sequence(s["a"], s["b"] - 1)))
     out = met.select("doc_id", F.size("h").alias("n_lines"), positions.alias("deleted"))
     return out.where(F.size("deleted") > 0).groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.min("deleted").alias("deleted"))
@@ -134,6 +143,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marks = repeated_lines(docs, id_col, text_col, **options)
     marks = marks.select(F.col("doc_id").alias("__line_id"), F.col("deleted").alias("__line_deleted"))
-    met = docs.join(marks, F.col(id_col) == F.col("__line_id"), "left")
+    met = docs.join(marks.hint("shuffle_hash"), F.col(id_col) == F.col("__line_id"), "left")
     text = without_lines(F.col(text_col).cast("string"), F.coalesce("__line_deleted", F.array().cast("array<int>")))
     return met.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
