@@ -101,8 +101,9 @@ def threads(links: DataFrame, max_rounds: int = 40) -> DataFrame:
         if state.where(F.col("up").isNotNull()).isEmpty():
             break
         above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"))
-        far = state.join(above, ["conv_id", "up"], "left")
-        state = checkpointed(far.select("conv_id", "turn", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")))
+        far = state.where(F.col("up").isNotNull()).join(above, ["conv_id", "up"], "left")  # chains that have ended stay as they are
+        far = far.select("conv_id", "turn", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
+        state = checkpointed(state.where(F.col("up").isNull()).unionByName(far))
     return state.select("conv_id", "turn", F.col("top").alias("thread"), "depth")
 
 
