@@ -3,22 +3,23 @@
 A document is the set of its distinct five-word shingles, as 64-bit hashes. Two documents link when their
 Jaccard similarity is at least 3/4, and documents get the smallest id that they reach by links.
 
-1. One pass over the texts gives each document its set size and a key of its set (equal sets are one class),
-   and counts shingles. Counting is exact where it matters: of blocks of documents, each names the shingles
-   it holds four times or more; the most frequent of these, a fixed number, come last in the shingle order.
+1. One pass over the texts gives each document its set size, a key of its set (equal sets are one class) and
+   a point: its shingles are hashed into 128 groups, and the counts of the groups are the coordinates. The
+   same pass counts shingles where it matters: of blocks of documents, each names those that it holds four
+   times or more; the most frequent of these, a fixed number, come last in the shingle order.
 2. Sets this similar share a shingle among their first n/4 + 1 in any common order. The rare ones come first,
    so a passage that many documents share stays out of these prefixes. A second pass deals the prefixes into
-   cells, one per shingle; cells of a single set are dropped, as are all but one of those that hold the same
-   documents.
-3. Each set is first compared with one partner only, the smallest id of the cells that it shares the most
-   with. That ties groups of near copies together without making their pairs.
-4. In the cells where sets of different groups meet, shingles are hashed into 64 coordinates, and the counts
-   are points of an R-tree. The sum of the smaller coordinates of two points, or of the upper corners of two
-   nodes, bounds the overlap from above, so whole branches fall away; what survives is verified. Large
-   cells are split into tiles, and every pair of tiles is a task of its own, so no group grows with the data.
-
-Sets are compared by 48 bits of each hash: two of 1,000 shingles agree by chance in one with a probability
-of four in a billion.
+   cells, one per shingle. Cells of a single set are dropped, as are all but one of those with the same sets.
+3. Each cell is an R-tree over points. The sum of the smaller coordinates of two points, or of the upper
+   corners of two nodes, bounds the overlap from above, so whole branches fall away. First each document
+   keeps one partner that the bounds allow; a document without any is out. The texts of the rest are read
+   once more for their sets, and verifying these pairs ties groups of near copies together without making
+   all their pairs.
+4. The trees are then searched again for pairs between different groups, which are verified likewise.
+
+Large cells are split into tiles, and every pair of tiles is a tree of its own, so no group grows with the
+data. Sets are compared by 48 bits of each hash: two of 1,000 shingles agree by chance in one with a
+probability of four in a billion.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ from corpusloom.llm.components import components
 from corpusloom.llm.quality_rules import checkpointed
 
 WIDTH = 5
-GROUPS = 64
+GROUPS = 128
+FULL = 255  # a coordinate this large may stand for a larger one
+SALTS = 64
 LEAF = 32
 BLOCK_CHARS = 8_000_000
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -53,7 +56,7 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; fewer words than five are one shingle."""
     texts = texts.take(pa.array(np.arange(len(texts))))  # the byte-wise functions below misread an array with an offset
     bare = pc.ascii_trim(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), " \t\n\x0b\x0c\r")
-    lists = pc.split_pattern_regex(bare, r"[\x20\x09-\x0D]+")
+    lists = pc.ascii_split_whitespace(bare)
     coded = lists.flatten().dictionary_encode()
     hashed = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False).astype(object), categorize=False)
     words = hashed[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.uint64)
@@ -82,6 +85,17 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=12).digest()
 
 
+def point(hashes: np.ndarray) -> bytes:
+    counts = np.bincount((hashes % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def bounds(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bounds of overlaps: the sum of the smaller coordinates, without limit where both are full."""
+    least = np.minimum(a, b)
+    return least.sum(axis=-1, dtype=np.int64) + (least == FULL).any(axis=-1) * (1 << 40)
+
+
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(ids, sets) of as many rows at a time as hold some 8 million bytes of text."""
     for batch in batches:
@@ -96,68 +110,84 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.nd
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: doc_id, n, set_key; rows of kind 1: shingles (n: how often) that a block holds often."""
+    """Rows of kind 0: doc_id, n, set_key, point; rows of kind 1: shingles (n: how often) that a block holds often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "set_key", "token"]
+        names = ["kind", "doc_id", "n", "set_key", "point", "token"]
         for ids, sets in blocks(batches):
             keys = [set_key(s) for s in sets]
             kinds = [pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kinds, pa.array(keys, pa.binary()), pa.nulls(len(ids), pa.int64())], names=names)
+            points = pa.array([point(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([*kinds, pa.array(keys, pa.binary()), points, pa.nulls(len(ids), pa.int64())], names=names)
             unlike = list(dict(zip(keys, sets, strict=True)).values())
             tokens, counts = np.unique(np.concatenate([*unlike, np.empty(0, np.uint64)]), return_counts=True)
             tokens, counts = tokens[counts >= 4], counts[counts >= 4]
             no = pa.nulls(len(tokens), pa.int64())
-            kinds = [pa.array(np.ones(len(tokens), np.int32)), no, pa.array(counts.astype(np.int64)), pa.nulls(len(tokens), pa.binary())]
+            kinds = [pa.array(np.ones(len(tokens), np.int32)), no, pa.array(counts.astype(np.int64)), *[pa.nulls(len(tokens), pa.binary())] * 2]
             yield pa.RecordBatch.from_arrays([*kinds, pa.array(tokens.view(np.int64))], names=names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, set_key binary, token long")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, set_key binary, point binary, token long")
 
 
 def prefix_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """token, doc_id, n for the first n/4 + 1 shingles of each distinct set of a block, the ``frequent`` (ascending) last."""
+    """token, doc_id and often for the first n/4 + 1 shingles of each distinct set of a block.
+
+    Shingles in ``frequent`` (ascending by frequency) come last in the order and are marked as often.
+    """
     sorter = np.argsort(frequent)
     ordered = frequent[sorter]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in blocks(batches):
-            seen, tokens, owners, sizes = set(), [], [], []
+            seen, tokens, owners, marks = set(), [], [], []
             for doc, s in zip(ids, sets, strict=True):
                 if not len(s) or doc is None or (key := set_key(s)) in seen:
                     continue
                 seen.add(key)
                 take = len(s) // 4 + 1
+                first, late = s[:take], s[:0]
                 if len(ordered):
                     at = np.minimum(np.searchsorted(ordered, s), len(ordered) - 1)
                     often = ordered[at] == s
                     first = s[~often][:take]
-                    if len(first) < take:
-                        first = np.concatenate([first, frequent[np.sort(sorter[at[often]])[: take - len(first)]]])
-                else:
-                    first = s[:take]
-                tokens.append(first)
-                owners.append(doc)
-                sizes.append(len(s))
+                    late = frequent[np.sort(sorter[at[often]])[: take - len(first)]]
+                tokens += [first, late]
+                owners += [doc, doc]
+                marks += [False, True]
             if owners:
                 reps = [len(t) for t in tokens]
                 cut = (np.concatenate(tokens) >> np.uint64(20)).astype(np.int64)  # a shorter token can only add candidates
-                columns = [pa.array(cut), pa.array(np.repeat(np.array(owners, np.int64), reps)), pa.array(np.repeat(np.array(sizes, np.int32), reps))]
-                yield pa.RecordBatch.from_arrays(columns, names=["token", "doc_id", "n"])
+                columns = [pa.array(cut), pa.array(np.repeat(np.array(owners, np.int64), reps)), pa.array(np.repeat(np.array(marks), reps))]
+                yield pa.RecordBatch.from_arrays(columns, names=["token", "doc_id", "often"])
 
-    return docs.mapInArrow(run, "token long, doc_id long, n int")
+    return docs.mapInArrow(run, "token long, doc_id long, often boolean")
+
+
+def shared_cells(rows: DataFrame) -> DataFrame:
+    """token, doc_id of the cells that hold more than one document.
+
+    All steps use one exchange of the rows. A frequent token is dealt over salts, and only what its salts
+    sum up to is brought together.
+    """
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)) + 1).otherwise(0).cast("int")
+    dealt = rows.select("token", "doc_id", salt.alias("salt")).repartition("token", "salt")
+    ends = dealt.groupBy("token", "salt").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"))
+    salted = ends.where("salt > 0").groupBy("token").agg(F.min("d1").alias("d1"), F.max("d2").alias("d2"), F.collect_set("salt").alias("salts"))
+    several = ends.where("salt = 0 AND d1 != d2").select("token", "salt")
+    several = several.unionByName(salted.where("d1 != d2").select("token", F.explode("salts").alias("salt")))
+    return dealt.join(several, ["token", "salt"]).select("token", "doc_id")
 
 
 def packed_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, members (48 bits of each shingle hash, sorted) and point (64 counts of 16 bits)."""
+    """doc_id and members: 48 bits of each shingle hash, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in blocks(batches):
             members = [np.unique(s & np.uint64((1 << 48) - 1)) for s in sets]
             packed = [m.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for m in members]
-            points = [np.minimum(np.bincount((m % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes() for m in members]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(points, pa.binary())], names=["doc_id", "members", "point"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "members"])
 
-    return docs.mapInArrow(run, "doc_id long, members binary, point binary")
+    return docs.mapInArrow(run, "doc_id long, members binary")
 
 
 def unpacked(members: bytes) -> np.ndarray:
@@ -215,14 +245,14 @@ class RTree:
             todo = [self.root]
             while todo:
                 other, small, below, partners = self.nodes[k := todo.pop()]
-                if 7 * int(np.minimum(corner, other).sum()) < 3 * (least + small):
+                if 7 * int(bounds(corner, other)) < 3 * (least + small):
                     continue
                 if below is not None:
                     todo += below
                     continue
                 if k > leaf:
                     continue
-                bound = np.minimum(self.points[rows][:, None, :], self.points[partners][None, :, :]).sum(axis=2)
+                bound = bounds(self.points[rows][:, None, :], self.points[partners][None, :, :])
                 x, y = self.sizes[rows][:, None], self.sizes[partners][None, :]
                 fits = (7 * bound >= 3 * (x + y)) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
                 i, j = np.nonzero(fits)
@@ -230,53 +260,68 @@ class RTree:
                 yield rows[i[keep]], partners[j[keep]]
 
 
-def meet(points: np.ndarray, sizes: np.ndarray, ids: np.ndarray, groups: np.ndarray, tiles: np.ndarray | None) -> np.ndarray:
-    """Pairs (two rows) of different groups in one cell that its R-tree leaves; of different tiles if tiles are given."""
-    found = [np.empty((2, 0), np.int64)]
+def meet(points: np.ndarray, sizes: np.ndarray, ids: np.ndarray, groups: np.ndarray, tiles: np.ndarray | None, every: bool) -> np.ndarray:
+    """Pairs (two rows) of different groups in one cell that its R-tree leaves; of different tiles if tiles are given.
+
+    All of them if ``every``, else for each document the pair with the smallest id only.
+    """
+    found, best = [np.empty((2, 0), np.int64)], np.full(len(ids), np.iinfo(np.int64).max)
     for i, j in RTree(points, sizes).pairs():
         keep = groups[i] != groups[j]
         if tiles is not None:
             keep &= tiles[i] != tiles[j]
-        found.append(np.stack([ids[i][keep], ids[j][keep]]))
-    return np.concatenate(found, axis=1)
+        i, j = i[keep], j[keep]
+        if every:
+            found.append(np.stack([ids[i], ids[j]]))
+        else:
+            np.minimum.at(best, i, ids[j])
+            np.minimum.at(best, j, ids[i])
+    some = best < np.iinfo(np.int64).max
+    return np.concatenate([*found, np.stack([ids[some], best[some]])], axis=1)
 
 
-def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def meet_all(every: bool):
     """meet() for every cell of a partition that is sorted by cell. A cell has a bounded number of rows."""
     names = ["token", "lo", "hi", "doc_id", "n", "grp", "tile", "point"]
-    waiting: pa.Table | None = None
-
-    def cells(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal waiting
-        token, lo, hi, ids, sizes, groups, tiles = (table.column(c).to_numpy().astype(np.int64) for c in names[:-1])
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), "<u2").reshape(-1, GROUPS)
-        new = (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-        bounds = np.concatenate([[0], np.nonzero(new)[0] + 1, [len(token)]])
-        if not last:
-            waiting = table.slice(bounds[-2])
-            bounds = bounds[:-1]
-        starts, counts = bounds[:-1], np.diff(bounds)
-        two = starts[(counts == 2) & (groups[starts] != groups[np.minimum(starts + 1, len(groups) - 1)])] if len(starts) else starts
-        overlap = np.minimum(points[two], points[two + 1]).sum(axis=1, dtype=np.int64)  # a tree of two points is one comparison
+
+    def pairs_in(table: pa.Table, cuts: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        _, lo, hi, ids, sizes, groups, tiles = columns
+        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+        starts, counts = cuts[:-1], np.diff(cuts)
+        two = starts[counts == 2]  # a tree of two points is one comparison
         x, y = sizes[two], sizes[two + 1]
-        good = two[(7 * overlap >= 3 * (x + y)) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y)) & ((lo[two] == hi[two]) | (tiles[two] != tiles[two + 1]))]
-        found = [np.stack([ids[good], ids[good + 1]])]
+        fits = (7 * bounds(points[two], points[two + 1]) >= 3 * (x + y)) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
+        two = two[fits & (groups[two] != groups[two + 1]) & ((lo[two] == hi[two]) | (tiles[two] != tiles[two + 1]))]
+        found = [np.stack([ids[two], ids[two + 1]])]
         for a, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
             s = slice(a, a + n)
             if (groups[s] != groups[a]).any():
-                found.append(meet(points[s].astype(np.int32), sizes[s], ids[s], groups[s], None if lo[a] == hi[a] else tiles[s]))
-        pairs = np.sort(np.concatenate(found, axis=1), axis=0)
-        pairs = np.unique(pairs, axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                found.append(meet(points[s], sizes[s], ids[s], groups[s], None if lo[a] == hi[a] else tiles[s], every))
+        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch.select(names)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+
+        def cells(table: pa.Table, last: bool) -> pa.RecordBatch:
+            nonlocal waiting
+            columns = [table.column(c).to_numpy().astype(np.int64) for c in names[:-1]]
+            new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+            cuts = np.concatenate([[0], np.nonzero(new)[0] + 1, [len(table)]])
+            if not last:
+                waiting, cuts = table.slice(cuts[-2]), cuts[:-1]
+            return pairs_in(table, cuts, columns)
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch.select(names)])
+            if waiting is not None:
+                table = pa.concat_tables([waiting, table])
+            if len(table):
+                yield cells(table.combine_chunks(), False)
         if waiting is not None:
-            table = pa.concat_tables([waiting, table])
-        if len(table):
-            yield from cells(table.combine_chunks(), False)
-    if waiting is not None:
-        yield from cells(waiting.combine_chunks(), True)
+            yield cells(waiting.combine_chunks(), True)
+
+    return run
 
 
 def unlike_cells(cells: DataFrame) -> DataFrame:
@@ -287,19 +332,25 @@ def unlike_cells(cells: DataFrame) -> DataFrame:
     return cells.join(kept.select("token"), "token", "left_semi")
 
 
-def cross_pairs(cells: DataFrame, groups: DataFrame, sets: DataFrame, tile_rows: int = 1024) -> DataFrame:
-    """Candidate pairs (a, b) of different groups from the cells in which such meet."""
-    named = cells.join(groups.select(F.col("id").alias("doc_id"), F.col("component_id").alias("grp")), "doc_id", "left")
-    named = named.withColumn("grp", F.coalesce("grp", "doc_id")).select("token", "doc_id", "n", "grp")
+def tree_pairs(cells: DataFrame, points: DataFrame, groups: DataFrame | None = None, tile_rows: int = 1024) -> DataFrame:
+    """Candidate pairs (a, b) from cells (token, doc_id) and points (doc_id, n, point).
+
+    Without groups: for each document of each cell, the pair with its smallest partner. With groups (id,
+    component_id): all pairs of different groups, from the cells in which such meet.
+    """
+    if groups is None:
+        named, differ = cells.select("token", "doc_id", F.col("doc_id").alias("grp")), F.lit(True)
+    else:
+        named = cells.select("token", "doc_id").join(groups.select(F.col("id").alias("doc_id"), F.col("component_id").alias("grp")), "doc_id", "left")
+        named, differ = named.withColumn("grp", F.coalesce("grp", "doc_id")), F.col("g1") != F.col("g2")
     span = named.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.count(F.lit(1)).alias("size"))
-    mixed = named.join(span.where("g1 != g2").select("token", "size"), "token")
+    mixed = named.join(span.where(differ).select("token", "size"), "token")
     tiles = F.ceil(F.col("size") / tile_rows).cast("int")
     dealt = mixed.withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles).cast("int"))
-    dealt = dealt.select("token", "doc_id", "n", "grp", "tile", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    dealt = dealt.select("token", "doc_id", "n", "grp", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
-    dealt = dealt.join(sets.select("doc_id", "point"), "doc_id")
-    dealt = dealt.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    return dealt.mapInArrow(meet_all, "a long, b long").distinct()
+    dealt = dealt.select("token", "doc_id", "grp", "tile", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    dealt = dealt.select("token", "doc_id", "grp", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
+    dealt = dealt.join(points, "doc_id").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return dealt.mapInArrow(meet_all(groups is not None), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536) -> DataFrame:
@@ -312,23 +363,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = checkpointed(survey(narrow))
     about = seen.where("kind = 0").select("doc_id", "n", "set_key")
+    points = seen.where("kind = 0 AND n > 0").select("doc_id", "n", "point").dropDuplicates(["doc_id"])
     often = seen.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent)
     order = np.array([r["token"] for r in often.collect()], np.int64)[::-1].view(np.uint64).copy()  # at most ``frequent`` numbers
     classes = about.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
 
-    rows = prefix_rows(narrow, order)
-    by_token = rows.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last"))
-    shared = by_token.where("hub != last").select("token", "hub")
-    cells = checkpointed(unlike_cells(checkpointed(rows.join(shared, "token"))))
-    present = cells.select("doc_id").distinct()
-    sets = checkpointed(packed_sets(narrow.join(present, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-
-    best = cells.where("doc_id != hub").groupBy(F.col("doc_id").alias("b"), F.col("hub").alias("a")).count()
-    best = best.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    copies = present.join(about, "doc_id").join(classes, "set_key").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    known = checkpointed(verify(best, sets).union(copies))
+    cells = checkpointed(unlike_cells(checkpointed(shared_cells(prefix_rows(narrow, order)))))
+    first = checkpointed(tree_pairs(cells, points))
+    alive = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = checkpointed(packed_sets(narrow.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+    one_each = first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    copies = alive.join(about, "doc_id").join(classes, "set_key").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    known = checkpointed(verify(one_each, sets).union(copies))
     groups = components(known)
-    more = checkpointed(verify(cross_pairs(cells.select("token", "doc_id", "n"), groups, sets), sets))
+    more = checkpointed(verify(tree_pairs(cells.join(alive, "doc_id", "left_semi"), points, groups), sets))
     label = components(known.union(more)) if not more.isEmpty() else groups
 
     of_class = classes.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")

@@ -80,13 +80,20 @@ def test_tree_finds_every_pair():
 
 
 def test_tiles_lose_no_pair(spark):
-    rows = corpus(9, 6, 30)
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    whole = j.packed_sets(docs.dropna())
-    cells = docs.dropna().selectExpr("1L as token", "doc_id").join(j.survey(docs.dropna()).where("kind = 0 AND n > 0").selectExpr("doc_id", "cast(n as int) as n"), "doc_id")
+    docs = spark.createDataFrame(corpus(9, 6, 30), "doc_id long, text string").dropna()
+    points = j.survey(docs).where("kind = 0 AND n > 0").select("doc_id", "n", "point")
+    cells = points.selectExpr("1L as token", "doc_id")
     nothing = spark.createDataFrame([], "id long, component_id long")
-    pairs = [{tuple(r) for r in j.cross_pairs(cells, nothing, whole, tile_rows=t).collect()} for t in (4, 10_000)]
+    pairs = [{tuple(r) for r in j.tree_pairs(cells, points, nothing, tile_rows=t).collect()} for t in (4, 10_000)]
     assert pairs[0] == pairs[1] and pairs[0]
+    firsts = {tuple(r) for r in j.tree_pairs(cells, points, tile_rows=4).collect()}
+    assert firsts <= pairs[0] and {x for p in firsts for x in p} == {x for p in pairs[0] for x in p}
+
+
+def test_full_coordinates_never_lower_a_bound():
+    big = np.arange(60_000, dtype=np.uint64) * np.uint64(j.GROUPS)
+    a, b = (np.frombuffer(j.point(x), np.uint8) for x in (big, big[:50_000]))
+    assert j.bounds(a, b) >= 50_000
 
 
 def test_edges(spark):
