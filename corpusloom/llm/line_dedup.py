@@ -36,29 +36,38 @@ def lines_of(text: Column) -> Column:
     return F.when(text.contains(MARK), F.split(text, LINE_BREAK, -1)).otherwise(F.split(marked, MARK, -1))
 
 
+LENGTH = 4095
+
+
 def line_hashes(lines: Column) -> Column:
-    return F.transform(lines, lambda x: F.xxhash64(F.btrim(x, F.lit(SEPARATORS))))
+    """For each line the hash of its text, with its length (4095 at most) in the low 12 bits."""
+    hashed = lambda x: F.xxhash64(F.btrim(x, F.lit(SEPARATORS))).bitwiseAND(F.lit(~LENGTH))
+    return F.transform(lines, lambda x: hashed(x).bitwiseOR(F.least(F.length(x), F.lit(LENGTH)).cast("long")))
+
+
+def _pair(h: Column, i: Column) -> Column:
+    """The fingerprint of two neighbouring lines; lengths, which hold what separates the lines, stay out."""
+    line = lambda k: F.get(h, k).bitwiseAND(F.lit(~LENGTH))
+    return F.xxhash64(line(i), line(i + 1))
 
 
 def fingerprints(hashes: Column, window: int) -> Column:
-    """(print, pos) of the window minima over the hashes of neighbouring lines; of equal ones the rightmost.
+    """Positions of the window minima over the hashes of neighbouring lines; of equal ones the rightmost.
 
     Hash and position share one number while minima are sought: the position fills the low bits.
     """
     low = (1 << PLACE_BITS) - 1
-    pair = lambda h, i: F.xxhash64(F.get(h, i), F.get(h, i + 1))
 
     def packed(h: Column) -> Column:
         at = F.when(F.size(h) > 1, F.sequence(F.lit(0), F.least(F.size(h) - 2, F.lit(low)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: pair(h, i).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
+        return F.transform(at, lambda i: _pair(h, i).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
 
     def select(p: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(p) - window, F.lit(0)))
         minima = F.transform(starts, lambda i: F.least(*[F.get(p, i + k) for k in range(window)]))
         return F.when(F.size(p) > 0, F.array_distinct(minima))
 
-    places = F.transform(_let(_let(hashes, packed), select), lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
-    return F.transform(places, lambda i: F.struct(pair(hashes, i).alias("print"), i.alias("pos")))
+    return F.transform(_let(_let(hashes, packed), select), lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
 
 
 def _matching(a: Column, b: Column) -> Column:
@@ -67,7 +76,8 @@ def _matching(a: Column, b: Column) -> Column:
     def first_miss(same: Column) -> Column:
         return F.coalesce(F.array_position(same, False) - 1, F.lit(0)) + F.when(F.array_contains(same, False), 0).otherwise(F.size(same) + 1)
 
-    return _let(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), first_miss).cast("int")
+    line = lambda x: x.bitwiseAND(F.lit(~LENGTH))
+    return _let(F.zip_with(a, b, lambda x, y: F.coalesce(line(x) == line(y), F.lit(False))), first_miss).cast("int")
 
 
 def repeated_lines(
@@ -80,12 +90,11 @@ def repeated_lines(
     length. Null ids and texts have no lines; documents with one id count as one place, the first by hash.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
-    made = lambda x: F.struct(line_hashes(x).alias("h"), F.transform(x, lambda y: F.length(y)).alias("n"))
-    cut = narrow.select("doc_id", _let(lines_of(F.col("text")), made).alias("l"))
-    lines = cut.select("doc_id", _let(F.col("l"), lambda x: F.struct(x["h"].alias("h"), x["n"].alias("n"), fingerprints(x["h"], window).alias("f"))).alias("l"))
-    lines = checkpointed(lines.select("doc_id", "l.h", "l.n", "l.f"))
-    prints = lines.select("doc_id", F.explode("f").alias("f")).select("f.print", "doc_id", "f.pos", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
-    lines = lines.drop("f")
+    cut = narrow.select("doc_id", line_hashes(lines_of(F.col("text"))).alias("h"))
+    lines = checkpointed(cut.select("doc_id", _let(F.col("h"), lambda h: F.struct(h.alias("h"), fingerprints(h, window).alias("f"))).alias("l")).select("doc_id", "l.h", "l.f"))
+    prints = lines.select("doc_id", F.explode(F.transform("f", lambda i: F.struct(_pair(F.col("h"), i).alias("print"), i.alias("pos")))).alias("f"))
+    prints = prints.select("f.print", "doc_id", "f.pos", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
+    lines = lines.select("doc_id", "h")
     place = F.struct("doc_id", "pos")
     part = prints.groupBy("print", "salt").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places"))
     firsts = part.groupBy("print").agg(F.min("first").alias("first"), F.sum("places").alias("places"), F.collect_set("salt").alias("salts"))
@@ -95,7 +104,8 @@ def repeated_lines(
     # what stands around each first place, once per place
     around = lambda p: F.slice("h", F.greatest(p + 1 - reach, F.lit(1)), F.least(p + 1, F.lit(reach)) + reach + 1)
     origins = found.select("src", "src_pos").distinct()
-    near = lines.select(F.col("doc_id").alias("src"), "h").join(origins, "src").select("src", "src_pos", around(F.col("src_pos")).alias("near"))
+    near = lines.join(origins.withColumnRenamed("src", "doc_id"), "doc_id")
+    near = near.select(F.col("doc_id").alias("src"), "src_pos", around(F.col("src_pos")).alias("near")).dropDuplicates(["src", "src_pos"])
     spread = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     wanted = spread.select("src", "src_pos", "salt").distinct().join(near, ["src", "src_pos"])
     known = spread.join(wanted, ["src", "src_pos", "salt"]).select("doc_id", F.struct("pos", "src_pos", "near").alias("m"))
@@ -121,11 +131,12 @@ def repeated_lines(
 
         return F.aggregate(F.array_sort(F.array_distinct(spans)), empty, add)
 
-    chars = lambda s: F.aggregate(F.slice("n", s["a"] + 1, s["b"] - s["a"]), F.lit(0), lambda x, y: x + y)
+    chars = lambda s: F.aggregate(F.slice("h", s["a"] + 1, s["b"] - s["a"]), F.lit(0).cast("long"), lambda x, y: x + y.bitwiseAND(F.lit(LENGTH)))
     runs = F.filter(merged(F.filter(F.transform("matches", extend), lambda s: s["b"] > s["a"])), lambda s: chars(s) >= min_chars)
     positions = F.flatten(F.transform(runs, lambda s: F.sequence(s["a"], s["b"] - 1)))
     out = met.select("doc_id", F.size("h").alias("n_lines"), positions.alias("deleted"))
-    return out.where(F.size("deleted") > 0).groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.min("deleted").alias("deleted"))
+    once = out.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.min("deleted").alias("deleted"))
+    return once.where(F.size("deleted") > 0)  # not before, or the positions would be worked out twice
 
 
 def without_lines(text: Column, deleted: Column) -> Column:
