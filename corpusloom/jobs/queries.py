@@ -19,8 +19,17 @@ SYNONYMS = [(1, "ention", "mention"), (2, "ation", "action"), (3, "der", "die"),
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+PLACES = ("rank", "fused_rank", "place", "seq")
+
+
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
+    """Registers a query; places in an order come out as long, whatever the window made them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = f(spark, sf_dir)
+        return df.select(*[F.col(c).cast("long").alias(c) if c in PLACES else F.col(c) for c in df.columns])
+
+    QUERIES[f.__name__] = run
     return f
 
 
