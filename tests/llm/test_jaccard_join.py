@@ -96,6 +96,16 @@ def test_full_coordinates_never_lower_a_bound():
     assert j.bounds(a, b) >= 50_000
 
 
+def test_fine_points_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+        a, b = (np.unique(rng.choice(pool, int(rng.integers(1, 3000)))) for _ in range(2))
+        assert j.fine_bound(j.fine_point(a), j.fine_point(b)) >= len(np.intersect1d(a, b))
+    same = np.arange(2_000_000, dtype=np.uint64) * np.uint64(1 << 14)
+    assert j.fine_bound(j.fine_point(same), j.fine_point(same)) >= len(same)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.similar_documents(docs).collect()), key=str)
