@@ -121,15 +121,17 @@ def source_tables(hits: DataFrame, n_hits: int = 5, per_group: int = 2, min_char
 MEDIA = (("image", "direct", "### 直接参考图片\n", "\n"), ("table", "direct", "### 直接参考表格\n\n", "\n\n"), ("image", "indirect", "### 拓展参考图片\n", "\n"), ("table", "indirect", "### 拓展参考表格\n\n", "\n\n"))
 
 
+def _media_part(kind: str, relevance: str, heading: str, separator: str) -> Column:
+    own = F.transform(F.filter("all", lambda x: (x["kind"] == kind) & (x["relevance"] == relevance)), lambda x: x["item"])
+    return F.when(F.size(own) > 0, F.concat(F.lit(heading), F.array_join(own, separator)))
+
+
 def media_sections(images: DataFrame, tables: DataFrame) -> DataFrame:
     """query_id, media: images and tables under their headings, direct ones first; queries without any have no row."""
     items = images.select("query_id", F.lit("image").alias("kind"), "relevance", "place", F.col("url").alias("item"))
     items = items.unionByName(tables.select("query_id", F.lit("table").alias("kind"), "relevance", "place", F.col("table_text").alias("item")))
     grouped = items.groupBy("query_id").agg(in_order(F.struct("place", "item", "kind", "relevance")).alias("all"))
-    parts = []
-    for kind, relevance, heading, separator in MEDIA:
-        own = F.transform(F.filter("all", lambda x, k=kind, r=relevance: (x["kind"] == k) & (x["relevance"] == r)), lambda x: x["item"])
-        parts.append(F.when(F.size(own) > 0, F.concat(F.lit(heading), F.array_join(own, separator))))
+    parts = [_media_part(*m) for m in MEDIA]
     return grouped.select("query_id", F.concat(F.lit("\n\n---\n"), F.concat_ws("\n\n", *parts)).alias("media"))
 
 
