@@ -15,8 +15,8 @@ Jaccard similarity is at least 3/4, and documents get the smallest id that they
    keeps one partner that the bounds allow; a document without any is out. The texts of the rest are read
    once more for their sets, and verifying these pairs ties groups of near copies together without making
    all their pairs.
-4. The trees are then searched again for pairs between different groups, which are verified likewise. Before
-   sets are compared, points with a coordinate for every two shingles bound the overlap of large sets closely.
+4. The trees are then searched again for pairs between different groups, which are verified likewise. Here the
+   leaves hold points with a coordinate for every four shingles, which bound the overlap of large sets closely.
 
 Large cells are split into tiles, and every pair of tiles is a tree of its own, so no group grows with the
 data. Sets are compared by 48 bits of each hash: two of 1,000 shingles agree by chance in one with a
@@ -181,8 +181,8 @@ def shared_cells(rows: DataFrame) -> DataFrame:
 
 
 def fine_point(hashes: np.ndarray) -> bytes:
-    """A point with a coordinate for every two shingles or so: between 128 and 16,384, a power of two."""
-    groups = min(max(GROUPS, 1 << (len(hashes) // 2).bit_length()), 1 << 14)
+    """A point with a coordinate for every four shingles or so: between 128 and 16,384, a power of two."""
+    groups = min(max(GROUPS, 1 << (len(hashes) // 4).bit_length()), 1 << 14)
     counts = np.bincount((hashes % np.uint64(groups)).astype(np.int64), minlength=groups)
     return np.minimum(counts, FULL).astype(np.uint8).tobytes()
 
@@ -195,17 +195,23 @@ def fine_bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y).sum())
 
 
+def folded(fine: bytes) -> np.ndarray:
+    """The plain point that a fine one refines."""
+    parts = np.frombuffer(fine, np.uint8).reshape(-1, GROUPS)
+    return np.where((parts == FULL).any(axis=0), FULL, np.minimum(parts.sum(axis=0, dtype=np.int64), FULL)).astype(np.uint8)
+
+
 def packed_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, members (48 bits of each shingle hash, sorted) and fine, the fine point with the set size before it."""
+    """doc_id, n, members (48 bits of each shingle hash, sorted) and fine, the fine point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in blocks(batches):
             members = [np.unique(s & np.uint64((1 << 48) - 1)) for s in sets]
             packed = [m.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for m in members]
-            fine = [len(s).to_bytes(8, "little") + fine_point(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(fine, pa.binary())], names=["doc_id", "members", "fine"])
+            columns = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(packed, pa.binary()), pa.array([fine_point(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "members", "fine"])
 
-    return docs.mapInArrow(run, "doc_id long, members binary, fine binary")
+    return docs.mapInArrow(run, "doc_id long, n long, members binary, fine binary")
 
 
 def unpacked(members: bytes) -> np.ndarray:
@@ -221,30 +227,19 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= 75 * (len(a) + len(b) - common)
 
 
-def may_link(a: bytes, b: bytes) -> bool:
-    x, y = (int.from_bytes(p[:8], "little") for p in (a, b))
-    return 4 * min(x, y) >= 3 * max(x, y) and 7 * fine_bound(a[8:], b[8:]) >= 3 * (x + y)
-
-
-def _pairs_that(test, pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """The pairs (a, b) for which test(column of a, column of b) holds."""
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col(column).alias("vb")), "b")
-    two = one.join(sets.select(F.col("doc_id").alias("a"), F.col(column).alias("va")), "a").select("a", "b", "va", "vb")
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link."""
+    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb")), "b")
+    two = one.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma")), "a").select("a", "b", "ma", "mb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([test(x, y) for x, y in sides], pa.bool_()))
+            sides = zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([linked(unpacked(x), unpacked(y)) for x, y in sides], pa.bool_()))
 
     return two.mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link; fine points, a twelfth of a set's size, go first."""
-    near = _pairs_that(may_link, pairs, sets, "fine")
-    return _pairs_that(lambda x, y: linked(unpacked(x), unpacked(y)), near, sets, "members")
-
-
 class RTree:
     """Points of one cell, halved along the coordinate of the widest spread down to leaves; nodes keep upper corners."""
 
@@ -289,43 +284,55 @@ class RTree:
 
 
 def meet(points: np.ndarray, sizes: np.ndarray, ids: np.ndarray, groups: np.ndarray, tiles: np.ndarray | None, every: bool) -> np.ndarray:
-    """Pairs (two rows) of different groups in one cell that its R-tree leaves; of different tiles if tiles are given.
+    """Pairs of rows (two rows of numbers) of different groups in one cell that its R-tree leaves.
 
-    All of them if ``every``, else for each document the pair with the smallest id only.
+    All of them if ``every``, else for each document the pair with the smallest id only. If tiles are given, the
+    two are of different tiles.
     """
-    found, best = [np.empty((2, 0), np.int64)], np.full(len(ids), np.iinfo(np.int64).max)
+    found, best = [np.empty((2, 0), np.int64)], np.full(len(ids), len(ids))
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
     for i, j in RTree(points, sizes).pairs():
         keep = groups[i] != groups[j]
         if tiles is not None:
             keep &= tiles[i] != tiles[j]
         i, j = i[keep], j[keep]
         if every:
-            found.append(np.stack([ids[i], ids[j]]))
+            found.append(np.stack([i, j]))
         else:
-            np.minimum.at(best, i, ids[j])
-            np.minimum.at(best, j, ids[i])
-    some = best < np.iinfo(np.int64).max
-    return np.concatenate([*found, np.stack([ids[some], best[some]])], axis=1)
+            np.minimum.at(best, i, place[j])
+            np.minimum.at(best, j, place[i])
+    some = np.nonzero(best < len(ids))[0]
+    return np.concatenate([*found, np.stack([some, order[best[some]]])], axis=1)
 
 
 def meet_all(every: bool):
-    """meet() for every cell of a partition that is sorted by cell. A cell has a bounded number of rows."""
+    """meet() for every cell of a partition that is sorted by cell. A cell has a bounded number of rows.
+
+    If ``every``, points are fine ones: trees use what they fold to, and the pairs that are left must pass them too.
+    """
     names = ["token", "lo", "hi", "doc_id", "n", "grp", "tile", "point"]
 
     def pairs_in(table: pa.Table, cuts: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
         _, lo, hi, ids, sizes, groups, tiles = columns
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+        raw = table.column("point").to_pylist()
+        points = np.stack([folded(x) for x in raw]) if every else np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS)
         starts, counts = cuts[:-1], np.diff(cuts)
         two = starts[counts == 2]  # a tree of two points is one comparison
         x, y = sizes[two], sizes[two + 1]
         fits = (7 * bounds(points[two], points[two + 1]) >= 3 * (x + y)) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
         two = two[fits & (groups[two] != groups[two + 1]) & ((lo[two] == hi[two]) | (tiles[two] != tiles[two + 1]))]
-        found = [np.stack([ids[two], ids[two + 1]])]
+        found = [np.stack([two, two + 1])]
         for a, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
             s = slice(a, a + n)
             if (groups[s] != groups[a]).any():
-                found.append(meet(points[s], sizes[s], ids[s], groups[s], None if lo[a] == hi[a] else tiles[s], every))
-        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+                found.append(a + meet(points[s], sizes[s], ids[s], groups[s], None if lo[a] == hi[a] else tiles[s], every))
+        i, j = np.concatenate(found, axis=1)
+        if every:
+            good = [7 * fine_bound(raw[x], raw[y]) >= 3 * (sizes[x] + sizes[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+            i, j = i[np.array(good, bool)], j[np.array(good, bool)]
+        pairs = np.unique(np.sort(np.stack([ids[i], ids[j]]), axis=0), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +371,7 @@ def tree_pairs(cells: DataFrame, points: DataFrame, groups: DataFrame | None = N
     """Candidate pairs (a, b) from cells (token, doc_id) and points (doc_id, n, point).
 
     Without groups: for each document of each cell, the pair with its smallest partner. With groups (id,
-    component_id): all pairs of different groups, from the cells in which such meet.
+    component_id): all pairs of different groups, from the cells in which such meet; points are fine ones then.
     """
     if groups is None:
         named, differ = cells.select("token", "doc_id", F.col("doc_id").alias("grp")), F.lit(True)
@@ -403,7 +410,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copies = alive.join(about, "doc_id").join(classes, "set_key").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     known = checkpointed(verify(first, sets).union(copies))
     groups = components(known)
-    more = checkpointed(verify(tree_pairs(cells.join(alive, "doc_id", "left_semi"), points, groups), sets))
+    fine = sets.select("doc_id", "n", F.col("fine").alias("point"))
+    more = checkpointed(verify(tree_pairs(cells.join(alive, "doc_id", "left_semi"), fine, groups), sets))
     label = components(known.union(more)) if not more.isEmpty() else groups
 
     of_class = classes.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
