@@ -240,6 +240,20 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
+def closely_bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their fine points (doc_id, n, point) allow; a point is a twenty-fourth of its set's size."""
+    one = pairs.join(points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
+    two = one.join(points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "pa", "pb")), strict=True)
+            good = pa.array([7 * fine_bound(x, y) >= 3 * (m + n) for m, n, x, y in rows], pa.bool_())
+            yield batch.select(["a", "b"]).filter(good)
+
+    return two.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 class RTree:
     """Points of one cell, halved along the coordinate of the widest spread down to leaves; nodes keep upper corners."""
 
@@ -408,9 +422,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     alive = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = checkpointed(packed_sets(narrow.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
     copies = alive.join(about, "doc_id").join(classes, "set_key").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    known = checkpointed(verify(first, sets).union(copies))
-    groups = components(known)
     fine = sets.select("doc_id", "n", F.col("fine").alias("point"))
+    known = checkpointed(verify(closely_bounded(first, fine), sets).union(copies))
+    groups = components(known)
     more = checkpointed(verify(tree_pairs(cells.join(alive, "doc_id", "left_semi"), fine, groups), sets))
     label = components(known.union(more)) if not more.isEmpty() else groups
 
