@@ -119,3 +119,13 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_components_of_late_and_shuffled_chains(spark):
+    n, rng = 500, random.Random(4)
+    late = [*range(2, n + 1), 1]
+    shuffled = rng.sample(range(1000, 1000 + n), n)
+    falling = list(range(3000 + n, 3000, -1))
+    links = [p for chain in (late, shuffled, falling) for p in zip(chain, chain[1:], strict=False)]
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: min(chain) for chain in (late, shuffled, falling) for x in chain}
