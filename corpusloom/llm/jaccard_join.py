@@ -409,6 +409,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     not the result. Null, empty and blank texts have no shingles and link with nothing. Ids are integers;
     repeated rows get the same result each; a null id is its own component (null). Other columns are ignored.
     """
+    return _labelled(docs, id_col, text_col, frequent).drop("set_key")
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, frequent: int = 65_536) -> DataFrame:
+    """similar_documents with set_key, which rows of equal shingle sets share."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = checkpointed(survey(narrow))
     about = seen.where("kind = 0").select("doc_id", "n", "set_key")
@@ -432,10 +437,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     of_class = of_class.select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
     out = about.join(of_class, "set_key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "set_key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component."""
-    found = similar_documents(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(found, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    """The rows of docs whose id is the smallest of its component.
+
+    A row with a null id stays unless its shingles are those of a row with an id, whose component has a
+    smallest id to stay for it. Such rows are known by 64 bits of their texts' hashes.
+    """
+    labels = _labelled(docs, id_col, text_col)
+    has_id = F.col(id_col).cast("long").isNotNull()
+    nameless = docs.where(~has_id)
+    if nameless.isEmpty():
+        found = labels.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+        return docs.join(found, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    labels = checkpointed(labels)
+    found = labels.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    named = docs.join(found, F.col(id_col) == F.col("__kept_id"), "left_semi")
+    text = F.col(text_col).cast("string")
+    keys = survey(nameless.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).dropna()).where("n > 0")
+    held = labels.where("doc_id IS NULL AND component_id IS NOT NULL").select("set_key").distinct()
+    gone = keys.join(held, "set_key", "left_semi").select(F.col("doc_id").alias("__gone")).distinct()
+    return named.unionByName(nameless.join(gone, F.xxhash64(text) == F.col("__gone"), "left_anti"))

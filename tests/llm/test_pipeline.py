@@ -44,3 +44,12 @@ def test_every_stage_and_the_whole(spark, tmp_path):
     assert tokens == {r.doc_id: -(-len(r.text) // 4) for r in outs[3]}
     whole = c.run(spark, str(tmp_path)).collect()
     assert sorted(map(str, whole)) == sorted(map(str, outs[4]))
+
+
+def test_rows_without_id_stay(spark, tmp_path):
+    rows = documents(spark, tmp_path)
+    texts = [rows[20][1], rows[20][1].upper(), " ".join(rows[30][1].split()[::-1]), "", None]
+    docs = spark.createDataFrame([(d, t, "en", "s", n) for d, t, _, _, n in rows[15:25]] + [(None, t, "en", "s", len(t or "")) for t in texts], spark.read.parquet(f"{tmp_path}/documents.parquet").schema)
+    kept = c.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {*range(15, 25), None}
+    assert sorted([r.text for r in kept if r.doc_id is None], key=str) == sorted(texts[2:], key=str)
