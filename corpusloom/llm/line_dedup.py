@@ -1,4 +1,7 @@
-"""Deduplication of repeated runs of lines by winnowing (DataFrame functions only).
+"""Deduplication of repeated runs of words and lines by winnowing (DataFrame functions only).
+
+Words come first: fingerprints of 8 words, thinned so that every shared run of 50 words keeps one, wherever it
+was cut. What is left goes the same way by lines, for runs of lines that have fewer words.
 
 A text is cut into lines, and long lines again after each sentence, so that a passage is found wherever it
 was pasted. Every pair of neighbouring lines is hashed, and of each ``window`` neighbouring hashes the
@@ -13,10 +16,13 @@ aggregation, so no task gathers all places of a fingerprint and no pairs of plac
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.quality_rules import SEPARATORS, _let, checkpointed
+from corpusloom.llm.quality_rules import SEPARATORS, WORD_BREAK, _let, checkpointed
 
 LINE_BREAK = r"(?<=\n)|(?<=[.!?] )"
 BREAKS = ("\n", ". ", "! ", "? ")
@@ -45,39 +51,85 @@ def line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: hashed(x).bitwiseOR(F.least(F.length(x), F.lit(LENGTH)).cast("long")))
 
 
-def _pair(h: Column, i: Column) -> Column:
-    """The fingerprint of two neighbouring lines; lengths, which hold what separates the lines, stay out."""
-    line = lambda k: F.get(h, k).bitwiseAND(F.lit(~LENGTH))
-    return F.xxhash64(line(i), line(i + 1))
+WORD = r"[^ \t-\r]+[ \t-\r]*"
+WORD_LENGTH = 63
+WORD_REACH = 56
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text, each with the white space behind it, and the first also with what is before it."""
+    return F.regexp_extract_all(text, F.lit(r"^[ \t-\r]*" + WORD + "|" + WORD), F.lit(0))
+
+
+def word_hashes(text: Column) -> Column:
+    """For each word 26 bits of its hash, with its length and one (63 at most) in the low 6 bits."""
+    words = F.split(F.btrim(text, F.lit(SEPARATORS)), WORD_BREAK, -1)
+    packed = lambda x: F.hash(x).bitwiseAND(F.lit(~WORD_LENGTH)).bitwiseOR(F.least(F.length(x) + 1, F.lit(WORD_LENGTH)))
+    return F.when(F.btrim(text, F.lit(SEPARATORS)) != "", F.transform(words, packed)).otherwise(F.array().cast("array<int>"))
+
+
+class Units(NamedTuple):
+    """What a text is cut into: hashes with lengths under a mask, units of one fingerprint, windows of minima."""
+
+    hashes: Callable[[Column], Column]
+    mask: int
+    shingle: int
+    windows: tuple[int, ...]
+    reach: int
+
+
+def line_units(window: int = 3, reach: int = 8) -> Units:
+    return Units(lambda text: line_hashes(lines_of(text)), LENGTH, 2, (window,), reach)
+
+
+def word_units() -> Units:
+    """Fingerprints of 8 words: minima of 3, and of 13 neighbouring ones of these.
+
+    In a shared run of 43 fingerprints' places, so of 50 words, the minima of 3 within places 2 to 40 are the
+    same in both texts, and are 13 at least, so that one of them is the least of a window in both.
+    """
+    return Units(word_hashes, WORD_LENGTH, 8, (3, 13), WORD_REACH)
+
+
+def _print(h: Column, i: Column, units: Units) -> Column:
+    """The fingerprint of neighbouring units; lengths, which hold what separates lines, stay out."""
+    return F.xxhash64(*[F.get(h, i + k).bitwiseAND(F.lit(~units.mask)) for k in range(units.shingle)])
 
 
-def fingerprints(hashes: Column, window: int) -> Column:
-    """Positions of the window minima over the hashes of neighbouring lines; of equal ones the rightmost.
+def fingerprints(hashes: Column, units: Units) -> Column:
+    """Positions of the window minima over the hashes of neighbouring units; of equal ones the rightmost.
 
     Hash and position share one number while minima are sought: the position fills the low bits.
     """
     low = (1 << PLACE_BITS) - 1
 
     def packed(h: Column) -> Column:
-        at = F.when(F.size(h) > 1, F.sequence(F.lit(0), F.least(F.size(h) - 2, F.lit(low)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: _pair(h, i).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
+        last = F.size(h) - units.shingle
+        at = F.when(last >= 0, F.sequence(F.lit(0), F.least(last, F.lit(low)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: _print(h, i, units).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
 
-    def select(p: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.size(p) - window, F.lit(0)))
-        minima = F.transform(starts, lambda i: F.least(*[F.get(p, i + k) for k in range(window)]))
-        return F.when(F.size(p) > 0, F.array_distinct(minima))
+    def select(window: int) -> Callable[[Column], Column]:
+        def minima(p: Column) -> Column:
+            starts = F.sequence(F.lit(0), F.greatest(F.size(p) - window, F.lit(0)))
+            least = F.transform(starts, lambda i: F.least(*[F.get(p, i + k) for k in range(window)]))
+            return F.when(F.size(p) > 0, F.array_distinct(least))
 
-    return F.transform(_let(_let(hashes, packed), select), lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
+        return minima
 
+    found = _let(hashes, packed)
+    for window in units.windows:
+        found = _let(found, select(window))
+    return F.transform(found, lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
 
-def _matching(a: Column, b: Column) -> Column:
-    """How many lines at the start of both arrays are equal."""
+
+def _matching(a: Column, b: Column, mask: int) -> Column:
+    """How many units at the start of both arrays are equal."""
 
     def first_miss(same: Column) -> Column:
         return F.coalesce(F.array_position(same, False) - 1, F.lit(0)) + F.when(F.array_contains(same, False), 0).otherwise(F.size(same) + 1)
 
-    line = lambda x: x.bitwiseAND(F.lit(~LENGTH))
-    return _let(F.zip_with(a, b, lambda x, y: F.coalesce(line(x) == line(y), F.lit(False))), first_miss).cast("int")
+    unit = lambda x: x.bitwiseAND(F.lit(~mask))
+    return _let(F.zip_with(a, b, lambda x, y: F.coalesce(unit(x) == unit(y), F.lit(False))), first_miss).cast("int")
 
 
 def repeated_lines(
@@ -89,10 +141,24 @@ def repeated_lines(
     shared run the next fingerprint is at most ``window`` lines on, so matches overlap and cover runs of any
     length. Null ids and texts have no lines; documents with one id count as one place, the first by hash.
     """
+    return _repeated(docs, line_units(window, reach), id_col, text_col, min_chars, salts).withColumnRenamed("n_units", "n_lines")
+
+
+def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, salts: int = 32) -> DataFrame:
+    """doc_id, n_words and deleted, the positions of the words that a later repeated run covers.
+
+    Every run of 50 words and ``min_chars`` characters that an earlier place holds too is found, wherever it is cut;
+    a shorter one may be. Otherwise like repeated_lines.
+    """
+    return _repeated(docs, word_units(), id_col, text_col, min_chars, salts).withColumnRenamed("n_units", "n_words")
+
+
+def _repeated(docs: DataFrame, units: Units, id_col: str, text_col: str, min_chars: int, salts: int) -> DataFrame:
+    reach = units.reach
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
-    cut = narrow.select("doc_id", line_hashes(lines_of(F.col("text"))).alias("h"))
-    lines = checkpointed(cut.select("doc_id", _let(F.col("h"), lambda h: F.struct(h.alias("h"), fingerprints(h, window).alias("f"))).alias("l")).select("doc_id", "l.h", "l.f"))
-    prints = lines.select("doc_id", F.explode(F.transform("f", lambda i: F.struct(_pair(F.col("h"), i).alias("print"), i.alias("pos")))).alias("f"))
+    cut = narrow.select("doc_id", units.hashes(F.col("text")).alias("h"))
+    lines = checkpointed(cut.select("doc_id", _let(F.col("h"), lambda h: F.struct(h.alias("h"), fingerprints(h, units).alias("f"))).alias("l")).select("doc_id", "l.h", "l.f"))
+    prints = lines.select("doc_id", F.explode(F.transform("f", lambda i: F.struct(_print(F.col("h"), i, units).alias("print"), i.alias("pos")))).alias("f"))
     prints = prints.select("f.print", "doc_id", "f.pos", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
     lines = lines.select("doc_id", "h")
     place = F.struct("doc_id", "pos")
@@ -114,9 +180,9 @@ def repeated_lines(
 
     def extend(m: Column) -> Column:
         here, back = m["pos"] + 1, F.least(m["src_pos"], F.lit(reach))
-        ahead = _matching(F.slice("h", here, reach), F.slice(m["near"], back + 1, reach))
+        ahead = _matching(F.slice("h", here, reach), F.slice(m["near"], back + 1, reach), units.mask)
         own = F.least(here - 1, back)
-        behind = _matching(F.reverse(F.slice("h", here - own, own)), F.reverse(F.slice(m["near"], back + 1 - own, own)))
+        behind = _matching(F.reverse(F.slice("h", here - own, own)), F.reverse(F.slice(m["near"], back + 1 - own, own)), units.mask)
         return F.struct((m["pos"] - behind).alias("a"), (m["pos"] + ahead).alias("b"))
 
     def merged(spans: Column) -> Column:
@@ -131,29 +197,39 @@ def repeated_lines(
 
         return F.aggregate(F.array_sort(F.array_distinct(spans)), empty, add)
 
-    chars = lambda s: F.aggregate(F.slice("h", s["a"] + 1, s["b"] - s["a"]), F.lit(0).cast("long"), lambda x, y: x + y.bitwiseAND(F.lit(LENGTH)))
+    chars = lambda s: F.aggregate(F.slice("h", s["a"] + 1, s["b"] - s["a"]), F.lit(0).cast("long"), lambda x, y: x + y.bitwiseAND(F.lit(units.mask)))
     runs = F.filter(merged(F.filter(F.transform("matches", extend), lambda s: s["b"] > s["a"])), lambda s: chars(s) >= min_chars)
     positions = F.flatten(F.transform(runs, lambda s: F.sequence(s["a"], s["b"] - 1)))
-    out = met.select("doc_id", F.size("h").alias("n_lines"), positions.alias("deleted"))
-    once = out.groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"), F.min("deleted").alias("deleted"))
+    out = met.select("doc_id", F.size("h").alias("n_units"), positions.alias("deleted"))
+    once = out.groupBy("doc_id").agg(F.max("n_units").alias("n_units"), F.min("deleted").alias("deleted"))
     return once.where(F.size("deleted") > 0)  # not before, or the positions would be worked out twice
 
 
+def _without(text: Column, deleted: Column, cut: Callable[[Column], Column]) -> Column:
+    def rest(units: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), deleted)
+        return F.array_join(F.transform(kept, lambda i: F.get(units, i)), "")
+
+    return F.when(F.size(deleted) > 0, _let(cut(text), rest)).otherwise(text)
+
+
 def without_lines(text: Column, deleted: Column) -> Column:
-    def rest(lines: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), deleted)
-        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "")
+    return _without(text, deleted, lines_of)
+
 
-    return F.when(F.size(deleted) > 0, _let(lines_of(text), rest)).otherwise(text)
+def _cut_out(docs: DataFrame, marks: DataFrame, cut: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    marks = marks.select(F.col("doc_id").alias("__line_id"), F.col("deleted").alias("__line_deleted"))
+    met = docs.join(marks.hint("shuffle_hash"), F.col(id_col) == F.col("__line_id"), "left")
+    text = _without(F.col(text_col).cast("string"), F.coalesce("__line_deleted", F.array().cast("array<int>")), cut)
+    return met.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, each row with its columns and later repeated runs of lines deleted from its text.
+    """docs, each row with its columns and later repeated runs deleted from its text: runs of words first,
+    then runs of lines, which may have few words.
 
     Every row stays, also one whose text is then empty; null ids and texts stay as they are.
     """
-    marks = repeated_lines(docs, id_col, text_col, **options)
-    marks = marks.select(F.col("doc_id").alias("__line_id"), F.col("deleted").alias("__line_deleted"))
-    met = docs.join(marks.hint("shuffle_hash"), F.col(id_col) == F.col("__line_id"), "left")
-    text = without_lines(F.col(text_col).cast("string"), F.coalesce("__line_deleted", F.array().cast("array<int>")))
-    return met.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    words = {k: v for k, v in options.items() if k in ("min_chars", "salts")}
+    left = checkpointed(_cut_out(docs, repeated_words(docs, id_col, text_col, **words), words_of, id_col, text_col))
+    return _cut_out(left, repeated_lines(left, id_col, text_col, **options), lines_of, id_col, text_col)

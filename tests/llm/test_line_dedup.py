@@ -65,3 +65,22 @@ def test_lines_join_to_the_text(spark):
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
     bad = docs.select("text", d.lines_of(F.col("text")).alias("l")).where(F.array_join("l", "") != F.col("text")).count()
     assert bad == 0
+
+
+def test_passages_pasted_mid_sentence(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=5))
+    rows, pasted = [], []
+    for k in range(40):
+        n = rng.randint(51, 90)
+        passage = [word() for _ in range(n)]
+        if k % 2:  # one to three whole sentences within, else one long line
+            for at in sorted(rng.sample(range(5, n - 5), 3)):
+                passage[at] += "."
+        for doc in (k, 100 + k):
+            before, after = ([word() for _ in range(rng.randint(20, 70))] for _ in range(2))
+            rows.append((doc, " ".join([*before, *passage, *after]) + "."))
+            pasted.append((doc, before, after))
+    out = {r.doc_id: r.text for r in d.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc, before, after in pasted:
+        assert out[doc] == (dict(rows)[doc] if doc < 100 else " ".join([*before, *after]) + ".")
