@@ -147,8 +147,8 @@ def repeated_lines(
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, salts: int = 32) -> DataFrame:
     """doc_id, n_words and deleted, the positions of the words that a later repeated run covers.
 
-    Every run of 50 words and ``min_chars`` characters that an earlier place holds too is found, wherever it is cut;
-    a shorter one may be. Otherwise like repeated_lines.
+    Every run of 50 words has a fingerprint, wherever it is cut; a shorter one may have. A fingerprint is matched with
+    its first place only, so a run whose first places are all in unrelated texts is missed. Otherwise like repeated_lines.
     """
     return _repeated(docs, word_units(), id_col, text_col, min_chars, salts).withColumnRenamed("n_units", "n_words")
 
