@@ -54,13 +54,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; what each returns is written in the cluster's shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", "/tmp/corpusloom-checkpoints")
-    at = f"{folder}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to documents; what each returns is written in the cluster's shared folder and read again.
+
+    What one stage has written goes once the next one has written its own; the last of these feeds the result and stays.
+    """
+    at = f"{quality_rules.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{at}/{k}")
             docs = spark.read.parquet(f"{at}/{k}")
+            if k:
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{k - 1}")
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs

@@ -2,16 +2,19 @@
 
 Each rule votes +1 (good), -1 (bad) or 0 (abstains). Expectation-maximisation over the counts of the
 vote patterns estimates how far each rule is to be trusted, and the posterior probability of being good
-replaces all-must-pass filtering. There are at most 3^rules patterns whatever the number of documents, so
-the table that EM iterates over has a fixed bound, and each round brings one row of sums to the driver.
+replaces all-must-pass filtering: a document that one unreliable rule is against may stay, and one that no rule
+speaks for may go. There are at most PATTERNS patterns whatever the number of documents; their counts, two
+numbers each, come to the driver once, and EM runs over them there.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = " \t\n\u000b\f\r"
@@ -69,6 +72,7 @@ def features(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
         lambda w: F.struct(
             F.size(w).alias("n_words"),
             F.size(F.array_distinct(w)).alias("n_distinct"),
+            F.length(F.array_join(w, "")).alias("word_chars"),
             _let(_windows(w), _repeats).alias("n_repeat_words"),
         ),
     )
@@ -77,7 +81,7 @@ def features(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     length = lambda strip: F.length(text) - F.length(F.regexp_replace(text, strip, ""))
     made = {
         "n_words": F.col(w)["n_words"],
-        "word_chars": F.length(F.regexp_replace(text, WORD_BREAK, "")),
+        "word_chars": F.col(w)["word_chars"],
         "n_symbols": length("[#*$%&|<>]+"),
         "n_dup_lines": _let(lines, _dup_lines),
         "n_repeat_words": F.col(w)["n_repeat_words"],
@@ -99,7 +103,8 @@ def base_failed(prefix: str = "") -> Column:
 def votes(prefix: str = "") -> list[Column]:
     """The labelling functions: +1 good, -1 bad, 0 abstains. Each abstains on what it cannot tell.
 
-    Several rules look at each kind of damage from different sides, since agreement is all EM can learn from.
+    Several rules look at each kind of damage from different sides, since agreement is all EM can learn from. The
+    last two are suspicions that many a sound document raises; EM finds how little they weigh.
     """
     c = lambda k: F.col(prefix + k).cast("double")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -117,9 +122,26 @@ def votes(prefix: str = "") -> list[Column]:
         vote(share(c("n_repeat_words"), n) > 0.35),
         vote((n >= 30) & (n <= 500) & (share(c("n_distinct"), n) < 0.2)),
         vote(share(c("n_digits"), chars) > 0.25),
+        vote(share(c("n_symbols"), n) > 0.5, c("n_symbols") == 0),
+        vote(c("n_dup_lines") > 0),
+        vote(n > 1000),
     ]
 
 
+#: The most patterns there can be: seven rules never vote +1, the other six vote three ways.
+PATTERNS = 2**7 * 3**6
+
+
+def pattern_of(votes: list[Column]) -> Column:
+    """The votes as one number: the digit to the base 3 at place k is one more than rule k's vote."""
+    return reduce(lambda total, v: total * 3 + v + 1, reversed(votes), F.lit(0).cast("long"))
+
+
+def votes_of(pattern: Column, n_rules: int) -> list[Column]:
+    """The votes that pattern_of has packed."""
+    return [F.pmod(F.floor(pattern / 3**k), F.lit(3)) - 1 for k in range(n_rules)]
+
+
 @dataclass(frozen=True)
 class VoteModel:
     """Prior log-odds of good, and each rule's log-likelihood ratio for the votes -1, 0 and +1."""
@@ -144,45 +166,47 @@ def _model(p_good: float, rates: list[dict[str, tuple[float, ...]]]) -> VoteMode
     return VoteModel(math.log(p_good / (1 - p_good)), ratios)
 
 
-def fit(voted: DataFrame, vote_cols: list[str], rounds: int = 25, prior_good: float = 0.8, strength: float = 20.0) -> VoteModel:
+def expectation_maximisation(votes: np.ndarray, counts: np.ndarray, rounds: int = 25, prior_good: float = 0.8, strength: float = 20.0) -> VoteModel:
     """Estimates how often each rule votes which way on good and on bad documents; no labels are used.
 
+    ``votes`` has a row for each pattern and a column for each rule, ``counts`` how many documents have it.
     ``strength`` pseudo-counts of START keep the estimates sound on a small table and settle which of the
-    two classes is the good one. A table without rows gives START itself.
+    two classes is the good one. Without any document the result is START itself.
     """
-    patterns = voted.groupBy(*vote_cols).agg(F.count(F.lit(1)).cast("double").alias("n_docs"))
-    patterns = patterns.coalesce(1).cache()  # 3^rules rows at most
-    p, rates = prior_good, [START] * len(vote_cols)
-    try:
-        for _ in range(rounds):
-            q = _model(p, rates).probability([F.col(v) for v in vote_cols])
-            n = F.col("n_docs")
-            sums = [F.sum("n_docs").alias("n"), F.sum(n * q).alias("good")]
-            for v in vote_cols:
-                for vote in (-1, 0, 1):
-                    for name, weight in (("good", q), ("bad", 1 - q)):
-                        sums.append(F.sum(F.when(F.col(v) == vote, n * weight).otherwise(0.0)).alias(f"{v} {vote} {name}"))
-            row = patterns.agg(*sums).first()
-            if not row["n"]:
-                break
-
-            def rate(v: str, name: str, row=row) -> tuple[float, ...]:
-                counts = [row[f"{v} {vote} {name}"] + strength * s for vote, s in zip((-1, 0, 1), START[name], strict=True)]
-                return tuple(max(x / sum(counts), 1e-4) for x in counts)
-
-            new_p = min(max((row["good"] + strength * prior_good) / (row["n"] + strength), 0.02), 0.98)
-            new = [{name: rate(v, name) for name in START} for v in vote_cols]
-            moved = max(abs(x - y) for u, v in zip(new, rates, strict=True) for k in START for x, y in zip(u[k], v[k], strict=True))
-            p, rates = new_p, new
-            if moved < 1e-4:
-                break
-    finally:
-        patterns.unpersist()
-    return _model(p, rates)
+    n_rules, total = votes.shape[1], counts.sum()
+    p, rates = prior_good, [START] * n_rules
+    for _ in range(rounds if total else 0):
+        model = _model(p, rates)
+        log_odds = np.full(len(counts), model.prior)
+        for k, ratio in enumerate(model.ratios):
+            log_odds += np.array(ratio)[votes[:, k] + 1]
+        q = 1 / (1 + np.exp(-log_odds))
+        weights = {"good": counts * q, "bad": counts * (1 - q)}
+
+        def rate(k: int, name: str, weights=weights) -> tuple[float, ...]:
+            found = np.bincount(votes[:, k] + 1, weights[name], minlength=3) + strength * np.array(START[name])
+            return tuple(np.maximum(found / found.sum(), 1e-4).tolist())
+
+        new = [{name: rate(k, name) for name in START} for k in range(n_rules)]
+        moved = max(abs(x - y) for u, v in zip(new, rates, strict=True) for k in START for x, y in zip(u[k], v[k], strict=True))
+        p = min(max((weights["good"].sum() + strength * prior_good) / (total + strength), 0.02), 0.98)
+        rates = new
+        if moved < 1e-4:
+            break
+    return _model(float(p), rates)
+
+
+def fit(patterns: DataFrame, n_rules: int, **options) -> VoteModel:
+    """The model for a column ``pattern`` (null: not counted); one row per pattern, PATTERNS at most, comes to the driver."""
+    found = patterns.where("pattern IS NOT NULL").groupBy("pattern").agg(F.count(F.lit(1)).alias("n_docs")).toPandas()
+    codes, counts = found["pattern"].to_numpy(np.int64), found["n_docs"].to_numpy(float)
+    order = np.argsort(codes)
+    votes = codes[order, None] // 3 ** np.arange(n_rules) % 3 - 1
+    return expectation_maximisation(votes, counts[order], **options)
 
 
 def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """doc_id, the features, base_failed, p_good and kept for each row of docs.
+    """doc_id, the features, base_failed, p_good and kept for each row of docs, and ``against``, how many rules vote bad.
 
     Texts are read once: the features, a few numbers a row, are checkpointed before EM reads them again.
     Null or empty text has no words and so fails; an empty table gives an empty result; repeated rows are
@@ -190,31 +214,39 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kept = checkpointed(features(narrow).drop("text"))
-    named = [f"v{k}" for k in range(len(votes()))]
-    voted = kept.select("*", *[v.alias(k) for k, v in zip(named, votes(), strict=True)])
-    model = fit(voted, named)
-    scored = voted.select("doc_id", *FEATURES, base_failed().alias("base_failed"), model.probability([F.col(k) for k in named]).alias("p_good"))
+    voted = kept.select("*", pattern_of(votes()).alias("pattern"))
+    n_rules = len(votes())
+    each = votes_of(F.col("pattern"), n_rules)
+    good = fit(voted, n_rules).probability(each)
+    against = reduce(lambda a, b: a + b, [F.when(v == -1, 1).otherwise(0) for v in each])
+    scored = voted.select("doc_id", *FEATURES, base_failed().alias("base_failed"), good.alias("p_good"), against.cast("int").alias("against"))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns.
+    """The rows of docs that the rules keep, with their columns. Edge cases are as for quality_scores.
 
-    The rules are recomputed beside each row once the model is known: a second pass over the texts costs
-    less than sending them through an exchange to meet their verdicts.
+    The features are worked out once. A checkpoint holds each row with its vote pattern, without its text if the
+    fixed base fails it; the verdict follows from the pattern once the model is known.
     """
-    p = "__quality_"
-    named = [f"{p}v{k}" for k in range(len(votes()))]
-    voted = features(docs, text_col, p)
-    voted = voted.select("*", *[v.alias(k) for k, v in zip(named, votes(p), strict=True)])
-    model = fit(voted, named)
-    good = model.probability([F.col(k) for k in named]) >= threshold
-    return voted.where(~base_failed(p) & good).select(*docs.columns)
+    p, n_rules = "__quality_", len(votes())
+    failed, pattern = F.col(f"{p}failed"), F.col(f"{p}pattern")
+    marked = features(docs, text_col, p).withColumns({f"{p}failed": base_failed(p), f"{p}pattern": pattern_of(votes(p))})
+    columns = [F.when(~failed, F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    marked = checkpointed(marked.select(*columns, failed, pattern))
+    model = fit(marked.select(pattern.alias("pattern")), n_rules)
+    return marked.where(~failed & (model.probability(votes_of(pattern, n_rules)) >= threshold)).select(*docs.columns)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a part of the warehouse."""
+    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return set_by_cluster or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/corpusloom-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

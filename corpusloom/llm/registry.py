@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.quality_scores(table(spark, sf_dir, "documents"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return scored.select("doc_id", *base, "base_failed", "kept", "p_good")
+    return scored.select("doc_id", *base, "base_failed", "kept", "p_good", "against")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

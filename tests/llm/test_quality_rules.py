@@ -2,6 +2,8 @@ import collections
 import random
 import re
 
+import numpy as np
+
 from corpusloom.llm import quality_rules as q
 
 
@@ -66,3 +68,36 @@ def test_edges(spark):
     assert q.quality_scores(empty).count() == 0 and q.filter_quality(empty).count() == 0
     alone = spark.createDataFrame([(1, " ".join(CLEAN.format(i) for i in "abcdefg")), (1, None), (None, "x")], "doc_id long, text string")
     assert q.quality_scores(alone).count() == 3
+
+
+def test_posterior_differs_from_all_must_pass_in_both_directions():
+    rng = np.random.default_rng(5)
+    good = rng.random(4000) < 0.8
+    draw = lambda p_good, p_bad: np.where(good, rng.choice([-1, 0, 1], 4000, p=p_good), rng.choice([-1, 0, 1], 4000, p=p_bad))
+    noisy = [draw((0.4, 0.6, 0.0), (0.4, 0.6, 0.0))]
+    sound = [draw((0.01, 0.04, 0.95), (0.3, 0.65, 0.05)) for _ in range(5)]
+    votes = np.stack([*noisy, *sound], axis=1)
+    model = q.expectation_maximisation(votes, np.ones(len(votes)))
+
+    def kept(pattern):
+        return model.prior + sum(r[v + 1] for r, v in zip(model.ratios, pattern, strict=True)) >= 0
+
+    assert kept((-1, 1, 1, 1, 1, 1))  # one unreliable rule is against it
+    assert not kept((0, 0, 0, 0, 0, 0))  # no rule is against it, but those that speak for sound texts are silent
+    right = sum(kept(v) == g for v, g in zip(votes.tolist(), good.tolist(), strict=True))
+    passing = sum(bool((v >= 0).all()) == g for v, g in zip(votes, good.tolist(), strict=True))
+    assert right > 3950 and right > passing + 500
+
+
+def test_query_keeps_documents_that_a_rule_is_against(spark):
+    from corpusloom.llm.registry import op1_quality_rules
+
+    rows = op1_quality_rules(spark, "/root/testdata/sf0.01").select("kept", "against", "base_failed").collect()
+    assert any(r.kept and r.against for r in rows) and not any(r.kept and r.base_failed for r in rows)
+
+
+def test_patterns_pack_and_unpack(spark):
+    votes = [(-1, 0, 1), (1, 1, 1), (0, -1, -1)]
+    df = spark.createDataFrame(votes, "a int, b int, c int").withColumn("p", q.pattern_of([q.F.col(k) for k in "abc"]))
+    got = df.select(*[v.cast("int").alias(k) for k, v in zip("abc", q.votes_of(q.F.col("p"), 3), strict=True)]).collect()
+    assert [tuple(r) for r in got] == votes
