@@ -1,235 +1,255 @@
-"""Deduplication of repeated runs of words and lines by winnowing (DataFrame functions only).
-
-Words come first: fingerprints of 8 words, thinned so that every shared run of 50 words keeps one, wherever it
-was cut. What is left goes the same way by lines, for runs of lines that have fewer words.
-
-A text is cut into lines, and long lines again after each sentence, so that a passage is found wherever it
-was pasted. Every pair of neighbouring lines is hashed, and of each ``window`` neighbouring hashes the
-smallest is a fingerprint: any run of ``window`` + 1 lines that two places share has a fingerprint in common.
-The places of a fingerprint are joined to its first one (smallest doc_id, then position), and each match is
-extended line by line both ways. Runs that reach ``min_chars`` characters are deleted, but for their first place.
-
-An exchange carries hashes and places, never texts, except for the last one, in which each text meets
-the positions to delete. Hot fingerprints are spread over salts, and the first place of each is found by
-aggregation, so no task gathers all places of a fingerprint and no pairs of places are made.
+"""Deduplication of repeated runs of lines by winnowing (DataFrame functions only).
+
+A text is cut into lines, lines after each sentence, and sentences before each word that begins with a certain
+letter; what is still long is cut before more words. So a passage is cut alike wherever it was pasted. Every three
+neighbouring units are hashed together, and of each ``window`` neighbouring hashes the smallest is a fingerprint:
+any run of ``window`` + 2 units that two places share has a fingerprint in common. The places of a fingerprint are
+joined to its first one (smallest doc_id, then position), and each match is extended unit by unit both ways, then
+word by word into the units at both ends. Runs that reach ``min_chars`` characters are deleted, but for their first
+place.
+
+A place is a document's id with a hash of its text, so that documents with one id and different texts are kept
+apart. An exchange carries hashes and places, never texts, except for the last one, in which each text meets the
+runs to delete. The first place of each fingerprint is found by aggregation, so no task gathers all places of a hot
+one and no pairs of places are made; the joins that follow are inner joins between exchanges, which Spark splits
+where a key is hot.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.quality_rules import SEPARATORS, WORD_BREAK, _let, checkpointed
+from corpusloom.llm.quality_rules import SEPARATORS, _let, checkpointed
 
-LINE_BREAK = r"(?<=\n)|(?<=[.!?] )"
 BREAKS = ("\n", ". ", "! ", "? ")
+LONG = 72  # characters; units that are longer are cut before words that begin with one letter, and where they are still longer with others, and then at each blank
+FINER = ((" a",), (" e", " d", " s", " p", " m", " i", " o"), (" ",))
 MARK = "\u0001"
-PLACE_BITS = 25  # positions within a text; lines beyond 2^25 of one text still match, but are not fingerprints of their own
+BLANK = "\u0020"
+SHINGLE = 2
+EDGE = 8  # units at each end of a run that are compared word by word: where a unit ends can depend on what precedes a passage
+LENGTH = 4095
+UNIT_BREAK = r"(?<=\n)|(?<=[.!?] )|(?<= )"
+PLACE_BITS = 31  # an array has no more places
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text, each with what separates it from the next, so that joining them gives the text.
+def _marked(text: Column, breaks: tuple[str, ...]) -> Column:
+    """The text with a mark wherever it is cut: behind a break, or within one that is a blank and a letter."""
+    for b in breaks:
+        text = F.replace(text, F.lit(b), F.lit(b + MARK if b[0] != BLANK else BLANK + MARK + b[1:]))
+    return text
 
-    A mark is put after each break and the text is split there, which is much faster than looking back from
-    every character; the rare text that holds the mark itself is split by looking back.
+
+def units_of(text: Column) -> Column:
+    """The units of a text, each with what separates it from the next, so that joining them gives the text.
+
+    Marks are put where the text is cut and it is split there, which is much faster than looking around at
+    every character; the rare text that holds the mark itself is split by looking around.
     """
-    marked = text
-    for b in BREAKS:
-        marked = F.replace(marked, F.lit(b), F.lit(b + MARK))
-    return F.when(text.contains(MARK), F.split(text, LINE_BREAK, -1)).otherwise(F.split(marked, MARK, -1))
+    coarse = F.split(_marked(text, BREAKS), MARK, -1)
 
+    def cut(breaks: tuple[str, ...], deeper) -> Callable[[Column], Column]:
+        return lambda u: F.when(F.length(u) > LONG, deeper(F.split(_marked(u, breaks), MARK, -1))).otherwise(F.array(u))
 
-LENGTH = 4095
+    each = cut(FINER[-1], lambda parts: parts)
+    for breaks in FINER[-2::-1]:
+        each = cut(breaks, lambda parts, each=each: F.flatten(F.transform(parts, each)))
+    return F.when(text.contains(MARK), F.split(text, UNIT_BREAK, -1)).otherwise(F.flatten(F.transform(coarse, each)))
 
 
-def line_hashes(lines: Column) -> Column:
-    """For each line the hash of its text, with its length (4095 at most) in the low 12 bits."""
-    hashed = lambda x: F.xxhash64(F.btrim(x, F.lit(SEPARATORS))).bitwiseAND(F.lit(~LENGTH))
-    return F.transform(lines, lambda x: hashed(x).bitwiseOR(F.least(F.length(x), F.lit(LENGTH)).cast("long")))
+def unit_hashes(text: Column) -> Column:
+    """For each unit the hash of what it holds between white space, with its length (4095 at most) in the low 12 bits."""
+    bare = lambda u: F.btrim(u, F.lit(SEPARATORS))
+    packed = lambda x: F.xxhash64(x).bitwiseAND(F.lit(~LENGTH)).bitwiseOR(F.least(F.length(x), F.lit(LENGTH)).cast("long"))
+    return F.transform(F.transform(units_of(text), bare), packed)
 
 
-WORD = r"[^ \t-\r]+[ \t-\r]*"
-WORD_LENGTH = 63
-WORD_REACH = 56
+def _rows(made: Column) -> Column:
+    """A row for each element. Plain explode() would also filter by the array's size, and so make the array once more."""
+    return F.explode_outer(made)
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, each with the white space behind it, and the first also with what is before it."""
-    return F.regexp_extract_all(text, F.lit(r"^[ \t-\r]*" + WORD + "|" + WORD), F.lit(0))
+def _print(h: Column, i: Column) -> Column:
+    """The fingerprint of neighbouring units."""
+    return F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)])
 
 
-def word_hashes(text: Column) -> Column:
-    """For each word 26 bits of its hash, with its length and one (63 at most) in the low 6 bits."""
-    words = F.split(F.btrim(text, F.lit(SEPARATORS)), WORD_BREAK, -1)
-    packed = lambda x: F.hash(x).bitwiseAND(F.lit(~WORD_LENGTH)).bitwiseOR(F.least(F.length(x) + 1, F.lit(WORD_LENGTH)))
-    return F.when(F.btrim(text, F.lit(SEPARATORS)) != "", F.transform(words, packed)).otherwise(F.array().cast("array<int>"))
+def fingerprints(hashes: Column, window: int) -> Column:
+    """Positions of the window minima over the hashes of neighbouring units.
 
+    Hash and position share one number while minima are sought: the position fills the low bits, and of
+    equal hashes the rightmost is taken.
+    """
+    low = (1 << PLACE_BITS) - 1
+
+    def packed(h: Column) -> Column:
+        at = F.when(F.size(h) >= SHINGLE, F.sequence(F.lit(0), F.size(h) - SHINGLE)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: _print(h, i).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
 
-class Units(NamedTuple):
-    """What a text is cut into: hashes with lengths under a mask, units of one fingerprint, windows of minima."""
+    def least(step: int) -> Callable[[Column], Column]:
+        """The smaller of each number and the one ``step`` on; those without such a one fall away, unless all do."""
 
-    hashes: Callable[[Column], Column]
-    mask: int
-    shingle: int
-    windows: tuple[int, ...]
-    reach: int
+        def smaller(p: Column) -> Column:
+            rest = F.slice(p, 1, F.size(p) - step)
+            return F.when(F.size(p) <= step, F.slice(F.sort_array(p), 1, 1)).otherwise(F.transform(rest, lambda x, i: F.least(x, F.get(p, i + step))))
 
+        return smaller
 
-def line_units(window: int = 3, reach: int = 8) -> Units:
-    return Units(lambda text: line_hashes(lines_of(text)), LENGTH, 2, (window,), reach)
+    found, wide = _let(hashes, packed), 1
+    while wide < window:
+        step = min(wide, window - wide)
+        found = _let(found, least(step))
+        wide += step
+    return F.transform(F.array_distinct(found), lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
 
 
-def word_units() -> Units:
-    """Fingerprints of 8 words: minima of 3, and of 13 neighbouring ones of these.
+def _matching(a: Column, b: Column) -> Column:
+    """How many units at the start of both arrays are equal."""
 
-    In a shared run of 43 fingerprints' places, so of 50 words, the minima of 3 within places 2 to 40 are the
-    same in both texts, and are 13 at least, so that one of them is the least of a window in both.
-    """
-    return Units(word_hashes, WORD_LENGTH, 8, (3, 13), WORD_REACH)
+    def first_miss(same: Column) -> Column:
+        return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
 
+    return _let(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), first_miss)
 
-def _print(h: Column, i: Column, units: Units) -> Column:
-    """The fingerprint of neighbouring units; lengths, which hold what separates lines, stay out."""
-    return F.xxhash64(*[F.get(h, i + k).bitwiseAND(F.lit(~units.mask)) for k in range(units.shingle)])
 
+def _tag(text: Column) -> Column:
+    return F.hash(text)
 
-def fingerprints(hashes: Column, units: Units) -> Column:
-    """Positions of the window minima over the hashes of neighbouring units; of equal ones the rightmost.
 
-    Hash and position share one number while minima are sought: the position fills the low bits.
-    """
-    low = (1 << PLACE_BITS) - 1
+def _around(u: Column, k: Column) -> Column:
+    """The text of the EDGE units up to the k-th, and of those from the k-th on."""
+    before = F.slice(u, F.greatest(k + 2 - EDGE, F.lit(1)), F.least(k + 1, F.lit(EDGE)))
+    return F.struct(F.when(k >= 0, F.array_join(before, "")).alias("before_here"), F.array_join(F.slice(u, F.greatest(k, F.lit(0)) + 1, EDGE), "").alias("after_here"))
 
-    def packed(h: Column) -> Column:
-        last = F.size(h) - units.shingle
-        at = F.when(last >= 0, F.sequence(F.lit(0), F.least(last, F.lit(low)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: _print(h, i, units).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
 
-    def select(window: int) -> Callable[[Column], Column]:
-        def minima(p: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.greatest(F.size(p) - window, F.lit(0)))
-            least = F.transform(starts, lambda i: F.least(*[F.get(p, i + k) for k in range(window)]))
-            return F.when(F.size(p) > 0, F.array_distinct(least))
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, window: int = 3, reach: int = 8) -> DataFrame:
+    """doc_id, tag (a hash of the text) and runs: the units from a to before b that repeat an earlier place.
 
-        return minima
+    Each run also has ``before`` and ``after``, the texts of some units around the earlier place, to extend it by words.
+    Only documents with runs of half of ``min_chars`` have a row. ``reach`` is how far one match is extended each
+    way; within a shared run the next fingerprint is at most ``window`` units on, so matches overlap and cover
+    runs of any length. Null ids and texts have no units. Rows with equal id and text are one place.
+    """
+    text = F.col(text_col).cast("string")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).dropna().select("doc_id", _tag(F.col("text")).alias("tag"), "text")
+    both = _let(unit_hashes(F.col("text")), lambda h: F.struct(h.alias("h"), fingerprints(h, window).alias("f")))
+    lines = checkpointed(narrow.select("doc_id", "tag", both.alias("l")).select("doc_id", "tag", "l.h", "l.f"))
+    prints = lines.select("doc_id", "tag", _rows(F.transform("f", lambda i: F.struct(_print(F.col("h"), i).alias("print"), i.alias("pos")))).alias("f"))
+    prints = prints.select("f.print", "doc_id", "tag", "f.pos").where("pos IS NOT NULL")
+    place = F.struct("doc_id", "tag", "pos")
+    firsts = prints.groupBy("print").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places"))
+    firsts = checkpointed(firsts.where("places > 1").select("print", "first"))
+    found = prints.join(firsts.hint("shuffle_hash"), "print").where(place != F.col("first"))
+    found = found.select("doc_id", "tag", "pos", F.col("first.doc_id").alias("src"), F.col("first.tag").alias("src_tag"), F.col("first.pos").alias("src_pos"))
+    # matches overlap: of those with one offset, and of those with one source, the first and last of each ``reach`` positions cover the rest
+    part, ends = (F.col("pos") / reach).cast("int"), ["doc_id", "tag", "src", "src_tag"]
+    found = found.groupBy(*ends, (F.col("src_pos") - F.col("pos")).alias("shift"), part.alias("part")).agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
+    found = found.select(*ends, "shift", "part", _rows(F.array_distinct(F.array("pos", "last"))).alias("pos"))
+    found = found.groupBy(*ends, (F.col("shift") + F.col("pos")).alias("src_pos"), "part").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
+    found = found.select(*ends, "src_pos", _rows(F.array_distinct(F.array("pos", "last"))).alias("pos"))
+    found = checkpointed(found.select("doc_id", "tag", "pos", F.struct(F.col("src").alias("doc_id"), F.col("src_tag").alias("tag"), F.col("src_pos").alias("pos")).alias("first")))
+    lines = lines.select("doc_id", "tag", "h")
 
-    found = _let(hashes, packed)
-    for window in units.windows:
-        found = _let(found, select(window))
-    return F.transform(found, lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
+    # what stands around each first place, once per place
+    origins = found.select("first").distinct().select("first.*").groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at"))
 
+    def around(p: Column) -> Column:
+        near = F.slice("h", F.greatest(p + 1 - reach, F.lit(1)), F.least(p + 1, F.lit(reach + 1)) + reach)
+        return F.struct(p.alias("pos"), near.alias("near"))
 
-def _matching(a: Column, b: Column, mask: int) -> Column:
-    """How many units at the start of both arrays are equal."""
+    near = lines.join(origins, ["doc_id", "tag"]).select("doc_id", "tag", _rows(F.transform("at", around)).alias("n"))
+    near = near.select(F.struct("doc_id", "tag", "n.pos").alias("first"), "n.near").dropDuplicates(["first"])
+    known = found.join(near, "first").select("doc_id", "tag", F.struct("pos", "first", "near").alias("m"))
+    known = known.groupBy("doc_id", "tag").agg(F.collect_list("m").alias("matches"))  # of one document
 
-    def first_miss(same: Column) -> Column:
-        return F.coalesce(F.array_position(same, False) - 1, F.lit(0)) + F.when(F.array_contains(same, False), 0).otherwise(F.size(same) + 1)
+    def extend(m: Column) -> Column:
+        here, back = m["pos"] + 1, F.least(m["first"]["pos"], F.lit(reach))
+        ahead = _matching(F.slice("h", here, reach + 1), F.slice(m["near"], back + 1, reach + 1))
+        own = F.least(m["pos"], back)
+        behind = _matching(F.reverse(F.slice("h", here - own, own)), F.reverse(F.slice(m["near"], back + 1 - own, own)))
+        return F.struct((m["pos"] - behind).alias("a"), (m["pos"] + ahead).alias("b"), m["first"].alias("first"), m["pos"].alias("pos"))
 
-    unit = lambda x: x.bitwiseAND(F.lit(~mask))
-    return _let(F.zip_with(a, b, lambda x, y: F.coalesce(unit(x) == unit(y), F.lit(False))), first_miss).cast("int")
+    def runs(spans: Column) -> Column:
+        """The runs that the spans cover together, with the places of the units around the earlier one."""
+        covered = F.sort_array(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"] - 1)))))
 
+        def between(d: Column) -> Column:
+            starts = F.filter(d, lambda x, i: (i == 0) | (F.get(d, i - 1) != x - 1))
+            ends = F.filter(d, lambda x, i: (i == F.size(d) - 1) | (F.get(d, i + 1) != x + 1))
+            return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
 
-def repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, min_chars: int = 150, reach: int = 8, salts: int = 32
-) -> DataFrame:
-    """doc_id, n_lines and deleted, the positions of the lines that a later repeated run covers.
+        chars = lambda r: F.aggregate(F.slice("h", r["a"] + 1, r["b"] - r["a"]), F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit(LENGTH)) + 1)
+        long = F.filter(_let(covered, between), lambda r: chars(r) * 2 >= min_chars)
 
-    Only documents with such lines have a row. ``reach`` is how far one match is extended each way; within a
-    shared run the next fingerprint is at most ``window`` lines on, so matches overlap and cover runs of any
-    length. Null ids and texts have no lines; documents with one id count as one place, the first by hash.
-    """
-    return _repeated(docs, line_units(window, reach), id_col, text_col, min_chars, salts).withColumnRenamed("n_units", "n_lines")
+        def beside(r: Column) -> Column:
+            left, right = F.get(F.filter(spans, lambda s: s["a"] == r["a"]), F.lit(0)), F.get(F.filter(spans, lambda s: s["b"] == r["b"]), F.lit(0))
+            at = lambda s, k, name: F.struct(s["first"]["doc_id"].alias("doc_id"), s["first"]["tag"].alias("tag"), (s["first"]["pos"] - s["pos"] + k).alias("unit")).alias(name)
+            return F.struct(r["a"].alias("a"), r["b"].alias("b"), at(left, r["a"] - 1, "before"), at(right, r["b"], "after"))
 
+        return F.transform(long, beside)
 
-def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, salts: int = 32) -> DataFrame:
-    """doc_id, n_words and deleted, the positions of the words that a later repeated run covers.
+    met = lines.join(known, ["doc_id", "tag"])
+    spans = F.filter(F.transform("matches", extend), lambda s: s["b"] > s["a"])
+    made = checkpointed(met.select("doc_id", "tag", _rows(_let(spans, runs)).alias("r")).select("doc_id", "tag", "r.*").where("a IS NOT NULL").dropDuplicates(["doc_id", "tag", "a"]))
+    asked = made.select(_rows(F.array("before", "after")).alias("u")).distinct().select("u.*").groupBy("doc_id", "tag").agg(F.collect_list("unit").alias("at"))
+    told = narrow.join(asked.hint("shuffle_hash"), ["doc_id", "tag"])
+    told = told.select("doc_id", "tag", _rows(_let(units_of(F.col("text")), lambda u: F.transform("at", lambda k: F.struct(k.alias("unit"), _around(u, k).alias("told"))))).alias("u"))
+    told = told.select(F.struct("doc_id", "tag", "u.unit").alias("place"), "u.told.*").dropDuplicates(["place"])
+    for side in ("before", "after"):
+        made = made.join(told.select(F.col("place").alias(side), F.col(f"{side}_here").alias(f"{side}_text")), side, "left")
+    run = F.struct("a", "b", F.col("before_text").alias("before"), F.col("after_text").alias("after"))
+    return made.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(run)).alias("runs"))
 
-    Every run of 50 words has a fingerprint, wherever it is cut; a shorter one may have. A fingerprint is matched with
-    its first place only, so a run whose first places are all in unrelated texts is missed. Otherwise like repeated_lines.
-    """
-    return _repeated(docs, word_units(), id_col, text_col, min_chars, salts).withColumnRenamed("n_units", "n_words")
-
-
-def _repeated(docs: DataFrame, units: Units, id_col: str, text_col: str, min_chars: int, salts: int) -> DataFrame:
-    reach = units.reach
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
-    cut = narrow.select("doc_id", units.hashes(F.col("text")).alias("h"))
-    lines = checkpointed(cut.select("doc_id", _let(F.col("h"), lambda h: F.struct(h.alias("h"), fingerprints(h, units).alias("f"))).alias("l")).select("doc_id", "l.h", "l.f"))
-    prints = lines.select("doc_id", F.explode(F.transform("f", lambda i: F.struct(_print(F.col("h"), i, units).alias("print"), i.alias("pos")))).alias("f"))
-    prints = prints.select("f.print", "doc_id", "f.pos", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"))
-    lines = lines.select("doc_id", "h")
-    place = F.struct("doc_id", "pos")
-    part = prints.groupBy("print", "salt").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places"))
-    firsts = part.groupBy("print").agg(F.min("first").alias("first"), F.sum("places").alias("places"), F.collect_set("salt").alias("salts"))
-    firsts = firsts.where("places > 1").select("print", "first", F.explode("salts").alias("salt"))
-    found = prints.join(firsts, ["print", "salt"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-    found = checkpointed(found.select("doc_id", "pos", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos")))
-    # what stands around each first place, once per place
-    around = lambda p: F.slice("h", F.greatest(p + 1 - reach, F.lit(1)), F.least(p + 1, F.lit(reach)) + reach + 1)
-    origins = found.select("src", "src_pos").distinct()
-    near = lines.join(origins.withColumnRenamed("src", "doc_id"), "doc_id")
-    near = near.select(F.col("doc_id").alias("src"), "src_pos", around(F.col("src_pos")).alias("near")).dropDuplicates(["src", "src_pos"])
-    spread = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    wanted = spread.select("src", "src_pos", "salt").distinct().join(near, ["src", "src_pos"])
-    known = spread.join(wanted, ["src", "src_pos", "salt"]).select("doc_id", F.struct("pos", "src_pos", "near").alias("m"))
-    known = known.groupBy("doc_id").agg(F.collect_list("m").alias("matches"))  # of one document
-    met = lines.join(known, "doc_id")
 
-    def extend(m: Column) -> Column:
-        here, back = m["pos"] + 1, F.least(m["src_pos"], F.lit(reach))
-        ahead = _matching(F.slice("h", here, reach), F.slice(m["near"], back + 1, reach), units.mask)
-        own = F.least(here - 1, back)
-        behind = _matching(F.reverse(F.slice("h", here - own, own)), F.reverse(F.slice(m["near"], back + 1 - own, own)), units.mask)
-        return F.struct((m["pos"] - behind).alias("a"), (m["pos"] + ahead).alias("b"))
+RUNS = "array<struct<a:int,b:int,before:string,after:string>>"
 
-    def merged(spans: Column) -> Column:
-        """Overlapping and touching spans as one."""
-        empty = F.array().cast("array<struct<a:int,b:int>>")
 
-        def add(done: Column, s: Column) -> Column:
-            last = F.element_at(done, -1)
-            longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))
-            joined = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))
-            return F.when((F.size(done) > 0) & (s["a"] <= F.coalesce(F.try_element_at(done, F.lit(-1))["b"], F.lit(-1))), joined).otherwise(F.concat(done, F.array(s)))
+def _edge(own: Column, other: Column, last: bool) -> Column:
+    """Characters of ``own`` in the words with which it and ``other`` end, or begin."""
+    words = lambda u: F.reverse(F.split(u, " ", -1)) if last else F.split(u, " ", -1)
 
-        return F.aggregate(F.array_sort(F.array_distinct(spans)), empty, add)
+    def chars(w: Column) -> Column:
+        n = _matching(w, words(other))
+        some = F.length(F.array_join(F.slice(w, 1, n), " "))
+        return F.when(n == F.size(w), F.length(own)).when(n > 0, some if last else some + 1).otherwise(0)
 
-    chars = lambda s: F.aggregate(F.slice("h", s["a"] + 1, s["b"] - s["a"]), F.lit(0).cast("long"), lambda x, y: x + y.bitwiseAND(F.lit(units.mask)))
-    runs = F.filter(merged(F.filter(F.transform("matches", extend), lambda s: s["b"] > s["a"])), lambda s: chars(s) >= min_chars)
-    positions = F.flatten(F.transform(runs, lambda s: F.sequence(s["a"], s["b"] - 1)))
-    out = met.select("doc_id", F.size("h").alias("n_units"), positions.alias("deleted"))
-    once = out.groupBy("doc_id").agg(F.max("n_units").alias("n_units"), F.min("deleted").alias("deleted"))
-    return once.where(F.size("deleted") > 0)  # not before, or the positions would be worked out twice
+    return F.coalesce(_let(words(own), chars), F.lit(0))
 
 
-def _without(text: Column, deleted: Column, cut: Callable[[Column], Column]) -> Column:
-    def rest(units: Column) -> Column:
-        kept = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), deleted)
-        return F.array_join(F.transform(kept, lambda i: F.get(units, i)), "")
+def without_runs(text: Column, runs: Column, min_chars: int) -> Column:
+    """The text without those runs that have ``min_chars`` characters once they are extended by words; the rest stays."""
 
-    return F.when(F.size(deleted) > 0, _let(cut(text), rest)).otherwise(text)
+    def rest(u: Column) -> Column:
+        size = lambda a, b: F.length(F.array_join(F.slice(u, a + 1, b - a), ""))
 
+        def cut(r: Column) -> Column:
+            start, end = size(F.lit(0), r["a"]), size(F.lit(0), r["b"])
+            left = F.when(r["a"] > 0, _edge(_around(u, r["a"] - 1)["before_here"], r["before"], True)).otherwise(0)
+            return F.struct((start - left).alias("s"), (end + _edge(_around(u, r["b"])["after_here"], r["after"], False)).alias("e"))
 
-def without_lines(text: Column, deleted: Column) -> Column:
-    return _without(text, deleted, lines_of)
+        def outside(c: Column) -> Column:
+            until = lambda i: F.coalesce(F.get(c, i - 1)["e"], F.lit(0))
+            pieces = F.transform(c, lambda x, i: F.substring(text, until(i) + 1, F.greatest(x["s"] - until(i), F.lit(0))))
+            return F.concat(F.array_join(pieces, ""), F.substring(text, until(F.size(c)) + 1, F.length(text)))
 
+        return _let(F.filter(F.transform(runs, cut), lambda c: c["e"] - c["s"] >= min_chars), outside)
 
-def _cut_out(docs: DataFrame, marks: DataFrame, cut: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
-    marks = marks.select(F.col("doc_id").alias("__line_id"), F.col("deleted").alias("__line_deleted"))
-    met = docs.join(marks.hint("shuffle_hash"), F.col(id_col) == F.col("__line_id"), "left")
-    text = _without(F.col(text_col).cast("string"), F.coalesce("__line_deleted", F.array().cast("array<int>")), cut)
-    return met.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return F.when(F.size(runs) > 0, _let(units_of(text), rest)).otherwise(text)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, each row with its columns and later repeated runs deleted from its text: runs of words first,
-    then runs of lines, which may have few words.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, window: int = 3, reach: int = 8) -> DataFrame:
+    """docs, each row with its columns and later repeated runs deleted from its text.
 
-    Every row stays, also one whose text is then empty; null ids and texts stay as they are.
+    Every row stays, also one whose text is then empty; rows with a null id or text stay as they are. Rows with
+    equal id and text get the same result each; rows with one id and different texts are judged apart. A fingerprint
+    is matched with its first place only. An empty table gives an empty result.
     """
-    words = {k: v for k, v in options.items() if k in ("min_chars", "salts")}
-    left = checkpointed(_cut_out(docs, repeated_words(docs, id_col, text_col, **words), words_of, id_col, text_col))
-    return _cut_out(left, repeated_lines(left, id_col, text_col, **options), lines_of, id_col, text_col)
+    text = F.col(text_col).cast("string")
+    marks = repeated_runs(docs, id_col, text_col, min_chars, window, reach)
+    marks = marks.select(F.col("doc_id").alias("__line_id"), F.col("tag").alias("__line_tag"), F.col("runs").alias("__line_runs"))
+    met = docs.join(marks.hint("shuffle_hash"), (F.col(id_col) == F.col("__line_id")) & (_tag(text) == F.col("__line_tag")), "left")
+    cut = without_runs(text, F.coalesce("__line_runs", F.array().cast(RUNS)), min_chars)
+    return met.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])
