@@ -30,7 +30,7 @@ FINER = ((" a",), (" e", " d", " s", " p", " m", " i", " o"), (" ",))
 MARK = "\u0001"
 BLANK = "\u0020"
 SHINGLE = 2
-EDGE = 8  # units at each end of a run that are compared word by word: where a unit ends can depend on what precedes a passage
+EDGE = 160  # characters at each end of a run that are compared word by word: where a unit ends can depend on what precedes a passage
 LENGTH = 4095
 UNIT_BREAK = r"(?<=\n)|(?<=[.!?] )|(?<= )"
 PLACE_BITS = 31  # an array has no more places
@@ -120,15 +120,16 @@ def _tag(text: Column) -> Column:
 
 
 def _around(u: Column, k: Column) -> Column:
-    """The text of the EDGE units up to the k-th, and of those from the k-th on."""
-    before = F.slice(u, F.greatest(k + 2 - EDGE, F.lit(1)), F.least(k + 1, F.lit(EDGE)))
-    return F.struct(F.when(k >= 0, F.array_join(before, "")).alias("before_here"), F.array_join(F.slice(u, F.greatest(k, F.lit(0)) + 1, EDGE), "").alias("after_here"))
+    """The text of the units up to the k-th, and of those from the k-th on, EDGE characters at most."""
+    left = F.array_join(F.slice(u, F.greatest(k + 2 - EDGE, F.lit(1)), F.least(k + 1, F.lit(EDGE))), "")
+    right = F.array_join(F.slice(u, F.greatest(k, F.lit(0)) + 1, EDGE), "")
+    return F.struct(F.when(k >= 0, F.substring(left, -EDGE, EDGE)).alias("before_here"), F.substring(right, 1, EDGE).alias("after_here"))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, window: int = 3, reach: int = 8) -> DataFrame:
     """doc_id, tag (a hash of the text) and runs: the units from a to before b that repeat an earlier place.
 
-    Each run also has ``before`` and ``after``, the texts of some units around the earlier place, to extend it by words.
+    Each run also has ``before`` and ``after``, what stands around the earlier place, to extend it by words.
     Only documents with runs of half of ``min_chars`` have a row. ``reach`` is how far one match is extended each
     way; within a shared run the next fingerprint is at most ``window`` units on, so matches overlap and cover
     runs of any length. Null ids and texts have no units. Rows with equal id and text are one place.
