@@ -3,24 +3,23 @@
 A document is the set of its distinct five-word shingles, as 64-bit hashes. Two documents link when their
 Jaccard similarity is at least 3/4, and documents get the smallest id that they reach by links.
 
-1. One pass over the texts gives each document its set size, a key of its set (equal sets are one class) and
-   a point: its shingles are hashed into 128 groups, and the counts of the groups are the coordinates. The
-   same pass counts shingles where it matters: of blocks of documents, each names those that it holds four
-   times or more; the most frequent of these, a fixed number, come last in the shingle order.
-2. Sets this similar share a shingle among their first n/4 + 1 in any common order. The rare ones come first,
-   so a passage that many documents share stays out of these prefixes. A second pass deals the prefixes into
-   cells, one per shingle. Cells of a single set are dropped, as are all but one of those with the same sets.
-3. Each cell is an R-tree over points. The sum of the smaller coordinates of two points, or of the upper
-   corners of two nodes, bounds the overlap from above, so whole branches fall away. First each document
-   keeps one partner that the bounds allow; a document without any is out. The texts of the rest are read
-   once more for their sets, and verifying these pairs ties groups of near copies together without making
-   all their pairs.
-4. The trees are then searched again for pairs between different groups, which are verified likewise. Here the
-   leaves hold points with a coordinate for every four shingles, which bound the overlap of large sets closely.
+1. One pass over the texts gives each document its set size, a key of its set (equal sets are one class, of which
+   only the document with the smallest id goes on), a few least hashes of its set, and a point: its shingles are
+   hashed into 128 groups, and the counts of the groups are the coordinates. The same pass counts shingles where it
+   matters: of blocks of documents, each names those that it holds four times or more; the most frequent of
+   these, a fixed number, come last in the shingle order.
+2. Groups of near copies are tied together first, without their pairs: documents with an equal least hash meet, and
+   each is compared with the leaders found so far, nearest point first, until one links; else it leads itself.
+3. What is left is the exact search between different groups. Sets this similar share a shingle among their first
+   n/4 + 1 in any common order. The rare ones come first, so a passage that many documents share stays out of
+   these prefixes. A second pass deals the prefixes into cells, one per shingle. Cells of a single set or a single
+   group are dropped, as are all but one of those with the same sets.
+4. Each cell is an R-tree over points. The sum of the smaller coordinates of two points, or of the upper
+   corners of two nodes, bounds the overlap from above, so whole branches fall away. Pairs that are left pass finer
+   points, with a coordinate for every four shingles, and then their sets are read and compared.
 
 Large cells are split into tiles, and every pair of tiles is a tree of its own, so no group grows with the
-data. Sets are compared by 48 bits of each hash: two of 1,000 shingles agree by chance in one with a
-probability of four in a billion.
+table. Frequent shingles are spread over salts before anything is brought together.
 """
 
 from __future__ import annotations
@@ -44,6 +43,8 @@ FULL = 255  # a coordinate this large may stand for a larger one
 SALTS = 64
 LEAF = 32
 BLOCK_CHARS = 8_000_000
+LEAST = 4
+CROWD = 512  # documents of one least hash that are compared in one go
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -110,24 +111,32 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.nd
             start = stop
 
 
+def least_hashes(hashes: np.ndarray) -> list[int]:
+    """The least member of the set under each of LEAST hash orders; similar sets share one as often as they are similar."""
+    if not len(hashes):
+        return [0] * LEAST
+    return [int((hashes * f ^ (hashes * f) >> np.uint64(31)).min().view(np.int64)) for f in FACTORS[:LEAST]]
+
+
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: doc_id, n, set_key, point; rows of kind 1: shingles (n: how often) that a block holds often."""
+    """Rows of kind 0: doc_id, n, set_key, point, least; rows of kind 1: shingles (n: how often) that a block holds often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "set_key", "point", "token"]
+        names = ["kind", "doc_id", "n", "set_key", "point", "least", "token"]
         for ids, sets in blocks(batches):
             keys = [set_key(s) for s in sets]
             kinds = [pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
             points = pa.array([point(s) for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*kinds, pa.array(keys, pa.binary()), points, pa.nulls(len(ids), pa.int64())], names=names)
+            least = pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kinds, pa.array(keys, pa.binary()), points, least, pa.nulls(len(ids), pa.int64())], names=names)
             unlike = list(dict(zip(keys, sets, strict=True)).values())
             tokens, counts = np.unique(np.concatenate([*unlike, np.empty(0, np.uint64)]), return_counts=True)
             tokens, counts = tokens[counts >= 4], counts[counts >= 4]
             no = pa.nulls(len(tokens), pa.int64())
-            kinds = [pa.array(np.ones(len(tokens), np.int32)), no, pa.array(counts.astype(np.int64)), *[pa.nulls(len(tokens), pa.binary())] * 2]
+            kinds = [pa.array(np.ones(len(tokens), np.int32)), no, pa.array(counts.astype(np.int64)), *[pa.nulls(len(tokens), pa.binary())] * 2, pa.nulls(len(tokens), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*kinds, pa.array(tokens.view(np.int64))], names=names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, set_key binary, point binary, token long")
+    return docs.mapInArrow(run, "kind int, doc_id long, n long, set_key binary, point binary, least array<long>, token long")
 
 
 def prefix_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
@@ -254,6 +263,73 @@ def closely_bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return two.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
+def led(cells: DataFrame) -> DataFrame:
+    """Links (a, b) found in rows (cell, salt, lead, doc_id, grp, n, members, fine) that are sorted by the first four.
+
+    Each document is compared with the leaders so far of its cell and salt, if they are of other groups, the one whose
+    point promises most first, until one links; without any it becomes a leader. Two groups are linked once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, points, sizes, groups, sets, ids, tied = None, [], [], [], [], [], {}
+
+        def root(g: int) -> int:
+            while g in tied:
+                g = tied[g]
+            return g
+
+        for batch in batches:
+            found = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("cell", "salt", "doc_id", "grp", "n", "members", "fine")), strict=True)
+            for cell, salt, doc, grp, n, members, fine in rows:
+                if (cell, salt) != here:
+                    here, points, sizes, groups, sets, ids, tied = (cell, salt), [], [], [], [], [], {}
+                own, mine, link = folded(fine), None, False
+                if ids:
+                    fits = 7 * bounds(np.stack(points), own[None, :]) - 3 * (np.array(sizes) + n)
+                    for k in np.argsort(-fits, kind="stable").tolist():
+                        if fits[k] < 0:
+                            break
+                        if root(groups[k]) == root(grp):
+                            link = True
+                            break
+                        if 4 * min(sizes[k], n) < 3 * max(sizes[k], n) or 7 * fine_bound(sets[k][1], fine) < 3 * (sizes[k] + n):
+                            continue
+                        mine = unpacked(members) if mine is None else mine
+                        if linked(sets[k][0], mine):
+                            found.append((ids[k], doc))
+                            tied[root(grp)] = root(groups[k])
+                            link = True
+                            break
+                if not link:
+                    points.append(own)
+                    sizes.append(n)
+                    groups.append(grp)
+                    sets.append((unpacked(members), fine))
+                    ids.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def star_links(least: DataFrame, sets: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Links between documents that share a least hash; least has cell and doc_id, groups id and component_id.
+
+    A cell of many documents is dealt over salts, each of which also gets the cell's first document as a leader.
+    """
+    named = least.withColumn("grp", F.col("doc_id"))
+    if groups is not None:
+        named = least.join(groups.select(F.col("id").alias("doc_id"), F.col("component_id").alias("grp")), "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id"))
+    span = named.groupBy("cell").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("first"))
+    mixed = named.join(span.where("g1 != g2").select("cell", "size", "first"), "cell")
+    salts = F.ceil(F.col("size") / CROWD).cast("int")
+    lead = F.col("doc_id") == F.col("first")
+    at = F.when(lead, F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), salts).cast("int")))
+    dealt = mixed.select("cell", "doc_id", "grp", (~lead).alias("follows"), F.explode_outer(at).alias("salt"))
+    met = dealt.join(sets, "doc_id").repartition("cell", "salt").sortWithinPartitions("cell", "salt", "follows", "doc_id")
+    return led(met.select("cell", "salt", "doc_id", "grp", "n", "members", "fine"))
+
+
 class RTree:
     """Points of one cell, halved along the coordinate of the widest spread down to leaves; nodes keep upper corners."""
 
@@ -297,80 +373,59 @@ class RTree:
                 yield rows[i[keep]], partners[j[keep]]
 
 
-def meet(points: np.ndarray, sizes: np.ndarray, ids: np.ndarray, groups: np.ndarray, tiles: np.ndarray | None, every: bool) -> np.ndarray:
+def meet(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, tiles: np.ndarray | None) -> np.ndarray:
     """Pairs of rows (two rows of numbers) of different groups in one cell that its R-tree leaves.
 
-    All of them if ``every``, else for each document the pair with the smallest id only. If tiles are given, the
-    two are of different tiles.
+    If tiles are given, the two are of different tiles.
     """
-    found, best = [np.empty((2, 0), np.int64)], np.full(len(ids), len(ids))
-    order = np.argsort(ids, kind="stable")
-    place = np.empty(len(ids), np.int64)
-    place[order] = np.arange(len(ids))
+    found = [np.empty((2, 0), np.int64)]
     for i, j in RTree(points, sizes).pairs():
         keep = groups[i] != groups[j]
         if tiles is not None:
             keep &= tiles[i] != tiles[j]
-        i, j = i[keep], j[keep]
-        if every:
-            found.append(np.stack([i, j]))
-        else:
-            np.minimum.at(best, i, place[j])
-            np.minimum.at(best, j, place[i])
-    some = np.nonzero(best < len(ids))[0]
-    return np.concatenate([*found, np.stack([some, order[best[some]]])], axis=1)
+        found.append(np.stack([i[keep], j[keep]]))
+    return np.concatenate(found, axis=1)
 
 
-def meet_all(every: bool):
-    """meet() for every cell of a partition that is sorted by cell. A cell has a bounded number of rows.
-
-    If ``every``, points are fine ones: trees use what they fold to, and the pairs that are left must pass them too.
-    """
+def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """meet() for every cell of a partition that is sorted by cell. A cell has a bounded number of rows."""
     names = ["token", "lo", "hi", "doc_id", "n", "grp", "tile", "point"]
+    known: set[tuple[int, int]] = set()
 
     def pairs_in(table: pa.Table, cuts: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
         _, lo, hi, ids, sizes, groups, tiles = columns
-        raw = table.column("point").to_pylist()
-        points = np.stack([folded(x) for x in raw]) if every else np.frombuffer(b"".join(raw), np.uint8).reshape(-1, GROUPS)
-        starts, counts = cuts[:-1], np.diff(cuts)
-        two = starts[counts == 2]  # a tree of two points is one comparison
-        x, y = sizes[two], sizes[two + 1]
-        fits = (7 * bounds(points[two], points[two + 1]) >= 3 * (x + y)) & (4 * np.minimum(x, y) >= 3 * np.maximum(x, y))
-        two = two[fits & (groups[two] != groups[two + 1]) & ((lo[two] == hi[two]) | (tiles[two] != tiles[two + 1]))]
-        found = [np.stack([two, two + 1])]
-        for a, n in zip(starts[counts > 2].tolist(), counts[counts > 2].tolist(), strict=True):
-            s = slice(a, a + n)
+        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+        found = [np.empty((2, 0), np.int64)]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            s = slice(a, b)
             if (groups[s] != groups[a]).any():
-                found.append(a + meet(points[s], sizes[s], ids[s], groups[s], None if lo[a] == hi[a] else tiles[s], every))
+                found.append(a + meet(points[s], sizes[s], groups[s], None if lo[a] == hi[a] else tiles[s]))
         i, j = np.concatenate(found, axis=1)
-        if every:
-            good = [7 * fine_bound(raw[x], raw[y]) >= 3 * (sizes[x] + sizes[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
-            i, j = i[np.array(good, bool)], j[np.array(good, bool)]
-        pairs = np.unique(np.sort(np.stack([ids[i], ids[j]]), axis=0), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: pa.Table | None = None
-
-        def cells(table: pa.Table, last: bool) -> pa.RecordBatch:
-            nonlocal waiting
-            columns = [table.column(c).to_numpy().astype(np.int64) for c in names[:-1]]
-            new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-            cuts = np.concatenate([[0], np.nonzero(new)[0] + 1, [len(table)]])
-            if not last:
-                waiting, cuts = table.slice(cuts[-2]), cuts[:-1]
-            return pairs_in(table, cuts, columns)
+        pairs = set(zip(*np.sort(np.stack([ids[i], ids[j]]), axis=0).tolist(), strict=True)) - known
+        if len(known) > 1_000_000:  # a pair that comes again is dropped later on
+            known.clear()
+        known.update(pairs)
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    waiting: pa.Table | None = None
+
+    def cells(table: pa.Table, last: bool) -> pa.RecordBatch:
+        nonlocal waiting
+        columns = [table.column(c).to_numpy().astype(np.int64) for c in names[:-1]]
+        new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
+        cuts = np.concatenate([[0], np.nonzero(new)[0] + 1, [len(table)]])
+        if not last:
+            waiting, cuts = table.slice(cuts[-2]), cuts[:-1]
+        return pairs_in(table, cuts, columns)
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch.select(names)])
-            if waiting is not None:
-                table = pa.concat_tables([waiting, table])
-            if len(table):
-                yield cells(table.combine_chunks(), False)
+    for batch in batches:
+        table = pa.Table.from_batches([batch.select(names)])
         if waiting is not None:
-            yield cells(waiting.combine_chunks(), True)
-
-    return run
+            table = pa.concat_tables([waiting, table])
+        if len(table):
+            yield cells(table.combine_chunks(), False)
+    if waiting is not None:
+        yield cells(waiting.combine_chunks(), True)
 
 
 def unlike_cells(cells: DataFrame) -> DataFrame:
@@ -381,25 +436,23 @@ def unlike_cells(cells: DataFrame) -> DataFrame:
     return cells.join(kept.select("token"), "token", "left_semi")
 
 
-def tree_pairs(cells: DataFrame, points: DataFrame, groups: DataFrame | None = None, tile_rows: int = 1024) -> DataFrame:
-    """Candidate pairs (a, b) from cells (token, doc_id) and points (doc_id, n, point).
-
-    Without groups: for each document of each cell, the pair with its smallest partner. With groups (id,
-    component_id): all pairs of different groups, from the cells in which such meet; points are fine ones then.
-    """
-    if groups is None:
-        named, differ = cells.select("token", "doc_id", F.col("doc_id").alias("grp")), F.lit(True)
-    else:
-        named = cells.select("token", "doc_id").join(groups.select(F.col("id").alias("doc_id"), F.col("component_id").alias("grp")), "doc_id", "left")
-        named, differ = named.withColumn("grp", F.coalesce("grp", "doc_id")), F.col("g1") != F.col("g2")
-    span = named.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2"), F.count(F.lit(1)).alias("size"))
-    mixed = named.join(span.where(differ).select("token", "size"), "token")
+def tree_pairs(cells: DataFrame, points: DataFrame, tile_rows: int = 1024) -> DataFrame:
+    """Candidate pairs (a, b) of different groups from cells (token, doc_id, grp) and points (doc_id, n, point)."""
+    sizes = cells.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     tiles = F.ceil(F.col("size") / tile_rows).cast("int")
-    dealt = mixed.withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles).cast("int"))
-    dealt = dealt.select("token", "doc_id", "grp", "tile", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    dealt = cells.join(sizes, "token").withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles).cast("int"))
+    dealt = dealt.select("token", "doc_id", "grp", "tile", F.explode_outer(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     dealt = dealt.select("token", "doc_id", "grp", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
     dealt = dealt.join(points, "doc_id").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    return dealt.mapInArrow(meet_all(groups is not None), "a long, b long").distinct()
+    return dealt.mapInArrow(meet_all, "a long, b long").distinct()
+
+
+def between_groups(cells: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows (token, doc_id, grp) of representatives in cells in which different groups meet."""
+    named = cells.join(groups.select(F.col("id").alias("doc_id"), F.col("component_id").alias("grp")), "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id"))
+    named = named.join(reps.select("doc_id"), "doc_id", "left_semi")
+    span = named.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 != g2")
+    return unlike_cells(checkpointed(named.join(span.select("token"), "token", "left_semi")))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536) -> DataFrame:
@@ -407,7 +460,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     ``frequent`` is how many of the commonest shingles are put last in the order, which changes the work but
     not the result. Null, empty and blank texts have no shingles and link with nothing. Ids are integers;
-    repeated rows get the same result each; a null id is its own component (null). Other columns are ignored.
+    repeated rows get the same result each; rows with one id and different texts share their links; a null id is its own
+    component (null) unless a row with an id has the same shingles. Other columns are ignored.
     """
     return _labelled(docs, id_col, text_col, frequent).drop("set_key")
 
@@ -417,24 +471,39 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, frequent: int = 65_53
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     seen = checkpointed(survey(narrow))
     about = seen.where("kind = 0").select("doc_id", "n", "set_key")
-    points = seen.where("kind = 0 AND n > 0").select("doc_id", "n", "point").dropDuplicates(["doc_id"])
     often = seen.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent)
     order = np.array([r["token"] for r in often.collect()], np.int64)[::-1].view(np.uint64).copy()  # at most ``frequent`` numbers
-    classes = about.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-
-    cells = checkpointed(unlike_cells(checkpointed(shared_cells(prefix_rows(narrow, order)))))
-    first = checkpointed(tree_pairs(cells, points))
-    alive = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = checkpointed(packed_sets(narrow.join(alive, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-    copies = alive.join(about, "doc_id").join(classes, "set_key").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    fine = sets.select("doc_id", "n", F.col("fine").alias("point"))
-    known = checkpointed(verify(closely_bounded(first, fine), sets).union(copies))
-    groups = components(known)
-    more = checkpointed(verify(tree_pairs(cells.join(alive, "doc_id", "left_semi"), fine, groups), sets))
-    label = components(known.union(more)) if not more.isEmpty() else groups
-
-    of_class = classes.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    of_class = of_class.select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    whole = seen.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL")
+    classes = whole.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("least").alias("least"))
+    classes = checkpointed(classes)
+    reps = classes.select("doc_id", "n", "point")
+
+    # near copies are tied to leaders
+    least = classes.select("doc_id", F.posexplode("least").alias("k", "cell"))
+    alone = least.groupBy("cell").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 != d2").select("cell")
+    least = checkpointed(least.join(alone, "cell"))
+    alive = least.select("doc_id").distinct()
+    sets = checkpointed(packed_sets(narrow.join(alive, "doc_id", "left_semi")))
+    links = checkpointed(star_links(least.where("k = 0").select("cell", "doc_id"), sets))
+    groups = components(links)
+    links = checkpointed(links.union(star_links(least.where("k > 0").select("cell", "doc_id"), sets, groups)))
+    clash = whole.groupBy("doc_id").agg(F.min("set_key").alias("k1"), F.max("set_key").alias("k2")).where("k1 != k2").select("doc_id")
+    same_id = whole.join(clash, "doc_id", "left_semi").join(classes.select("set_key", F.col("doc_id").alias("a")), "set_key").select("a", F.col("doc_id").alias("b"))
+    links = checkpointed(links.union(same_id))
+    groups = components(links)
+
+    # the exact search between groups
+    cells = checkpointed(shared_cells(prefix_rows(narrow, order)))
+    pairs = checkpointed(tree_pairs(checkpointed(between_groups(cells, groups, reps)), reps))
+    if not pairs.isEmpty():
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(alive, "doc_id", "left_anti")
+        sets = checkpointed(sets.union(packed_sets(narrow.join(asked, "doc_id", "left_semi"))).join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
+        fine = sets.select("doc_id", "n", F.col("fine").alias("point"))
+        links = checkpointed(links.union(verify(closely_bounded(pairs, fine), sets)))
+        groups = components(links)
+
+    label = groups.select(F.col("id").alias("doc_id"), "component_id")
+    of_class = classes.select("set_key", "doc_id").join(label, "doc_id", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = about.join(of_class, "set_key", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "set_key")

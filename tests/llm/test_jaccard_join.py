@@ -82,13 +82,41 @@ def test_tree_finds_every_pair():
 def test_tiles_lose_no_pair(spark):
     docs = spark.createDataFrame(corpus(9, 6, 30), "doc_id long, text string").dropna()
     points = j.survey(docs).where("kind = 0 AND n > 0").select("doc_id", "n", "point")
-    fine = j.packed_sets(docs).where("n > 0").select("doc_id", "n", j.F.col("fine").alias("point"))
-    cells = points.selectExpr("1L as token", "doc_id")
-    nothing = spark.createDataFrame([], "id long, component_id long")
-    pairs = [{tuple(r) for r in j.tree_pairs(cells, fine, nothing, tile_rows=t).collect()} for t in (4, 10_000)]
+    cells = points.selectExpr("1L as token", "doc_id", "doc_id as grp")
+    pairs = [{tuple(r) for r in j.tree_pairs(cells, points, tile_rows=t).collect()} for t in (4, 10_000)]
     assert pairs[0] == pairs[1] and pairs[0]
-    firsts = {tuple(r) for r in j.tree_pairs(cells, points, tile_rows=4).collect()}
-    assert {x for p in firsts for x in p} >= {x for p in pairs[0] for x in p}
+
+
+def test_exact_search_alone_finds_every_link(spark, monkeypatch):
+    monkeypatch.setattr(j, "star_links", lambda least, sets, groups=None: least.selectExpr("doc_id AS a", "doc_id AS b").limit(0))
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.similar_documents(docs).collect()} == brute(rows)
+
+
+def test_leaders_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(j, "CROWD", 4)
+    rng = random.Random(8)
+    base = [rng.choice("abcdefgh") + str(i) for i in range(120)]
+    rows = [(k, " ".join(w if i != k else "new" for i, w in enumerate(base))) for k in range(60)]
+    rows += [(100 + k, " ".join(rng.choices(base, k=100))) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.similar_documents(docs).collect()} == brute(rows)
+
+
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(2)
+    x, y = (" ".join(rng.choice("abcdefgh") + str(i) for i in range(60)) for _ in range(2))
+    docs = spark.createDataFrame([(5, x), (5, y), (3, x + " more"), (9, y + " more"), (7, "z " * 40)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in j.similar_documents(docs).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 7), (9, 3)]
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:50_000])), (3, " ".join(words[:40_000]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in j.similar_documents(docs).collect()} == {1: 1, 2: 1, 3: 1}
 
 
 def test_full_coordinates_never_lower_a_bound():
