@@ -103,7 +103,10 @@ def fingerprints(hashes: Column, window: int) -> Column:
         step = min(wide, window - wide)
         found = _let(found, least(step))
         wide += step
-    return F.transform(F.array_distinct(found), lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
+    places = F.transform(F.array_distinct(found), lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
+    # within a unit that is repeated over and over, each eighth place will do
+    again = lambda i: (i % 8 != 0) & F.coalesce((F.get(hashes, i - 1) == F.get(hashes, i)) & (F.get(hashes, i) == F.get(hashes, i + 1)), F.lit(False))
+    return F.filter(places, lambda i: ~again(i))
 
 
 def _matching(a: Column, b: Column) -> Column:
@@ -116,7 +119,17 @@ def _matching(a: Column, b: Column) -> Column:
 
 
 def _tag(text: Column) -> Column:
-    return F.hash(text)
+    """A hash of the text, 30 bits; with an id it tells places in different texts apart."""
+    return F.hash(text).bitwiseAND(F.lit((1 << 30) - 1))
+
+
+def _at(tag: Column, pos: Column) -> Column:
+    """A place within all texts of one id: the tag and the position as one number."""
+    return F.shiftleft(tag.cast("long"), 32).bitwiseOR(pos.cast("long"))
+
+
+def _tag_pos(at: str) -> list[Column]:
+    return [F.shiftright(at, 32).cast("int").alias("tag"), F.col(at).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")]
 
 
 def _around(u: Column, k: Column) -> Column:
@@ -126,7 +139,7 @@ def _around(u: Column, k: Column) -> Column:
     return F.struct(F.when(k >= 0, F.substring(left, -EDGE, EDGE)).alias("before_here"), F.substring(right, 1, EDGE).alias("after_here"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, window: int = 3, reach: int = 8) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, window: int = 5, reach: int = 8) -> DataFrame:
     """doc_id, tag (a hash of the text) and runs: the units from a to before b that repeat an earlier place.
 
     Each run also has ``before`` and ``after``, what stands around the earlier place, to extend it by words.
@@ -139,19 +152,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = _let(unit_hashes(F.col("text")), lambda h: F.struct(h.alias("h"), fingerprints(h, window).alias("f")))
     lines = checkpointed(narrow.select("doc_id", "tag", both.alias("l")).select("doc_id", "tag", "l.h", "l.f"))
     prints = lines.select("doc_id", "tag", _rows(F.transform("f", lambda i: F.struct(_print(F.col("h"), i).alias("print"), i.alias("pos")))).alias("f"))
-    prints = prints.select("f.print", "doc_id", "tag", "f.pos").where("pos IS NOT NULL")
-    place = F.struct("doc_id", "tag", "pos")
-    firsts = prints.groupBy("print").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("places"))
-    firsts = checkpointed(firsts.where("places > 1").select("print", "first"))
-    found = prints.join(firsts.hint("shuffle_hash"), "print").where(place != F.col("first"))
-    found = found.select("doc_id", "tag", "pos", F.col("first.doc_id").alias("src"), F.col("first.tag").alias("src_tag"), F.col("first.pos").alias("src_pos"))
-    # matches overlap: of those with one offset, and of those with one source, the first and last of each ``reach`` positions cover the rest
-    part, ends = (F.col("pos") / reach).cast("int"), ["doc_id", "tag", "src", "src_tag"]
-    found = found.groupBy(*ends, (F.col("src_pos") - F.col("pos")).alias("shift"), part.alias("part")).agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
-    found = found.select(*ends, "shift", "part", _rows(F.array_distinct(F.array("pos", "last"))).alias("pos"))
-    found = found.groupBy(*ends, (F.col("shift") + F.col("pos")).alias("src_pos"), "part").agg(F.min("pos").alias("pos"), F.max("pos").alias("last"))
-    found = found.select(*ends, "src_pos", _rows(F.array_distinct(F.array("pos", "last"))).alias("pos"))
-    found = checkpointed(found.select("doc_id", "tag", "pos", F.struct(F.col("src").alias("doc_id"), F.col("src_tag").alias("tag"), F.col("src_pos").alias("pos")).alias("first")))
+    prints = prints.where("f IS NOT NULL").select("f.print", "doc_id", _at(F.col("tag"), F.col("f.pos")).alias("at"))
+    firsts = prints.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("places"))
+    firsts = checkpointed(firsts.where("places > 1").select("print", F.col("first.doc_id").alias("src"), F.col("first.at").alias("src_at")))
+    found = prints.join(firsts.hint("shuffle_hash"), "print").where("doc_id != src OR at != src_at")
+    # matches overlap: of those with one offset, the first and last of each ``reach`` positions cover the rest
+    part = F.col("at") - F.pmod("at", F.lit(reach))
+    found = found.groupBy("doc_id", "src", (F.col("src_at") - F.col("at")).alias("shift"), part.alias("part")).agg(F.min("at").alias("at"), F.max("at").alias("last"))
+    found = found.select("doc_id", "src", "shift", _rows(F.array_distinct(F.array("at", "last"))).alias("at"))
+    found = checkpointed(found.select("doc_id", "at", "src", (F.col("at") + F.col("shift")).alias("src_at")))
+    found = found.select("doc_id", *_tag_pos("at"), F.struct(F.col("src").alias("doc_id"), *_tag_pos("src_at")).alias("first"))
     lines = lines.select("doc_id", "tag", "h")
 
     # what stands around each first place, once per place
@@ -241,7 +251,7 @@ def without_runs(text: Column, runs: Column, min_chars: int) -> Column:
     return F.when(F.size(runs) > 0, _let(units_of(text), rest)).otherwise(text)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, window: int = 3, reach: int = 8) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 150, window: int = 5, reach: int = 8) -> DataFrame:
     """docs, each row with its columns and later repeated runs deleted from its text.
 
     Every row stays, also one whose text is then empty; rows with a null id or text stay as they are. Rows with
