@@ -25,9 +25,18 @@ TOKEN = r"[\p{L}\p{N}]+"
 IMAGE = r"!\[([^\]]*)\]\(images/([^)]+)\)"
 
 
+#: Fixed value: all characters with the Unicode property White_Space.
+WHITE = "\t\n\u000b\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once for each row, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def py_strip(c: Column) -> Column:
     """Without white space of any kind at both ends; ``trim`` removes spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def lines(c: Column) -> Column:
@@ -40,20 +49,29 @@ def count_lines(c: Column, test) -> Column:
 
 def is_toc_block(text: Column) -> Column:
     """At least three lines with text, 60 % of which look like ``1.2 title 34``."""
-    filled = F.filter(F.transform(lines(text), py_strip), lambda x: x != "")
-    entries = F.filter(filled, lambda x: x.rlike(r"(?U)^\d+(\.\d+)*\s+\S.*\d{1,3}$"))
-    return (F.size(filled) >= 3) & (F.size(entries) >= F.size(filled) * F.lit(0.6))
+
+    def listed(filled: Column) -> Column:
+        entries = F.filter(filled, lambda x: x.rlike(r"(?U)^\d+(\.\d+)*\s+\S.*\d{1,3}$"))
+        return (F.size(filled) >= 3) & (F.size(entries) >= F.size(filled) * F.lit(0.6))
+
+    return let(F.filter(F.transform(lines(text), py_strip), lambda x: x != ""), listed)
+
+
+#: What page numbers, dot lines, extraction notes, rendered pages and rule rows look like.
+NOISE = (
+    r"\d+\s*/\s*\d+$", r"第\d+页\s*/\s*第\d+页$", "null$", r"[.\s·•\-—]+$", r"本文件(共)?提取\s*\d+\s*[张个]", r"!\[.*render\.png\]", r"\|[\s\-|]+\|\s*$"
+)
 
 
 def is_noise(text: Column) -> Column:
     """Page numbers, dot lines, contents pages and the like; null counts as empty, and empty text is noise."""
-    t = py_strip(F.coalesce(text, F.lit("")))
-    patterns = [r"(?U)^\d+\s*/\s*\d+$", r"(?U)^第\d+页\s*/\s*第\d+页$", "^null$", r"(?U)^[.\s·•\-—]+$", r"(?U)^本文件(共)?提取\s*\d+\s*[张个]", r"^!\[.*render\.png\]", r"(?U)^\|[\s\-|]+\|\s*$"]
-    found = (t == "") | t.contains("....") | is_toc_block(t)
-    for p in patterns:
-        found = found | t.rlike(p)
-    found = found | (t.rlike(r"(?U)^#{1,3}\s*图片") & (F.length(t) < 30))
-    return found | (t.rlike(r"(?U)^第\d+页") & (F.length(t) < 25))
+
+    def noise(t: Column) -> Column:
+        short = (F.length(t) < 30) & t.rlike(r"(?U)^#{1,3}\s*图片") | (F.length(t) < 25) & t.rlike(r"(?U)^第\d+页")
+        toc = t.contains("\n") & is_toc_block(t)
+        return (t == "") | t.contains("....") | t.rlike(f"(?U)^(?:{'|'.join(NOISE)})") | short | toc
+
+    return let(py_strip(F.coalesce(text, F.lit(""))), noise)
 
 
 def image_refs(text: Column) -> Column:
@@ -69,45 +87,54 @@ def image_ids(text: Column) -> Column:
 
 def detect_section(text: Column, words: str = SECTION_WORDS) -> Column:
     """The first line if it is a heading of one of the known forms, else null."""
-    first = py_strip(F.element_at(lines(text), 1))
+    #: The forms of headings, and what headings never hold.
     forms = [
-        r"^##[ \t]+.+$", r"^###[ \t]+.+$", rf"^[{CN}]+、[ \t]*.+$", rf"(?U)^第[{CN}百\d]+章[ \t]*.+$", rf"^[{CN}]+[ \t]{{1,5}}[^\d\s].{{1,40}}$",
-        r"^[0-9]+(\.[0-9]+)*[ \t]+.+$", rf"^({words})$",
+        r"##[ \t]+.+$", r"###[ \t]+.+$", rf"[{CN}]+、[ \t]*.+$", rf"第[{CN}百\d]+章[ \t]*.+$", rf"[{CN}]+[ \t]{{1,5}}[^\d\s].{{1,40}}$",
+        r"[0-9]+(\.[0-9]+)*[ \t]+.+$", rf"({words})$",
     ]
-    bad = first.contains("....") | first.rlike(r"图片描述|第\s*\d+\s*页|render|page\d+")
-    is_heading = F.lit(False)
-    for f in forms:
-        is_heading = is_heading | first.rlike(f)
-    return F.when(is_heading & ~bad, first)
+    bad = r"图片描述|第\s*\d+\s*页|render|page\d+|\.\.\.\."
+    heading = lambda first: F.when(first.rlike(f"(?U)^(?:{'|'.join(forms)})") & ~first.rlike(bad), first)
+    return let(py_strip(F.element_at(lines(text), 1)), heading)
 
 
 def classify_content(text: Column, image_words: str = IMAGE_WORDS, rule_words: str = RULE_WORDS) -> Column:
     """One of five labels: image description, main table, sub-table, design rule or plain text."""
-    t = py_strip(text)
-    piped = count_lines(t, lambda x: x.contains("|") & (F.length(py_strip(x)) > 5))
-    tabbed = count_lines(t, lambda x: x.contains("\t"))
-    pairs = count_lines(t, lambda x: py_strip(x).rlike(r"^[^\s：:]+\s*[：:]\s*\S"))
-    table = (piped >= 2) | (tabbed >= 2) | (pairs >= 4) | text.contains("#DIV/0!") | text.contains("#REF!")
-    rows = lambda word: count_lines(t, lambda x: x.contains("|") & x.contains(word))
-    label = F.when(text.rlike(image_words), IMAGE_TEXT).when(table, F.when(rows("（含）") > rows("（不含）"), SUB_TABLE).otherwise(MAIN_TABLE))
-    return label.when(text.rlike(rule_words), RULE).otherwise(PLAIN)
+
+    def table(rows: Column) -> Column:
+        """The label of a table, else null. ``rows``: the lines of the text."""
+        count = lambda test: F.size(F.filter(rows, test))
+        piped = count(lambda x: x.contains("|") & (F.length(py_strip(x)) > 5))
+        pairs = count(lambda x: (x.contains(":") | x.contains("：")) & py_strip(x).rlike(r"^[^\s：:]+\s*[：:]\s*\S"))
+        with_word = lambda word: count(lambda x: x.contains("|") & x.contains(word))
+        found = (piped >= 2) | (count(lambda x: x.contains("\t")) >= 2) | (pairs >= 4) | text.contains("#DIV/0!") | text.contains("#REF!")
+        return F.when(found, F.when(with_word("（含）") > with_word("（不含）"), SUB_TABLE).otherwise(MAIN_TABLE))
+
+    label = F.when(text.rlike(image_words), IMAGE_TEXT).otherwise(let(lines(py_strip(text)), table))
+    return F.coalesce(label, F.when(text.rlike(rule_words), RULE).otherwise(PLAIN))
 
 
 def strip_tables(text: Column) -> Column:
-    """Without pipe tables and the blank lines after them; three line ends or more become two."""
-    is_row = lambda x: py_strip(x).startswith("|") & F.substring(py_strip(x), 2, 1 << 30).contains("|")
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("inside"))
+    """Without pipe tables and the blank lines after them; three line ends or more become two.
 
-    def step(s: Column, x: Column) -> Column:
-        gone = s["inside"] & ((py_strip(x) == "") | py_strip(x).startswith("|"))
-        return F.when(is_row(x), F.struct(s["out"].alias("out"), F.lit(True).alias("inside"))).otherwise(
-            F.struct(F.when(gone, s["out"]).otherwise(F.concat(s["out"], F.array(x))).alias("out"), gone.alias("inside"))
-        )
+    Blank and piped lines go if the last line before them that is neither, or is a row, is a row. The rows in front of
+    that line are known from the rows' and the plain lines' numbers, so each line is looked at once.
+    """
 
-    kept = F.when(text.contains("|"), F.aggregate(lines(text), start, step, lambda s: F.array_join(s["out"], "\n"))).otherwise(text)
+    def without(rows: Column) -> Column:
+        kind = F.transform(rows, lambda x: let(py_strip(x), lambda t: F.when(t.startswith("|") & F.substring(t, 2, 1 << 30).contains("|"), 2).when((t == "") | t.startswith("|"), 1).otherwise(0)))
+        return F.array_join(let(kind, lambda k: F.transform(F.filter(F.arrays_zip(rows.alias("line"), _inside(k).alias("gone")), lambda z: ~z["gone"]), lambda z: z["line"])), "\n")
+
+    kept = F.when(text.contains("|"), let(lines(text), without)).otherwise(text)
     return F.regexp_replace(py_strip(kept), r"\n{3,}", "\n\n")
 
 
+def _inside(kinds: Column) -> Column:
+    """For each line whether it belongs to a table; kinds: 2 a row, 1 blank or piped, 0 other."""
+    code = F.array_join(F.transform(kinds, lambda k: k.cast("string")), "")
+    runs = F.regexp_extract_all(code, F.lit("2[12]*|0[01]*|1+"), F.lit(0))  # a row and what follows it, or what is outside
+    return F.flatten(F.transform(runs, lambda r: F.array_repeat(r.startswith("2"), F.length(r))))
+
+
 def strip_strikethrough(c: Column) -> Column:
     return F.regexp_replace(c, r"(?s)~~(.+?)~~", "$1")
 

@@ -47,15 +47,21 @@ def choose_strategy(text: Column) -> Column:
 
 
 def _first_line(c: Column) -> Column:
-    return T.py_strip(F.element_at(T.lines(c), 1))
+    return T.py_strip(F.substring_index(c, "\n", 1))
 
 
 def _after_first(c: Column) -> Column:
-    return T.py_strip(F.array_join(F.slice(T.lines(c), 2, 1 << 30), "\n"))
+    return T.py_strip(F.when(c.contains("\n"), F.substring(c, F.length(F.substring_index(c, "\n", 1)) + 2, F.length(c))).otherwise(""))
 
 
 def _denoised(body: Column) -> Column:
-    return F.when(T.is_noise(body), "").otherwise(body)
+    return T.let(body, lambda b: F.when(T.is_noise(b), "").otherwise(b))
+
+
+def _titled(p: Column, pattern: str) -> Column:
+    """A part as a block: under its first line if that is a heading, else without a title."""
+    headed = block(_first_line(p), _denoised(_after_first(p)))
+    return F.when(p.rlike(pattern), headed).otherwise(block(F.lit(""), _denoised(T.py_strip(p))))
 
 
 def split_brackets(text: Column) -> Column:
@@ -83,24 +89,14 @@ def split_subheadings(title: Column, body: Column) -> Column:
 
 def split_headings(text: Column) -> Column:
     """Blocks at ``#`` and ``##``, split again at ``###``; a text before the first heading is a block of its own."""
-
-    def one(p: Column) -> Column:
-        headed = p.rlike(HEADING)
-        return block(F.when(headed, _first_line(p)).otherwise(""), _denoised(F.when(headed, _after_first(p)).otherwise(T.py_strip(p))))
-
-    found = F.transform(F.split(text, rf"(?m)(?={HEADING})"), one)
+    found = F.transform(F.split(text, rf"(?m)(?={HEADING})"), lambda p: _titled(p, HEADING))
     found = F.filter(found, lambda b: (b["title"] != "") | (b["body"] != ""))
     return F.flatten(F.transform(found, lambda b: split_subheadings(b["title"], b["body"])))
 
 
 def split_numbered(text: Column) -> Column:
     """Blocks at numbered headings; the marker line is the title."""
-
-    def one(p: Column) -> Column:
-        headed = p.rlike(NUMBERED)
-        return block(F.when(headed, _first_line(p)).otherwise(""), _denoised(F.when(headed, _after_first(p)).otherwise(T.py_strip(p))))
-
-    found = F.transform(F.split(text, f"(?m)(?={NUMBERED})"), one)
+    found = F.transform(F.split(text, f"(?m)(?={NUMBERED})"), lambda p: _titled(p, NUMBERED))
     return F.filter(found, lambda b: (b["title"] != "") | (b["body"] != ""))
 
 
