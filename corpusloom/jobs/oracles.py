@@ -70,12 +70,13 @@ CHUNKS = f"""chunks AS (
     SELECT doc_id AS chunk_index, lang AS category, source AS source_file, substr(string_split(text, {NL})[1], 1, 40) AS section_path,
            {classify("text")} AS content_type, text AS content
     FROM documents)"""
-LEXICAL = f"""tokens AS (SELECT doc_id AS chunk_index, {TOKENS("text")} AS t FROM documents),
+LEXICAL = f"""tokens AS MATERIALIZED (SELECT doc_id AS chunk_index, {TOKENS("text")} AS t FROM documents),
   lengths AS (SELECT chunk_index, len(t) AS dl FROM tokens),
-  postings AS (SELECT term, chunk_index, count(*) AS tf FROM (SELECT chunk_index, unnest(t) AS term FROM tokens) GROUP BY term, chunk_index),
+  postings AS MATERIALIZED (SELECT term, chunk_index, count(*) AS tf FROM (SELECT chunk_index, unnest(t) AS term FROM tokens) GROUP BY term, chunk_index),
   totals AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM lengths),
-  raw AS (SELECT term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM postings, totals GROUP BY term),
-  terms AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
+  raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM postings, totals GROUP BY term),
+  floors AS (SELECT 0.25 * avg(r) AS least FROM raw),
+  terms AS (SELECT term, df, CASE WHEN r < 0 THEN least ELSE r END AS idf FROM raw, floors)"""
 
 
 def lexical_top(k: int = 50) -> str:
@@ -261,3 +262,155 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'embedding_dims', min(d) = 64 AND max(d) = 64, 'ERROR', {EXACT("max(d)")} FROM v
         UNION ALL SELECT 'bm25_index', sum(dl) > 0, 'ERROR', {EXACT("sum(dl)")} FROM lengths""",
 }
+
+
+# ---- chunking, answers and audit: what takes more than one step
+
+
+def quoted(x: str) -> str:
+    return f"replace(url_encode({x}), '%2F', '/')"
+
+
+def cut(text: str, pattern: str, source: str, keep: str) -> str:
+    """Rows (keep, n, part) of a text cut before each match of pattern."""
+    return rf"""(SELECT {keep}, generate_subscripts(p, 1) AS n, unnest(p) AS part FROM (
+      SELECT {keep}, string_split(regexp_replace({text}, '(?m)^({pattern})', chr(1) || '\1', 'g'), chr(1)) AS p FROM {source}))"""
+
+
+FIRST = lambda x: STRIP(f"string_split({x}, {NL})[1]")
+REST = lambda x: STRIP(f"array_to_string(string_split({x}, {NL})[2:], {NL})")
+QUIET = lambda x: f"CASE WHEN {noise(x)} THEN '' ELSE {x} END"
+CN = "一二三四五六七八九十"
+
+
+def strategy(c: str) -> str:
+    rows = f"list_filter(string_split({c}, {NL}), lambda l: starts_with({STRIP('l')}, '|'))"
+    cells = f"list_filter(list_transform(string_split(l, '|'), lambda y: {STRIP('y')}), lambda y: y <> '')"
+    titled = f"len(list_filter({rows}, lambda l: starts_with(l, '|') AND len({cells}) = 1 AND length({cells}[1]) >= 10)) > 0"
+    return (
+        f"CASE WHEN len(regexp_extract_all({c}, '【[^】]+】')) >= 2 THEN 'BRACKET' WHEN len({rows}) >= 4 AND len({rows}) >= len(string_split({c}, {NL})) * 0.3 AND {titled} THEN 'TABLE' "
+        f"WHEN regexp_matches({c}, '(?m)^#{{2,3}}[ \\t]+\\S') THEN 'H2' WHEN regexp_matches({c}, '(?m)^[{CN}]+、[ \\t]*\\S') OR regexp_matches({c}, '(?m)^[0-9]+(\\.[0-9]+)*[ \\t]+\\S') THEN 'CN+DIGIT' ELSE 'NL' END"
+    )
+
+
+IMAGES = r"regexp_extract_all({0}, '!\[[^\]]*\]\(images/([^)]+)\)', 1)"
+
+
+def refs(source: str, keep: str) -> str:
+    return rf"""(SELECT {keep}, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(m, '!\[([^\]]*)\]', 1) AS description, regexp_extract(m, '\(images/([^)]+)\)', 1) AS path
+        FROM (SELECT {keep}, generate_subscripts(p, 1) AS i, unnest(p) AS m FROM (SELECT {keep}, regexp_extract_all(content, '!\[[^\]]*\]\(images/[^)]+\)') AS p FROM {source})))"""
+
+
+PAGE_HITS = f"""{PAGE_BLOCKS}, asked AS (SELECT doc_id AS query_id, title AS query, body AS content, length(body) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS rank,
+    CASE WHEN length(body) % 2 = 0 THEN 'direct' ELSE 'indirect' END AS relevance, 'a b/' || length(body) || '.png' AS path FROM headed)"""
+
+
+def page_images(query: str, most: int, where: str = "true") -> str:
+    tokens = content_tokens("query", f"string_split('{ANSWER_STOPS}', ' ')")
+    return f"""gated AS (SELECT * FROM (SELECT query_id, {query} AS query, content, n, rank, relevance, path FROM asked) WHERE {where}
+        AND (len({tokens}) = 0 OR len(list_filter({tokens}, lambda t: contains(content, t))) > 0)),
+      once AS (SELECT *, CASE WHEN relevance = 'direct' THEN 0 ELSE 1 END AS grp FROM gated QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY grp, rank) = 1),
+      images AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY grp, rank) AS place, path, relevance, '![附图](/api/images/web/' || {quoted("path")} || ')' AS url FROM once QUALIFY place <= {most})"""
+
+
+SHEETS = ORACLES["rows_to_markdown"].strip()
+TABLES = rf"""sheet_docs AS ({SHEETS}), sheet_hits AS (SELECT doc_id AS query_id, i AS rank, part AS content, CASE WHEN i % 2 = 1 THEN 'direct' ELSE 'indirect' END AS relevance,
+      round({EXACT("1.0")} / (i + 20), 6) AS relevance_score FROM (SELECT doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS part FROM (SELECT doc_id, string_split(content, {NL} || '## ') AS p FROM sheet_docs))),
+    near AS (SELECT * FROM sheet_hits WHERE rank <= 5 AND regexp_matches(content, '\|[-:\s]+\|') AND (contains(content, 'widget') OR contains(content, 'bolt') OR contains(content, 'Brand'))),
+    piped AS (SELECT query_id, rank, relevance, relevance_score, no, line, no - row_number() OVER (PARTITION BY query_id, rank ORDER BY no) AS island FROM (
+      SELECT query_id, rank, relevance, relevance_score, generate_subscripts(l, 1) AS no, unnest(l) AS line FROM (SELECT *, string_split(content, {NL}) AS l FROM near)) WHERE contains(line, '|')),
+    drawn AS (SELECT query_id, rank, relevance, relevance_score, min(no) AS no, bool_or(regexp_matches(line, '^\|[-:\s]+\|')) AS ruled, {STRIP(f"string_agg(line, {NL} ORDER BY no)")} AS table_text
+      FROM piped GROUP BY query_id, rank, relevance, relevance_score, island),
+    counted AS (SELECT *, CAST(contains(table_text, 'widget') AS INT) + CAST(contains(table_text, 'bolt') AS INT) + CAST(contains(table_text, 'Brand') AS INT) AS found FROM drawn WHERE ruled AND length(table_text) >= 20),
+    scored AS (SELECT *, round(CASE WHEN relevance = 'direct' THEN relevance_score * 10 + found * {EXACT("0.01")} ELSE found + relevance_score END, 6) AS score FROM counted WHERE (relevance = 'direct' AND relevance_score > 0) OR (relevance <> 'direct' AND found >= 2)),
+    distinct_tables AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, relevance, table_text ORDER BY score DESC, rank, no) = 1),
+    tables AS (SELECT query_id, relevance, row_number() OVER (PARTITION BY query_id, relevance ORDER BY score DESC, rank, no) AS place, table_text, score FROM distinct_tables QUALIFY place <= 2)"""
+
+
+def media(kind: str, relevance: str, heading: str, separator: str) -> str:
+    own = f"string_agg(item, {separator} ORDER BY place) FILTER (WHERE kind = '{kind}' AND relevance = '{relevance}')"
+    return f"{heading} || {own}"
+
+
+#: The pages as chunks. Their headings are all of the second level, so each is split at headings.
+PAGE_CHUNKS = rf"""WITH {PAGES}, {BLOCKS}, headed AS (SELECT doc_id, seq, title, body FROM blocks WHERE NOT {noise("body")}), {ISLANDS},
+  merged AS (SELECT doc_id, min(seq) AS seq, coalesce(arg_min(title, seq) FILTER (WHERE title <> ''), '') AS title, {STRIP(f"string_agg(body, {NL} || {NL} ORDER BY seq)")} AS body FROM runs GROUP BY doc_id, run, long),
+  starts AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1 OR NOT regexp_matches(body, '^\d+[、.．)\s]') AS starts FROM merged),
+  items AS (SELECT doc_id, min(seq) AS seq, arg_min(title, seq) AS title, string_agg(body, {NL} ORDER BY seq) AS body FROM (
+    SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY seq) AS grp FROM starts) GROUP BY doc_id, grp),
+  own AS (SELECT *, CASE WHEN regexp_matches({FIRST("body")}, '^###?[ \t]+.+$|^[0-9]+(\.[0-9]+)*[ \t]+.+$') AND NOT regexp_matches({FIRST("body")}, '\.\.\.\.|render|page\d+') THEN {FIRST("body")} WHEN title <> '' THEN title END AS own FROM items),
+  carried AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq), '') AS section_path FROM own),
+  filled AS (SELECT *, CASE WHEN section_path <> '' AND NOT starts_with(body, section_path) THEN section_path || {NL} || {NL} || body ELSE body END AS content FROM carried),
+  pictured AS (SELECT *, {IMAGES.format("content")} AS image_ids FROM filled),
+  beside AS (SELECT *, len(image_ids) > 0 AS has_image, CASE WHEN len(lag(image_ids) OVER w) = 0 THEN substr(lag(content) OVER w, 1, 200) END AS b,
+    CASE WHEN len(lead(image_ids) OVER w) = 0 THEN substr(lead(content) OVER w, 1, 200) END AS f FROM pictured WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+  page_chunks AS (SELECT row_number() OVER (ORDER BY category COLLATE C, source_file COLLATE C, doc_id, seq) - 1 AS chunk_index, doc_id, CAST(seq AS BIGINT) AS seq, category, source_file, section_path,
+    {classify("body")} AS content_type, beside.content, 'H2' AS split_strategy, has_image, array_to_string(image_ids, ',') AS image_ids,
+    CASE WHEN has_image AND (b IS NOT NULL OR f IS NOT NULL) THEN beside.content || {NL} || {NL} || concat_ws({NL}, b, f) END AS enriched_content FROM beside JOIN (SELECT doc_id, category, source_file FROM pages_md) USING (doc_id))"""
+
+RETRIEVABLE = f"""WITH {CHUNKS}, {LEXICAL}, sample AS (SELECT * FROM chunks WHERE {STRIP("coalesce(content, '')")} <> '' ORDER BY md5(CAST(chunk_index AS VARCHAR)), chunk_index LIMIT 20),
+  asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT chunk_index AS query_id, unnest(list_filter({TOKENS("content")}, lambda x: length(x) >= 2)[:5]) AS term FROM sample) GROUP BY ALL),
+  best AS (SELECT query_id, chunk_index AS best FROM (SELECT query_id, chunk_index, round(sum(times * idf * {EXACT("tf")} * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+      FROM asked JOIN postings USING (term) JOIN terms USING (term) JOIN lengths USING (chunk_index), totals GROUP BY query_id, chunk_index) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) = 1)"""
+
+ORACLES |= {
+    "choose_strategy": f"""WITH {PAGES}, c AS (SELECT doc_id AS id, 'page' AS kind, content FROM pages_md UNION ALL SELECT doc_id, 'document', text FROM documents
+        UNION ALL SELECT doc_id, 'brackets', regexp_replace(text, '([A-Z][^.]*\\.)', '【\\1】', 'g') FROM documents UNION ALL SELECT doc_id, 'numbered', regexp_replace(text, '(?m)^([A-Z])', '一、\\1', 'g') FROM documents)
+        SELECT id, kind, {strategy("content")} AS strategy FROM c""",
+    "split_subheadings": rf"""WITH {PAGES}, m AS (SELECT doc_id, regexp_replace(content, '(?m)^([A-Z]\S+ \S+)', '### \1', 'g') AS body FROM pages_md),
+        p AS (SELECT *, regexp_matches(part, '^###[ \t]+\S') AS headed FROM {cut("body", r"###[ \t]+\S", "m", "doc_id, body")}),
+        k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS seq, headed, part FROM p WHERE regexp_matches(body, '(?m)^###[ \t]+\S') AND (headed OR NOT {noise("part")}))
+        SELECT doc_id, CAST(seq AS INTEGER) AS seq, CASE WHEN headed THEN 'web > ' || {FIRST("part")} ELSE 'web' END AS title, CASE WHEN headed THEN {QUIET(REST("part"))} ELSE {STRIP("part")} END AS body FROM k
+        UNION ALL SELECT doc_id, 0, 'web', body FROM m WHERE NOT regexp_matches(body, '(?m)^###[ \t]+\S')""",
+    "split_numbered": rf"""WITH m AS (SELECT doc_id, regexp_replace(text, '(?m)^([A-Z])', CASE WHEN doc_id % 2 = 0 THEN '1.2 \1' ELSE '三、\1' END, 'g') AS t FROM documents),
+        p AS (SELECT doc_id, n, regexp_matches(part, '^(?:[{CN}]+、|[0-9]+(?:\.[0-9]+)*[ \t]+[^0-9])') AS headed, part FROM {cut("t", rf"(?:[{CN}]+、|[0-9]+(?:\.[0-9]+)*[ \t]+[^0-9])", "m", "doc_id")}),
+        b AS (SELECT doc_id, n, CASE WHEN headed THEN {FIRST("part")} ELSE '' END AS title, CASE WHEN headed THEN {QUIET(REST("part"))} ELSE {QUIET(STRIP("part"))} END AS body FROM p)
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS seq, title, md5(body) AS body_md5 FROM b WHERE title <> '' OR body <> ''""",
+    "split_brackets": rf"""WITH m AS (SELECT doc_id, regexp_replace(text, '([A-Z][^.]*\.)', '【\1】', 'g') AS t FROM documents),
+        p AS (SELECT doc_id, generate_subscripts(b, 1) AS i, unnest(b) AS held, g FROM (SELECT doc_id, regexp_extract_all(t, '【([^】]+)】', 1) AS b, string_split_regex(t, '【[^】]+】') AS g FROM m)),
+        s AS (SELECT doc_id, i, {STRIP("held")} AS held, {STRIP("g[i + 1]")} AS gap FROM p)
+        SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, {FIRST("held")} AS title, CASE WHEN gap = '' THEN held ELSE held || {NL} || gap END AS body FROM s""",
+    "image_bindings": f"""{PAGE_BLOCKS}, c AS (SELECT source_file, seq AS chunk_index, body AS content FROM headed JOIN (SELECT doc_id, source_file FROM pages_md) USING (doc_id) WHERE length(body) % 2 = 0),
+        b AS (SELECT * FROM {refs("c", "source_file, chunk_index")}), l AS (SELECT * FROM {refs("pages_md", "source_file")})
+        SELECT source_file, chunk_index, pos, description, path, true AS bound FROM b UNION ALL
+        SELECT source_file, -1, pos, description, path, false FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.source_file = l.source_file AND b.path = l.path)""",
+    "chunk_stats": f"""WITH {PAGES} SELECT 'web' AS source_file, split_strategy, content_type, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_images FROM (
+        SELECT {strategy("content")} AS split_strategy, {classify("content")} AS content_type, len({IMAGES.format("content")}) AS n FROM pages_md) GROUP BY ALL""",
+    "rewrite_image_urls": rf"""WITH {PAGES}, p AS (SELECT doc_id, generate_subscripts(g, 1) AS i, unnest(g) AS gap, l FROM (
+          SELECT doc_id, string_split_regex(content, '\]\(images/[^)]+\)') AS g, regexp_extract_all(content, '\]\(images/([^)]+)\)', 1) AS l FROM pages_md))
+        SELECT doc_id, md5(string_agg(gap || coalesce('](/api/images/web/' || {quoted("l[i]")} || ')', ''), '' ORDER BY i)) AS rewritten_md5 FROM p GROUP BY doc_id""",
+    "elements_to_markdown": rf"""WITH {PAGES}, l AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS seq, unnest(p) AS line FROM (SELECT doc_id, string_split(content, {NL}) AS p FROM pages_md)),
+        w AS (SELECT doc_id, seq, line, string_split(line, ' ') AS w FROM l),
+        d AS (SELECT doc_id, seq, CASE WHEN trim(array_to_string(w, ' '), ' ') = '' THEN NULL
+          WHEN seq % 7 = 3 THEN '| ' || array_to_string(w, ' | ') || ' |' || {NL} || '| ' || array_to_string(list_transform(w, lambda x: '---'), ' | ') || ' |' || {NL}
+            || '| ' || array_to_string(list_concat([line], list_transform(w[2:], lambda x: '')), ' | ') || ' |' || {NL}
+          WHEN starts_with(line, '##') THEN '###### ' || trim(line, ' ') || {NL} WHEN seq % 5 = 0 THEN '## ' || trim(line, ' ') || {NL}
+          ELSE array_to_string(list_transform(w, lambda x, i: repeat('*', CASE (i - 1) % 6 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 1 END) || x || ' '
+            || repeat('*', CASE (i - 1) % 6 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 0 WHEN 3 THEN 1 WHEN 4 THEN 2 ELSE 1 END)), '') || {NL} END AS md FROM w)
+        SELECT doc_id, string_agg(md, {NL} ORDER BY seq) AS content FROM d WHERE md IS NOT NULL GROUP BY doc_id""",
+    "embed_hash": f"WITH {CHUNKS} SELECT chunk_index, sha256(content_type || '：' || section_path || ' | 来源: ' || source_file || {NL} || {NL} || content) AS text_hash, CAST(64 AS INTEGER) AS dim, {EXACT('1')} AS norm FROM chunks",
+    "rerank": f"""{LEGS}, t AS (SELECT query_id, fused_rank, chunk_index, count(*) OVER (PARTITION BY query_id) AS n, list_distinct({TOKENS("b.text")}) AS x, list_distinct({TOKENS("substr(d.text, 1, 500)")}) AS y
+          FROM fused JOIN benchmark b ON item_id = query_id JOIN documents d ON d.doc_id = chunk_index WHERE fused_rank <= 15),
+        s AS (SELECT query_id, fused_rank, chunk_index, CASE WHEN n > 3 THEN round({EXACT("len(list_intersect(x, y))")} / greatest(len(list_distinct(list_concat(x, y))), 1), 6) END AS rerank_score FROM t)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, fused_rank) AS rank, chunk_index, rerank_score FROM s QUALIFY rank <= 10""",
+    "source_images": f"{PAGE_HITS}, {page_images('query', 8)} SELECT * FROM images",
+    "image_intent": f"{PAGE_HITS}, {page_images("CASE WHEN query_id % 3 = 0 THEN query || ' 附图' ELSE query END", 2, "regexp_matches(query, '图|图纸|大样|示意图|标注|尺寸图|附图')")} SELECT * FROM images",
+    "source_tables": f"WITH {TABLES} SELECT * FROM tables",
+    "media_sections": f"""{PAGE_HITS}, {page_images("query", 8)}, {TABLES}, items AS (SELECT query_id, 'image' AS kind, relevance, place, url AS item FROM images UNION ALL SELECT query_id, 'table', relevance, place, table_text FROM tables)
+        SELECT query_id, {NL} || {NL} || '---' || {NL} || concat_ws({NL} || {NL}, {media("image", "direct", f"'### 直接参考图片' || {NL}", NL)}, {media("table", "direct", f"'### 直接参考表格' || {NL} || {NL}", f"{NL} || {NL}")},
+          {media("image", "indirect", f"'### 拓展参考图片' || {NL}", NL)}, {media("table", "indirect", f"'### 拓展参考表格' || {NL} || {NL}", f"{NL} || {NL}")}) AS media FROM items GROUP BY query_id""",
+    "chunk_documents": f"{PAGE_CHUNKS} SELECT * FROM page_chunks",
+    "image_columns": f"WITH {PAGES} SELECT doc_id, len({IMAGES.format('content')}) > 0 AS has_image, array_to_string({IMAGES.format('content')}, ',') AS image_ids FROM pages_md",
+    "audit_retrievability": f"{RETRIEVABLE} SELECT chunk_index AS query_id, best FROM sample LEFT JOIN best ON query_id = chunk_index",
+    "describe_files": r"""SELECT page_id, 'f' || page_id || e AS stem_ext, e AS ext, CASE WHEN page_id % 2 = 0 THEN 'f' || page_id || e ELSE substr(md5(CAST(page_id AS VARCHAR)), 1, 8) || '_f' || page_id || e END AS filename,
+        CAST(octet_length(encode(html)) AS BIGINT) AS length FROM (SELECT *, ['.txt', '.pdf', '.doc', '.md'][page_id % 5 + 1] AS e FROM pages) WHERE e IS NOT NULL""",
+    "parse_text": f"SELECT page_id, md5('# p' || page_id || {NL} || {NL} || html) AS content_md5, length(html) + length('p' || page_id) + 4 AS char_count FROM pages",
+    "chunks_roundtrip": f"WITH {CHUNKS} SELECT chunk_index, category, source_file, section_path, content_type, md5(content) AS content_md5, 'a,b' || chunk_index AS image_ids FROM chunks",
+    "table_roundtrip": "SELECT p_partkey, p_brand, p_type FROM part",
+    "read_terms": "SELECT DISTINCT trim(p_type, ' ') AS term FROM part WHERE trim(p_type, ' ') <> ''",
+    "read_synonyms": "SELECT trim(n_name, ' ') AS alias, r_name AS canonical FROM nation JOIN region ON r_regionkey = n_regionkey",
+    "vectors_cached": f"WITH {CHUNKS} SELECT chunk_index, sha256(content_type || '：' || section_path || ' | 来源: ' || source_file || {NL} || {NL} || content) AS text_hash, chunk_index % 2 = 0 AS from_cache FROM chunks",
+    "audit_run": f"""WITH r AS ({ORACLES["audit_report"]}), h AS (SELECT count(*) FILTER (WHERE chunk_index = best) AS hits, count(*) AS n FROM ({RETRIEVABLE.replace("LIMIT 20", "LIMIT 3")} SELECT chunk_index, best FROM sample LEFT JOIN best ON query_id = chunk_index)),
+        a AS (SELECT name, passed, level FROM r UNION ALL SELECT 'retrievability', n >= 3 AND hits >= 2, 'ERROR' FROM h) SELECT bool_and(passed OR level <> 'ERROR') AS passed, count(*) FILTER (WHERE NOT passed) AS n_failed FROM a""",
+    "ingest_stream": f"{PAGE_CHUNKS} SELECT doc_id, seq, category, source_file, section_path, content_type, content, split_strategy, has_image, image_ids, enriched_content FROM page_chunks",
+}

@@ -12,6 +12,8 @@ from corpusloom.functions import helpers
 from corpusloom.functions import text as T
 from corpusloom.jobs import corpus
 from corpusloom.operators import answer, audit, chunk, index, parse, retrieve
+from corpusloom.sources import tables
+from corpusloom.streaming import ingest
 
 TOP_K = 10
 RULES = [("the", "THE"), ("then", "AFTER"), ("AFTER", "later"), ("der", "DER")]
@@ -55,7 +57,7 @@ def elements_to_markdown(spark, sf_dir):
     pages = corpus.markdown_pages(spark, sf_dir)
     lines = pages.select("doc_id", F.posexplode(F.split("content", "\n")).alias("seq", "line"))
     runs = F.transform(F.split("line", " "), lambda w, i: F.struct(F.concat(w, F.lit(" ")).alias("text"), (i % 3 == 1).alias("bold"), (i % 2 == 1).alias("italic")))
-    rows = F.array(F.split(F.substring("line", 1, 30), " "), F.split(F.substring("line", 31, 20), " "))
+    rows = F.array(F.split("line", " "), F.array("line"))
     elements = lines.select(
         "doc_id", "seq", F.when(F.col("seq") % 7 == 3, "table").otherwise("para").alias("kind"), F.when(F.col("line").startswith("##"), "Heading 9").alias("style"),
         F.when(F.col("seq") % 5 == 0, 1).alias("outline_level"), runs.alias("runs"), rows.alias("rows"),
@@ -63,6 +65,23 @@ def elements_to_markdown(spark, sf_dir):
     return parse.elements_to_markdown(elements)
 
 
+@query
+def describe_files(spark, sf_dir):
+    """The pages as files of a drop folder, some of a kind that is not admitted, some with a stored prefix."""
+    pages = corpus.table(spark, sf_dir, "pages")
+    ext = F.get(F.array(*[F.lit(x) for x in (".txt", ".pdf", ".doc", ".md", ".exe")]), (F.col("page_id") % 5).cast("int"))
+    prefix = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.substring(F.md5(F.col("page_id").cast("string")), 1, 8), F.lit("_")))
+    path = F.concat(F.lit("file:/drop/"), prefix, F.lit("f"), "page_id", ext)
+    files = pages.select("page_id", path.alias("path"), F.octet_length("html").cast("long").alias("length"))
+    return parse.describe_files(files).select("page_id", F.col("original").alias("stem_ext"), "ext", "filename", "length")
+
+
+@query
+def parse_text(spark, sf_dir):
+    files = corpus.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), "page_id").alias("stem"), F.col("html").cast("binary").alias("content"))
+    return parse.parse_text(files).select("page_id", F.md5("content").alias("content_md5"), "char_count")
+
+
 @query
 def caption_candidates(spark, sf_dir):
     items = corpus.table(spark, sf_dir, "lineitem")
@@ -162,7 +181,9 @@ def headed(spark, sf_dir) -> DataFrame:
 def choose_strategy(spark, sf_dir):
     pages = corpus.markdown_pages(spark, sf_dir).select(F.col("doc_id").alias("id"), F.lit("page").alias("kind"), "content")
     docs = corpus.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), F.col("text").alias("content"))
-    return pages.unionByName(docs).select("id", "kind", chunk.choose_strategy(F.col("content")).alias("strategy"))
+    marked = lambda kind, pattern, made: docs.select("id", F.lit(kind).alias("kind"), F.regexp_replace("content", pattern, made).alias("content"))
+    cjk = marked("brackets", r"([A-Z][^.]*\.)", "【$1】").unionByName(marked("numbered", r"(?m)^([A-Z])", "一、$1"))
+    return pages.unionByName(docs).unionByName(cjk).select("id", "kind", chunk.choose_strategy(F.col("content")).alias("strategy"))
 
 
 @query
@@ -183,7 +204,7 @@ def split_subheadings(spark, sf_dir):
 
 @query
 def split_numbered(spark, sf_dir):
-    text = F.regexp_replace("text", r"(?m)^([A-Z])", "1.2 $1")
+    text = F.when(F.col("doc_id") % 2 == 0, F.regexp_replace("text", r"(?m)^([A-Z])", "1.2 $1")).otherwise(F.regexp_replace("text", r"(?m)^([A-Z])", "三、$1"))
     return chunk.explode_blocks(corpus.table(spark, sf_dir, "documents"), chunk.split_numbered(text)).select("doc_id", "seq", "title", F.md5("body").alias("body_md5"))
 
 
@@ -233,7 +254,13 @@ def chunk_index(spark, sf_dir):
 
 @query
 def chunk_documents(spark, sf_dir):
-    return chunk.chunk_documents(corpus.markdown_pages(spark, sf_dir)).drop("image_ids")
+    return chunk.chunk_documents(corpus.markdown_pages(spark, sf_dir)).withColumn("image_ids", F.array_join("image_ids", ","))
+
+
+@query
+def image_columns(spark, sf_dir):
+    ids = T.image_ids(F.col("content"))
+    return corpus.markdown_pages(spark, sf_dir).select("doc_id", (F.size(ids) > 0).alias("has_image"), F.array_join(ids, ",").alias("image_ids"))
 
 
 @query
@@ -241,7 +268,7 @@ def image_bindings(spark, sf_dir):
     blocks = headed(spark, sf_dir).where("length(body) % 2 = 0").select("doc_id", F.col("seq").cast("long").alias("chunk_index"), F.col("body").alias("content"))
     pages = corpus.markdown_pages(spark, sf_dir)
     chunks = blocks.join(pages.select("doc_id", "source_file"), "doc_id")
-    return chunk.image_bindings(pages, chunks).select("source_file", "chunk_index", "pos", "description", "path", "bound")
+    return chunk.image_bindings(pages, chunks).select("source_file", F.coalesce("chunk_index", F.lit(-1)).cast("long").alias("chunk_index"), "pos", "description", "path", "bound")
 
 
 @query
@@ -258,6 +285,41 @@ def embed_images_inline(spark, sf_dir):
     return pages.select("doc_id", helpers.embed_images_inline(text).alias("content"))
 
 
+# ---- sources and sinks: what is written in the shared folder and read again
+
+
+@query
+def chunks_roundtrip(spark, sf_dir):
+    at = tables.scratch_path(spark, "chunks")
+    chunks = corpus.document_chunks(spark, sf_dir).withColumn("image_ids", F.array(F.lit("a"), F.concat(F.lit("b"), "chunk_index")))
+    tables.write_chunks_jsonl(chunks, at)
+    return tables.read_chunks_jsonl(spark, at).select("chunk_index", "category", "source_file", "section_path", "content_type", F.md5("content").alias("content_md5"), F.array_join("image_ids", ",").alias("image_ids"))
+
+
+@query
+def table_roundtrip(spark, sf_dir):
+    at = tables.scratch_path(spark, "parts")
+    tables.write_table(corpus.table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type"), at, "p_brand")
+    return spark.read.parquet(at).select("p_partkey", "p_brand", "p_type")
+
+
+@query
+def read_terms(spark, sf_dir):
+    at = tables.scratch_path(spark, "terms")
+    corpus.table(spark, sf_dir, "part").select(F.concat(F.lit("  "), "p_type", F.lit(" "))).write.text(at)
+    return tables.read_terms(spark, at)
+
+
+@query
+def read_synonyms(spark, sf_dir):
+    """The nations as a dictionary file: a comment, blank lines, and each alias twice, of which the later counts."""
+    at = tables.scratch_path(spark, "synonyms")
+    nations = corpus.table(spark, sf_dir, "nation").join(corpus.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    line = F.concat(F.lit("# note\n"), "n_name", F.lit("=old\n\n "), "n_name", F.lit(" = "), "r_name")
+    nations.select(line).write.text(at)
+    return tables.read_synonyms(spark, at).select("alias", "canonical")
+
+
 # ---- indexes
 
 
@@ -291,7 +353,21 @@ def vector_table(spark, sf_dir):
 @query
 def embed_hash(spark, sf_dir):
     made = index.build_vectors(corpus.document_chunks(spark, sf_dir).withColumn("enriched_content", F.lit(None).cast("string")))
-    return made.select("chunk_index", "text_hash", F.size("embedding").alias("dim"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return made.select("chunk_index", "text_hash", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+@query
+def vectors_cached(spark, sf_dir):
+    """Vectors of which every second is taken from a cache, where they all are ones."""
+    chunks = corpus.document_chunks(spark, sf_dir).withColumn("enriched_content", F.lit(None).cast("string"))
+    keyed = index.text_hashes(chunks)
+    cache = keyed.where("chunk_index % 2 = 0").select("text_hash").distinct().withColumn("embedding", F.array_repeat(F.lit(1.0).cast("float"), 64))
+    made = index.build_vectors(chunks, cache).withColumn("cached", F.forall("embedding", lambda x: x == 1))
+    even = F.max((F.col("chunk_index") % 2 == 0)).over(W.partitionBy("text_hash"))
+    # a text that an even chunk has, too, is cached; any other has been embedded
+    right = made.withColumn("right", F.col("cached") == even)
+    return right.select("chunk_index", "text_hash", (F.col("right") & (F.col("chunk_index") % 2 == 0)).alias("from_cache"))
 
 
 # ---- retrieval
@@ -472,3 +548,24 @@ def audit_report(spark, sf_dir):
 def audit_retrievability(spark, sf_dir):
     chunks = corpus.document_chunks(spark, sf_dir)
     return audit.self_retrieval(chunks, index.build_bm25(chunks), 20)
+
+
+@query
+def audit_run(spark, sf_dir):
+    chunks = corpus.document_chunks(spark, sf_dir)
+    checks = audit.run_audit(chunks, index.build_bm25(chunks), index.doc_stats(chunks), corpus.document_vectors(spark, sf_dir), 64)
+    return audit.report(checks)
+
+
+# ---- streaming
+
+
+@query
+def ingest_stream(spark, sf_dir):
+    """The pages, dropped as a stream, as chunks without their numbers; the same as from one batch."""
+    at = tables.scratch_path(spark, "ingest")
+    corpus.markdown_pages(spark, sf_dir).write.parquet(f"{at}/drop")
+    ingest.ingest_stream(spark, f"{at}/drop", f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    chunks = spark.read.parquet(f"{at}/out/chunks").drop("chunk_index")
+    kept = ["doc_id", "seq", "category", "source_file", "section_path", "content_type", "content", "split_strategy", "has_image"]
+    return chunks.select(*kept, F.array_join("image_ids", ",").alias("image_ids"), "enriched_content")

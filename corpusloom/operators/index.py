@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import helpers
 from corpusloom.functions import text as T
+from corpusloom.sources.tables import checkpointed
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -37,9 +38,15 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def build_bm25(chunks: DataFrame) -> LexicalIndex:
-    """idf = ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a quarter of the mean over all terms."""
-    counted = postings(chunks)
-    stats = doc_stats(chunks).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    """idf = ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a quarter of the mean over all terms.
+
+    The texts are tokenised once: postings are checkpointed, and what else there is follows from them and the
+    number of chunks.
+    """
+    counted = checkpointed(postings(chunks))
+    sizes = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    stats = chunks.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(F.broadcast(sizes))  # one row
+    stats = stats.select("n_docs", (F.col("n_tokens") / F.nullif(F.col("n_docs"), F.lit(0))).alias("avgdl"))
     raw = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
     raw = raw.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("avg_idf"))
@@ -48,12 +55,17 @@ def build_bm25(chunks: DataFrame) -> LexicalIndex:
     return LexicalIndex(counted, terms.select("term", "df", idf.alias("idf")), stats.crossJoin(F.broadcast(mean)))
 
 
+def text_hashes(chunks: DataFrame) -> DataFrame:
+    """chunk_index, t (what is embedded for a chunk) and text_hash."""
+    body = F.coalesce("enriched_content", "content")
+    keyed = chunks.select("chunk_index", T.embed_text(F.col("content_type"), F.col("section_path"), F.col("source_file"), body).alias("t"))
+    return keyed.withColumn("text_hash", F.sha2("t", 256))
+
+
 def build_vectors(chunks: DataFrame, cache: DataFrame | None = None, dim: int = 64, encoder=helpers.hashed_vector) -> DataFrame:
     """chunk_index, text_hash, embedding. Each distinct text is embedded once, and not at all if ``cache``
     (text_hash, embedding) has it."""
-    body = F.coalesce("enriched_content", "content")
-    keyed = chunks.select("chunk_index", T.embed_text(F.col("content_type"), F.col("section_path"), F.col("source_file"), body).alias("t"))
-    keyed = keyed.withColumn("text_hash", F.sha2("t", 256))
+    keyed = text_hashes(chunks)
     todo = keyed.dropDuplicates(["text_hash"])
     if cache is not None:
         todo = todo.join(cache, "text_hash", "left_anti")

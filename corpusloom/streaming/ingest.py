@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.functions import text as T
 from corpusloom.operators import index
+from corpusloom.operators.chunk import chunk_documents
 from corpusloom.sources.tables import checkpointed
 
 DOCS = "doc_id long, category string, source_file string, content string"
@@ -21,36 +21,38 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def new_documents(batch: DataFrame, chunks: DataFrame | None) -> DataFrame:
-    """The documents of a batch that are not in chunks yet, each once: the longest of several with one id."""
+def new_documents(batch: DataFrame, ledger: DataFrame | None) -> DataFrame:
+    """The documents of a batch that are not in the ledger yet, each once: the longest of several with one id."""
     longest = F.max_by(F.struct("category", "source_file", "content"), F.struct(F.length("content"), "content"))
     once = batch.where("doc_id IS NOT NULL AND content IS NOT NULL").groupBy("doc_id").agg(longest.alias("d")).select("doc_id", "d.*")
-    return once if chunks is None else once.join(chunks.select("doc_id"), "doc_id", "left_anti")
+    return once if ledger is None else once.join(ledger.select("doc_id"), "doc_id", "left_anti")
 
 
-def append_batch(batch: DataFrame, out: str) -> None:
-    """Chunks, then postings, of the new documents of a batch, appended under ``out``.
+def append_batch(batch: DataFrame, out: str, batch_id: int | None = None) -> None:
+    """Chunks and postings of the new documents of a batch under ``out``, made by the batch chunker.
 
-    A batch that is run again finds its documents in chunks and adds nothing; its postings are made for every
-    document that has chunks but no postings, so a run that stopped in between is made good.
+    The ledger holds the ids of all documents seen, also those without any chunk, and is the only thing that a batch
+    reads of what came before. What a batch makes is written under its own number, the ledger last: a batch that
+    stopped in between is written anew in the same place, and one that is run again finds its documents in
+    the ledger. Chunks are numbered within their batch; chunk_index holds the batch in its upper bits.
     """
-    from corpusloom.operators.chunk import documents_to_blocks
-
     spark = batch.sparkSession
-    fresh = checkpointed(new_documents(batch, _existing(spark, f"{out}/chunks")))
-    blocks = documents_to_blocks(fresh).join(fresh.select("doc_id", "category", "source_file"), "doc_id")
-    blocks = blocks.select("doc_id", "seq", "category", "source_file", F.col("title").alias("section_path"), F.col("body").alias("content"), T.classify_content(F.col("body")).alias("content_type"))
-    blocks.withColumn("chunk_index", F.col("doc_id") * F.lit(1 << 20) + F.col("seq")).write.mode("append").parquet(f"{out}/chunks")
-    todo = spark.read.parquet(f"{out}/chunks")
-    if (done := _existing(spark, f"{out}/postings")) is not None:
-        todo = todo.join(done.select("chunk_index").distinct(), "chunk_index", "left_anti")
-    index.postings(todo).write.mode("append").parquet(f"{out}/postings")
+    number = (0 if (last := _existing(spark, f"{out}/ledger")) is None else last.select(F.max("batch")).first()[0] + 1) if batch_id is None else batch_id
+    ledger = _existing(spark, f"{out}/ledger")
+    fresh = checkpointed(new_documents(batch, ledger if ledger is None else ledger.where(F.col("batch") != number)))
+    if fresh.isEmpty():
+        return
+    chunks = chunk_documents(fresh).withColumn("chunk_index", F.shiftleft(F.lit(number).cast("long"), 40) + F.col("chunk_index"))
+    chunks.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+    stored = spark.read.parquet(f"{out}/chunks/batch={number}")
+    index.postings(stored).write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
+    fresh.select("doc_id").write.mode("overwrite").parquet(f"{out}/ledger/batch={number}")
 
 
 def ingest_stream(spark: SparkSession, drop: str, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Follows the Parquet files of a drop folder; each micro-batch goes through append_batch."""
     stream = spark.readStream.schema(DOCS).parquet(drop)
-    writer = stream.writeStream.foreachBatch(lambda df, _: append_batch(df, out)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, number: append_batch(df, out, number)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
