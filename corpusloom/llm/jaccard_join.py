@@ -126,7 +126,7 @@ def survey(docs: DataFrame) -> DataFrame:
         for ids, sets in blocks(batches):
             keys = [set_key(s) for s in sets]
             kinds = [pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            points = pa.array([point(s) for s in sets], pa.binary())
+            points = pa.array([fine_point(s) for s in sets], pa.binary())
             least = pa.array([least_hashes(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*kinds, pa.array(keys, pa.binary()), points, least, pa.nulls(len(ids), pa.int64())], names=names)
             unlike = list(dict(zip(keys, sets, strict=True)).values())
@@ -249,20 +249,6 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.mapInArrow(run, "a long, b long")
 
 
-def closely_bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their fine points (doc_id, n, point) allow; a point is a twenty-fourth of its set's size."""
-    one = pairs.join(points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb")), "b")
-    two = one.join(points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa")), "a")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "pa", "pb")), strict=True)
-            good = pa.array([7 * fine_bound(x, y) >= 3 * (m + n) for m, n, x, y in rows], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
-
-    return two.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
-
-
 def led(cells: DataFrame) -> DataFrame:
     """Links (a, b) found in rows (cell, salt, lead, doc_id, grp, n, members, fine) that are sorted by the first four.
 
@@ -388,24 +374,26 @@ def meet(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, tiles: np.nd
 
 
 def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """meet() for every cell of a partition that is sorted by cell. A cell has a bounded number of rows."""
+    """meet() for every cell of a partition that is sorted by cell; what the finer points allow is left. A cell has a bounded number of rows."""
     names = ["token", "lo", "hi", "doc_id", "n", "grp", "tile", "point"]
     known: set[tuple[int, int]] = set()
 
     def pairs_in(table: pa.Table, cuts: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
         _, lo, hi, ids, sizes, groups, tiles = columns
-        points = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
-        found = [np.empty((2, 0), np.int64)]
+        fine = table.column("point").to_pylist()
+        points = np.stack([folded(x) for x in fine])
+        found: dict[tuple[int, int], tuple[int, int]] = {}
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             s = slice(a, b)
             if (groups[s] != groups[a]).any():
-                found.append(a + meet(points[s], sizes[s], groups[s], None if lo[a] == hi[a] else tiles[s]))
-        i, j = np.concatenate(found, axis=1)
-        pairs = set(zip(*np.sort(np.stack([ids[i], ids[j]]), axis=0).tolist(), strict=True)) - known
-        if len(known) > 1_000_000:  # a pair that comes again is dropped later on
+                i, j = a + meet(points[s], sizes[s], groups[s], None if lo[a] == hi[a] else tiles[s])
+                found.update(zip(zip(*np.sort(np.stack([ids[i], ids[j]]), axis=0).tolist(), strict=True), zip(i.tolist(), j.tolist(), strict=True), strict=True))
+        new = {p: at for p, at in found.items() if p not in known}
+        if len(known) > 1_000_000:  # a pair that comes again is looked at again
             known.clear()
-        known.update(pairs)
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        known.update(new)
+        good = [p for p, (i, j) in new.items() if 7 * fine_bound(fine[i], fine[j]) >= 3 * (sizes[i] + sizes[j])]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     waiting: pa.Table | None = None
 
@@ -437,7 +425,7 @@ def unlike_cells(cells: DataFrame) -> DataFrame:
 
 
 def tree_pairs(cells: DataFrame, points: DataFrame, tile_rows: int = 1024) -> DataFrame:
-    """Candidate pairs (a, b) of different groups from cells (token, doc_id, grp) and points (doc_id, n, point)."""
+    """Candidate pairs (a, b) of different groups from cells (token, doc_id, grp) and fine points (doc_id, n, point)."""
     sizes = cells.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     tiles = F.ceil(F.col("size") / tile_rows).cast("int")
     dealt = cells.join(sizes, "token").withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles).cast("int"))
@@ -498,8 +486,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, frequent: int = 65_53
     if not pairs.isEmpty():
         asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(alive, "doc_id", "left_anti")
         sets = checkpointed(sets.union(packed_sets(narrow.join(asked, "doc_id", "left_semi"))).join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
-        fine = sets.select("doc_id", "n", F.col("fine").alias("point"))
-        links = checkpointed(links.union(verify(closely_bounded(pairs, fine), sets)))
+        links = checkpointed(links.union(verify(pairs, sets)))
         groups = components(links)
 
     label = groups.select(F.col("id").alias("doc_id"), "component_id")

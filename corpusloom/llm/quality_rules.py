@@ -9,6 +9,7 @@ numbers each, come to the driver once, and EM runs over them there.
 
 from __future__ import annotations
 
+import gc
 import math
 from dataclasses import dataclass
 from functools import reduce
@@ -245,8 +246,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the cluster's shared folder."""
+    """df cut from its lineage by a reliable checkpoint in the cluster's shared folder.
+
+    Shuffle files and checkpoints that nothing needs any longer go when the driver collects its garbage, which may be
+    after many steps; it is asked to do so here, so that long jobs do not fill the disks with steps that are over.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    done = df.checkpoint()
+    gc.collect()
+    context._jvm.System.gc()
+    return done
