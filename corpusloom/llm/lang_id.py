@@ -25,10 +25,10 @@ UNKNOWN = "und"
 SPACE = 32
 
 
-@lru_cache(maxsize=1)
-def letters() -> np.ndarray:
-    """For each code point, whether it is a letter or a mark."""
-    return np.array([unicodedata.category(chr(p))[0] in "LM" for p in range(0x110000)])
+@lru_cache(maxsize=2)
+def letters(kinds: str = "LM") -> np.ndarray:
+    """For each code point, whether it is a letter (L) or a mark (M)."""
+    return np.array([unicodedata.category(chr(p))[0] in kinds for p in range(0x110000)])
 
 
 def letter_vectors(points: np.ndarray) -> np.ndarray:
@@ -54,10 +54,10 @@ def bind(codes: np.ndarray) -> np.ndarray:
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray] | None:
     """The distinct trigrams of a text's words, packed, and how often each occurs; None without any letter."""
     points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if not letters("L")[points].any():
+        return None
     points = np.where(letters()[points], points, SPACE)
     points = points[(points != SPACE) | np.append(True, points[:-1] != SPACE)]
-    if len(points) < 3:
-        return None
     return np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:], return_counts=True)
 
 

@@ -43,3 +43,7 @@ def test_vectors_follow_the_definition():
     assert (counts @ g.bind(codes) == total).all()
     small = g.Vectors(limit=3)
     assert all((small.of(codes) == g.bind(codes)).all() for _ in range(3))
+
+
+def test_marks_alone_are_no_letters():
+    assert g.trigrams("\u0301\u0300 12 \u0e49") is None and g.trigrams("e\u0301") is not None

@@ -54,3 +54,22 @@ def test_documents(spark):
         spans.sort()
         assert all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and spans[-1][1] <= spans[0][2] and spans[0][0] == 0
     assert p.pack_documents(docs.limit(0), F.lit(1)).count() == 0
+
+
+def test_several_sizes_are_opened_where_one_would_cost_more():
+    rng = random.Random(7)
+    caps = p.CAPACITIES
+    price = lambda sizes: sum(c + c * c / p.QUADRATIC + 16 for c in sizes)
+    for _ in range(5):
+        lengths = [min(8192, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(3000)]
+        _, opened, final = p.opened_and_final(lengths)
+        assert len(set(opened)) >= 3 and max(opened.count(c) for c in caps) < 0.9 * len(opened)
+        one_size = min(price([c for c in p.opened_and_final([n for n in lengths if n <= c], (c,))[1]]) + price(p.pack([n for n in lengths if n > c], caps)[1]) for c in caps)
+        assert price(final) <= 1.02 * one_size and sum(final) < 1.1 * sum(lengths)
+
+
+def test_shards_of_one_repeated_id_are_even(spark):
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x" * 40).alias("text"))
+    out = p.pack_documents(docs, p.token_estimate(F.col("text")), shard_rows=100)
+    sizes = [r["count"] for r in out.groupBy(F.shiftright("bin_id", 32)).count().collect()]
+    assert sum(sizes) == 5000 and len(sizes) > 40 and max(sizes) < 200
