@@ -1,10 +1,13 @@
 """Main text of web pages by minimum-cut labelling.
 
-Each text block of a page is a node. What a simple classifier thinks of the block (its place under article
-or nav elements, class names, links, length, punctuation) becomes a pair of terminal capacities, the cost of
-calling it boilerplate and the cost of calling it content. Blocks that follow each other, and blocks that
-follow each other under the same element, are joined by smoothness edges, the dearer the closer they are
-in the DOM. The minimum cut then labels all blocks of the page at once.
+Each text block of a page is a node. A logistic classifier looks at the block alone: its length, its links, its
+element, how it ends. It is fitted on a bounded sample of the pages themselves, where the elements around a block tell
+what it is: article and main elements against navigation, footers, notices and the like. Its log-odds and what the
+elements around say become a pair of terminal capacities, the cost of calling the block boilerplate and the cost of
+calling it content. Blocks that follow each other, and blocks that follow each other under the same element, are
+joined by smoothness edges as dear as a middling opinion, the dearer the closer they are in the DOM. The minimum
+cut then labels all blocks of the page at once, so that a short or linked block among content stays, and a long one among
+boilerplate goes.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,12 +42,14 @@ COMMENTS = set("comment comments commentlist disqus discussion replies respond r
 CONTENT = set("article articlebody body content entry main maintext post story text".split())
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|[^<]+|<""", re.S
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">]++)*+(?:["'][^>]*+)?)(?:>|\Z)|[^<]++|<""", re.S
 )
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+")
 BLANK = re.compile(r"\s+")
 LOCKED = -9.0
+ARTICLE, CONTAINER = 5.0, 3.0  # what an article element, or one with a name of CONTENT, adds to the log-odds
+SMOOTH = 3.0
 
 
 @dataclass
@@ -51,6 +57,7 @@ class Block:
     parent: int  # the element it lies in
     tag: str
     bias: float  # what the elements around it say
+    around: int = 0  # the element that the one it lies in lies in
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
@@ -79,21 +86,51 @@ def _bias(around: float, tag: str, attributes: str) -> float:
     if words & COMMENTS:
         return LOCKED
     if tag in ("article", "main") or "main" in words:
-        return 5.0
+        return ARTICLE
     if tag == "header" and around <= 0:
         return LOCKED
     if words & BOILERPLATE and tag not in INLINE:
         return -6.0
     if words & CONTENT and around >= 0:
-        return max(around, 3.0)
+        return max(around, CONTAINER)
     return around
 
 
+class Open:
+    """The elements that are open, with what is asked of them known without going through them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # name, number, bias
+        self.places: dict[str, list[int]] = {}
+        self.blocks = [0]  # places of those that are not inline
+
+    def push(self, tag: str, number: int, bias: float) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, number, bias))
+
+    def last(self, tag: str) -> int | None:
+        at = self.places.get(tag)
+        return at[-1] if at else None
+
+    def close(self, at: int) -> None:
+        """Closes the element at this place and all within it."""
+        while len(self.stack) > at:
+            self.places[self.stack.pop()[0]].pop()
+        while self.blocks[-1] >= at:
+            self.blocks.pop()
+
+    @property
+    def linked(self) -> bool:
+        return bool(self.places.get("a"))
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, with the DOM position and the hints of each."""
     found: list[Block] = []
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # name, number, bias
-    numbers, links, current, raw = 0, 0, None, None
+    opened = Open()
+    numbers, current, raw = 0, None, None
     for m in TOKEN.finditer(page):
         tag = m[2]
         if raw is not None:  # until its end tag, all is raw text
@@ -103,14 +140,12 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             if m[0][0] != "<" or m[0] == "<":
                 if current is None:
-                    name, number, bias = stack[-1]
-                    depth = len(stack) - 1
-                    while stack[depth][0] in INLINE:
-                        depth -= 1
-                    current = Block(stack[depth][1], stack[depth][0], bias)
+                    name, number, _ = opened.stack[opened.blocks[-1]]
+                    outer = opened.stack[opened.blocks[-2]][1] if len(opened.blocks) > 1 else -1
+                    current = Block(number, name, opened.stack[-1][2], outer)
                     found.append(current)
                 current.parts.append(m[0])
-                if links:
+                if opened.linked:
                     current.linked += len(m[0])
             elif m[0].startswith("<![CDATA[") and current is not None:
                 current.parts.append(html.escape(m[0][9:].removesuffix("]]>")))
@@ -124,111 +159,187 @@ def blocks_of(page: str) -> list[Block]:
                 continue
             current = None
         if m[1]:
-            names = [x[0] for x in stack]
-            if tag in names[1:]:
-                at = len(names) - 1 - names[::-1].index(tag)
-                if not inline or not any(x not in INLINE for x in names[at:]):
-                    links -= names[at:].count("a")
-                    del stack[at:]
+            at = opened.last(tag)
+            if at is not None and (not inline or opened.blocks[-1] < at):
+                opened.close(at)
             continue
         if tag in RAW:
             raw = tag if not m[3].endswith("/") else None
             continue
         if tag in CLOSES_P:
-            names = [x[0] for x in stack]
-            if "p" in names:
-                at = len(names) - 1 - names[::-1].index("p")
-                links -= names[at:].count("a")
-                del stack[at:]
-        elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack[-1][0] == tag:
-            stack.pop()
+            if (at := opened.last("p")) is not None:
+                opened.close(at)
+        elif tag in ("li", "td", "th", "tr", "dt", "dd", "option") and opened.stack[-1][0] == tag:
+            opened.close(len(opened.stack) - 1)
         if tag in VOID or m[3].endswith("/"):
             continue
         numbers += 1
-        links += tag == "a"
-        stack.append((tag, numbers, _bias(stack[-1][2], tag, m[3])))
+        opened.push(tag, numbers, _bias(opened.stack[-1][2], tag, m[3]))
     for b in found:
         b.text = BLANK.sub(" ", html.unescape("".join(b.parts))).strip()
     return [b for b in found if b.text]
 
 
-def costs(b: Block) -> tuple[float, float]:
-    """The cost of calling a block boilerplate, and that of calling it content."""
+def features(b: Block) -> tuple[float, ...]:
+    """What the classifier knows of a block: nothing of the elements around it."""
+    size = len(b.text)
+    return (
+        1.0, math.log2((size + 1) / 60), min(1.0, b.linked / size), float(b.text[-1] in ".!?:;\"'”»)"), float(b.tag == "li"),
+        float(b.tag in ("p", "pre", "blockquote")), float(b.tag in ("h1", "h2", "h3")),
+    )
+
+
+#: Weights for the features above where there is nothing to learn from.
+UNTAUGHT = (-0.3, 0.8, -4.0, 1.0, -0.5, 1.0, 1.0)
+
+
+def taught(examples: np.ndarray, ridge: float = 1.0, rounds: int = 15) -> tuple[float, ...]:
+    """Weights by logistic regression (Newton's method) from rows of label and features; pulled towards UNTAUGHT."""
+    start = np.array(UNTAUGHT)
+    if len(examples) == 0 or len(set(examples[:, 0])) < 2:
+        return UNTAUGHT
+    y, x = examples[:, 0], examples[:, 1:]
+    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both labels weigh the same
+    w = start.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (balance * (p - y)) + ridge * (w - start)
+        curve = (x * (balance * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return tuple(w.tolist())
+
+
+def examples_of(page: str | None) -> list[tuple[float, ...]]:
+    """Label (1: content) and features of the blocks of a page whose surroundings tell what they are."""
+    return [(float(b.bias > 0), *features(b)) for b in blocks_of(page or "") if b.bias != 0]
+
+
+def costs(b: Block, weights: tuple[float, ...] = UNTAUGHT, most: float = 5.0) -> tuple[float, float]:
+    """The cost of calling a block boilerplate, and that of calling it content; the classifier's part is ``most`` at most."""
     if b.bias == LOCKED:
         return 0.0, 1e6
-    size = len(b.text)
-    score = b.bias + 0.8 * math.log2((size + 1) / 60) + (0.7 if b.text[-1] in ".!?:;\"'”»)" else -0.3)
-    score -= 4.0 * min(1.0, b.linked / size) + (0.5 if b.tag == "li" else 0.0)
-    score += 1.0 if b.tag in ("p", "h1", "h2", "h3", "pre", "blockquote") else 0.0
+    opinion = sum(w * x for w, x in zip(weights, features(b), strict=True))
+    score = b.bias + min(max(opinion, -most), most)
     return max(score, 0.0), max(-score, 0.0)
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """For each node, whether it stays on the source's side of a minimum cut."""
+    """For each node, whether it stays on the source's side of a minimum cut.
+
+    Blocking flows along levels: nodes with something left push it along edges that lead one level nearer to those with
+    a need, each edge being left behind once nothing goes through it.
+    """
+    n, tiny = len(source), 1e-9
     excess = [a - b for a, b in zip(source, sink, strict=True)]  # what goes straight through is pushed at once
-    room: list[dict[int, float]] = [{} for _ in source]
+    around: list[list[int]] = [[] for _ in range(n)]
+    room: list[float] = []
+    ends: list[int] = []
     for (i, j), w in edges.items():
-        room[i][j] = room[i].get(j, 0.0) + w
-        room[j][i] = room[j].get(i, 0.0) + w
-    while True:  # shortest augmenting paths from nodes with something left to nodes with a need
-        reached = {i: -1 for i, x in enumerate(excess) if x > 1e-9}
-        queue, end = deque(reached), None
-        while queue and end is None:
+        for a, b in ((i, j), (j, i)):
+            around[a].append(len(ends))
+            ends.append(b)
+            room.append(w)
+    while True:
+        level = [-1] * n
+        queue = deque(i for i in range(n) if excess[i] > tiny)
+        for i in queue:
+            level[i] = 0
+        needed = False
+        while queue:
             i = queue.popleft()
-            for j, w in room[i].items():
-                if w > 1e-9 and j not in reached:
-                    reached[j] = i
-                    if excess[j] < -1e-9:
-                        end = j
-                        break
-                    queue.append(j)
-        if end is None:
-            return [i in reached for i in range(len(source))]
-        path = [end]
-        while reached[path[-1]] >= 0:
-            path.append(reached[path[-1]])
-        path.reverse()
-        push = min(excess[path[0]], -excess[end], *(room[i][j] for i, j in zip(path, path[1:], strict=False)))
-        excess[path[0]] -= push
-        excess[end] += push
-        for i, j in zip(path, path[1:], strict=False):
-            room[i][j] -= push
-            room[j][i] += push
-
-
-def main_text(page: str | None) -> str:
-    """The blocks of a page that the cut leaves with the content, joined by line ends."""
-    nodes = blocks_of(page or "")
-    pairs = [costs(b) for b in nodes]
+            needed |= excess[i] < -tiny
+            for e in around[i]:
+                if room[e] > tiny and level[ends[e]] < 0:
+                    level[ends[e]] = level[i] + 1
+                    queue.append(ends[e])
+        if not needed:
+            return [x >= 0 for x in level]
+        at = [0] * n
+        for start in [i for i in range(n) if level[i] == 0]:
+            path: list[int] = []  # edges from start on
+            i = start
+            while excess[start] > tiny:
+                if excess[i] < -tiny:
+                    push = min(excess[start], -excess[i], *(room[e] for e in path))
+                    excess[start] -= push
+                    excess[i] += push
+                    for e in path:
+                        room[e] -= push
+                        room[e ^ 1] += push
+                    path, i = [], start
+                    continue
+                while at[i] < len(around[i]) and not (room[e := around[i][at[i]]] > tiny and level[ends[e]] == level[i] + 1):
+                    at[i] += 1
+                if at[i] < len(around[i]):
+                    path.append(around[i][at[i]])
+                    i = ends[path[-1]]
+                elif path:
+                    i = ends[path.pop() ^ 1]
+                    at[i] += 1
+                else:
+                    break
+
+
+def smoothness(nodes: list[Block]) -> dict[tuple[int, int], float]:
+    """Edges between blocks that follow each other, in the page or under one element."""
     edges: dict[tuple[int, int], float] = {}
     previous: dict[int, int] = {}
     for k, b in enumerate(nodes):
         if k:
             a = nodes[k - 1]
-            near = 1.0 if a.parent == b.parent else 0.5 if (a.bias, a.tag) == (b.bias, b.tag) else 0.1
-            edges[k - 1, k] = near * (0.1 if a.bias != b.bias else 1.0)
+            siblings = a.parent == b.parent or a.around == b.around
+            near = 1.0 if siblings else 0.6 if a.parent == b.around or a.around == b.parent else 0.3
+            edges[k - 1, k] = SMOOTH * near * (0.05 if a.bias != b.bias else 1.0)
         if (j := previous.get(b.parent)) is not None and j < k - 1:
-            edges[j, k] = 0.5
+            edges[j, k] = 0.5 * SMOOTH * (0.05 if nodes[j].bias != b.bias else 1.0)
         previous[b.parent] = k
-    kept = minimum_cut([p[0] for p in pairs], [p[1] for p in pairs], edges)
+    return edges
+
+
+def main_text(page: str | None, weights: tuple[float, ...] = UNTAUGHT) -> str:
+    """The blocks of a page that the cut leaves with the content, joined by line ends."""
+    nodes = blocks_of(page or "")
+    pairs = [costs(b, weights) for b in nodes]
+    kept = minimum_cut([p[0] for p in pairs], [p[1] for p in pairs], smoothness(nodes))
     return "\n".join(b.text for b, keep in zip(nodes, kept, strict=True) if keep)
 
 
-def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
+def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 1000) -> tuple[float, ...]:
+    """The classifier's weights from ``sample_pages`` pages, those first by the hash of their html; the features of some
+    tens of blocks a page come to the driver. Without any page that tells what its blocks are: UNTAUGHT."""
+    sample = pages.select(F.col(html_col).cast("string").alias("html")).where("html IS NOT NULL").orderBy(F.xxhash64("html"), "html").limit(sample_pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column("html").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(examples_of(page)[:1000], pa.list_(pa.float64()))], names=["e"])
+
+    found = [r["e"] for r in sample.mapInArrow(run, "e array<double>").collect()]
+    return taught(np.array(sorted(found)).reshape(len(found), len(UNTAUGHT) + 1))
+
+
+def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), sample_pages: int = 1000) -> DataFrame:
     """The columns of ``keep``, text (the main text, empty if there is none) and n_chars, for each page.
 
-    Null html counts as empty; broken markup is read as far as it goes; repeated rows are extracted one by one;
-    other columns are ignored.
+    The classifier is fitted on ``sample_pages`` pages at most, then every page is read whole. Null html counts as empty;
+    broken markup is read as far as it goes; repeated rows are extracted one by one; other columns are ignored.
     """
-    narrow = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
+    weights = learn(pages, html_col, sample_pages)
+    own = "page"
+    while own in keep:
+        own += "_"
+    narrow = pages.select(*keep, F.col(html_col).cast("string").alias(own))
     fields = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column("__html")
+            raw = batch.column(len(keep))
             for start in range(0, len(raw), 256):
-                texts = pa.array([main_text(x) for x in raw.slice(start, 256).to_pylist()], pa.string())
-                columns = [batch.column(k).slice(start, len(texts)) for k in keep]
+                texts = pa.array([main_text(x, weights) for x in raw.slice(start, 256).to_pylist()], pa.string())
+                columns = [batch.column(k).slice(start, len(texts)) for k in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, texts], names=[*keep, "text"])
 
     out = narrow.mapInArrow(run, f"{fields}, text string")

@@ -1,5 +1,8 @@
 import itertools
 import random
+import time
+
+import numpy as np
 
 from corpusloom.llm import html_text as h
 
@@ -51,3 +54,47 @@ def test_rows(spark):
     n = len(h.main_text(PAGE))
     assert got == [(1, n, True), (1, n, True), (2, 0, False), (3, 0, False)]
     assert h.extract(pages.limit(0)).count() == 0
+
+
+def by_threshold(page):
+    return [b.text for b in h.blocks_of(page) if (c := h.costs(b))[0] > c[1]]
+
+
+def test_cut_mends_what_a_threshold_gets_wrong():
+    long = "A long sentence that says a lot about its matter, and goes on and on. " * 3
+    linked, plain = '<p><a href="/s">Source of the figures</a></p>', "<p>One plain sentence of middling length, here.</p>"
+    content = f"<div><p>{long}</p><p>{long}</p>{linked}<p>{long}</p></div>"
+    links = "".join(f'<p><a href="/{k}">Another page of ours, number {k}</a></p>' for k in range(4))
+    page = f"<body>{content}<div>{links}{plain}{links}</div></body>"
+    kept = h.main_text(page).split("\n")
+    assert "Source of the figures" in kept and "Source of the figures" not in by_threshold(page)
+    assert "One plain sentence of middling length, here." not in kept and "One plain sentence of middling length, here." in by_threshold(page)
+    assert kept == [long.strip(), long.strip(), "Source of the figures", long.strip()]
+
+
+def test_classifier_learns_from_the_pages():
+    rng = random.Random(3)
+    pages = []
+    for _ in range(60):
+        texts = "".join("<p>" + " ".join(["word"] * rng.randint(20, 80)) + ".</p>" for _ in range(5))
+        menu = "".join(f"<li><a href=/{k}>word word</a></li>" for k in range(6))
+        pages.append(f"<nav><ul>{menu}</ul></nav><article>{texts}</article><footer>word word</footer>")
+    examples = np.array([e for page in pages for e in h.examples_of(page)])
+    weights = h.taught(examples)
+    right = ((examples[:, 1:] @ np.array(weights) > 0) == (examples[:, 0] > 0)).mean()
+    assert right > 0.98 and weights != h.UNTAUGHT and h.taught(examples[:0]) == h.UNTAUGHT
+
+
+def test_long_and_deep_pages_take_little_time():
+    n = 5000
+    mixed = "".join(f"<div>{'<b>x' * 2}</div><p><a href=/>l{k}</a><p>{'word ' * (k % 40)}" for k in range(n))
+    began = time.perf_counter()
+    for page in (mixed, "<div>" * n + "deep" + "</div>" * n, '<a href="x>' + "<p>it's" * n, "<article>" + mixed):
+        assert isinstance(h.main_text(page), str)
+    assert time.perf_counter() - began < 20
+
+
+def test_clashing_column_names(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "x")], "__html long, __page string, html string, text string")
+    got = h.extract(pages, keep=("__html", "__page")).first()
+    assert (got["__html"], got["__page"], got.text) == (1, "u", h.main_text(PAGE))
