@@ -10,7 +10,7 @@ Jaccard similarity is at least 3/4, and documents get the smallest id that they
    these, a fixed number, come last in the shingle order.
 2. Groups of near copies are tied together first, without their pairs: documents with an equal least hash meet, and
    each is compared with the leaders found so far, nearest point first, until one links; else it leads itself.
-3. What is left is the exact search between different groups. Sets this similar share a shingle among their first
+3. What is left is the exact search between different groups, first for a few pairs of each two, then for all. Sets this similar share a shingle among their first
    n/4 + 1 in any common order. The rare ones come first, so a passage that many documents share stays out of
    these prefixes. A second pass deals the prefixes into cells, one per shingle. Cells of a single set or a single
    group are dropped, as are all but one of those with the same sets.
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -373,8 +374,11 @@ def meet(points: np.ndarray, sizes: np.ndarray, groups: np.ndarray, tiles: np.nd
     return np.concatenate(found, axis=1)
 
 
-def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """meet() for every cell of a partition that is sorted by cell; what the finer points allow is left. A cell has a bounded number of rows."""
+def meet_all(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """meet() for every cell of a partition that is sorted by cell; what the finer points allow is left. A cell has a bounded number of rows.
+
+    Without ``every``, two groups get one pair in the whole partition, the best by its points in the first cell that has one.
+    """
     names = ["token", "lo", "hi", "doc_id", "n", "grp", "tile", "point"]
     known: set[tuple[int, int]] = set()
 
@@ -382,18 +386,26 @@ def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, lo, hi, ids, sizes, groups, tiles = columns
         fine = table.column("point").to_pylist()
         points = np.stack([folded(x) for x in fine])
-        found: dict[tuple[int, int], tuple[int, int]] = {}
+        good: list[tuple[int, int]] = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             s = slice(a, b)
-            if (groups[s] != groups[a]).any():
-                i, j = a + meet(points[s], sizes[s], groups[s], None if lo[a] == hi[a] else tiles[s])
-                found.update(zip(zip(*np.sort(np.stack([ids[i], ids[j]]), axis=0).tolist(), strict=True), zip(i.tolist(), j.tolist(), strict=True), strict=True))
-        new = {p: at for p, at in found.items() if p not in known}
-        if len(known) > 1_000_000:  # a pair that comes again is looked at again
-            known.clear()
-        known.update(new)
-        good = [p for p, (i, j) in new.items() if 7 * fine_bound(fine[i], fine[j]) >= 3 * (sizes[i] + sizes[j])]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if (groups[s] == groups[a]).all():
+                continue
+            i, j = a + meet(points[s], sizes[s], groups[s], None if lo[a] == hi[a] else tiles[s])
+            of = ids if every else groups
+            new: dict[tuple[int, int], tuple[float, int, int]] = {}
+            for key, x, y in zip(zip(*np.sort(np.stack([of[i], of[j]]), axis=0).tolist(), strict=True), i.tolist(), j.tolist(), strict=True):
+                if key in known or every and key in new:
+                    continue
+                promise = 7 * fine_bound(fine[x], fine[y]) / (sizes[x] + sizes[y])
+                if promise > new.get(key, (0.0,))[0]:
+                    new[key] = (promise, x, y)
+            if len(known) > 1_000_000:  # what comes again is looked at again
+                known.clear()
+            found = {key: at for key, at in new.items() if at[0] >= 3}
+            known.update(new if every else found)
+            good += [(int(ids[x]), int(ids[y])) for _, x, y in found.values()]
+        return pa.RecordBatch.from_arrays([pa.array([f(p) for p in good], pa.int64()) for f in (min, max)], names=["a", "b"])
 
     waiting: pa.Table | None = None
 
@@ -424,15 +436,16 @@ def unlike_cells(cells: DataFrame) -> DataFrame:
     return cells.join(kept.select("token"), "token", "left_semi")
 
 
-def tree_pairs(cells: DataFrame, points: DataFrame, tile_rows: int = 1024) -> DataFrame:
-    """Candidate pairs (a, b) of different groups from cells (token, doc_id, grp) and fine points (doc_id, n, point)."""
+def tree_pairs(cells: DataFrame, points: DataFrame, every: bool = True, tile_rows: int = 1024) -> DataFrame:
+    """Candidate pairs (a, b) of different groups from cells (token, doc_id, grp) and fine points (doc_id, n, point): all
+    of them if ``every``, else a few for each two groups."""
     sizes = cells.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
     tiles = F.ceil(F.col("size") / tile_rows).cast("int")
     dealt = cells.join(sizes, "token").withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles).cast("int"))
     dealt = dealt.select("token", "doc_id", "grp", "tile", F.explode_outer(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     dealt = dealt.select("token", "doc_id", "grp", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"))
     dealt = dealt.join(points, "doc_id").repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    return dealt.mapInArrow(meet_all, "a long, b long").distinct()
+    return dealt.mapInArrow(partial(meet_all, every=every), "a long, b long").distinct()
 
 
 def between_groups(cells: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
@@ -480,13 +493,16 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, frequent: int = 65_53
     links = checkpointed(links.union(same_id))
     groups = components(links)
 
-    # the exact search between groups
+    # the search between groups: a few pairs for each two groups tie together what the leaders left, then all that is left
     cells = checkpointed(shared_cells(prefix_rows(narrow, order)))
-    pairs = checkpointed(tree_pairs(checkpointed(between_groups(cells, groups, reps)), reps))
-    if not pairs.isEmpty():
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(alive, "doc_id", "left_anti")
-        sets = checkpointed(sets.union(packed_sets(narrow.join(asked, "doc_id", "left_semi"))).join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi"))
-        links = checkpointed(links.union(verify(pairs, sets)))
+    for every in (False, True):
+        pairs = checkpointed(tree_pairs(checkpointed(between_groups(cells, groups, reps)), reps, every))
+        if pairs.isEmpty():
+            break
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        other = narrow.join(asked.join(alive, "doc_id", "left_anti"), "doc_id", "left_semi")
+        near = checkpointed(sets.union(packed_sets(other)).join(asked, "doc_id", "left_semi"))
+        links = checkpointed(links.union(verify(pairs, near)))
         groups = components(links)
 
     label = groups.select(F.col("id").alias("doc_id"), "component_id")

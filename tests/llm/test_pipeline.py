@@ -11,8 +11,11 @@ def documents(spark, path):
     sentence = lambda: " ".join(rng.choices(words, k=rng.randint(6, 14))).capitalize() + ". "
     clean = ["".join(sentence() for _ in range(14)).strip() for _ in range(80)]
     passage = "".join(sentence() for _ in range(7))
-    near = [t.replace(t.split()[5], "changed", 1).replace(". ", " ") for t in clean[:6]]
-    first = [t.replace(". ", " ") for t in clean[:6]]
+    # near copies without a run of 150 characters in common, which line dedup would cut out of all but the first
+    brief = lambda: [["".join(rng.choices("abcdefghijklm", k=3)) + "." * (k % 11 == 10) for k in range(55)] for _ in range(6)]
+    short = brief()
+    first = [" ".join(w) for w in short]
+    near = [" ".join("new" if k == 27 else x for k, x in enumerate(w)) for w in short]
     texts = clean[6:] + first + near + [t + " " + passage for t in clean[6:9]] + [clean[10]]
     texts += [" ".join(w + "###" for w in rng.choices(words, k=90)) for _ in range(8)] + ["too short", "", None]
     texts[0] += " password=abcdef123456"
