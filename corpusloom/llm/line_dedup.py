@@ -128,8 +128,12 @@ def _at(tag: Column, pos: Column) -> Column:
     return F.shiftleft(tag.cast("long"), 32).bitwiseOR(pos.cast("long"))
 
 
-def _tag_pos(at: str) -> list[Column]:
-    return [F.shiftright(at, 32).cast("int").alias("tag"), F.col(at).bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")]
+def _tag_of(at: str) -> Column:
+    return F.shiftright(at, 32).cast("int")
+
+
+def _pos(at: str) -> Column:
+    return F.col(at).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
 def _around(u: Column, k: Column) -> Column:
@@ -161,27 +165,28 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = found.groupBy("doc_id", "src", (F.col("src_at") - F.col("at")).alias("shift"), part.alias("part")).agg(F.min("at").alias("at"), F.max("at").alias("last"))
     found = found.select("doc_id", "src", "shift", _rows(F.array_distinct(F.array("at", "last"))).alias("at"))
     found = checkpointed(found.select("doc_id", "at", "src", (F.col("at") + F.col("shift")).alias("src_at")))
-    found = found.select("doc_id", *_tag_pos("at"), F.struct(F.col("src").alias("doc_id"), *_tag_pos("src_at")).alias("first"))
     lines = lines.select("doc_id", "tag", "h")
 
-    # what stands around each first place, once per place
-    origins = found.select("first").distinct().select("first.*").groupBy("doc_id", "tag").agg(F.collect_list("pos").alias("at"))
-
-    def around(p: Column) -> Column:
-        near = F.slice("h", F.greatest(p + 1 - reach, F.lit(1)), F.least(p + 1, F.lit(reach + 1)) + reach)
-        return F.struct(p.alias("pos"), near.alias("near"))
-
-    near = lines.join(origins, ["doc_id", "tag"]).select("doc_id", "tag", _rows(F.transform("at", around)).alias("n"))
-    near = near.select(F.struct("doc_id", "tag", "n.pos").alias("first"), "n.near").dropDuplicates(["first"])
-    known = found.join(near, "first").select("doc_id", "tag", F.struct("pos", "first", "near").alias("m"))
-    known = known.groupBy("doc_id", "tag").agg(F.collect_list("m").alias("matches"))  # of one document
-
-    def extend(m: Column) -> Column:
-        here, back = m["pos"] + 1, F.least(m["first"]["pos"], F.lit(reach))
-        ahead = _matching(F.slice("h", here, reach + 1), F.slice(m["near"], back + 1, reach + 1))
-        own = F.least(m["pos"], back)
-        behind = _matching(F.reverse(F.slice("h", here - own, own)), F.reverse(F.slice(m["near"], back + 1 - own, own)))
-        return F.struct((m["pos"] - behind).alias("a"), (m["pos"] + ahead).alias("b"), m["first"].alias("first"), m["pos"].alias("pos"))
+    # of each earlier text the stretch that a document's matches lie in, with ``reach`` units around it
+    match = F.struct(_pos("at").alias("pos"), _pos("src_at").alias("src_pos"))
+    ends = ["doc_id", _tag_of("at").alias("tag"), "src", _tag_of("src_at").alias("src_tag")]
+    pairs = found.groupBy(*ends).agg(F.collect_list(match).alias("matches"), F.min(_pos("src_at")).alias("lo"), F.max(_pos("src_at")).alias("hi"))
+    start = F.greatest(F.col("lo") - reach, F.lit(0))
+    source = lines.select(F.col("doc_id").alias("src"), F.col("tag").alias("src_tag"), F.col("h").alias("src_h"))
+    near = F.slice("src_h", start + 1, F.col("hi") + reach + 2 - start)
+    known = pairs.join(source, ["src", "src_tag"]).select("doc_id", "tag", F.struct("src", "src_tag", start.alias("start"), near.alias("near"), "matches").alias("s"))
+    known = known.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("sources"))  # of one document
+
+    def extend(s: Column) -> Column:
+        def one(m: Column) -> Column:
+            here, there = m["pos"], m["src_pos"] - s["start"]
+            ahead = _matching(F.slice("h", here + 1, reach + 1), F.slice(s["near"], there + 1, reach + 1))
+            own = F.least(here, there, F.lit(reach))
+            behind = _matching(F.reverse(F.slice("h", here + 1 - own, own)), F.reverse(F.slice(s["near"], there + 1 - own, own)))
+            first = F.struct(s["src"].alias("doc_id"), s["src_tag"].alias("tag"), m["src_pos"].alias("pos"))
+            return F.struct((here - behind).alias("a"), (here + ahead).alias("b"), first.alias("first"), here.alias("pos"))
+
+        return F.transform(s["matches"], one)
 
     def runs(spans: Column) -> Column:
         """The runs that the spans cover together, with the places of the units around the earlier one."""
@@ -203,7 +208,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.transform(long, beside)
 
     met = lines.join(known, ["doc_id", "tag"])
-    spans = F.filter(F.transform("matches", extend), lambda s: s["b"] > s["a"])
+    spans = F.filter(F.flatten(F.transform("sources", extend)), lambda s: s["b"] > s["a"])
     made = checkpointed(met.select("doc_id", "tag", _rows(_let(spans, runs)).alias("r")).select("doc_id", "tag", "r.*").where("a IS NOT NULL").dropDuplicates(["doc_id", "tag", "a"]))
     asked = made.select(_rows(F.array("before", "after")).alias("u")).distinct().select("u.*").groupBy("doc_id", "tag").agg(F.collect_list("unit").alias("at"))
     told = narrow.join(asked.hint("shuffle_hash"), ["doc_id", "tag"])
