@@ -414,3 +414,30 @@ ORACLES |= {
         a AS (SELECT name, passed, level FROM r UNION ALL SELECT 'retrievability', n >= 3 AND hits >= 2, 'ERROR' FROM h) SELECT bool_and(passed OR level <> 'ERROR') AS passed, count(*) FILTER (WHERE NOT passed) AS n_failed FROM a""",
     "ingest_stream": f"{PAGE_CHUNKS} SELECT doc_id, seq, category, source_file, section_path, content_type, content, split_strategy, has_image, image_ids, enriched_content FROM page_chunks",
 }
+
+#: What filtered_queries gives each query: null lists allow everything.
+PERMITTED = """CASE query_id % 5 WHEN 1 THEN c.category IN ('en', 'fr') WHEN 2 THEN c.content_type = '参数表' WHEN 3 THEN c.category = 'de' AND c.content_type = '说明文本' WHEN 4 THEN c.category = 'xx' ELSE true END"""
+EXPANDED = """expanded AS (SELECT item_id AS query_id, text || coalesce(' ' || string_agg(canonical, ' ' ORDER BY ord), '') AS text FROM benchmark
+    LEFT JOIN (VALUES (1, 'ention', 'mention'), (2, 'ation', 'action'), (3, 'der', 'die'), (4, 'the', 'that')) s(ord, alias, canonical) ON contains(text, alias) AND NOT contains(text, canonical) GROUP BY item_id, text)"""
+
+
+def lexical_filtered(k: int, source: str) -> str:
+    return f"""asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS("text")}) AS term FROM {source}) GROUP BY ALL),
+  sums AS (SELECT query_id, chunk_index, round(sum(times * idf * {EXACT("tf")} * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+    FROM asked JOIN postings USING (term) JOIN terms USING (term) JOIN lengths USING (chunk_index), totals GROUP BY query_id, chunk_index),
+  lexical AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS rank, chunk_index, score FROM sums JOIN chunks c USING (chunk_index) WHERE {PERMITTED} QUALIFY rank <= {k})"""
+
+
+def nearest_filtered(k: int) -> str:
+    cosine = "round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6)"
+    return f"""cosines AS (SELECT item_id AS query_id, v.vec_id AS chunk_index, {cosine} AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings v),
+  nearest AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_index) AS rank, chunk_index, score FROM cosines JOIN chunks c USING (chunk_index) WHERE {PERMITTED} QUALIFY rank <= {k})"""
+
+
+ORACLES |= {
+    "bm25_topk_filtered": f"WITH {CHUNKS}, {LEXICAL}, {lexical_filtered(10, '(SELECT item_id AS query_id, text FROM benchmark)')} SELECT * FROM lexical",
+    "vector_topk_filtered": f"WITH {CHUNKS}, {nearest_filtered(10)} SELECT * FROM nearest",
+    "retrieve_filtered": f"""WITH {CHUNKS}, {LEXICAL}, {EXPANDED}, {lexical_filtered(50, 'expanded')}, {nearest_filtered(50)}, {FUSED}, {DIVERSE}, {labelled('diverse')},
+        pairs AS (SELECT h.*, count(*) OVER (PARTITION BY query_id) AS n, list_distinct({TOKENS("e.text")}) AS x, list_distinct({TOKENS("substr(content, 1, 500)")}) AS y FROM hits h JOIN expanded e USING (query_id))
+        SELECT query_id, rank, chunk_index, relevance_score, relevance, CASE WHEN n > 3 THEN round({EXACT("len(list_intersect(x, y))")} / greatest(len(list_distinct(list_concat(x, y))), 1), 6) END AS rerank_score, source_file, category FROM pairs""",
+}

@@ -432,6 +432,38 @@ def hybrid_retrieve(spark, sf_dir):
     return hits(spark, sf_dir).select("query_id", "rank", "chunk_index", "relevance_score", "relevance", "source_file", "category")
 
 
+def filtered_queries(spark, sf_dir) -> DataFrame:
+    """The queries with lists of their own: languages for some, content types for some, one that nothing meets."""
+    asked = corpus.benchmark_queries(spark, sf_dir)
+    k = F.col("query_id") % 5
+    none = F.lit(None).cast("array<string>")
+    lists = {
+        "categories": F.when(k == 1, F.array(F.lit("en"), F.lit("fr"))).when(k == 3, F.array(F.lit("de"))).when(k == 4, F.array(F.lit("xx"))).otherwise(none),
+        "content_types": F.when(k == 2, F.array(F.lit(T.MAIN_TABLE))).when(k == 3, F.array(F.lit(T.PLAIN))).otherwise(none),
+    }
+    return asked.withColumns(lists)
+
+
+@query
+def bm25_topk_filtered(spark, sf_dir):
+    chunks = corpus.document_chunks(spark, sf_dir)
+    return retrieve.bm25_topk(filtered_queries(spark, sf_dir), index.build_bm25(chunks), TOP_K, chunks=chunks)
+
+
+@query
+def vector_topk_filtered(spark, sf_dir):
+    return retrieve.vector_topk(filtered_queries(spark, sf_dir), corpus.document_vectors(spark, sf_dir), TOP_K, corpus.document_chunks(spark, sf_dir))
+
+
+@query
+def retrieve_filtered(spark, sf_dir):
+    """The whole chain: expansion, filters on both legs, fusion, diversity, reranking and labels."""
+    chunks = corpus.document_chunks(spark, sf_dir)
+    synonyms = spark.createDataFrame(SYNONYMS, "ord int, alias string, canonical string")
+    made = retrieve.retrieve(filtered_queries(spark, sf_dir), chunks, index.build_bm25(chunks), corpus.document_vectors(spark, sf_dir), TOP_K, synonyms=synonyms)
+    return made.select("query_id", "rank", "chunk_index", "relevance_score", "relevance", "rerank_score", "source_file", "category")
+
+
 @query
 def label_relevance(spark, sf_dir):
     return retrieve.label_relevance(fused(spark, sf_dir)).select("query_id", "rank", "chunk_index", "relevance_score", "relevance")

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
@@ -13,10 +14,11 @@ from pyspark.sql.window import Window as W
 
 from corpusloom.functions import text as T
 from corpusloom.operators.index import B, K1, LexicalIndex
+from corpusloom.sources.tables import checkpointed
 
 RRF_K, VECTOR_WEIGHT, BM25_WEIGHT = 20, 0.3, 0.7
 BROADCAST_ROWS = 200_000
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_PART = 4096, 50_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,11 +51,29 @@ def metadata_filter(chunks: DataFrame, categories: list[str] | None = None, cont
     return chunks if content_types is None else chunks.where(F.col("content_type").isin(content_types))
 
 
-def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int, stop: list[str] = T.QUERY_STOP_WORDS, allowed_chunks: DataFrame | None = None) -> DataFrame:
+def filter_of(queries: DataFrame) -> DataFrame:
+    """query_id, categories and content_types; null where the queries have no such column."""
+    lists = [F.col(c) if c in queries.columns else F.lit(None).cast("array<string>").alias(c) for c in ("categories", "content_types")]
+    return queries.select("query_id", *lists)
+
+
+def permitted(scored: DataFrame, queries: DataFrame, chunks: DataFrame | None) -> DataFrame:
+    """The rows of scored (query_id, chunk_index, ...) that their query's own lists of categories and content types allow."""
+    if chunks is None or not {"categories", "content_types"} & set(queries.columns):
+        return scored
+    about = scored.join(chunks.select("chunk_index", "category", "content_type"), "chunk_index").join(broadcast_if_small(filter_of(queries)), "query_id")
+    good = allowed(F.col("category"), F.col("categories")) & allowed(F.col("content_type"), F.col("content_types"))
+    return about.where(good).select(*scored.columns)
+
+
+def bm25_topk(
+    queries: DataFrame, index: LexicalIndex, k: int, stop: list[str] = T.QUERY_STOP_WORDS, allowed_chunks: DataFrame | None = None, chunks: DataFrame | None = None
+) -> DataFrame:
     """query_id, rank, chunk_index, score (6 places) of the k best chunks of each query; ties go to the smaller index.
 
     The terms of the queries, few and weighed beforehand, are sent to the postings, which stay where they are;
-    partial sums by query and chunk are what is exchanged. ``allowed_chunks`` restricts before the top k.
+    partial sums by query and chunk are what is exchanged. ``allowed_chunks`` restricts all queries before the top k, and
+    with ``chunks`` each query's own lists (categories, content_types) do.
     """
     words = queries.select("query_id", F.explode(T.tokenize(F.col("query"))).alias("term")).where(~F.col("term").isin(stop))
     words = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -63,52 +83,77 @@ def bm25_topk(queries: DataFrame, index: LexicalIndex, k: int, stop: list[str] =
         found = found.join(allowed_chunks.select("chunk_index"), "chunk_index", "left_semi")
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.groupBy("query_id", "chunk_index").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = permitted(found.groupBy("query_id", "chunk_index").agg(F.round(F.sum(part), 6).alias("score")), queries, chunks)
     best = top(scored, ["query_id"], [F.desc("score"), F.asc("chunk_index")], k)
     return best.select("query_id", "rank", "chunk_index", "score")
 
 
-def _block_topk(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """Best k vectors of each batch for each query of a block, by cosine."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("embedding")
-            good = np.array([v is not None and len(v) == matrix.shape[1] for v in column.to_pylist()], bool) if column.null_count else np.ones(len(column), bool)
-            chunks = np.asarray(batch.column("chunk_index"))[good]
-            vectors = column.filter(pa.array(good)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(chunks), -1)
-            if not len(chunks):
-                continue
-            norms = np.linalg.norm(vectors, axis=1)
-            scores = np.round(matrix @ (vectors / np.where(norms, norms, 1)[:, None]).T, 6)
-            take = min(k, len(chunks))
-            order = np.lexsort((np.broadcast_to(chunks, scores.shape), -scores), axis=1)[:, :take]
-            columns = [np.repeat(ids, take), chunks[order].ravel(), np.take_along_axis(scores, order, 1).ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "chunk_index", "score"])
-
-    return run
+def _best(ids: np.ndarray, matrix: np.ndarray, fits: np.ndarray, chunks: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
+    """The best k of the vectors for each query, by cosine; ``fits`` says which query may have which vector."""
+    norms = np.linalg.norm(vectors, axis=1)
+    scores = np.round(matrix @ (vectors / np.where(norms, norms, 1)[:, None]).T, 6)
+    scores[~fits] = -np.inf
+    take = min(k, len(chunks))
+    # all that reach the k-th best score; ties beyond it are sorted out by the window that follows
+    least = -np.partition(-scores, take - 1, axis=1)[:, take - 1 : take]
+    q, c = np.nonzero((scores >= least) & np.isfinite(scores))
+    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunks[c]), pa.array(scores[q, c])], names=["query_id", "chunk_index", "score"])
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, chunks: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """query_id, rank, chunk_index, score (cosine, 6 places) of the k nearest vectors of each query, exactly.
 
-    Queries go out in blocks of at most 4,096 vectors, each block multiplied with the vectors where they lie.
+    Vectors lie in parts of some VECTOR_PART, and queries are packed into blocks of QUERY_BLOCK; each block meets each part in
+    a task of its own, so neither side grows there, and no vector passes through the driver. With ``chunks`` each query's own
+    lists (categories, content_types) restrict before the top k. Null vectors and those of another length are left out.
     """
-    asked = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec")
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        rows = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).collect()
-        if not rows:
-            continue
-        matrix = np.array([r["query_vec"] for r in rows], np.float64)
-        norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        run = _block_topk(np.array([r["query_id"] for r in rows], np.int64), matrix / np.where(norms, norms, 1), k)
-        part = vectors.select("chunk_index", "embedding").mapInArrow(run, "query_id long, chunk_index long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return asked.sparkSession.createDataFrame([], "query_id long, rank int, chunk_index long, score double")
+    asked = queries.where(F.col("query_vec").isNotNull())
+    lists = [F.col(c) if c in queries.columns else F.lit(None).cast("array<string>").alias(c) for c in ("categories", "content_types")]
+    about = vectors.select("chunk_index", "embedding")
+    if chunks is not None:
+        about = about.join(chunks.select("chunk_index", "category", "content_type"), "chunk_index")
+    else:
+        about = about.withColumns({c: F.lit(None).cast("string") for c in ("category", "content_type")})
+    one = F.struct("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"), *lists)
+    # numbers count up within a partition, so a block holds QUERY_BLOCK rows of one partition at most
+    numbered = asked.select(one.alias("q"), F.floor(F.monotonically_increasing_id() / QUERY_BLOCK).alias("block"))
+    packed = checkpointed(numbered.groupBy("block").agg(F.collect_list("q").alias("queries")))
+    blocks = [r["block"] for r in packed.select("block").collect()]  # one number for each QUERY_BLOCK queries
+    n = parts or max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // VECTOR_PART))
+    sent = packed.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
+    held = about.withColumn("part", F.pmod(F.xxhash64("chunk_index"), F.lit(n)).cast("int"))
+    held = held.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in blocks]).cast("array<bigint>")))
+
+    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", pa.int64()), ("chunk_index", pa.int64()), ("score", pa.float64())])
+        made = []
+        column = right.column("embedding").combine_chunks()
+        lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+        for block in left.column("queries").to_pylist():
+            sizes = np.array([len(q["query_vec"]) for q in block])
+            for dim in np.unique(sizes).tolist():
+                mine = [q for q in block if len(q["query_vec"]) == dim]
+                good = np.nonzero(lengths == dim)[0]
+                if not len(good):
+                    continue
+                matrix = np.array([q["query_vec"] for q in mine], np.float64)
+                norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+                matrix, ids = matrix / np.where(norms, norms, 1), np.array([q["query_id"] for q in mine], np.int64)
+                rows = right.take(pa.array(good))
+                numbers = rows.column("chunk_index").to_numpy()
+                values = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), dim)
+                kinds = {c: np.array(rows.column(c).to_pylist(), object) for c in ("category", "content_type")}
+                for at in range(0, len(mine), 256):
+                    part = mine[at : at + 256]
+                    fits = np.ones((len(part), len(good)), bool)
+                    for row, q in enumerate(part):
+                        for wanted, kind in ((q["categories"], "category"), (q["content_types"], "content_type")):
+                            if wanted is not None:
+                                fits[row] &= np.isin(kinds[kind].astype(str), wanted)
+                    made.append(_best(ids[at : at + 256], matrix[at : at + 256], fits, numbers, values, k))
+        return pa.Table.from_batches(made, schema) if made else schema.empty_table()
+
+    found = sent.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(score, "query_id long, chunk_index long, score double")
     best = top(found, ["query_id"], [F.desc("score"), F.asc("chunk_index")], k)
     return best.select("query_id", "rank", "chunk_index", "score")
 
@@ -187,21 +232,26 @@ def filename_boost(queries: DataFrame, files: DataFrame, most: float = 20.0, sto
     return hits.agg(F.count(F.lit(1)).alias("found")).select("query_id", "source_file", F.round(1 + F.col("found") / F.col("n") * (most - 1), 6).alias("boost"))
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, index: LexicalIndex, vectors: DataFrame, top_k: int = 10, rank_by: str = "rrf") -> DataFrame:
-    """The whole retrieval: both legs to 5 * top_k, fusion to 4 * top_k, file diversity, labels, chunk columns.
+def retrieve(
+    queries: DataFrame, chunks: DataFrame, index: LexicalIndex, vectors: DataFrame, top_k: int = 10, rank_by: str = "rrf", synonyms: DataFrame | None = None
+) -> DataFrame:
+    """The whole retrieval: expansion by synonyms if there are any, both legs to 5 * top_k under each query's own filters,
+    fusion to 4 * top_k, file diversity, reranking, labels, chunk columns.
 
-    ``rank_by="rerank"`` reorders the diverse hits by token overlap before they are labelled.
+    Diverse hits are reranked where a query has more than three. Labels then order them by fused score, so that a rerank
+    shows in rerank_score only; with ``rank_by="rerank"`` it decides the order.
     """
     pool = 5 * top_k
-    fused = rrf_fuse(vector_topk(queries, vectors, pool), bm25_topk(queries, index, pool), 4 * top_k)
-    hits = fused.join(chunks.select("chunk_index", "source_file"), "chunk_index")
-    diverse = file_diversity(hits, top_k)
+    expanded = queries if synonyms is None else expand_queries(queries, synonyms)
+    fused = rrf_fuse(vector_topk(expanded, vectors, pool, chunks), bm25_topk(expanded, index, pool, chunks=chunks), 4 * top_k)
+    diverse = file_diversity(fused.join(chunks.select("chunk_index", "source_file"), "chunk_index"), top_k)
+    texts = diverse.join(chunks.select("chunk_index", "content"), "chunk_index").join(expanded.select("query_id", "query"), "query_id")
+    reranked = rerank(texts, top_k).drop("content", "query")
+    labelled = label_relevance(reranked.withColumnRenamed("rank", "reranked")).drop("source_file")
     if rank_by == "rerank":
-        texts = diverse.join(chunks.select("chunk_index", "content"), "chunk_index").join(queries.select("query_id", "query"), "query_id")
-        diverse = rerank(texts, top_k).drop("content", "query")
-    labelled = label_relevance(diverse).drop("source_file")
+        labelled = labelled.withColumn("rank", F.col("reranked"))
     out = labelled.join(chunks, "chunk_index")
-    return out.select("query_id", "rank", "chunk_index", "relevance_score", "relevance", *[c for c in chunks.columns if c != "chunk_index"])
+    return out.select("query_id", "rank", "chunk_index", "relevance_score", "relevance", "rerank_score", *[c for c in chunks.columns if c != "chunk_index"])
 
 
 def citations(hits: DataFrame, excerpt: int = 200) -> DataFrame:

@@ -93,3 +93,34 @@ def test_audit(spark):
     empty = audit.chunk_checks(df.limit(0))
     assert {c.name: c.passed for c in empty.collect()} == {"chunk_count": False, "section_paths": False, "table_chunks": True, "file_diversity": False, "hierarchy_depth": False}
     assert audit.report(checks).first().passed == all(ok for ok, level in got.values() if level == "ERROR")
+
+
+def test_each_query_has_its_own_filters(spark):
+    df, rows = chunks(spark)
+    rng = random.Random(9)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(4)]
+    vectors = spark.createDataFrame([(i, vec()) for i in range(60)], "chunk_index long, embedding array<float>")
+    asked = [(1, "alpha beta", vec(), None), (2, "alpha beta", vec(), ["c"]), (3, "alpha", vec(), ["none"]), (4, "alpha", None, ["d"])]
+    queries = spark.createDataFrame(asked, "query_id long, query string, query_vec array<float>, categories array<string>")
+    category = {i: c for i, _, c, _ in rows}
+    lexical = r.bm25_topk(queries, index.build_bm25(df), 8, chunks=df).collect()
+    nearest = r.vector_topk(queries, vectors, 8, df, parts=3).collect()
+    for found in (lexical, nearest):
+        assert {category[x.chunk_index] for x in found if x.query_id == 2} == {"c"} and not any(x.query_id == 3 for x in found)
+        assert {category[x.chunk_index] for x in found if x.query_id == 1} == {"c", "d"}
+        assert sorted(x["rank"] for x in found if x.query_id == 2) == list(range(1, 9))  # eight of those allowed, not what is left of eight
+    assert {x.query_id for x in nearest} == {1, 2}
+    made = r.retrieve(queries, df.withColumns({"has_image": F.lit(False), "image_ids": F.array(), "split_strategy": F.lit("NL")}), index.build_bm25(df), vectors, 4)
+    assert {category[x.chunk_index] for x in made.collect() if x.query_id == 4} == {"d"}
+    assert made.where("query_id = 1 AND rerank_score IS NULL").count() == 0
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
+    vectors = spark.createDataFrame([(i, vec()) for i in range(90)] + [(100, None), (101, [1.0])], "chunk_index long, embedding array<float>")
+    queries = spark.createDataFrame([(i, vec()) for i in range(50)], "query_id long, query_vec array<float>").repartition(3)
+    whole = {tuple(x) for x in r.vector_topk(queries, vectors, 5).collect()}
+    monkeypatch.setattr(r, "QUERY_BLOCK", 7)
+    assert {tuple(x) for x in r.vector_topk(queries, vectors, 5, parts=4).collect()} == whole and len(whole) == 250
+    assert r.vector_topk(queries.limit(0), vectors, 5).count() == 0
