@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.quality_rules import SEPARATORS, _let, checkpointed
+from corpusloom.llm.quality_rules import SEPARATORS, _let, checkpointed, release
 
 BREAKS = ("\n", ". ", "! ", "? ")
 LONG = 72  # characters; units that are longer are cut before words that begin with one letter, and where they are still longer with others, and then at each blank
@@ -169,12 +169,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # of each earlier text the stretch that a document's matches lie in, with ``reach`` units around it
     match = F.struct(_pos("at").alias("pos"), _pos("src_at").alias("src_pos"))
-    ends = ["doc_id", _tag_of("at").alias("tag"), "src", _tag_of("src_at").alias("src_tag")]
+    ends = [F.col("doc_id").alias("own_id"), _tag_of("at").alias("own_tag"), "src", _tag_of("src_at").alias("src_tag")]
     pairs = found.groupBy(*ends).agg(F.collect_list(match).alias("matches"), F.min(_pos("src_at")).alias("lo"), F.max(_pos("src_at")).alias("hi"))
     start = F.greatest(F.col("lo") - reach, F.lit(0))
-    source = lines.select(F.col("doc_id").alias("src"), F.col("tag").alias("src_tag"), F.col("h").alias("src_h"))
-    near = F.slice("src_h", start + 1, F.col("hi") + reach + 2 - start)
-    known = pairs.join(source, ["src", "src_tag"]).select("doc_id", "tag", F.struct("src", "src_tag", start.alias("start"), near.alias("near"), "matches").alias("s"))
+    near = F.slice("h", start + 1, F.col("hi") + reach + 2 - start)
+    known = pairs.join(lines, (F.col("src") == F.col("doc_id")) & (F.col("src_tag") == F.col("tag")))
+    known = known.select(F.col("own_id").alias("doc_id"), F.col("own_tag").alias("tag"), F.struct("src", "src_tag", start.alias("start"), near.alias("near"), "matches").alias("s"))
     known = known.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("sources"))  # of one document
 
     def extend(s: Column) -> Column:
@@ -213,11 +213,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     asked = made.select(_rows(F.array("before", "after")).alias("u")).distinct().select("u.*").groupBy("doc_id", "tag").agg(F.collect_list("unit").alias("at"))
     told = narrow.join(asked.hint("shuffle_hash"), ["doc_id", "tag"])
     told = told.select("doc_id", "tag", _rows(_let(units_of(F.col("text")), lambda u: F.transform("at", lambda k: F.struct(k.alias("unit"), _around(u, k).alias("told"))))).alias("u"))
-    told = told.select(F.struct("doc_id", "tag", "u.unit").alias("place"), "u.told.*").dropDuplicates(["place"])
+    told = checkpointed(told.select(F.struct("doc_id", "tag", "u.unit").alias("place"), "u.told.*").dropDuplicates(["place"]))
     for side in ("before", "after"):
         made = made.join(told.select(F.col("place").alias(side), F.col(f"{side}_here").alias(f"{side}_text")), side, "left")
     run = F.struct("a", "b", F.col("before_text").alias("before"), F.col("after_text").alias("after"))
-    return made.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(run)).alias("runs"))
+    return checkpointed(made.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(run)).alias("runs")))
 
 
 RUNS = "array<struct<a:int,b:int,before:string,after:string>>"
@@ -265,6 +265,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col(text_col).cast("string")
     marks = repeated_runs(docs, id_col, text_col, min_chars, window, reach)
+    release(docs.sparkSession)
     marks = marks.select(F.col("doc_id").alias("__line_id"), F.col("tag").alias("__line_tag"), F.col("runs").alias("__line_runs"))
     met = docs.join(marks.hint("shuffle_hash"), (F.col(id_col) == F.col("__line_id")) & (_tag(text) == F.col("__line_tag")), "left")
     cut = without_runs(text, F.coalesce("__line_runs", F.array().cast(RUNS)), min_chars)

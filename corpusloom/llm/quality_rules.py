@@ -245,16 +245,20 @@ def shared_folder(spark: SparkSession) -> str:
     return set_by_cluster or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the cluster's shared folder.
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files and checkpoints that nothing needs any longer.
 
-    Shuffle files and checkpoints that nothing needs any longer go when the driver collects its garbage, which may be
-    after many steps; it is asked to do so here, so that long jobs do not fill the disks with steps that are over.
+    Spark deletes them when the driver's garbage is collected, which may be after many steps; asking for it between steps
+    keeps long jobs from filling the disks with steps that are over.
     """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a reliable checkpoint in the cluster's shared folder; see release()."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    done = df.checkpoint()
-    gc.collect()
-    context._jvm.System.gc()
-    return done
+    release(df.sparkSession)
+    return df.checkpoint()
