@@ -1,3 +1,6 @@
+import random
+import re
+
 from corpusloom.llm import chat_format as c
 
 
@@ -40,3 +43,54 @@ def test_render(spark):
     rows = [("c", 1, "assistant", "b"), ("c", 0, "user", "a")]
     chat = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
     assert c.render(chat).first().text == "<|user|>\na\n<|assistant|>\nb\n"
+
+
+def test_links_against_brute_force(spark):
+    rng = random.Random(12)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(rng.randint(2, 12)):
+            lines = [" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 3))]
+            quotes = []
+            for _ in range(rng.randint(0, 2)):
+                source = rng.choice(said).split("\n") if said and rng.random() < 0.8 else [" ".join(rng.choices(words, k=3))]
+                mark = ">" * rng.randint(1, 3) + " "
+                quotes += [mark + x.upper() for x in source if not x.startswith(">")]
+            text = "\n".join([*quotes, *lines])
+            rows.append((conv, turn, "user", text))
+            said.append(text)
+
+    def normal(passage):
+        return " ".join(passage.lower().split())
+
+    def pieces(passage):
+        return {normal(p): len(p.split()) for p in [passage, *re.split(r"\n\s*\n", passage), *passage.split("\n")] if normal(p)}
+
+    parsed = {(conv, turn): c.parse(text) for conv, turn, _, text in rows}
+    want = {}
+    for (conv, turn), (_, quotes) in parsed.items():
+        found = []
+        for level, passage in quotes:
+            for words_of, n in pieces(passage).items():
+                first = min((t for (k, t), (body, _) in parsed.items() if k == conv and words_of in pieces(body)), default=turn)
+                if first < turn:
+                    found.append((level, -n, -first))
+        want[conv, turn] = (-min(found)[2], "quote") if found else (turn - 1, "turn") if turn else (None, None)
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    got = {(r.conv_id, r.turn): r for r in c.format_chat(messages).collect()}
+    assert {k: (r.reply_to, r.linked_by) for k, r in got.items()} == want
+    assert sum(v[1] == "quote" for v in want.values()) > 20
+    for (conv, _), r in got.items():  # depth and thread follow the links up
+        chain = [r]
+        while chain[-1].reply_to is not None:
+            chain.append(got[conv, chain[-1].reply_to])
+        assert (r.depth, r.thread) == (len(chain) - 1, chain[-1].turn)
+
+
+def test_very_long_message(spark):
+    text = "\n".join(f"line {i}" for i in range(20_000))
+    rows = [("c", 0, "user", text), ("c", 1, "user", "\n".join("> " + x for x in text.split("\n")) + "\nyes")]
+    got = {r.turn: r for r in c.format_chat(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
+    assert (got[1].reply_to, got[1].linked_by, got[1].text) == (0, "quote", "yes") and got[0].text == text
