@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from corpusloom.functions.text import ANSWER_STOP_WORDS, RULE_WORDS
+
 NL = "chr(10)"
 STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 TOKENS = lambda x: f"regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}]+')"
 EXACT = lambda x: f"CAST({x} AS DOUBLE)"
 
-RULE_WORDS = "不应|不得|严禁|禁止|禁用|慎用|切勿|务必|必须|应按|应设|应采用|应配置|宜[^用]|不宜|优先执行|参照执行|按.*标准执行|配置标准|原则上"
 
 
 def noise(x: str) -> str:
@@ -133,11 +134,7 @@ def stripped(x: str = "text", source: str = "documents", key: str = "doc_id") ->
 
 ISLANDS = """runs AS (SELECT *, sum(long) OVER (PARTITION BY doc_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN length(body) >= 50 THEN 1 ELSE 0 END AS long FROM headed))"""
 STOPS = "['the', 'der', 'und', 'les']"
-ANSWER_STOPS = (
-    "的 是 在 有 和 与 不 了 就 也 都 要 把 被 让 从 到 对 为 以 及 或 等 而 且 但 所 其 之 则 将 已 还 又 再 才 只 可 "
-    "怎么 如何 什么 哪些 为什么 吗 呢 吧 啊 哦 嗯 有没有 没有 是否 是不是 能不能 可不可以 请问 这个 那个 哪个 一下 我 你 可以 需要 应该 怎样 "
-    "什么样 参考 图片 附图 大样 大样图 标准 取值 要求 规范 规定 做法 尺寸 麻烦 帮忙 告诉 说明 解释 介绍 了解 系统 设计"
-)
+ANSWER_STOPS = " ".join(ANSWER_STOP_WORDS)
 
 
 def content_tokens(x: str, stops: str) -> str:
@@ -176,7 +173,7 @@ ORACLES: dict[str, str] = {
         WITH {PAGES}, lines AS (SELECT doc_id, unnest(string_split(text, {NL})) AS line FROM documents UNION ALL SELECT -doc_id - 1, unnest(string_split(content, {NL})) FROM pages_md)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE {noise("line")}) AS n_noise FROM lines GROUP BY doc_id""",
     "toc_blocks": f"""
-        SELECT doc_id, {toc("text")} AS plain, {toc("lined")} AS lined FROM (SELECT doc_id, text, array_to_string(list_transform(string_split(string_split(text, {NL})[1], ' '),
+        SELECT doc_id, {toc("text")} AS plain, {toc("lined")} AS lined FROM (SELECT doc_id, text, array_to_string(list_transform(string_split(replace(text, {NL}, ' '), ' '),
           lambda w, i: CASE WHEN (i - 1) % 3 < 2 THEN '1.' || (i - 1) || ' ' || w || ' ' || (i + 9) ELSE w END), {NL}) AS lined FROM documents)""",
     "image_refs": rf"""
         WITH {PAGES} SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(m, '!\[([^\]]*)\]', 1) AS description, regexp_extract(m, '\(images/([^)]+)\)', 1) AS path, m AS markdown
@@ -229,8 +226,8 @@ ORACLES: dict[str, str] = {
     "label_relevance": f"{LEGS}, {labelled('fused')} SELECT query_id, rank, chunk_index, relevance_score, relevance FROM labelled",
     "search_citations": f"{HITS} SELECT query_id, rank, source_file, section_path, content_type, relevance_score, relevance, substr(content, 1, 200) AS excerpt FROM hits",
     "filename_boost": f"""
-        WITH {CHUNKS}, f AS (SELECT DISTINCT section_path || '.md' AS source_file, replace(section_path || '.md', '.md', '') AS name FROM chunks),
-        w AS (SELECT item_id AS query_id, list_filter({TOKENS("string_split(text, '. ')[1]")}, lambda x: length(x) >= 2) AS words FROM benchmark),
+        WITH f AS (SELECT DISTINCT string_split(text, {NL})[1] || '.md' AS source_file, replace(string_split(text, {NL})[1] || '.md', '.md', '') AS name FROM documents),
+        w AS (SELECT item_id AS query_id, list_filter({TOKENS("text")}, lambda x: length(x) >= 2) AS words FROM benchmark),
         u AS (SELECT query_id, len(words) AS n, unnest(words) AS word FROM w)
         SELECT query_id, source_file, round(1 + {EXACT("count(*)")} / n * 19, 6) AS boost FROM f JOIN u ON contains(name, word) GROUP BY query_id, source_file, n""",
     "followup_enrich": f"""

@@ -105,7 +105,7 @@ def noise_filter(spark, sf_dir):
 @query
 def toc_blocks(spark, sf_dir):
     lined = F.array_join(F.transform(F.split("l", " "), lambda w, i: F.when(i % 3 < 2, F.concat(F.lit("1."), i.cast("string"), F.lit(" "), w, F.lit(" "), (i + 10).cast("string"))).otherwise(w)), "\n")
-    docs = corpus.table(spark, sf_dir, "documents").withColumn("l", F.element_at(F.split("text", "\n"), 1))
+    docs = corpus.table(spark, sf_dir, "documents").withColumn("l", F.replace("text", F.lit("\n"), F.lit(" ")))
     return docs.select("doc_id", T.is_toc_block(F.col("text")).alias("plain"), T.is_toc_block(lined).alias("lined"))
 
 
@@ -476,8 +476,8 @@ def search_citations(spark, sf_dir):
 
 @query
 def filename_boost(spark, sf_dir):
-    files = corpus.document_chunks(spark, sf_dir).select(F.concat("section_path", F.lit(".md")).alias("source_file"))
-    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(F.split("text", r"\. "), 1).alias("query"))
+    files = corpus.table(spark, sf_dir, "documents").select(F.concat(F.element_at(F.split("text", "\n"), 1), F.lit(".md")).alias("source_file"))
+    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return retrieve.filename_boost(asked, files)
 
 
