@@ -438,3 +438,12 @@ ORACLES |= {
         pairs AS (SELECT h.*, count(*) OVER (PARTITION BY query_id) AS n, list_distinct({TOKENS("e.text")}) AS x, list_distinct({TOKENS("substr(content, 1, 500)")}) AS y FROM hits h JOIN expanded e USING (query_id))
         SELECT query_id, rank, chunk_index, relevance_score, relevance, CASE WHEN n > 3 THEN round({EXACT("len(list_intersect(x, y))")} / greatest(len(list_distinct(list_concat(x, y))), 1), 6) END AS rerank_score, source_file, category FROM pairs""",
 }
+
+COMPOUND = "replace(text, ' the ', ' 配电系统 照明 ')"
+ORACLES |= {
+    "bm25_dictionary": f"WITH {LEXICAL.replace(TOKENS('text'), TOKENS(COMPOUND))}, {lexical_top(10).replace(TOKENS('text'), TOKENS(COMPOUND))} SELECT * FROM lexical",
+    "media_inventory": """WITH e AS (SELECT page_id, 'word/media/i' || i || '.png' AS source, 'i' || i AS stem, 100 * i + page_id % 50 AS size FROM pages, range(4) r(i) WHERE i <= page_id % 4
+          UNION ALL SELECT page_id, 'ppt/media/i0.png', 'i0', 7 FROM pages WHERE page_id % 2 = 0),
+        n AS (SELECT *, row_number() OVER (PARTITION BY page_id, stem ORDER BY source) - 1 AS n FROM e)
+        SELECT 'f' || page_id AS file, stem || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.png' AS filename, '.png' AS ext, size, source FROM n""",
+}

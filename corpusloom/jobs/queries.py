@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -76,6 +79,28 @@ def describe_files(spark, sf_dir):
     return parse.describe_files(files).select("page_id", F.col("original").alias("stem_ext"), "ext", "filename", "length")
 
 
+@query
+def media_inventory(spark, sf_dir):
+    """The pages as containers with one to four images, and in every second a clashing name in another folder."""
+
+    @F.pandas_udf("binary")
+    def container(ids: pd.Series) -> pd.Series:
+        def one(k: int) -> bytes:
+            box = io.BytesIO()
+            with zipfile.ZipFile(box, "w") as z:
+                z.writestr("word/document.xml", "<w/>")
+                for i in range(k % 4 + 1):
+                    z.writestr(f"word/media/i{i}.png", b"x" * (100 * i + k % 50))
+                if k % 2 == 0:
+                    z.writestr("ppt/media/i0.png", b"y" * 7)
+            return box.getvalue()
+
+        return ids.map(one)
+
+    pages = corpus.table(spark, sf_dir, "pages")
+    return parse.media_inventory(pages.select(F.concat(F.lit("f"), "page_id").alias("filename"), container("page_id").alias("content")))
+
+
 @query
 def parse_text(spark, sf_dir):
     files = corpus.table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), "page_id").alias("stem"), F.col("html").cast("binary").alias("content"))
@@ -411,6 +436,16 @@ def bm25_topk(spark, sf_dir):
     return lexical(spark, sf_dir)
 
 
+@query
+def bm25_dictionary(spark, sf_dir):
+    """Lexical search with a dictionary that keeps compounds whole where no space parts them."""
+    compound = lambda c: F.replace(c, F.lit(" the "), F.lit(" 配电系统照明 "))
+    cut = lambda c: helpers.dictionary_tokens(c, ["配电系统", "照明", "配电"])
+    chunks = corpus.document_chunks(spark, sf_dir).withColumn("content", compound("content"))
+    asked = corpus.benchmark_queries(spark, sf_dir).withColumn("query", compound("query"))
+    return retrieve.bm25_topk(asked, index.build_bm25(chunks, cut), TOP_K, tokenize=cut)
+
+
 @query
 def vector_topk(spark, sf_dir):
     return nearest(spark, sf_dir, TOP_K)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import helpers
@@ -26,24 +27,30 @@ class LexicalIndex:
     corpus: DataFrame
 
 
-def doc_stats(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_index", F.size(T.tokenize(F.col("content"))).cast("long").alias("dl"))
+Tokenizer = Callable[[Column], Column]
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """Term counts. All tokens of a chunk are in one task, so the map side counts them before anything moves."""
-    tokens = chunks.select("chunk_index", T.tokenize(F.col("content")).alias("tokens"))
+def doc_stats(chunks: DataFrame, tokenize: Tokenizer = T.tokenize) -> DataFrame:
+    return chunks.select("chunk_index", F.size(tokenize(F.col("content"))).cast("long").alias("dl"))
+
+
+def postings(chunks: DataFrame, tokenize: Tokenizer = T.tokenize) -> DataFrame:
+    """Term counts. All tokens of a chunk are in one task, so the map side counts them before anything moves.
+
+    ``tokenize`` must be the one that queries are cut with, such as helpers.dictionary_tokens with a list of terms.
+    """
+    tokens = chunks.select("chunk_index", tokenize(F.coalesce("content", F.lit(""))).alias("tokens"))
     rows = tokens.select("chunk_index", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     return rows.groupBy("term", "chunk_index").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def build_bm25(chunks: DataFrame) -> LexicalIndex:
+def build_bm25(chunks: DataFrame, tokenize: Tokenizer = T.tokenize) -> LexicalIndex:
     """idf = ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a quarter of the mean over all terms.
 
     The texts are tokenised once: postings are checkpointed, and what else there is follows from them and the
     number of chunks.
     """
-    counted = checkpointed(postings(chunks))
+    counted = checkpointed(postings(chunks, tokenize))
     sizes = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
     stats = chunks.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(F.broadcast(sizes))  # one row
     stats = stats.select("n_docs", (F.col("n_tokens") / F.nullif(F.col("n_docs"), F.lit(0))).alias("avgdl"))

@@ -13,7 +13,7 @@ from pyspark.sql import types as ty
 from pyspark.sql.window import Window as W
 
 from corpusloom.functions import text as T
-from corpusloom.operators.index import B, K1, LexicalIndex
+from corpusloom.operators.index import B, K1, LexicalIndex, Tokenizer
 from corpusloom.sources.tables import checkpointed
 
 RRF_K, VECTOR_WEIGHT, BM25_WEIGHT = 20, 0.3, 0.7
@@ -67,15 +67,16 @@ def permitted(scored: DataFrame, queries: DataFrame, chunks: DataFrame | None) -
 
 
 def bm25_topk(
-    queries: DataFrame, index: LexicalIndex, k: int, stop: list[str] = T.QUERY_STOP_WORDS, allowed_chunks: DataFrame | None = None, chunks: DataFrame | None = None
-) -> DataFrame:
+    queries: DataFrame, index: LexicalIndex, k: int, stop: list[str] = T.QUERY_STOP_WORDS, allowed_chunks: DataFrame | None = None, chunks: DataFrame | None = None,
+    tokenize: Tokenizer = T.tokenize,
+) -> DataFrame:
     """query_id, rank, chunk_index, score (6 places) of the k best chunks of each query; ties go to the smaller index.
 
     The terms of the queries, few and weighed beforehand, are sent to the postings, which stay where they are;
     partial sums by query and chunk are what is exchanged. ``allowed_chunks`` restricts all queries before the top k, and
     with ``chunks`` each query's own lists (categories, content_types) do.
     """
-    words = queries.select("query_id", F.explode(T.tokenize(F.col("query"))).alias("term")).where(~F.col("term").isin(stop))
+    words = queries.select("query_id", F.explode(tokenize(F.coalesce("query", F.lit("")))).alias("term")).where(~F.col("term").isin(stop))
     words = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     weighed = broadcast_if_small(words.join(index.terms.select("term", "idf"), "term"))
     found = index.postings.join(weighed, "term").crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one row
@@ -233,8 +234,9 @@ def filename_boost(queries: DataFrame, files: DataFrame, most: float = 20.0, sto
 
 
 def retrieve(
-    queries: DataFrame, chunks: DataFrame, index: LexicalIndex, vectors: DataFrame, top_k: int = 10, rank_by: str = "rrf", synonyms: DataFrame | None = None
-) -> DataFrame:
+    queries: DataFrame, chunks: DataFrame, index: LexicalIndex, vectors: DataFrame, top_k: int = 10, rank_by: str = "rrf", synonyms: DataFrame | None = None,
+    tokenize: Tokenizer = T.tokenize,
+) -> DataFrame:
     """The whole retrieval: expansion by synonyms if there are any, both legs to 5 * top_k under each query's own filters,
     fusion to 4 * top_k, file diversity, reranking, labels, chunk columns.
 
@@ -243,7 +245,7 @@ def retrieve(
     """
     pool = 5 * top_k
     expanded = queries if synonyms is None else expand_queries(queries, synonyms)
-    fused = rrf_fuse(vector_topk(expanded, vectors, pool, chunks), bm25_topk(expanded, index, pool, chunks=chunks), 4 * top_k)
+    fused = rrf_fuse(vector_topk(expanded, vectors, pool, chunks), bm25_topk(expanded, index, pool, chunks=chunks, tokenize=tokenize), 4 * top_k)
     diverse = file_diversity(fused.join(chunks.select("chunk_index", "source_file"), "chunk_index"), top_k)
     texts = diverse.join(chunks.select("chunk_index", "content"), "chunk_index").join(expanded.select("query_id", "query"), "query_id")
     reranked = rerank(texts, top_k).drop("content", "query")
