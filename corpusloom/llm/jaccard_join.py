@@ -25,6 +25,7 @@ table. Frequent shingles are spread over salts before anything is brought togeth
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -449,11 +450,17 @@ def tree_pairs(cells: DataFrame, points: DataFrame, every: bool = True, tile_row
 
 
 def between_groups(cells: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
-    """The rows (token, doc_id, grp) of representatives in cells in which different groups meet."""
+    """The rows (token, doc_id, grp) of representatives in cells in which different groups of like sizes meet.
+
+    Sets that link differ in size by a third at most. Sizes fall into bands of that width, and each set is in its own band
+    and the next, so that any two such sets share one; a cell is split by these.
+    """
     named = cells.join(groups.select(F.col("id").alias("doc_id"), F.col("component_id").alias("grp")), "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id"))
-    named = named.join(reps.select("doc_id"), "doc_id", "left_semi")
-    span = named.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 != g2")
-    return unlike_cells(checkpointed(named.join(span.select("token"), "token", "left_semi")))
+    band = F.floor(F.log(F.col("n")) / math.log(4 / 3) + 1e-9)
+    banded = named.join(reps.select("doc_id", F.explode(F.array(band, band + 1)).alias("band")), "doc_id")
+    banded = banded.select(F.xxhash64("token", "band").alias("token"), "doc_id", "grp")
+    span = banded.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 != g2")
+    return unlike_cells(checkpointed(banded.join(span.select("token"), "token", "left_semi")))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536) -> DataFrame:

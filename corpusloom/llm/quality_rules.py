@@ -64,50 +64,42 @@ def _dup_lines(lines: Column) -> Column:
     return F.size(lines) - F.size(F.array_distinct(lines))
 
 
-def features(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the features beside its columns, each under ``prefix`` + its name."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def features_of(text: Column) -> Column:
+    """The features of a text as one structure, so that whatever is asked of them they are worked out once."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SEPARATORS)) != "")
-    per_word = _let(
-        words_of(text),
-        lambda w: F.struct(
-            F.size(w).alias("n_words"),
-            F.size(F.array_distinct(w)).alias("n_distinct"),
-            F.length(F.array_join(w, "")).alias("word_chars"),
-            _let(_windows(w), _repeats).alias("n_repeat_words"),
-        ),
-    )
-    w = f"{prefix}w"
-    out = docs.withColumn(w, per_word)
     length = lambda strip: F.length(text) - F.length(F.regexp_replace(text, strip, ""))
-    made = {
-        "n_words": F.col(w)["n_words"],
-        "word_chars": F.col(w)["word_chars"],
-        "n_symbols": length("[#*$%&|<>]+"),
-        "n_dup_lines": _let(lines, _dup_lines),
-        "n_repeat_words": F.col(w)["n_repeat_words"],
-        "n_upper": length(r"\p{Lu}+"),
-        "n_shouts": length("[!?]{2,}"),
-        "n_distinct": F.col(w)["n_distinct"],
-        "n_digits": length("[0-9]+"),
-        "n_plain": F.regexp_count(text, F.lit(PLAIN_WORD)),
-        "n_ends": F.regexp_count(text, F.lit(SENTENCE_END)),
-    }
-    return out.select(*docs.columns, *[made[k].cast("long").alias(prefix + k) for k in FEATURES])
-
-
-def base_failed(prefix: str = "") -> Column:
-    c = lambda k: F.col(prefix + k)
-    return (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
-
-
-def votes(prefix: str = "") -> list[Column]:
-    """The labelling functions: +1 good, -1 bad, 0 abstains. Each abstains on what it cannot tell.
+
+    def made(w: Column) -> Column:
+        found = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.array_join(w, "")),
+            "n_symbols": length("[#*$%&|<>]+"),
+            "n_dup_lines": _let(lines, _dup_lines),
+            "n_repeat_words": _let(_windows(w), _repeats),
+            "n_upper": length(r"\p{Lu}+"),
+            "n_shouts": length("[!?]{2,}"),
+            "n_distinct": F.size(F.array_distinct(w)),
+            "n_digits": length("[0-9]+"),
+            "n_plain": F.regexp_count(text, F.lit(PLAIN_WORD)),
+            "n_ends": F.regexp_count(text, F.lit(SENTENCE_END)),
+        }
+        return F.struct(*[found[k].cast("long").alias(k) for k in FEATURES])
+
+    return _let(words_of(text), made)
+
+
+def base_failed(of: Column) -> Column:
+    return (of["n_words"] < 50) | (100 * of["n_repeat_words"] > 50 * of["n_words"])
+
+
+def votes(of: Column) -> list[Column]:
+    """The labelling functions over features: +1 good, -1 bad, 0 abstains. Each abstains on what it cannot tell.
 
     Several rules look at each kind of damage from different sides, since agreement is all EM can learn from. The
     last two are suspicions that many a sound document raises; EM finds how little they weigh.
     """
-    c = lambda k: F.col(prefix + k).cast("double")
+    c = lambda k: of[k].cast("double")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     vote = lambda bad, good=F.lit(False): F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0))
     n, chars = c("n_words"), c("word_chars")
@@ -129,6 +121,7 @@ def votes(prefix: str = "") -> list[Column]:
     ]
 
 
+N_RULES = 13
 #: The most patterns there can be: seven rules never vote +1, the other six vote three ways.
 PATTERNS = 2**7 * 3**6
 
@@ -213,30 +206,30 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null or empty text has no words and so fails; an empty table gives an empty result; repeated rows are
     judged one by one; other columns are ignored.
     """
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kept = checkpointed(features(narrow).drop("text"))
-    voted = kept.select("*", pattern_of(votes()).alias("pattern"))
-    n_rules = len(votes())
-    each = votes_of(F.col("pattern"), n_rules)
-    good = fit(voted, n_rules).probability(each)
+    kept = checkpointed(docs.select(F.col(id_col).alias("doc_id"), features_of(F.col(text_col)).alias("f")))
+    voted = kept.select("*", pattern_of(votes(F.col("f"))).alias("pattern"))
+    each = votes_of(F.col("pattern"), N_RULES)
+    good = fit(voted, N_RULES).probability(each)
     against = reduce(lambda a, b: a + b, [F.when(v == -1, 1).otherwise(0) for v in each])
-    scored = voted.select("doc_id", *FEATURES, base_failed().alias("base_failed"), good.alias("p_good"), against.cast("int").alias("against"))
+    scored = voted.select("doc_id", "f.*", base_failed(F.col("f")).alias("base_failed"), good.alias("p_good"), against.cast("int").alias("against"))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
 
 
 def filter_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that the rules keep, with their columns. Edge cases are as for quality_scores.
 
-    The features are worked out once. A checkpoint holds each row with its vote pattern, without its text if the
-    fixed base fails it; the verdict follows from the pattern once the model is known.
+    A first pass over the texts leaves each row's vote pattern for EM, a second one judges beside each row: that costs
+    less than a copy of all texts on disk, or sending them through an exchange to meet their verdicts. The verdict is one
+    expression over one structure of features, so that the filter works them out once, wherever it is moved.
     """
-    p, n_rules = "__quality_", len(votes())
-    failed, pattern = F.col(f"{p}failed"), F.col(f"{p}pattern")
-    marked = features(docs, text_col, p).withColumns({f"{p}failed": base_failed(p), f"{p}pattern": pattern_of(votes(p))})
-    columns = [F.when(~failed, F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    marked = checkpointed(marked.select(*columns, failed, pattern))
-    model = fit(marked.select(pattern.alias("pattern")), n_rules)
-    return marked.where(~failed & (model.probability(votes_of(pattern, n_rules)) >= threshold)).select(*docs.columns)
+    text = F.col(text_col)
+    model = fit(checkpointed(docs.select(_let(features_of(text), lambda f: pattern_of(votes(f))).alias("pattern"))), N_RULES)
+
+    def verdict(f: Column) -> Column:
+        good = _let(pattern_of(votes(f)), lambda p: model.probability(votes_of(p, N_RULES)) >= threshold)
+        return ~base_failed(f) & good
+
+    return docs.where(_let(features_of(text), verdict))
 
 
 def shared_folder(spark: SparkSession) -> str:
