@@ -307,10 +307,18 @@ def main_text(page: str | None, weights: tuple[float, ...] = UNTAUGHT) -> str:
     return "\n".join(b.text for b, keep in zip(nodes, kept, strict=True) if keep)
 
 
-def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 1000) -> tuple[float, ...]:
-    """The classifier's weights from ``sample_pages`` pages, those first by the hash of their html; the features of some
-    tens of blocks a page come to the driver. Without any page that tells what its blocks are: UNTAUGHT."""
-    sample = pages.select(F.col(html_col).cast("string").alias("html")).where("html IS NOT NULL").orderBy(F.xxhash64("html"), "html").limit(sample_pages)
+def learn(pages: DataFrame, html_col: str = "html", sample_pages: int = 1000, by: tuple[str, ...] = ()) -> tuple[float, ...]:
+    """The classifier's weights from ``sample_pages`` pages, those first by a hash of html and the columns ``by``; the features
+    of some tens of blocks a page come to the driver. Without any page that tells what its blocks are: UNTAUGHT.
+
+    Only pages whose hash is in the share that holds some four times as many are put in order, so that no task gets
+    more than those.
+    """
+    hashed = pages.select(F.col(html_col).cast("string").alias("html"), F.xxhash64(F.col(html_col), *by).alias("at")).where("html IS NOT NULL")
+    total = pages.count()
+    if total > 4 * sample_pages:
+        hashed = hashed.where(F.pmod("at", F.lit(1 << 40)) < int((1 << 40) * 4 * sample_pages / total))
+    sample = hashed.orderBy("at", "html").limit(sample_pages).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +335,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     The classifier is fitted on ``sample_pages`` pages at most, then every page is read whole. Null html counts as empty;
     broken markup is read as far as it goes; repeated rows are extracted one by one; other columns are ignored.
     """
-    weights = learn(pages, html_col, sample_pages)
+    weights = learn(pages, html_col, sample_pages, keep)
     own = "page"
     while own in keep:
         own += "_"

@@ -98,3 +98,10 @@ def test_clashing_column_names(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x")], "__html long, __page string, html string, text string")
     got = h.extract(pages, keep=("__html", "__page")).first()
     assert (got["__html"], got["__page"], got.text) == (1, "u", h.main_text(PAGE))
+
+
+def test_sample_of_many_pages(spark):
+    page = "<nav><a href=/>Home</a></nav><article><p>" + "word " * 30 + ".</p></article>"
+    pages = spark.range(500).selectExpr("id AS page_id", "'u' AS url", f"'{page}' AS html")
+    assert h.learn(pages, sample_pages=20, by=("page_id",)) != h.UNTAUGHT
+    assert h.extract(pages, sample_pages=20).where("n_chars = 0").count() == 0
