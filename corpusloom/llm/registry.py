@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, quality_rules, secret_scan
+from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, quality_rules, runs, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +78,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), replant=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op10_bpe": op10_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
@@ -93,7 +99,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 (unsigned) of a text of ASCII characters, bit by bit."""
+    shifted = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(crc, byte))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT), lambda crc, byte: {shifted}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
 ORACLES: dict[str, str] = {
+    "op12_periodic_runs": rf"""
+        WITH split AS (SELECT row_number() OVER () AS r, doc_id, {crc32_sql("doc_id::VARCHAR")} AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        sized AS (SELECT *, len(w) AS n, h // 10 AS g FROM split),
+        placed AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n END AS a FROM sized),
+        texts AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w
+          ELSE list_concat(w[1:a], list_transform(range(n - a), lambda i: w[a + 1 + i % (1 + (n - a) // (3 + g % 8))])) END AS w FROM placed),
+        words AS MATERIALIZED (SELECT r, n, unnest(w) AS x, unnest(range(n)) AS i FROM texts),
+        same AS (SELECT a.r, b.i - a.i AS p, a.i, a.i - row_number() OVER (PARTITION BY a.r, b.i - a.i ORDER BY a.i) AS island
+          FROM words a JOIN words b ON a.r = b.r AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+        stretches AS (SELECT r, p, min(i) AS s, count(*) + p AS len FROM same GROUP BY r, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+        runs AS MATERIALIZED (SELECT r, s, len, min(p) AS p FROM stretches GROUP BY r, s, len),
+        best AS (SELECT r, count(*) AS n_runs, arg_min((s, len, p), (-len::DOUBLE / p, s, p)) AS b, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS listed FROM runs GROUP BY r),
+        gone AS (SELECT DISTINCT r, unnest(range(s + p, s + len)) AS i FROM runs),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, b[1] AS start, b[2] AS length, b[3] AS period, (1000 * b[2] // b[3])::BIGINT AS exponent_milli,
+               sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM texts LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
+    """,
     "op9_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
