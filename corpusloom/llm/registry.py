@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, quality_rules, runs, secret_scan
+from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, quality_rules, runs, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.similar_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.periodic_runs(table(spark, sf_dir, "documents"), replant=True)
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
@@ -86,6 +90,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op10_bpe": op10_bpe,
+    "op11_simhash": op11_simhash,
     "op12_periodic_runs": op12_periodic_runs,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_html_text": op3_html_text,
