@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, quality_rules, runs, secret_scan, simhash
+from corpusloom.llm import bpe, chat_format, exact_dedup, html_text, jaccard_join, lang_id, line_dedup, packing, prefix_trie, quality_rules, runs, secret_scan, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,11 +87,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"), share=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op10_bpe": op10_bpe,
     "op11_simhash": op11_simhash,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_prefix_trie": op13_prefix_trie,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_html_text": op3_html_text,
     "op4_language_id": op4_language_id,
@@ -130,6 +135,24 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
         FROM texts LEFT JOIN best USING (r) LEFT JOIN kept USING (r)
     """,
+    "op13_prefix_trie": f"""
+        WITH turns AS (SELECT conv_id AS c, coalesce(text, '') AS text, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x
+          FROM conversations WHERE conv_id IS NOT NULL),
+        placed AS MATERIALIZED (SELECT c, x, length(text) AS n_chars, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, x) - 1 AS pos FROM turns),
+        own AS (SELECT c, count(*) AS n_own, {crc32_sql("c::VARCHAR")} % 6 AS h FROM placed GROUP BY c),
+        plan AS (SELECT a.c, a.h, a.c - (a.c % 100 + 100) % 100 AS base, least(a.h, coalesce(b.n_own, 0)) AS taken FROM own a LEFT JOIN own b ON b.c = a.c - (a.c % 100 + 100) % 100),
+        rebuilt AS (SELECT plan.c, pos, x, n_chars FROM plan JOIN placed ON placed.c = base WHERE pos < taken
+          UNION ALL SELECT plan.c, pos - h + taken, x, n_chars FROM plan JOIN placed USING (c) WHERE pos >= h),
+        seqs AS (SELECT c, coalesce(string_agg(x, '' ORDER BY pos), '') AS path, coalesce(list(n_chars ORDER BY pos) FILTER (x IS NOT NULL), []) AS sizes FROM plan LEFT JOIN rebuilt USING (c) GROUP BY c),
+        members AS (SELECT c, d, path[: 64 * d] AS node, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS n_chars, length(path) = 64 * d AS ends FROM seqs, unnest(range(len(sizes) + 1)) AS u(d)),
+        nodes AS MATERIALIZED (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_chars) AS saved,
+          sha256(coalesce(string_agg(c, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM members GROUP BY node, d),
+        children AS (SELECT node[: 64 * (d - 1)] AS node, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+        full_nodes AS MATERIALIZED (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+        subtrees AS (SELECT node[: 64 * k] AS node, count_if(n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM full_nodes, unnest(range(d + 1)) AS u(k) GROUP BY 1)
+        SELECT n.conv_id, d AS depth, (SELECT up.conv_id FROM nodes up WHERE up.node = n.node[: 64 * (n.d - 1)] AND n.d > 0) AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+        FROM full_nodes n JOIN subtrees USING (node)
+    """,
     "op9_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
