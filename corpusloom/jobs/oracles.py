@@ -75,9 +75,8 @@ LEXICAL = f"""tokens AS MATERIALIZED (SELECT doc_id AS chunk_index, {TOKENS("tex
   lengths AS (SELECT chunk_index, len(t) AS dl FROM tokens),
   postings AS MATERIALIZED (SELECT term, chunk_index, count(*) AS tf FROM (SELECT chunk_index, unnest(t) AS term FROM tokens) GROUP BY term, chunk_index),
   totals AS (SELECT count(*) AS n_docs, avg(dl) AS avgdl FROM lengths),
-  raw AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM postings, totals GROUP BY term),
-  floors AS (SELECT 0.25 * avg(r) AS least FROM raw),
-  terms AS (SELECT term, df, CASE WHEN r < 0 THEN least ELSE r END AS idf FROM raw, floors)"""
+  raw AS MATERIALIZED (SELECT term, count(*) AS df, ln((SELECT n_docs FROM totals) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM postings GROUP BY term),
+  terms AS (SELECT term, df, CASE WHEN r < 0 THEN (SELECT 0.25 * avg(r) FROM raw) ELSE r END AS idf FROM raw)"""
 
 
 def lexical_top(k: int = 50) -> str:
@@ -447,3 +446,13 @@ ORACLES |= {
         n AS (SELECT *, row_number() OVER (PARTITION BY page_id, stem ORDER BY source) - 1 AS n FROM e)
         SELECT 'f' || page_id AS file, stem || CASE WHEN n > 0 THEN '_' || n ELSE '' END || '.png' AS filename, '.png' AS ext, size, source FROM n""",
 }
+
+#: The pages of each host as one file, under a heading with its name.
+HOST_FILES = PAGES.replace("pages_md AS", "each_page AS") + rf""", pages_md AS (SELECT min(doc_id) AS doc_id, 'web' AS category, regexp_extract(source_file, '//([^/]+)', 1) || '.md' AS source_file,
+    '# ' || regexp_extract(source_file, '//([^/]+)', 1) || {NL} || {NL} || string_agg(content, {NL} || {NL} ORDER BY doc_id) AS content FROM each_page GROUP BY regexp_extract(source_file, '//([^/]+)', 1))"""
+ORACLES |= {
+    "vector_bounds": ORACLES["vector_topk"],
+    "ivf_recall": f"WITH {vector_top(10)} SELECT count(*) AS n_neighbours, true AS enough FROM nearest",
+    "ingest_terms": f"{PAGE_CHUNKS}, {LEXICAL.replace(TOKENS('text'), TOKENS('content')).replace('SELECT doc_id AS chunk_index', 'SELECT chunk_index').replace('FROM documents', 'FROM page_chunks')} SELECT term, df, round(idf, 6) AS idf FROM terms",
+    "ingest_files": f"{PAGE_CHUNKS.replace(PAGES, HOST_FILES)} SELECT seq, category, source_file, section_path, content_type, content, split_strategy, has_image, image_ids, enriched_content, true AS placed FROM page_chunks",
+}

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from corpusloom.functions import helpers
 from corpusloom.functions import text as T
 from corpusloom.jobs import corpus
-from corpusloom.operators import answer, audit, chunk, index, parse, retrieve
+from corpusloom.operators import answer, audit, chunk, index, parse, retrieve, vectors
 from corpusloom.sources import tables
 from corpusloom.streaming import ingest
 
@@ -523,10 +523,32 @@ def rerank(spark, sf_dir):
     return retrieve.rerank(asked, TOP_K).select("query_id", "rank", "chunk_index", "rerank_score")
 
 
+def placed_vectors(spark, sf_dir, spill: int, part_rows: int = vectors.PART_ROWS) -> vectors.VectorLayout:
+    """The documents' vectors among 128 centres."""
+    given = corpus.document_vectors(spark, sf_dir)
+    return vectors.build_layout(given, vectors.fit_centers(given, 128)[0], spill, part_rows)
+
+
+@query
+def vector_bounds(spark, sf_dir):
+    """The same as vector_topk, by rings of a layout that may hold as good a vector as the k-th best."""
+    return vectors.bounded_topk(corpus.benchmark_queries(spark, sf_dir), placed_vectors(spark, sf_dir, 1, 100), TOP_K)[0]
+
+
 @query
 def ivf_topk(spark, sf_dir):
-    clustered, centroids = index.build_ivf(corpus.document_vectors(spark, sf_dir), 16)
-    return retrieve.ivf_topk(corpus.benchmark_queries(spark, sf_dir), clustered, centroids, TOP_K, nprobe=12)
+    """A quarter of the clusters is probed, and each vector lies in three of them."""
+    return vectors.ivf_topk(corpus.benchmark_queries(spark, sf_dir), placed_vectors(spark, sf_dir, 3), TOP_K, nprobe=32)
+
+
+@query
+def ivf_recall(spark, sf_dir):
+    """How many neighbours the exact search finds, and whether the clusters find nine tenths of them or more."""
+    asked, keys = corpus.benchmark_queries(spark, sf_dir), ["query_id", "chunk_index"]
+    exact = nearest(spark, sf_dir, TOP_K).select(*keys)
+    near = vectors.ivf_topk(asked, placed_vectors(spark, sf_dir, 3), TOP_K, nprobe=32).select(*keys, F.lit(True).alias("found"))
+    both = exact.join(near, keys, "left").agg(F.count(F.lit(1)).alias("n_neighbours"), F.count("found").alias("n_found"))
+    return both.select("n_neighbours", (F.col("n_found") >= 0.9 * F.col("n_neighbours")).alias("enough"))
 
 
 # ---- answers
@@ -627,12 +649,47 @@ def audit_run(spark, sf_dir):
 # ---- streaming
 
 
+def dropped_pages(spark, sf_dir, batches: int = 1) -> str:
+    """The pages in a drop folder, ingested in so many batches; the folder."""
+    at = tables.scratch_path(spark, "ingest")
+    corpus.markdown_pages(spark, sf_dir).repartition(batches, "doc_id").write.parquet(f"{at}/drop")
+    ingest.ingest_stream(spark, f"{at}/drop", f"{at}/out", f"{at}/checkpoint", files_per_batch=1).awaitTermination()
+    return at
+
+
+CHUNK_COLUMNS = ["seq", "category", "source_file", "section_path", "content_type", "content", "split_strategy", "has_image"]
+
+
+def without_numbers(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("image_ids", F.array_join("image_ids", ","))
+
+
 @query
 def ingest_stream(spark, sf_dir):
     """The pages, dropped as a stream, as chunks without their numbers; the same as from one batch."""
-    at = tables.scratch_path(spark, "ingest")
-    corpus.markdown_pages(spark, sf_dir).write.parquet(f"{at}/drop")
-    ingest.ingest_stream(spark, f"{at}/drop", f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    chunks = spark.read.parquet(f"{at}/out/chunks").drop("chunk_index")
-    kept = ["doc_id", "seq", "category", "source_file", "section_path", "content_type", "content", "split_strategy", "has_image"]
-    return chunks.select(*kept, F.array_join("image_ids", ",").alias("image_ids"), "enriched_content")
+    chunks = spark.read.parquet(f"{dropped_pages(spark, sf_dir)}/out/chunks")
+    return without_numbers(chunks).select("doc_id", *CHUNK_COLUMNS, "image_ids", "enriched_content")
+
+
+@query
+def ingest_terms(spark, sf_dir):
+    """Term statistics after several batches, summed over the deltas; the same as over all chunks at once."""
+    terms = ingest.corpus_statistics(spark, f"{dropped_pages(spark, sf_dir, 3)}/out").terms
+    return terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def ingest_files(spark, sf_dir):
+    """The pages of each host as one text file in a drop folder, as chunks, and whether each has its vector in a cluster."""
+    at = tables.scratch_path(spark, "files")
+    pages = F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("content", F.lit("")).alias("text"))))
+    joined = F.array_join(F.transform(pages, lambda p: p["text"]), "\n\n")
+    host = F.regexp_extract("source_file", "//([^/]+)", 1)
+    texts = corpus.markdown_pages(spark, sf_dir).groupBy(F.concat(host, F.lit(".md")).alias("name")).agg(joined.alias("value"))
+    texts.write.partitionBy("name").text(f"{at}/drop")
+    centers, _ = vectors.fit_centers(corpus.document_vectors(spark, sf_dir), 16)
+    stored_as = F.regexp_extract("path", "/name=([^/]+)/", 1)
+    ingest.ingest_files(spark, f"{at}/drop", f"{at}/out", f"{at}/checkpoint", centers=centers, category="web", name=stored_as).awaitTermination()
+    placed = spark.read.parquet(f"{at}/out/vectors").select("chunk_index", (F.col("cluster_id") >= 0).alias("placed"))
+    chunks = spark.read.parquet(f"{at}/out/chunks").join(placed, "chunk_index", "left")
+    return without_numbers(chunks).select(*CHUNK_COLUMNS, "image_ids", "enriched_content", "placed")

@@ -44,17 +44,18 @@ def postings(chunks: DataFrame, tokenize: Tokenizer = T.tokenize) -> DataFrame:
     return rows.groupBy("term", "chunk_index").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def build_bm25(chunks: DataFrame, tokenize: Tokenizer = T.tokenize) -> LexicalIndex:
-    """idf = ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a quarter of the mean over all terms.
+def frequencies(counted: DataFrame) -> DataFrame:
+    """term and df of postings; of several batches of chunks they add up."""
+    return counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
 
-    The texts are tokenised once: postings are checkpointed, and what else there is follows from them and the
-    number of chunks.
+def lexical_index(counted: DataFrame, df: DataFrame, totals: DataFrame) -> LexicalIndex:
+    """The index for postings, document frequencies (term, df) and one row of n_docs and n_tokens.
+
+    idf = ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes a quarter of the mean over all terms.
     """
-    counted = checkpointed(postings(chunks, tokenize))
-    sizes = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
-    stats = chunks.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(F.broadcast(sizes))  # one row
-    stats = stats.select("n_docs", (F.col("n_tokens") / F.nullif(F.col("n_docs"), F.lit(0))).alias("avgdl"))
-    raw = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row
+    stats = totals.select("n_docs", (F.col("n_tokens") / F.nullif(F.col("n_docs"), F.lit(0))).alias("avgdl"))
+    raw = df.crossJoin(F.broadcast(stats))  # one row
     raw = raw.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("avg_idf"))
     terms = raw.crossJoin(F.broadcast(mean))  # one row
@@ -62,6 +63,15 @@ def build_bm25(chunks: DataFrame, tokenize: Tokenizer = T.tokenize) -> LexicalIn
     return LexicalIndex(counted, terms.select("term", "df", idf.alias("idf")), stats.crossJoin(F.broadcast(mean)))
 
 
+def build_bm25(chunks: DataFrame, tokenize: Tokenizer = T.tokenize) -> LexicalIndex:
+    """The lexical index of chunks. The texts are tokenised once: postings are checkpointed, and what else there is
+    follows from them and the number of chunks."""
+    counted = checkpointed(postings(chunks, tokenize))
+    sizes = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    totals = chunks.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(F.broadcast(sizes))  # one row
+    return lexical_index(counted, frequencies(counted), totals)
+
+
 def text_hashes(chunks: DataFrame) -> DataFrame:
     """chunk_index, t (what is embedded for a chunk) and text_hash."""
     body = F.coalesce("enriched_content", "content")
@@ -92,18 +102,3 @@ def index_stats(stats: DataFrame, vectors: DataFrame) -> DataFrame:
     one = stats.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("n_tokens"))
     two = vectors.agg(F.count(F.lit(1)).alias("n_vectors"), F.array_join(F.array_sort(F.collect_set(F.size("embedding").cast("string"))), ",").alias("dims"))
     return one.crossJoin(F.broadcast(two))  # one row each
-
-
-def build_ivf(vectors: DataFrame, nlist: int = 128, seed: int = 7, sample_rows: int = 100_000) -> tuple[DataFrame, list[list[float]]]:
-    """vectors with cluster_id, and the unit-length centroids.
-
-    Centroids are fitted on at most about ``sample_rows`` vectors; every vector is assigned.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    fed = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    total = vectors.count()
-    sample = fed if total <= sample_rows else fed.sample(sample_rows / total, seed=seed)
-    model = KMeans(k=max(2, min(nlist, total // 4)), seed=seed, featuresCol="features", predictionCol="cluster_id", distanceMeasure="cosine").fit(sample)
-    return model.transform(fed).drop("features"), [c.tolist() for c in model.clusterCenters()]

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as ty
 from pyspark.sql.window import Window as W
 
 from corpusloom.functions import text as T
 from corpusloom.operators.index import B, K1, LexicalIndex, Tokenizer
-from corpusloom.sources.tables import checkpointed
+from corpusloom.operators.vectors import flat_topk
 
 RRF_K, VECTOR_WEIGHT, BM25_WEIGHT = 20, 0.3, 0.7
 BROADCAST_ROWS = 200_000
-QUERY_BLOCK, VECTOR_PART = 4096, 50_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -89,91 +82,17 @@ def bm25_topk(
     return best.select("query_id", "rank", "chunk_index", "score")
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, fits: np.ndarray, chunks: np.ndarray, vectors: np.ndarray, k: int) -> pa.RecordBatch:
-    """The best k of the vectors for each query, by cosine; ``fits`` says which query may have which vector."""
-    norms = np.linalg.norm(vectors, axis=1)
-    scores = np.round(matrix @ (vectors / np.where(norms, norms, 1)[:, None]).T, 6)
-    scores[~fits] = -np.inf
-    take = min(k, len(chunks))
-    # all that reach the k-th best score; ties beyond it are sorted out by the window that follows
-    least = -np.partition(-scores, take - 1, axis=1)[:, take - 1 : take]
-    q, c = np.nonzero((scores >= least) & np.isfinite(scores))
-    return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(chunks[c]), pa.array(scores[q, c])], names=["query_id", "chunk_index", "score"])
-
-
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, chunks: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """query_id, rank, chunk_index, score (cosine, 6 places) of the k nearest vectors of each query, exactly.
 
-    Vectors lie in parts of some VECTOR_PART, and queries are packed into blocks of QUERY_BLOCK; each block meets each part in
-    a task of its own, so neither side grows there, and no vector passes through the driver. With ``chunks`` each query's own
-    lists (categories, content_types) restrict before the top k. Null vectors and those of another length are left out.
+    Vectors are dealt to parts once and queries sent to each, so neither side grows in a task, and nothing passes through the driver. With ``chunks`` each
+    query's own lists (categories, content_types) restrict before the top k. Null vectors and those of another length are left out. Many searches over the same
+    vectors go through a layout: see operators/vectors.py.
     """
-    asked = queries.where(F.col("query_vec").isNotNull())
-    lists = [F.col(c) if c in queries.columns else F.lit(None).cast("array<string>").alias(c) for c in ("categories", "content_types")]
     about = vectors.select("chunk_index", "embedding")
-    if chunks is not None:
+    if chunks is not None and {"categories", "content_types"} & set(queries.columns):
         about = about.join(chunks.select("chunk_index", "category", "content_type"), "chunk_index")
-    else:
-        about = about.withColumns({c: F.lit(None).cast("string") for c in ("category", "content_type")})
-    one = F.struct("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"), *lists)
-    # numbers count up within a partition, so a block holds QUERY_BLOCK rows of one partition at most
-    numbered = asked.select(one.alias("q"), F.floor(F.monotonically_increasing_id() / QUERY_BLOCK).alias("block"))
-    packed = checkpointed(numbered.groupBy("block").agg(F.collect_list("q").alias("queries")))
-    blocks = [r["block"] for r in packed.select("block").collect()]  # one number for each QUERY_BLOCK queries
-    n = parts or max(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-vectors.count() // VECTOR_PART))
-    sent = packed.select("block", "queries", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"))
-    held = about.withColumn("part", F.pmod(F.xxhash64("chunk_index"), F.lit(n)).cast("int"))
-    held = held.withColumn("block", F.explode(F.array(*[F.lit(b).cast("long") for b in blocks]).cast("array<bigint>")))
-
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("chunk_index", pa.int64()), ("score", pa.float64())])
-        made = []
-        column = right.column("embedding").combine_chunks()
-        lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
-        for block in left.column("queries").to_pylist():
-            sizes = np.array([len(q["query_vec"]) for q in block])
-            for dim in np.unique(sizes).tolist():
-                mine = [q for q in block if len(q["query_vec"]) == dim]
-                good = np.nonzero(lengths == dim)[0]
-                if not len(good):
-                    continue
-                matrix = np.array([q["query_vec"] for q in mine], np.float64)
-                norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-                matrix, ids = matrix / np.where(norms, norms, 1), np.array([q["query_id"] for q in mine], np.int64)
-                rows = right.take(pa.array(good))
-                numbers = rows.column("chunk_index").to_numpy()
-                values = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), dim)
-                kinds = {c: np.array(rows.column(c).to_pylist(), object) for c in ("category", "content_type")}
-                for at in range(0, len(mine), 256):
-                    part = mine[at : at + 256]
-                    fits = np.ones((len(part), len(good)), bool)
-                    for row, q in enumerate(part):
-                        for wanted, kind in ((q["categories"], "category"), (q["content_types"], "content_type")):
-                            if wanted is not None:
-                                fits[row] &= np.isin(kinds[kind].astype(str), wanted)
-                    made.append(_best(ids[at : at + 256], matrix[at : at + 256], fits, numbers, values, k))
-        return pa.Table.from_batches(made, schema) if made else schema.empty_table()
-
-    found = sent.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(score, "query_id long, chunk_index long, score double")
-    best = top(found, ["query_id"], [F.desc("score"), F.asc("chunk_index")], k)
-    return best.select("query_id", "rank", "chunk_index", "score")
-
-
-def ivf_topk(queries: DataFrame, clustered: DataFrame, centroids: list[list[float]], k: int, nprobe: int = 8) -> DataFrame:
-    """vector_topk over the vectors of the nprobe clusters nearest to each query only."""
-    middle = np.array(centroids, np.float64)
-    middle /= np.maximum(np.linalg.norm(middle, axis=1, keepdims=True), 1e-12)
-
-    @F.pandas_udf(ty.ArrayType(ty.IntegerType()))
-    def probes(vecs):
-        return vecs.map(lambda v: np.argsort(-(middle @ np.asarray(v, np.float64)), kind="stable")[:nprobe].tolist())
-
-    asked = queries.where(F.col("query_vec").isNotNull()).select("query_id", "query_vec", F.explode(probes("query_vec")).alias("cluster_id"))
-    near = clustered.select("chunk_index", "embedding", "cluster_id").join(broadcast_if_small(asked), "cluster_id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot(F.col("embedding"), F.col("query_vec")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("query_vec"), F.col("query_vec")))
-    scored = near.select("query_id", "chunk_index", F.round(cosine, 6).alias("score"))
-    return top(scored, ["query_id"], [F.desc("score"), F.asc("chunk_index")], k).select("query_id", "rank", "chunk_index", "score")
+    return flat_topk(queries, about, k, parts)
 
 
 def rrf_fuse(vector: DataFrame, bm25: DataFrame, keep: int, k: int = RRF_K, weights: tuple[float, float] = (VECTOR_WEIGHT, BM25_WEIGHT)) -> DataFrame:

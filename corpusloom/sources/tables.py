@@ -27,6 +27,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folders(spark: SparkSession, path: str, marker: str | None = None) -> list[str]:
+    """Names of the folders in a folder, if any; with ``marker`` of those that hold such a file."""
+    at, fs = _path(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+    return [n for n in names if marker is None or fs.exists(_path(spark, f"{path}/{n}/{marker}")[0])]
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
 def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Chunk records with image ids as a comma-joined string."""
     schema = "chunk_index long, category string, source_file string, section_path string, content_type string, content string, split_strategy string, has_image boolean, image_ids string, enriched_content string"

@@ -29,19 +29,6 @@ def test_bm25_against_plain_python(spark):
     assert [(x.score, -x.chunk_index) for x in got] == want
 
 
-def test_exact_and_probed_search_agree_when_all_is_probed(spark):
-    rng = random.Random(1)
-    vec = lambda: [rng.gauss(0, 1) for _ in range(8)]
-    vectors = spark.createDataFrame([(i, vec()) for i in range(200)], "chunk_index long, embedding array<float>")
-    queries = spark.createDataFrame([(i, vec()) for i in range(9)] + [(99, None)], "query_id long, query_vec array<float>")
-    exact = {tuple(x) for x in r.vector_topk(queries, vectors, 5).collect()}
-    clustered, centres = index.build_ivf(vectors, 6)
-    probed = {tuple(x) for x in r.ivf_topk(queries, clustered, centres, 5, nprobe=6).collect()}
-    assert exact == probed and len(exact) == 45
-    some = {(x.query_id, x.chunk_index) for x in r.ivf_topk(queries, clustered, centres, 5, nprobe=5).collect()}
-    assert len(some & {(q, k) for q, _, k, _ in exact}) >= 0.9 * 45
-
-
 def test_fusion_and_diversity(spark):
     rng = random.Random(2)
     lists = [spark.createDataFrame([(q, k + 1, c) for q in range(3) for k, c in enumerate(rng.sample(range(60), 30))], "query_id long, rank int, chunk_index long") for _ in range(2)]
@@ -113,14 +100,3 @@ def test_each_query_has_its_own_filters(spark):
     made = r.retrieve(queries, df.withColumns({"has_image": F.lit(False), "image_ids": F.array(), "split_strategy": F.lit("NL")}), index.build_bm25(df), vectors, 4)
     assert {category[x.chunk_index] for x in made.collect() if x.query_id == 4} == {"d"}
     assert made.where("query_id = 1 AND rerank_score IS NULL").count() == 0
-
-
-def test_queries_in_several_blocks(spark, monkeypatch):
-    rng = random.Random(5)
-    vec = lambda: [rng.gauss(0, 1) for _ in range(6)]
-    vectors = spark.createDataFrame([(i, vec()) for i in range(90)] + [(100, None), (101, [1.0])], "chunk_index long, embedding array<float>")
-    queries = spark.createDataFrame([(i, vec()) for i in range(50)], "query_id long, query_vec array<float>").repartition(3)
-    whole = {tuple(x) for x in r.vector_topk(queries, vectors, 5).collect()}
-    monkeypatch.setattr(r, "QUERY_BLOCK", 7)
-    assert {tuple(x) for x in r.vector_topk(queries, vectors, 5, parts=4).collect()} == whole and len(whole) == 250
-    assert r.vector_topk(queries.limit(0), vectors, 5).count() == 0
