@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.functions.text import ANSWER_STOP_WORDS, RULE_WORDS
+from corpusloom.functions.text import ANSWER_STOP_WORDS, QUERY_STOP_WORDS, RULE_WORDS
 
 NL = "chr(10)"
 STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -455,4 +455,9 @@ ORACLES |= {
     "ivf_recall": f"WITH {vector_top(10)} SELECT count(*) AS n_neighbours, true AS enough FROM nearest",
     "ingest_terms": f"{PAGE_CHUNKS}, {LEXICAL.replace(TOKENS('text'), TOKENS('content')).replace('SELECT doc_id AS chunk_index', 'SELECT chunk_index').replace('FROM documents', 'FROM page_chunks')} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "ingest_files": f"{PAGE_CHUNKS.replace(PAGES, HOST_FILES)} SELECT seq, category, source_file, section_path, content_type, content, split_strategy, has_image, image_ids, enriched_content, true AS placed FROM page_chunks",
+    "bm25_padded": rf"""WITH {LEXICAL}, asked AS (SELECT item_id AS query_id, {TOKENS("text")}[-1] AS term FROM benchmark WHERE {TOKENS("text")}[-1] NOT IN (SELECT unnest(string_split('{" ".join(QUERY_STOP_WORDS)}', ' ')))),
+  scored AS (SELECT query_id, chunk_index, round(idf * {EXACT("tf")} * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM totals))), 6) AS score FROM asked JOIN postings USING (term) JOIN terms USING (term) JOIN lengths USING (chunk_index)),
+  pairs AS (SELECT item_id AS query_id, doc_id AS chunk_index FROM benchmark, documents WHERE item_id % 3 <> 0 OR lang = 'en')
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score IS NULL, score DESC, chunk_index) AS rank, chunk_index, coalesce(score, 0) AS score
+  FROM pairs LEFT JOIN scored USING (query_id, chunk_index) QUALIFY rank <= 10""",
 }

@@ -436,6 +436,16 @@ def bm25_topk(spark, sf_dir):
     return lexical(spark, sf_dir)
 
 
+@query
+def bm25_padded(spark, sf_dir):
+    """Each query asked by its last word, and filled up to ten chunks; those of every third query are English."""
+    chunks = corpus.document_chunks(spark, sf_dir)
+    english = F.when(F.col("query_id") % 3 == 0, F.array(F.lit("en")))
+    asked = corpus.benchmark_queries(spark, sf_dir).select("query_id", F.element_at(T.tokenize(F.col("query")), -1).alias("query"), english.alias("categories"))
+    about = chunks.select("chunk_index", "category", "content_type")
+    return retrieve.bm25_topk(asked, index.build_bm25(chunks), TOP_K, chunks=about, pad_zero=about)
+
+
 @query
 def bm25_dictionary(spark, sf_dir):
     """Lexical search with a dictionary that keeps compounds whole where no space parts them."""

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from corpusloom.functions import text as T
 from corpusloom.operators.index import B, K1, LexicalIndex, Tokenizer
 from corpusloom.operators.vectors import flat_topk
+from corpusloom.sources.tables import checkpointed
 
 RRF_K, VECTOR_WEIGHT, BM25_WEIGHT = 20, 0.3, 0.7
 BROADCAST_ROWS = 200_000
@@ -61,13 +62,14 @@ def permitted(scored: DataFrame, queries: DataFrame, chunks: DataFrame | None) -
 
 def bm25_topk(
     queries: DataFrame, index: LexicalIndex, k: int, stop: list[str] = T.QUERY_STOP_WORDS, allowed_chunks: DataFrame | None = None, chunks: DataFrame | None = None,
-    tokenize: Tokenizer = T.tokenize,
+    tokenize: Tokenizer = T.tokenize, pad_zero: DataFrame | None = None,
 ) -> DataFrame:
     """query_id, rank, chunk_index, score (6 places) of the k best chunks of each query; ties go to the smaller index.
 
     The terms of the queries, few and weighed beforehand, are sent to the postings, which stay where they are;
     partial sums by query and chunk are what is exchanged. ``allowed_chunks`` restricts all queries before the top k, and
-    with ``chunks`` each query's own lists (categories, content_types) do.
+    with ``chunks`` each query's own lists (categories, content_types) do. With ``pad_zero``, the chunks with what filters need, a query
+    that fewer than k chunks match is filled up with the smallest other numbers that it allows, at score 0.
     """
     words = queries.select("query_id", F.explode(tokenize(F.coalesce("query", F.lit("")))).alias("term")).where(~F.col("term").isin(stop))
     words = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
@@ -79,6 +81,15 @@ def bm25_topk(
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = permitted(found.groupBy("query_id", "chunk_index").agg(F.round(F.sum(part), 6).alias("score")), queries, chunks)
     best = top(scored, ["query_id"], [F.desc("score"), F.asc("chunk_index")], k)
+    if pad_zero is not None:
+        best = checkpointed(best)
+        kinds = [c for c in ("category", "content_type") if c in pad_zero.columns]
+        least = top(pad_zero, kinds, [F.asc("chunk_index")], k) if kinds else pad_zero.orderBy("chunk_index").limit(k)  # k rows for each kind of chunk
+        fillers = queries.select("query_id").join(broadcast_if_small(least.select("chunk_index")), F.lit(True)).join(best, ["query_id", "chunk_index"], "left_anti")
+        fillers = permitted(fillers.withColumn("score", F.lit(0.0)), queries, chunks)
+        both = best.select("query_id", "chunk_index", "score").unionByName(fillers)
+        matched = F.col("score") != 0
+        best = top(both, ["query_id"], [F.desc(matched), F.desc("score"), F.asc("chunk_index")], k)
     return best.select("query_id", "rank", "chunk_index", "score")
 
 
@@ -164,15 +175,14 @@ def retrieve(
     """
     pool = 5 * top_k
     expanded = queries if synonyms is None else expand_queries(queries, synonyms)
-    fused = rrf_fuse(vector_topk(expanded, vectors, pool, chunks), bm25_topk(expanded, index, pool, chunks=chunks, tokenize=tokenize), 4 * top_k)
-    diverse = file_diversity(fused.join(chunks.select("chunk_index", "source_file"), "chunk_index"), top_k)
-    texts = diverse.join(chunks.select("chunk_index", "content"), "chunk_index").join(expanded.select("query_id", "query"), "query_id")
-    reranked = rerank(texts, top_k).drop("content", "query")
-    labelled = label_relevance(reranked.withColumnRenamed("rank", "reranked")).drop("source_file")
+    about = checkpointed(chunks.select("chunk_index", "source_file", "category", "content_type"))  # what filters and diversity ask for, worked out once
+    fused = rrf_fuse(vector_topk(expanded, vectors, pool, about), bm25_topk(expanded, index, pool, chunks=about, tokenize=tokenize), 4 * top_k)
+    diverse = checkpointed(file_diversity(fused.join(about.select("chunk_index", "source_file"), "chunk_index"), top_k).drop("source_file"))
+    whole = chunks.join(broadcast_if_small(diverse), "chunk_index").join(expanded.select("query_id", "query"), "query_id")  # the only join with texts
+    labelled = label_relevance(rerank(whole, top_k).drop("query").withColumnRenamed("rank", "reranked"))
     if rank_by == "rerank":
         labelled = labelled.withColumn("rank", F.col("reranked"))
-    out = labelled.join(chunks, "chunk_index")
-    return out.select("query_id", "rank", "chunk_index", "relevance_score", "relevance", "rerank_score", *[c for c in chunks.columns if c != "chunk_index"])
+    return labelled.select("query_id", "rank", "chunk_index", "relevance_score", "relevance", "rerank_score", *[c for c in chunks.columns if c != "chunk_index"])
 
 
 def citations(hits: DataFrame, excerpt: int = 200) -> DataFrame:
