@@ -27,6 +27,43 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Steps:
+    """The written steps of one operator, as a context.
+
+    ``keep`` cuts a frame from its lineage by a reliable checkpoint; ``drop`` deletes the files of steps that no later one reads, and ``done`` those of
+    all but the steps that the result needs. If the operator fails, all of them go. Within the context Spark also deletes
+    the shuffle files of each step as soon as it is written.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Steps:
+        self.before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        return self
+
+    def __exit__(self, kind, error, trace) -> None:
+        self.spark.conf.set(CLEANUP, self.before)
+        if kind is not None:
+            self.done()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        out = checkpointed(df)
+        self.paths[id(out)] = out, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+        return out
+
+    def drop(self, *steps: DataFrame) -> None:
+        for step in steps:
+            delete_folder(self.spark, self.paths.pop(id(step))[1])
+
+    def done(self, *needed: DataFrame) -> None:
+        self.drop(*[df for df, _ in list(self.paths.values()) if not any(df is n for n in needed)])
+
+
 def _path(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
