@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import jaccard_join, line_dedup, packing, quality_rules, secret_scan
+from corpusloom.sources import tables
 
 
 def _as_documents(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -58,7 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What one stage has written goes once the next one has written its own; the last of these feeds the result and stays.
     """
-    at = f"{quality_rules.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    at = f"{tables.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -66,6 +67,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(f"{at}/{k}")
             docs = spark.read.parquet(f"{at}/{k}")
             if k:
-                old = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{k - 1}")
-                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+                tables.delete_folder(spark, f"{at}/{k - 1}")
     return docs
