@@ -3,7 +3,7 @@
 Quoted lines are parsed by nesting level and taken out of the messages. Every quoted passage is normalised
 and hashed, as are the messages, their paragraphs and their lines; a join on conversation and hash finds
 the message that a passage was first written in. A message answers the original of its outermost quotes, or
-the turn before it where nothing is quoted, and the links give each message its thread and depth.
+the turn before it that there is where nothing is quoted, and the links give each message its thread and depth.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from corpusloom.llm.quality_rules import checkpointed
+from corpusloom.sources.tables import Steps
 
 QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)(.*)$")
 ATTRIBUTION = re.compile(r"^[^\n>]{0,200}(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
@@ -91,22 +92,35 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     return found.groupBy("conv_id", "turn").agg(best.alias("quoted_turn"))
 
 
-def threads(links: DataFrame, max_rounds: int = 40) -> DataFrame:
+def threads(links: DataFrame, work: Steps, max_rounds: int = 40) -> DataFrame:
     """links (conv_id, turn, reply_to) with thread, the turn a chain of replies began with, and depth.
 
     Pointer jumping: each round doubles the length of chain that is known, so a chain of 2^40 replies is the limit.
     """
-    state = checkpointed(links.select("conv_id", "turn", F.col("reply_to").alias("up"), F.coalesce("reply_to", "turn").alias("top"), F.col("reply_to").isNotNull().cast("long").alias("depth")))
+    state = work.keep(links.select("conv_id", "turn", F.col("reply_to").alias("up"), F.coalesce("reply_to", "turn").alias("top"), F.col("reply_to").isNotNull().cast("long").alias("depth")))
     for _ in range(max_rounds):
         if state.where(F.col("up").isNotNull()).isEmpty():
             break
         above = state.select("conv_id", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"))
         far = state.where(F.col("up").isNotNull()).join(above, ["conv_id", "up"], "left")  # chains that have ended stay as they are
         far = far.select("conv_id", "turn", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"))
-        state = checkpointed(state.where(F.col("up").isNull()).unionByName(far))
+        before, state = state, work.keep(state.where(F.col("up").isNull()).unionByName(far))
+        work.drop(before)
     return state.select("conv_id", "turn", F.col("top").alias("thread"), "depth")
 
 
+def turns_before(turns: DataFrame, block: int = 4096) -> DataFrame:
+    """conv_id, turn and last_turn, the greatest turn below it that the conversation has, for distinct turns.
+
+    Windows hold the turns of one block of numbers, and then the blocks of one conversation.
+    """
+    at = turns.withColumn("block", F.floor(F.col("turn") / block))
+    inner = at.withColumn("inner_turn", F.lag("turn").over(W.partitionBy("conv_id", "block").orderBy("turn")))
+    ends = at.groupBy("conv_id", "block").agg(F.max("turn").alias("end"))
+    ends = ends.select("conv_id", "block", F.lag("end").over(W.partitionBy("conv_id").orderBy("block")).alias("outer_turn"))
+    return inner.join(ends, ["conv_id", "block"]).select("conv_id", "turn", F.coalesce("inner_turn", "outer_turn").alias("last_turn"))
+
+
 def format_chat(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, text (without quotes), n_quotes, reply_to, linked_by, thread, depth for each message.
 
@@ -115,17 +129,19 @@ def format_chat(messages: DataFrame) -> DataFrame:
     once; of several different rows with one turn each stays, and all answer the same message. Rows without
     conversation or turn stay, linked with nothing. Other columns are ignored.
     """
-    parsed = checkpointed(parse_messages(messages.select("conv_id", "turn", "role", "text").distinct()))
-    turns = parsed.select("conv_id", "turn").distinct()
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("last_turn"))
-    linked = turns.join(link_quotes(parsed), ["conv_id", "turn"], "left").join(before, ["conv_id", "turn"], "left")
-    linked = checkpointed(
-        linked.select(
-            "conv_id", "turn", F.coalesce("quoted_turn", "last_turn").alias("reply_to"),
-            F.when(F.col("quoted_turn").isNotNull(), "quote").when(F.col("last_turn").isNotNull(), "turn").alias("linked_by"),
-        )
-    )
-    places = linked.join(threads(linked), ["conv_id", "turn"])
+    with Steps(messages.sparkSession) as work:
+        parsed = work.keep(parse_messages(messages.select("conv_id", "turn", "role", "text").distinct()))
+        turns = parsed.select("conv_id", "turn").distinct().where("conv_id IS NOT NULL AND turn IS NOT NULL")
+        linked = turns.join(link_quotes(parsed), ["conv_id", "turn"], "left").join(turns_before(turns), ["conv_id", "turn"], "left")
+        linked = work.keep(
+            linked.select(
+                "conv_id", "turn", F.coalesce("quoted_turn", "last_turn").alias("reply_to"),
+                F.when(F.col("quoted_turn").isNotNull(), "quote").when(F.col("last_turn").isNotNull(), "turn").alias("linked_by"),
+            )
+        )
+        threaded = threads(linked, work)
+        places = work.keep(linked.join(threaded, ["conv_id", "turn"]))
+        work.done(parsed, places)
     out = parsed.drop("own", "quoted").join(places, ["conv_id", "turn"], "left")
     return out.select("conv_id", "turn", "role", F.col("body").alias("text"), "n_quotes", "reply_to", "linked_by", "thread", "depth")
 

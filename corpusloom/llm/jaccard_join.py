@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.quality_rules import checkpointed
+from corpusloom.sources.tables import Steps
 
 WIDTH = 5
 GROUPS = 128
@@ -436,7 +436,7 @@ def tree_pairs(cells: DataFrame, points: DataFrame, tile_rows: int = 1024) -> Da
     return dealt.mapInArrow(meet_all, "a long, b long").distinct()
 
 
-def between_groups(cells: DataFrame, groups: DataFrame, reps: DataFrame) -> DataFrame:
+def between_groups(cells: DataFrame, groups: DataFrame, reps: DataFrame, work: Steps) -> DataFrame:
     """The rows (token, doc_id, grp) of representatives in cells in which different groups of like sizes meet.
 
     Sets that link differ in size by a third at most. Sizes fall into bands of that width, and each set is in its own band
@@ -447,7 +447,7 @@ def between_groups(cells: DataFrame, groups: DataFrame, reps: DataFrame) -> Data
     banded = named.join(reps.select("doc_id", F.explode(F.array(band, band + 1)).alias("band")), "doc_id")
     banded = banded.select(F.xxhash64("token", "band").alias("token"), "doc_id", "grp")
     span = banded.groupBy("token").agg(F.min("grp").alias("g1"), F.max("grp").alias("g2")).where("g1 != g2")
-    return unlike_cells(checkpointed(banded.join(span.select("token"), "token", "left_semi")))
+    return unlike_cells(work.keep(banded.join(span.select("token"), "token", "left_semi")))
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536) -> DataFrame:
@@ -464,44 +464,51 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def _labelled(docs: DataFrame, id_col: str, text_col: str, frequent: int = 65_536) -> DataFrame:
     """similar_documents with set_key, which rows of equal shingle sets share."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    seen = checkpointed(survey(narrow))
-    about = seen.where("kind = 0").select("doc_id", "n", "set_key")
-    often = seen.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent)
-    order = np.array([r["token"] for r in often.collect()], np.int64)[::-1].view(np.uint64).copy()  # at most ``frequent`` numbers
-    whole = seen.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL")
-    classes = whole.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("least").alias("least"))
-    classes = checkpointed(classes)
-    reps = classes.select("doc_id", "n", "point")
-
-    # near copies are tied to leaders
-    least = classes.select("doc_id", F.posexplode("least").alias("k", "cell"))
-    alone = least.groupBy("cell").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 != d2").select("cell")
-    least = checkpointed(least.join(alone, "cell"))
-    alive = least.select("doc_id").distinct()
-    sets = checkpointed(packed_sets(narrow.join(alive, "doc_id", "left_semi")))
-    links = checkpointed(star_links(least.where("k = 0").select("cell", "doc_id"), sets))
-    groups = components(links)
-    links = checkpointed(links.union(star_links(least.where("k > 0").select("cell", "doc_id"), sets, groups)))
-    clash = whole.groupBy("doc_id").agg(F.min("set_key").alias("k1"), F.max("set_key").alias("k2")).where("k1 != k2").select("doc_id")
-    same_id = whole.join(clash, "doc_id", "left_semi").join(classes.select("set_key", F.col("doc_id").alias("a")), "set_key").select("a", F.col("doc_id").alias("b"))
-    links = checkpointed(links.union(same_id))
-    groups = components(links)
-
-    # the exact search between groups
-    cells = checkpointed(shared_cells(prefix_rows(narrow, order)))
-    pairs = checkpointed(tree_pairs(checkpointed(between_groups(cells, groups, reps)), reps))
-    if not pairs.isEmpty():
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        other = narrow.join(asked.join(alive, "doc_id", "left_anti"), "doc_id", "left_semi")
-        near = checkpointed(sets.union(packed_sets(other)).join(asked, "doc_id", "left_semi"))
-        links = checkpointed(links.union(verify(pairs, near)))
-        groups = components(links)
-
-    label = groups.select(F.col("id").alias("doc_id"), "component_id")
-    of_class = classes.select("set_key", "doc_id").join(label, "doc_id", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = about.join(of_class, "set_key", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "set_key")
+    with Steps(docs.sparkSession) as work:
+        seen = work.keep(survey(narrow))
+        about = work.keep(seen.where("kind = 0").select("doc_id", "n", "set_key"))
+        often = seen.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(frequent)
+        order = np.array([r["token"] for r in often.collect()], np.int64)[::-1].view(np.uint64).copy()  # at most ``frequent`` numbers
+        whole = seen.where("kind = 0 AND n > 0 AND doc_id IS NOT NULL")
+        classes = whole.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("point").alias("point"), F.min("least").alias("least"))
+        classes = work.keep(classes)
+        work.drop(seen)
+        whole = about.where("n > 0 AND doc_id IS NOT NULL")
+        reps = classes.select("doc_id", "n", "point")
+
+        # near copies are tied to leaders
+        least = classes.select("doc_id", F.posexplode("least").alias("k", "cell"))
+        alone = least.groupBy("cell").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 != d2").select("cell")
+        least = work.keep(least.join(alone, "cell"))
+        alive = least.select("doc_id").distinct()
+        sets = work.keep(packed_sets(narrow.join(alive, "doc_id", "left_semi")))
+        links = work.keep(star_links(least.where("k = 0").select("cell", "doc_id"), sets))
+        groups = components(links, work)
+        links = work.keep(links.union(star_links(least.where("k > 0").select("cell", "doc_id"), sets, groups)))
+        clash = whole.groupBy("doc_id").agg(F.min("set_key").alias("k1"), F.max("set_key").alias("k2")).where("k1 != k2").select("doc_id")
+        same_id = whole.join(clash, "doc_id", "left_semi").join(classes.select("set_key", F.col("doc_id").alias("a")), "set_key").select("a", F.col("doc_id").alias("b"))
+        links = work.keep(links.union(same_id))
+        groups = components(links, work)
+
+        # the exact search between groups
+        cells = work.keep(shared_cells(prefix_rows(narrow, order)))
+        between = work.keep(between_groups(cells, groups, reps, work))
+        work.drop(cells)
+        pairs = work.keep(tree_pairs(between, reps))
+        if not pairs.isEmpty():
+            asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+            other = narrow.join(asked.join(alive, "doc_id", "left_anti"), "doc_id", "left_semi")
+            near = work.keep(sets.union(packed_sets(other)).join(asked, "doc_id", "left_semi"))
+            links = work.keep(links.union(verify(pairs, near)))
+            groups = components(links, work)
+
+        label = groups.select(F.col("id").alias("doc_id"), "component_id")
+        of_class = classes.select("set_key", "doc_id").join(label, "doc_id", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"))
+        out = about.join(of_class, "set_key", "left")
+        component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+        out = work.keep(out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "set_key"))
+        work.done(out)
+        return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -511,16 +518,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     smallest id to stay for it. Such rows are known by 64 bits of their texts' hashes.
     """
     labels = _labelled(docs, id_col, text_col)
-    has_id = F.col(id_col).cast("long").isNotNull()
+    taken = {c.lower() for c in docs.columns}
+    kept, gone = (next(n for n in (f"{name}{i}" for i in range(len(taken) + 1)) if n not in taken) for name in ("kept_id", "gone"))
+    has_id, text = F.col(id_col).cast("long").isNotNull(), F.col(text_col).cast("string")
+    found = labels.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.join(found, F.col(id_col) == F.col(kept), "left_semi")
     nameless = docs.where(~has_id)
     if nameless.isEmpty():
-        found = labels.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-        return docs.join(found, F.col(id_col) == F.col("__kept_id"), "left_semi")
-    labels = checkpointed(labels)
-    found = labels.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.join(found, F.col(id_col) == F.col("__kept_id"), "left_semi")
-    text = F.col(text_col).cast("string")
+        return named
     keys = survey(nameless.select(F.xxhash64(text).alias("doc_id"), text.alias("text")).dropna()).where("n > 0")
     held = labels.where("doc_id IS NULL AND component_id IS NOT NULL").select("set_key").distinct()
-    gone = keys.join(held, "set_key", "left_semi").select(F.col("doc_id").alias("__gone")).distinct()
-    return named.unionByName(nameless.join(gone, F.xxhash64(text) == F.col("__gone"), "left_anti"))
+    over = keys.join(held, "set_key", "left_semi").select(F.col("doc_id").alias(gone)).distinct()
+    return named.unionByName(nameless.join(over, F.xxhash64(text) == F.col(gone), "left_anti"))

@@ -1,9 +1,9 @@
 """Deduplication of repeated runs of lines by winnowing (DataFrame functions only).
 
 A text is cut into lines, lines after each sentence, and sentences before each word that begins with a certain
-letter; what is still long is cut before more words. So a passage is cut alike wherever it was pasted. Every three
+letter; what is still long is cut before more words. So a passage is cut alike wherever it was pasted. Every two
 neighbouring units are hashed together, and of each ``window`` neighbouring hashes the smallest is a fingerprint:
-any run of ``window`` + 2 units that two places share has a fingerprint in common. The places of a fingerprint are
+any run of ``window`` + 1 units that two places share has a fingerprint in common. The places of a fingerprint are
 joined to its first one (smallest doc_id, then position), and each match is extended unit by unit both ways, then
 word by word into the units at both ends. Runs that reach ``min_chars`` characters are deleted, but for their first
 place.
@@ -22,7 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.quality_rules import SEPARATORS, _let, checkpointed, release
+from corpusloom.llm.quality_rules import SEPARATORS, _let
+from corpusloom.sources.tables import Steps
 
 BREAKS = ("\n", ". ", "! ", "? ")
 LONG = 72  # characters; units that are longer are cut before words that begin with one letter, and where they are still longer with others, and then at each blank
@@ -153,71 +154,76 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).dropna().select("doc_id", _tag(F.col("text")).alias("tag"), "text")
-    both = _let(unit_hashes(F.col("text")), lambda h: F.struct(h.alias("h"), fingerprints(h, window).alias("f")))
-    lines = checkpointed(narrow.select("doc_id", "tag", both.alias("l")).select("doc_id", "tag", "l.h", "l.f"))
-    prints = lines.select("doc_id", "tag", _rows(F.transform("f", lambda i: F.struct(_print(F.col("h"), i).alias("print"), i.alias("pos")))).alias("f"))
-    prints = prints.where("f IS NOT NULL").select("f.print", "doc_id", _at(F.col("tag"), F.col("f.pos")).alias("at"))
-    firsts = prints.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("places"))
-    firsts = checkpointed(firsts.where("places > 1").select("print", F.col("first.doc_id").alias("src"), F.col("first.at").alias("src_at")))
-    found = prints.join(firsts.hint("shuffle_hash"), "print").where("doc_id != src OR at != src_at")
-    # matches overlap: of those with one offset, the first and last of each ``reach`` positions cover the rest
-    part = F.col("at") - F.pmod("at", F.lit(reach))
-    found = found.groupBy("doc_id", "src", (F.col("src_at") - F.col("at")).alias("shift"), part.alias("part")).agg(F.min("at").alias("at"), F.max("at").alias("last"))
-    found = found.select("doc_id", "src", "shift", _rows(F.array_distinct(F.array("at", "last"))).alias("at"))
-    found = checkpointed(found.select("doc_id", "at", "src", (F.col("at") + F.col("shift")).alias("src_at")))
-    lines = lines.select("doc_id", "tag", "h")
-
-    # of each earlier text the stretch that a document's matches lie in, with ``reach`` units around it
-    match = F.struct(_pos("at").alias("pos"), _pos("src_at").alias("src_pos"))
-    ends = [F.col("doc_id").alias("own_id"), _tag_of("at").alias("own_tag"), "src", _tag_of("src_at").alias("src_tag")]
-    pairs = found.groupBy(*ends).agg(F.collect_list(match).alias("matches"), F.min(_pos("src_at")).alias("lo"), F.max(_pos("src_at")).alias("hi"))
-    start = F.greatest(F.col("lo") - reach, F.lit(0))
-    near = F.slice("h", start + 1, F.col("hi") + reach + 2 - start)
-    known = pairs.join(lines, (F.col("src") == F.col("doc_id")) & (F.col("src_tag") == F.col("tag")))
-    known = known.select(F.col("own_id").alias("doc_id"), F.col("own_tag").alias("tag"), F.struct("src", "src_tag", start.alias("start"), near.alias("near"), "matches").alias("s"))
-    known = known.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("sources"))  # of one document
-
-    def extend(s: Column) -> Column:
-        def one(m: Column) -> Column:
-            here, there = m["pos"], m["src_pos"] - s["start"]
-            ahead = _matching(F.slice("h", here + 1, reach + 1), F.slice(s["near"], there + 1, reach + 1))
-            own = F.least(here, there, F.lit(reach))
-            behind = _matching(F.reverse(F.slice("h", here + 1 - own, own)), F.reverse(F.slice(s["near"], there + 1 - own, own)))
-            first = F.struct(s["src"].alias("doc_id"), s["src_tag"].alias("tag"), m["src_pos"].alias("pos"))
-            return F.struct((here - behind).alias("a"), (here + ahead).alias("b"), first.alias("first"), here.alias("pos"))
-
-        return F.transform(s["matches"], one)
-
-    def runs(spans: Column) -> Column:
-        """The runs that the spans cover together, with the places of the units around the earlier one."""
-        covered = F.sort_array(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"] - 1)))))
-
-        def between(d: Column) -> Column:
-            starts = F.filter(d, lambda x, i: (i == 0) | (F.get(d, i - 1) != x - 1))
-            ends = F.filter(d, lambda x, i: (i == F.size(d) - 1) | (F.get(d, i + 1) != x + 1))
-            return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
-
-        chars = lambda r: F.aggregate(F.slice("h", r["a"] + 1, r["b"] - r["a"]), F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit(LENGTH)) + 1)
-        long = F.filter(_let(covered, between), lambda r: chars(r) * 2 >= min_chars)
-
-        def beside(r: Column) -> Column:
-            left, right = F.get(F.filter(spans, lambda s: s["a"] == r["a"]), F.lit(0)), F.get(F.filter(spans, lambda s: s["b"] == r["b"]), F.lit(0))
-            at = lambda s, k, name: F.struct(s["first"]["doc_id"].alias("doc_id"), s["first"]["tag"].alias("tag"), (s["first"]["pos"] - s["pos"] + k).alias("unit")).alias(name)
-            return F.struct(r["a"].alias("a"), r["b"].alias("b"), at(left, r["a"] - 1, "before"), at(right, r["b"], "after"))
-
-        return F.transform(long, beside)
-
-    met = lines.join(known, ["doc_id", "tag"])
-    spans = F.filter(F.flatten(F.transform("sources", extend)), lambda s: s["b"] > s["a"])
-    made = checkpointed(met.select("doc_id", "tag", _rows(_let(spans, runs)).alias("r")).select("doc_id", "tag", "r.*").where("a IS NOT NULL").dropDuplicates(["doc_id", "tag", "a"]))
-    asked = made.select(_rows(F.array("before", "after")).alias("u")).distinct().select("u.*").groupBy("doc_id", "tag").agg(F.collect_list("unit").alias("at"))
-    told = narrow.join(asked.hint("shuffle_hash"), ["doc_id", "tag"])
-    told = told.select("doc_id", "tag", _rows(_let(units_of(F.col("text")), lambda u: F.transform("at", lambda k: F.struct(k.alias("unit"), _around(u, k).alias("told"))))).alias("u"))
-    told = checkpointed(told.select(F.struct("doc_id", "tag", "u.unit").alias("place"), "u.told.*").dropDuplicates(["place"]))
-    for side in ("before", "after"):
-        made = made.join(told.select(F.col("place").alias(side), F.col(f"{side}_here").alias(f"{side}_text")), side, "left")
-    run = F.struct("a", "b", F.col("before_text").alias("before"), F.col("after_text").alias("after"))
-    return checkpointed(made.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(run)).alias("runs")))
+    with Steps(docs.sparkSession) as work:
+        both = _let(unit_hashes(F.col("text")), lambda h: F.struct(h.alias("h"), fingerprints(h, window).alias("f")))
+        lines = work.keep(narrow.select("doc_id", "tag", both.alias("l")).select("doc_id", "tag", "l.h", "l.f"))
+        prints = lines.select("doc_id", "tag", _rows(F.transform("f", lambda i: F.struct(_print(F.col("h"), i).alias("print"), i.alias("pos")))).alias("f"))
+        prints = prints.where("f IS NOT NULL").select("f.print", "doc_id", _at(F.col("tag"), F.col("f.pos")).alias("at"))
+        firsts = prints.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("places"))
+        firsts = work.keep(firsts.where("places > 1").select("print", F.col("first.doc_id").alias("src"), F.col("first.at").alias("src_at")))
+        found = prints.join(firsts.hint("shuffle_hash"), "print").where("doc_id != src OR at != src_at")
+        # matches overlap: of those with one offset, the first and last of each ``reach`` positions cover the rest
+        part = F.col("at") - F.pmod("at", F.lit(reach))
+        found = found.groupBy("doc_id", "src", (F.col("src_at") - F.col("at")).alias("shift"), part.alias("part")).agg(F.min("at").alias("at"), F.max("at").alias("last"))
+        found = found.select("doc_id", "src", "shift", _rows(F.array_distinct(F.array("at", "last"))).alias("at"))
+        found = work.keep(found.select("doc_id", "at", "src", (F.col("at") + F.col("shift")).alias("src_at")))
+        work.drop(firsts)
+        hashes, lines = lines, lines.select("doc_id", "tag", "h")
+
+        # of each earlier text the stretch that a document's matches lie in, with ``reach`` units around it
+        match = F.struct(_pos("at").alias("pos"), _pos("src_at").alias("src_pos"))
+        ends = [F.col("doc_id").alias("own_id"), _tag_of("at").alias("own_tag"), "src", _tag_of("src_at").alias("src_tag")]
+        pairs = found.groupBy(*ends).agg(F.collect_list(match).alias("matches"), F.min(_pos("src_at")).alias("lo"), F.max(_pos("src_at")).alias("hi"))
+        start = F.greatest(F.col("lo") - reach, F.lit(0))
+        near = F.slice("h", start + 1, F.col("hi") + reach + 2 - start)
+        known = pairs.join(lines, (F.col("src") == F.col("doc_id")) & (F.col("src_tag") == F.col("tag")))
+        known = known.select(F.col("own_id").alias("doc_id"), F.col("own_tag").alias("tag"), F.struct("src", "src_tag", start.alias("start"), near.alias("near"), "matches").alias("s"))
+        known = known.groupBy("doc_id", "tag").agg(F.collect_list("s").alias("sources"))  # of one document
+
+        def extend(s: Column) -> Column:
+            def one(m: Column) -> Column:
+                here, there = m["pos"], m["src_pos"] - s["start"]
+                ahead = _matching(F.slice("h", here + 1, reach + 1), F.slice(s["near"], there + 1, reach + 1))
+                own = F.least(here, there, F.lit(reach))
+                behind = _matching(F.reverse(F.slice("h", here + 1 - own, own)), F.reverse(F.slice(s["near"], there + 1 - own, own)))
+                first = F.struct(s["src"].alias("doc_id"), s["src_tag"].alias("tag"), m["src_pos"].alias("pos"))
+                return F.struct((here - behind).alias("a"), (here + ahead).alias("b"), first.alias("first"), here.alias("pos"))
+
+            return F.transform(s["matches"], one)
+
+        def runs(spans: Column) -> Column:
+            """The runs that the spans cover together, with the places of the units around the earlier one."""
+            covered = F.sort_array(F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"] - 1)))))
+
+            def between(d: Column) -> Column:
+                starts = F.filter(d, lambda x, i: (i == 0) | (F.get(d, i - 1) != x - 1))
+                ends = F.filter(d, lambda x, i: (i == F.size(d) - 1) | (F.get(d, i + 1) != x + 1))
+                return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("a"), (b + 1).alias("b")))
+
+            chars = lambda r: F.aggregate(F.slice("h", r["a"] + 1, r["b"] - r["a"]), F.lit(0).cast("long"), lambda n, x: n + x.bitwiseAND(F.lit(LENGTH)) + 1)
+            long = F.filter(_let(covered, between), lambda r: chars(r) * 2 >= min_chars)
+
+            def beside(r: Column) -> Column:
+                left, right = F.get(F.filter(spans, lambda s: s["a"] == r["a"]), F.lit(0)), F.get(F.filter(spans, lambda s: s["b"] == r["b"]), F.lit(0))
+                at = lambda s, k, name: F.struct(s["first"]["doc_id"].alias("doc_id"), s["first"]["tag"].alias("tag"), (s["first"]["pos"] - s["pos"] + k).alias("unit")).alias(name)
+                return F.struct(r["a"].alias("a"), r["b"].alias("b"), at(left, r["a"] - 1, "before"), at(right, r["b"], "after"))
+
+            return F.transform(long, beside)
+
+        met = lines.join(known, ["doc_id", "tag"])
+        spans = F.filter(F.flatten(F.transform("sources", extend)), lambda s: s["b"] > s["a"])
+        made = work.keep(met.select("doc_id", "tag", _rows(_let(spans, runs)).alias("r")).select("doc_id", "tag", "r.*").where("a IS NOT NULL").dropDuplicates(["doc_id", "tag", "a"]))
+        work.drop(found, hashes)
+        asked = made.select(_rows(F.array("before", "after")).alias("u")).distinct().select("u.*").groupBy("doc_id", "tag").agg(F.collect_list("unit").alias("at"))
+        told = narrow.join(asked.hint("shuffle_hash"), ["doc_id", "tag"])
+        told = told.select("doc_id", "tag", _rows(_let(units_of(F.col("text")), lambda u: F.transform("at", lambda k: F.struct(k.alias("unit"), _around(u, k).alias("told"))))).alias("u"))
+        told = work.keep(told.select(F.struct("doc_id", "tag", "u.unit").alias("place"), "u.told.*").dropDuplicates(["place"]))
+        for side in ("before", "after"):
+            made = made.join(told.select(F.col("place").alias(side), F.col(f"{side}_here").alias(f"{side}_text")), side, "left")
+        run = F.struct("a", "b", F.col("before_text").alias("before"), F.col("after_text").alias("after"))
+        out = work.keep(made.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(run)).alias("runs")))
+        work.done(out)
+        return out
 
 
 RUNS = "array<struct<a:int,b:int,before:string,after:string>>"
@@ -261,12 +267,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every row stays, also one whose text is then empty; rows with a null id or text stay as they are. Rows with
     equal id and text get the same result each; rows with one id and different texts are judged apart. A fingerprint
-    is matched with its first place only. An empty table gives an empty result.
+    is matched with its first place only. Runs are extended by words for EDGE characters at most at each end, which is longer than a
+    unit; words beyond stay. An empty table gives an empty result; other columns may have any names.
     """
-    text = F.col(text_col).cast("string")
+    text, taken = F.col(text_col).cast("string"), {c.lower() for c in docs.columns}
+    key, tag, runs = (next(n for n in (f"{name}{i}" for i in range(len(taken) + 1)) if n not in taken) for name in ("line_id", "line_tag", "line_runs"))
     marks = repeated_runs(docs, id_col, text_col, min_chars, window, reach)
-    release(docs.sparkSession)
-    marks = marks.select(F.col("doc_id").alias("__line_id"), F.col("tag").alias("__line_tag"), F.col("runs").alias("__line_runs"))
-    met = docs.join(marks.hint("shuffle_hash"), (F.col(id_col) == F.col("__line_id")) & (_tag(text) == F.col("__line_tag")), "left")
-    cut = without_runs(text, F.coalesce("__line_runs", F.array().cast(RUNS)), min_chars)
+    marks = marks.select(F.col("doc_id").alias(key), F.col("tag").alias(tag), F.col("runs").alias(runs))
+    met = docs.join(marks.hint("shuffle_hash"), (F.col(id_col) == F.col(key)) & (_tag(text) == F.col(tag)), "left")
+    cut = without_runs(text, F.coalesce(runs, F.array().cast(RUNS)), min_chars)
     return met.select(*[cut.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -24,26 +24,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpusloom.llm.quality_rules import checkpointed
+from corpusloom.sources.tables import Steps
 
 BLOCK = 4096
 SUMS = ["s0", "s1", "s2", "s3"]  # of 32 bits each, so that two thousand million of them fit a long
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def spread_rows(df: DataFrame, by: list[Column]) -> DataFrame:
+def spread_rows(df: DataFrame, by: list[Column], work: Steps) -> DataFrame:
     """df in the order of ``by`` over all partitions, with ``part`` and ``row``, a row's number in its partition; written, so that they stay."""
     ordered = df.repartitionByRange(*by).sortWithinPartitions(*by)
     number = F.monotonically_increasing_id()
-    return checkpointed(ordered.select("*", F.spark_partition_id().alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
+    return work.keep(ordered.select("*", F.spark_partition_id().alias("part"), number.bitwiseAND(F.lit((1 << 33) - 1)).alias("row")))
 
 
-def ordered_turns(conversations: DataFrame) -> DataFrame:
+def ordered_turns(conversations: DataFrame, work: Steps) -> DataFrame:
     """conv_id, pos (from 0), digest of role and text, and n_chars for each turn of a conversation."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     digest = F.unhex(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256)).alias("digest")
     narrow = conversations.where("conv_id IS NOT NULL").select("conv_id", F.col("turn"), digest, F.length(text).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("tie"))
-    rows = spread_rows(narrow, [F.asc("conv_id"), F.asc_nulls_first("turn"), F.asc("digest"), F.asc("tie")])
+    rows = spread_rows(narrow, [F.asc("conv_id"), F.asc_nulls_first("turn"), F.asc("digest"), F.asc("tie")], work)
     parts = rows.groupBy("conv_id", "part").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n"))  # a few for each conversation
     before = F.coalesce(F.sum("n").over(W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = rows.join(parts.select("conv_id", "part", "first", before.alias("before")), ["conv_id", "part"])
@@ -88,18 +88,20 @@ def node_names(depth: Column, sums: list[Column]) -> list[Column]:
     return [F.xxhash64(depth, *sums), F.xxhash64(*reversed(sums), depth, F.lit(1))]
 
 
-def paths(turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def paths(turns: DataFrame, work: Steps, block: int = BLOCK) -> DataFrame:
     """conv_id, depth, n_chars, node (n0, n1) and the node above (p0, p1) for each turn."""
     low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     high = lambda x: F.shiftrightunsigned(x, 32)
     first, second = F.xxhash64("depth", "digest"), F.xxhash64("digest", "depth", F.lit(1))
     terms = [low(first), high(first), low(second), high(second)]
-    own = checkpointed(turns.select("conv_id", "depth", "n_chars", *[t.alias(s) for t, s in zip(terms, SUMS)], *[t.alias(f"own_{s}") for t, s in zip(terms, SUMS)]))
+    own = work.keep(turns.select("conv_id", "depth", "n_chars", *[t.alias(s) for t, s in zip(terms, SUMS)], *[t.alias(f"own_{s}") for t, s in zip(terms, SUMS)]))
     summed = running_sums(own, "conv_id", "depth", SUMS, block)
     here = node_names(F.col("depth"), [F.col(s) for s in SUMS])
     above = node_names(F.col("depth") - 1, [F.col(s) - F.col(f"own_{s}") for s in SUMS])
     names = [c.alias(n) for c, n in zip(here + above, ("n0", "n1", "p0", "p1"))]
-    return checkpointed(summed.select("conv_id", "depth", "n_chars", *names))
+    out = work.keep(summed.select("conv_id", "depth", "n_chars", *names))
+    work.drop(own)
+    return out
 
 
 def part_offsets(df: DataFrame, sums: list[str]) -> DataFrame:
@@ -109,13 +111,13 @@ def part_offsets(df: DataFrame, sums: list[str]) -> DataFrame:
     return totals.select("part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in sums])
 
 
-def ranked_sequences(steps: DataFrame, ends: DataFrame, branches: DataFrame) -> DataFrame:
+def ranked_sequences(steps: DataFrame, ends: DataFrame, branches: DataFrame, work: Steps) -> DataFrame:
     """conv_id and rank of the smallest conversation of each sequence; ends has conv_id, n0, n1 and depth of all."""
     chosen = ends.groupBy("n0", "n1").agg(F.min(F.struct("conv_id", "depth")).alias("e")).select("e.conv_id", F.col("e.depth").alias("length"))
     own = steps.join(chosen.select("conv_id"), "conv_id", "left_semi").select("conv_id", "depth", "n0", "n1")
     marks = own.join(branches, ["n0", "n1"]).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "mark"))).alias("marks"))
     keys = chosen.join(marks, "conv_id", "left").select("conv_id", "length", F.coalesce(F.transform("marks", lambda m: m["mark"]), F.array().cast("array<bigint>")).alias("marks"))
-    rows = spread_rows(keys, [F.asc("marks"), F.asc("length")]).select("conv_id", "part", "row", F.lit(1).cast("long").alias("one"))
+    rows = spread_rows(keys, [F.asc("marks"), F.asc("length")], work).select("conv_id", "part", "row", F.lit(1).cast("long").alias("one"))
     offsets = part_offsets(rows, ["one"])
     return rows.join(F.broadcast(offsets), "part").select("conv_id", (F.col("row") + F.col("one_before")).alias("rank"))  # a row for each partition
 
@@ -177,16 +179,16 @@ def _digest_rows(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], names=["n0", "n1", "ends_sha256"])
 
 
-def prefix_trie(lengths: DataFrame, turns: DataFrame, block: int = BLOCK) -> DataFrame:
+def prefix_trie(lengths: DataFrame, turns: DataFrame, work: Steps, block: int = BLOCK) -> DataFrame:
     """One row for each node of the trie of conversations: conv_id (its smallest member), depth, parent_conv_id (null for the
     root), n_convs, n_children, n_leaves, saved_tokens and ends_sha256.
 
     ``lengths`` has conv_id (a long) and n_turns for each conversation, those without turns included; ``turns`` has conv_id, depth (dense, from
     1), digest and n_chars. n_leaves counts the childless nodes of a subtree; saved_tokens sums over it (n_convs - 1) * n_chars of each
     node's last turn; both take in the node itself. ends_sha256 is over the ids of the members that end in the node. Without any
-    conversation there is no node.
+    conversation there is no node. The result reads two of the steps of ``work``; the others are over.
     """
-    steps = paths(turns, block)
+    steps = paths(turns, work, block)
     root = node_names(F.lit(0).cast("long"), [F.lit(0).cast("long")] * 4)
     at_root = [root[0].alias("n0"), root[1].alias("n1")]
     none = F.lit(None).cast("long")
@@ -198,21 +200,22 @@ def prefix_trie(lengths: DataFrame, turns: DataFrame, block: int = BLOCK) -> Dat
     top = whole.select(*at_root, none.alias("p0"), none.alias("p1"), F.lit(0).cast("long").alias("depth"), "conv_id", "n_convs", F.lit(0).cast("long").alias("n_chars"))
     children = grouped.groupBy(F.col("p0").alias("n0"), F.col("p1").alias("n1")).agg(F.count(F.lit(1)).alias("n_children"))
     nodes = grouped.unionByName(top).join(children, ["n0", "n1"], "left").withColumn("n_children", F.coalesce("n_children", F.lit(0).cast("long")))
-    nodes = checkpointed(nodes)
+    nodes = work.keep(nodes)
     above = nodes.select(F.col("n0").alias("p0"), F.col("n1").alias("p1"), F.col("conv_id").alias("parent_conv_id"), F.col("n_children").alias("n_siblings"))
     placed = nodes.join(above, ["p0", "p1"], "left")
     branches = placed.where("n_siblings > 1").select("n0", "n1", F.col("conv_id").alias("mark"))
 
     last = steps.join(lengths, "conv_id").where("depth = n_turns").select("conv_id", "n0", "n1", "depth")
-    ends = checkpointed(last.unionByName(lengths.where("n_turns = 0").select("conv_id", *at_root, F.lit(0).cast("long").alias("depth"))))
-    ranks = checkpointed(ranked_sequences(steps, ends, branches))
+    ends = work.keep(last.unionByName(lengths.where("n_turns = 0").select("conv_id", *at_root, F.lit(0).cast("long").alias("depth"))))
+    ranks = work.keep(ranked_sequences(steps, ends, branches, work))
     spans = steps.join(ranks, "conv_id").groupBy("n0", "n1").agg(F.min("rank").alias("first"), F.max("rank").alias("last"))
     spans = spans.unionByName(ranks.agg(F.min("rank").alias("first"), F.max("rank").alias("last")).where("first IS NOT NULL").select(*at_root, "first", "last"))
 
     leaf, saved = (F.col("n_children") == 0).cast("long").alias("leaf"), ((F.col("n_convs") - 1) * F.col("n_chars")).alias("saved")
     rows = placed.select("n0", "n1", "depth", "conv_id", "parent_conv_id", "n_convs", "n_children", leaf, saved).join(spans, ["n0", "n1"])
     preorder = rows.repartitionByRange("first", "depth").sortWithinPartitions("first", "depth")
-    preorder = checkpointed(running_totals(preorder.withColumn("part", F.spark_partition_id())))
+    preorder = work.keep(running_totals(preorder.withColumn("part", F.spark_partition_id())))
+    work.done(preorder, ends)
     carried = part_offsets(preorder, ["leaf", "saved"])
     totals = preorder.join(F.broadcast(carried), "part")  # a row for each partition
     totals = totals.withColumns({"leaves_to": F.col("leaves_to") + F.col("leaf_before"), "saved_to": F.col("saved_to") + F.col("saved_before")})
@@ -234,8 +237,9 @@ def conversation_trie(conversations: DataFrame, share: bool = False, block: int
     result; other columns are ignored, whatever their names. Texts and conversations may be of any length.
     """
     chosen = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    turns = checkpointed(ordered_turns(chosen))
-    if share:
-        return prefix_trie(*shared_starts(turns), block)
-    lengths = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
-    return prefix_trie(lengths, turns.withColumn("depth", F.col("pos") + 1).drop("pos"), block)
+    with Steps(conversations.sparkSession) as work:
+        turns = work.keep(ordered_turns(chosen, work))
+        if share:
+            return prefix_trie(*shared_starts(turns), work, block)
+        lengths = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"))
+        return prefix_trie(lengths, turns.withColumn("depth", F.col("pos") + 1).drop("pos"), work, block)

@@ -9,15 +9,16 @@ numbers each, come to the driver once, and EM runs over them there.
 
 from __future__ import annotations
 
-import gc
 import math
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.sources.tables import Steps, checkpointed
+
 SEPARATORS = " \t\n\u000b\f\r"
 WORD_BREAK = r"[ \t-\r]+"
 PLAIN_WORD = r"(?<![^ \t-\r])\p{L}+(?:['\u2019-]\p{L}+)*[.,;:!?]?(?![^ \t-\r])"
@@ -223,35 +224,12 @@ def filter_quality(docs: DataFrame, text_col: str = "text", threshold: float = 0
     expression over one structure of features, so that the filter works them out once, wherever it is moved.
     """
     text = F.col(text_col)
-    model = fit(checkpointed(docs.select(_let(features_of(text), lambda f: pattern_of(votes(f))).alias("pattern"))), N_RULES)
+    with Steps(docs.sparkSession) as work:
+        model = fit(work.keep(docs.select(_let(features_of(text), lambda f: pattern_of(votes(f))).alias("pattern"))), N_RULES)
+        work.done()
 
     def verdict(f: Column) -> Column:
         good = _let(pattern_of(votes(f)), lambda p: model.probability(votes_of(p, N_RULES)) >= threshold)
         return ~base_failed(f) & good
 
     return docs.where(_let(features_of(text), verdict))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset a part of the warehouse."""
-    set_by_cluster = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return set_by_cluster or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-
-
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files and checkpoints that nothing needs any longer.
-
-    Spark deletes them when the driver's garbage is collected, which may be after many steps; asking for it between steps
-    keeps long jobs from filling the disks with steps that are over.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the cluster's shared folder; see release()."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    release(df.sparkSession)
-    return df.checkpoint()

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.quality_rules import checkpointed
+from corpusloom.sources.tables import Steps
 
 WIDTH, SEED = 3, 42
 MOST_BITS = 2
@@ -269,14 +269,16 @@ def similar_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     in the component has an id. Repeated rows, and rows that share an id but not the text, are judged one by one. An empty table
     gives an empty result; other columns are ignored, whatever their names. Texts may be of any length.
     """
-    rows = checkpointed(fingerprints(docs, id_col, text_col))
-    different = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = checkpointed(met(keyed(different)))
-    crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
-    links = found.where("b IS NOT NULL").unionByName(flipped_links(crowded))
-    groups = components(links).withColumnsRenamed({"id": "fp", "component_id": "label"})
-    labelled = different.join(groups, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(smallest, "label").select("fp", "component_id")
+    with Steps(docs.sparkSession) as work:
+        rows = work.keep(fingerprints(docs, id_col, text_col))
+        different = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+        found = work.keep(met(keyed(different)))
+        crowded = found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
+        links = found.where("b IS NOT NULL").unionByName(flipped_links(crowded))
+        groups = components(links, work).withColumnsRenamed({"id": "fp", "component_id": "label"})
+        labelled = different.join(groups, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+        smallest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+        named = work.keep(labelled.join(smallest, "label").select("fp", "component_id"))
+        work.done(rows, named)
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return rows.join(named, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")

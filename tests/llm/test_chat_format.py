@@ -27,7 +27,7 @@ def test_links_and_threads(spark):
     links = {k: (r.reply_to, r.linked_by, r.depth) for k, r in got.items()}
     assert links["x", 0] == (None, None, 0) and links["x", 1] == (0, "turn", 1)
     assert links["x", 2] == (0, "quote", 1) and links["x", 3] == (1, "quote", 2) and links["x", 4] == (3, "turn", 3)
-    assert links["x", 6] == (None, None, 0) and links["y", 0] == (None, None, 0) and links["y", 1] == (0, "turn", 1)
+    assert links["x", 6] == (4, "turn", 4) and links["y", 0] == (None, None, 0) and links["y", 1] == (0, "turn", 1)
     assert links[None, 1] == (None, None, None)
     assert got["x", 3].text == "Then three." and got["x", 6].text == "" and got["x", 4].thread == 0
     assert c.format_chat(messages.limit(0)).count() == 0
@@ -94,3 +94,11 @@ def test_very_long_message(spark):
     rows = [("c", 0, "user", text), ("c", 1, "user", "\n".join("> " + x for x in text.split("\n")) + "\nyes")]
     got = {r.turn: r for r in c.format_chat(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
     assert (got[1].reply_to, got[1].linked_by, got[1].text) == (0, "quote", "yes") and got[0].text == text
+
+
+def test_the_turn_before_is_the_last_that_there_is(spark):
+    turns = [0, 1, 5, 4095, 4097, 9000, 20_000]
+    rows = [(1, t, "user", f"words of {t}") for t in turns] + [(2, 3, "user", "alone"), (2, None, "user", "no turn"), (None, 4, "user", "no conversation"), (2, 9, None, None)]
+    got = {(r.conv_id, r.turn): (r.reply_to, r.linked_by) for r in c.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, t][0] for t in turns] == [None, *turns[:-1]]
+    assert got[2, 9] == (3, "turn") and got[2, None] == (None, None) == got[None, 4] and len(got) == 11

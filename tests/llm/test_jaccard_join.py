@@ -4,6 +4,7 @@ import re
 import numpy as np
 from corpusloom.llm import jaccard_join as j
 from corpusloom.llm.components import components
+from corpusloom.sources.tables import Steps
 
 
 def brute(rows):
@@ -145,7 +146,7 @@ def test_edges(spark):
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
-    got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long"), Steps(spark)).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
@@ -155,5 +156,12 @@ def test_components_of_late_and_shuffled_chains(spark):
     shuffled = rng.sample(range(1000, 1000 + n), n)
     falling = list(range(3000 + n, 3000, -1))
     links = [p for chain in (late, shuffled, falling) for p in zip(chain, chain[1:], strict=False)]
-    got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long"), Steps(spark)).collect()}
     assert got == {x: min(chain) for chain in (late, shuffled, falling) for x in chain}
+
+
+def test_any_column_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, text, "a", "b", "c"), (2, text, "a", "b", "d"), (None, text, "a", "b", "e"), (None, "own words", "a", "b", "f")], "doc_id long, text string, kept_id0 string, __kept_id string, Gone0 string")
+    kept = j.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.Gone0 for r in kept.collect()) == ["c", "f"]

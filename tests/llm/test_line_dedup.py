@@ -99,3 +99,11 @@ def test_very_long_text(spark):
     docs = spark.createDataFrame([(1, passage), (2, text + passage + "the " * 50_000)], "doc_id long, text string")
     out = {r.doc_id: r.text for r in d.line_dedup(docs).collect()}
     assert out[1] == passage and out[2].startswith(text) and passage not in out[2] and len(out[2]) < len(text) + 1000
+
+
+def test_any_column_names(spark):
+    passage = "This sentence is repeated in another text word for word. So is this second one, which follows it closely. And a third one ends the passage here at last."
+    docs = spark.createDataFrame([(1, f"{passage} First.", "a", "b", "c"), (2, f"Second. {passage}", "a", "b", "d")], "doc_id long, text string, line_id0 string, __line_id string, LINE_RUNS0 string")
+    cut = d.line_dedup(docs)
+    assert cut.columns == docs.columns
+    assert {r.doc_id: passage in r.text for r in cut.collect()} == {1: True, 2: False}
