@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from corpusloom.functions import text as T
 from corpusloom.operators.index import B, K1, LexicalIndex, Tokenizer
+from corpusloom.operators.match import contained
 from corpusloom.operators.vectors import flat_topk
 from corpusloom.sources.tables import checkpointed
 
@@ -27,8 +28,10 @@ def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "
 
 def expand_queries(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """queries with every canonical term appended whose alias the query holds and which it does not hold itself."""
-    hit = F.col("query").contains(F.col("alias")) & ~F.col("query").contains(F.col("canonical"))
-    found = queries.join(broadcast_if_small(synonyms), hit).groupBy("query_id")
+    words = synonyms.select(F.explode(F.array("alias", "canonical")).alias("word"))
+    hits = checkpointed(contained(queries.select("query_id", "query").distinct(), "query_id", "query", words, "word").distinct())
+    named = hits.join(synonyms, F.col("pattern") == F.col("alias")).select("query_id", "ord", "canonical")
+    found = named.join(hits.withColumnRenamed("pattern", "canonical"), ["query_id", "canonical"], "left_anti").groupBy("query_id")
     added = found.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "canonical"))), lambda s: s["canonical"]), " ").alias("added"))
     out = queries.join(added, "query_id", "left")
     return out.withColumn("query", F.concat("query", F.when(F.col("added").isNotNull(), F.concat(F.lit(" "), "added")).otherwise(""))).drop("added")
@@ -159,7 +162,8 @@ def filename_boost(queries: DataFrame, files: DataFrame, most: float = 20.0, sto
     asked = queries.select("query_id", words.alias("words")).where(F.size("words") > 0)
     names = files.select("source_file").distinct().where("source_file != ''").withColumn("name", F.replace("source_file", F.lit(".md"), F.lit("")))
     single = asked.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    hits = names.join(broadcast_if_small(single), F.col("name").contains(F.col("word"))).groupBy("query_id", "source_file", "n")
+    held = contained(names, "source_file", "name", single, "word").withColumnRenamed("pattern", "word")
+    hits = held.join(single, "word").groupBy("query_id", "source_file", "n")
     return hits.agg(F.count(F.lit(1)).alias("found")).select("query_id", "source_file", F.round(1 + F.col("found") / F.col("n") * (most - 1), 6).alias("boost"))
 
 
