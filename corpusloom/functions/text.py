@@ -43,10 +43,6 @@ def lines(c: Column) -> Column:
     return F.split(c, "\n", -1)
 
 
-def count_lines(c: Column, test) -> Column:
-    return F.size(F.filter(lines(c), test))
-
-
 def is_toc_block(text: Column) -> Column:
     """At least three lines with text, 60 % of which look like ``1.2 title 34``."""
 

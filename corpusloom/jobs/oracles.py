@@ -460,4 +460,24 @@ ORACLES |= {
   pairs AS (SELECT item_id AS query_id, doc_id AS chunk_index FROM benchmark, documents WHERE item_id % 3 <> 0 OR lang = 'en')
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score IS NULL, score DESC, chunk_index) AS rank, chunk_index, coalesce(score, 0) AS score
   FROM pairs LEFT JOIN scored USING (query_id, chunk_index) QUALIFY rank <= 10""",
+    "split_table_sections": rf"""WITH sheet_docs AS ({SHEETS}),
+  titled AS (SELECT doc_id, regexp_replace(replace(content, '### ', '| brand title row '), '(?m)^(\| brand title row .*)$', CASE WHEN doc_id % 2 = 0 THEN '\1 |  |' || {NL} || '| the northern 区域： |  |' ELSE '\1 |  |' END, 'g') AS content FROM sheet_docs),
+  each AS (SELECT doc_id, generate_subscripts(p, 1) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(content, {NL}) AS p FROM titled)),
+  cut AS (SELECT *, {STRIP("line")} AS line_row, list_filter(list_transform(string_split({STRIP("line")}, '|'), lambda x: {STRIP("x")}), lambda x: x <> '') AS cells FROM each),
+  typed AS (SELECT *, CASE WHEN regexp_matches(line_row, '^\|[\s\-:]+\|\s*$') THEN 'rule' WHEN NOT starts_with(line_row, '|') THEN 'text' WHEN len(cells) = 1 AND length(cells[1]) >= 10 THEN 'title' ELSE 'data' END AS kind FROM cut),
+  placed AS MATERIALIZED (SELECT doc_id, pos, line, kind, CASE WHEN kind = 'title' THEN rtrim(rtrim(cells[1], '：'), ':') END AS name, count(*) FILTER (kind IN ('text', 'title')) OVER doc AS seg,
+    min(pos) FILTER (kind = 'data') OVER before AS head_pos, max(pos) FILTER (kind = 'rule') OVER before AS rule_pos FROM typed
+    WINDOW doc AS (PARTITION BY doc_id ORDER BY pos), before AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  segs AS (SELECT p.doc_id, seg, arg_min(kind, p.pos) AS kind, arg_min(name, p.pos) AS name, arg_min(p.line, p.pos) AS line, coalesce(list(p.line ORDER BY p.pos) FILTER (kind IN ('rule', 'data')), []) AS own,
+    arg_min(head_pos, p.pos) AS head_pos, arg_min(rule_pos, p.pos) AS rule_pos FROM placed p GROUP BY p.doc_id, seg),
+  opened AS (SELECT s.*, CASE WHEN s.kind = 'title' THEN list_concat(list_filter([h.line, r.line], lambda x: x IS NOT NULL), own) ELSE own END AS table_rows FROM segs s
+    LEFT JOIN each h ON h.doc_id = s.doc_id AND h.pos = s.head_pos LEFT JOIN each r ON r.doc_id = s.doc_id AND r.pos = s.rule_pos),
+  had AS (SELECT *, coalesce(lag(len(table_rows) > 0) OVER (PARTITION BY doc_id ORDER BY seg), false) AS had FROM opened),
+  chained AS (SELECT *, count(*) FILTER (had) OVER w AS lead_of, count(*) FILTER (had AND kind = 'text') OVER w AS chain FROM had WINDOW w AS (PARTITION BY doc_id ORDER BY seg)),
+  based AS (SELECT *, count(*) FILTER (name IS NOT NULL AND NOT under) OVER (PARTITION BY doc_id, chain ORDER BY seg) AS base FROM (SELECT *, (name LIKE '%区域' OR length(name) <= 6)
+    AND coalesce(max(length(name)) OVER (PARTITION BY doc_id, chain ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS under FROM chained)),
+  made AS (SELECT doc_id, seg, coalesce(string_agg(name, '-') FILTER (name IS NOT NULL) OVER (PARTITION BY doc_id, chain, base ORDER BY seg), '') AS title,
+    {STRIP(f"coalesce(string_agg(line, {NL}) FILTER (kind = 'text') OVER (PARTITION BY doc_id, lead_of ORDER BY seg), '')")} AS lead_text, {STRIP(f"array_to_string(table_rows, {NL})")} AS body FROM based WHERE true),
+  found AS (SELECT doc_id, seg, title, CASE WHEN {noise("lead_text")} THEN body ELSE lead_text || {NL} || {NL} || body END AS body FROM made WHERE body <> '' AND NOT {noise("body")})
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1 AS seq, title, body FROM found""",
 }

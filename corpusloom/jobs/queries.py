@@ -241,10 +241,12 @@ def split_brackets(spark, sf_dir):
 
 @query
 def split_table_sections(spark, sf_dir):
+    """Sheets with their brands as title rows; every second sheet has a row of an area behind each of these."""
     sheets = parse.rows_to_markdown(corpus.sheet_rows(spark, sf_dir))
     text = F.regexp_replace("content", "### ", "| brand title row ")
     text = F.regexp_replace(text, r"(?m)^(\| brand title row .*)$", "$1 |  |")
-    return chunk.explode_blocks(sheets, chunk.split_table_sections(text))
+    area = F.regexp_replace(text, r"(?m)^(\| brand title row .*)$", "$1\n| the northern 区域： |  |")
+    return chunk.split_table_sections(sheets.select("doc_id", F.when(F.col("doc_id") % 2 == 0, area).otherwise(text).alias("content")))
 
 
 @query

@@ -6,9 +6,6 @@ A splitter turns a text into an array of (title, body) blocks; merging and label
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -105,59 +102,63 @@ def split_blank_lines(text: Column) -> Column:
     return F.transform(parts, lambda p: block(F.lit(""), p))
 
 
-RULE_ROW = re.compile(r"^\|[\s\-:]+\|\s*$")
-
-
-def _table_parts(text: str, keep_trailing: bool) -> list[dict[str, str]]:
-    """(title, lead, body) of each sub-table. Every one starts with the first header row and the latest rule row."""
-    parts: list[dict[str, str]] = []
-    title, header, rule, lead, body = "", "", "", [], []
-
-    def close() -> bool:
-        if had := bool(body):
-            parts.append({"title": title, "lead": "\n".join(lead).strip(), "body": "\n".join(body).strip()})
-        return had
-
-    for line in text.split("\n"):
-        row = line.strip()
-        if RULE_ROW.match(row):
-            rule = line
-            body.append(line)
-            continue
-        if not row.startswith("|"):
-            if close():
-                title, lead, body = "", [], []
-            lead.append(line)
-            continue
-        cells = [c for c in (c.strip() for c in row.split("|")) if c]
-        if len(cells) == 1 and len(cells[0]) >= 10:
-            if close():
-                lead = []
-            name = cells[0].rstrip("：").rstrip(":")
-            title = f"{title}-{name}" if title and (name.endswith("区域") or len(name) <= 6) else name
-            body = [x for x in (header, rule) if x]
-            continue
-        header = header or line
-        body.append(line)
-    if not close() and keep_trailing and "\n".join(lead).strip():
-        parts.append({"title": "", "lead": "", "body": "\n".join(lead).strip()})
-    return parts
-
-
-def split_table_sections(text: Column, keep_trailing: bool = False) -> Column:
-    """A pipe table split at its title rows; noise goes, and a text in which nothing is found stays whole.
-
-    Text after the last table is dropped unless ``keep_trailing``.
+RULE_ROW = r"(?U)^\|[\s\-:]+\|\s*$"
+
+
+def table_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, line, kind (rule, text, title or data), name (of a title row), and seg, which counts the text lines and title rows so far.
+
+    Also what is known at a line: ``header``, the first data row of the document if it lies before, and ``rule``, the latest rule row before.
     """
+    each = docs.select("doc_id", F.posexplode(T.lines(F.col("content"))).alias("pos", "line")).withColumn("row", T.py_strip(F.col("line")))
+    kind = F.when(F.col("row").rlike(RULE_ROW), "rule").when(~F.col("row").startswith("|"), "text").when(is_title_row(F.col("row")), "title").otherwise("data")
+    cells = F.filter(F.transform(F.split("row", r"\|", -1), T.py_strip), lambda x: x != "")
+    name = F.rtrim(F.rtrim(F.get(cells, F.lit(0)), F.lit("：")), F.lit(":"))
+    typed = each.withColumn("kind", kind).withColumn("name", F.when(F.col("kind") == "title", name))
+    doc = W.partitionBy("doc_id").orderBy("pos")
+    before = doc.rowsBetween(W.unboundedPreceding, -1)
+    opens = F.col("kind").isin("text", "title")
+    return typed.select(
+        "doc_id", "pos", "line", "kind", "name", F.count(F.when(opens, 1)).over(doc).alias("seg"),
+        F.first(F.when(F.col("kind") == "data", F.col("line")), True).over(before).alias("header"), F.last(F.when(F.col("kind") == "rule", F.col("line")), True).over(before).alias("rule"),
+    )
+
 
-    @F.pandas_udf("array<struct<title:string,lead:string,body:string>>")
-    def parts(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _table_parts(t or "", keep_trailing))
+def split_table_sections(docs: DataFrame, keep_trailing: bool = False) -> DataFrame:
+    """doc_id, seq, title, body: the pipe tables of docs (doc_id, content) split at their title rows.
 
-    kept = F.filter(parts(text), lambda p: ~T.is_noise(p["body"]))
-    blocks = F.transform(kept, lambda p: block(p["title"], F.when(T.is_noise(p["lead"]), p["body"]).otherwise(F.concat(p["lead"], F.lit("\n\n"), p["body"]))))
-    whole = T.py_strip(text)
-    return F.when(F.size(blocks) > 0, blocks).when(whole != "", F.array(block(F.lit(""), whole))).otherwise(F.array().cast(BLOCKS))
+    A text line or title row opens a segment, whose rows are a block if there are any. Blocks under a title row begin with the first data row of the
+    document and the latest rule row, so a title row that another one follows is a block as soon as there is one of these. A short title, or one
+    of an area, is put behind the title before it; a text line behind a block ends that chain. Text lines since the last block lead the next one.
+    Noise goes, and a text in which nothing is found stays whole. Text after the last table is dropped unless ``keep_trailing``.
+    """
+    rows = F.transform(F.array_sort(F.collect_list(F.when(F.col("kind").isin("rule", "data"), F.struct("pos", "line")))), lambda r: r["line"])
+    first = lambda c: F.min_by(c, "pos")
+    segs = table_lines(docs).groupBy("doc_id", "seg").agg(first("kind").alias("kind"), first("name").alias("name"), first("line").alias("line"), first("header").alias("header"), first("rule").alias("rule"), rows.alias("rows"))
+    opened = F.when(F.col("kind") == "title", F.filter(F.array("header", "rule"), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    segs = segs.withColumn("rows", F.concat(opened, "rows"))
+    doc = W.partitionBy("doc_id").orderBy("seg")
+    so_far = doc.rowsBetween(W.unboundedPreceding, 0)
+    had = F.lag(F.size("rows") > 0, 1, False).over(doc)
+    segs = segs.withColumn("had", had).withColumn("lead_of", F.count(F.when(F.col("had"), 1)).over(doc))
+    segs = segs.withColumn("chain", F.count(F.when((F.col("kind") == "text") & F.col("had"), 1)).over(doc))
+    in_chain = W.partitionBy("doc_id", "chain").orderBy("seg")
+    under = (F.col("name").endswith("区域") | (F.length("name") <= 6)) & (F.coalesce(F.max(F.length("name")).over(in_chain.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) > 0)
+    segs = segs.withColumn("base", F.count(F.when(F.col("name").isNotNull() & ~under, 1)).over(in_chain))
+    names = F.collect_list("name").over(W.partitionBy("doc_id", "chain", "base").orderBy("seg").rowsBetween(W.unboundedPreceding, 0))
+    texts = F.collect_list(F.when(F.col("kind") == "text", F.col("line"))).over(W.partitionBy("doc_id", "lead_of").orderBy("seg").rowsBetween(W.unboundedPreceding, 0))
+    made = segs.select(
+        "doc_id", "seg", F.array_join(names, "-").alias("title"), T.py_strip(F.array_join(texts, "\n")).alias("lead"), (F.size("rows") > 0).alias("table"), T.py_strip(F.array_join("rows", "\n")).alias("body"),
+        (F.col("seg") == F.max("seg").over(W.partitionBy("doc_id"))).alias("last"),
+    )
+    led = F.when(T.is_noise(F.col("lead")), F.col("body")).otherwise(F.concat("lead", F.lit("\n\n"), "body"))
+    found = made.where(F.col("table") & ~T.is_noise(F.col("body"))).select("doc_id", "seg", "title", led.alias("body"))
+    if keep_trailing:
+        tail = made.where(F.col("last") & ~F.col("table") & (F.col("lead") != "") & ~T.is_noise(F.col("lead")))
+        found = found.unionByName(tail.select("doc_id", "seg", F.lit("").alias("title"), F.col("lead").alias("body")))
+    whole = docs.select("doc_id", T.py_strip(F.col("content")).alias("body")).where("body != ''").join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    both = found.unionByName(whole.select("doc_id", F.lit(0).cast("long").alias("seg"), F.lit("").alias("title"), "body"))
+    return both.select("doc_id", (F.row_number().over(W.partitionBy("doc_id").orderBy("seg")) - 1).alias("seq"), "title", "body")
 
 
 def explode_blocks(docs: DataFrame, blocks: Column, *keep: str) -> DataFrame:
@@ -240,7 +241,8 @@ def documents_to_blocks(docs: DataFrame) -> DataFrame:
     splits = F.when(F.col("strategy") == "BRACKET", split_brackets(text)).when(F.col("strategy") == "H2", split_headings(text))
     splits = splits.when(F.col("strategy") == "CN+DIGIT", split_numbered(text)).when(F.col("strategy") == "NL", split_blank_lines(text))
     plain = explode_blocks(chosen.where("strategy != 'TABLE'"), splits, "strategy")
-    return plain.unionByName(explode_blocks(chosen.where("strategy = 'TABLE'"), split_table_sections(text), "strategy"))
+    parted = split_table_sections(chosen.where("strategy = 'TABLE'")).withColumn("strategy", F.lit("TABLE"))
+    return plain.unionByName(parted)
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from corpusloom.operators import chunk as c
 from pyspark.sql import functions as F
 
@@ -9,6 +12,11 @@ def blocks(spark, expression, text):
     return [(r.title, r.body) for r in c.explode_blocks(df, expression(F.col("content"))).orderBy("seq").collect()]
 
 
+def parted(spark, text, **options):
+    found = c.split_table_sections(spark.createDataFrame([(1, text)], "doc_id long, content string"), **options)
+    return [(r.title, r.body) for r in found.orderBy("seq").collect()]
+
+
 def test_brackets(spark):
     text = "lost 【 甲\n一 】 after\n【乙】\n![x](images/a.png)"
     assert blocks(spark, c.split_brackets, text) == [("甲", "甲\n一\nafter"), ("乙", "乙\n![x](images/a.png)")]
@@ -29,11 +37,57 @@ def test_numbered_and_blank_lines(spark):
 def test_table_sections(spark):
     head = "| 户型 | 负荷 |\n"  # a rule row over several columns counts as data, one over a single column is repeated
     want = [("", "# doc\n\n" + head + "| --- | --- |\n| a | 1 |"), ("住宅户内用电需要系数表", head + "| b | 2 |"), ("住宅户内用电需要系数表-这是一个成都重庆昆明区域", head + "| d | 4 |")]
-    assert blocks(spark, c.split_table_sections, TABLE) == want
-    assert blocks(spark, lambda t: c.split_table_sections(t, keep_trailing=True), TABLE) == [*want, ("", "tail")]
+    assert parted(spark, TABLE) == want
+    assert parted(spark, TABLE, keep_trailing=True) == [*want, ("", "tail")]
     single = "| 名称 |\n| --- |\n| a |\n| 住宅户内用电需要系数 |\n| b |"
-    assert blocks(spark, c.split_table_sections, single) == [("", "| 名称 |\n| --- |\n| a |"), ("住宅户内用电需要系数", "| 名称 |\n| --- |\n| b |")]
-    assert blocks(spark, c.split_table_sections, "just text") == [("", "just text")]
+    assert parted(spark, single) == [("", "| 名称 |\n| --- |\n| a |"), ("住宅户内用电需要系数", "| 名称 |\n| --- |\n| b |")]
+    assert parted(spark, "just text") == [("", "just text")] and parted(spark, " \n") == [] == parted(spark, None)
+
+
+def sections(text):
+    """The rules line by line."""
+    out, title, header, rule, lead, body = [], "", "", "", [], []
+    noise = lambda t: t.strip() in ("", "null") or re.match(r"\|[\s\-|]+\|\s*$", t.strip())
+
+    def close():
+        if body and not noise("\n".join(body)):
+            head = "\n".join(lead).strip()
+            out.append((title, ("" if noise(head) else head + "\n\n") + "\n".join(body).strip()))
+        return bool(body)
+
+    for line in text.split("\n"):
+        row = line.strip()
+        cells = [x.strip() for x in row.split("|") if x.strip()]
+        if row[:1] == "|" and len(row) > 2 and row.endswith("|") and set(row[1:-1]) <= set(" -:"):
+            rule = line
+            body.append(line)
+        elif not row.startswith("|"):
+            if close():
+                title, lead = "", []
+            body = []
+            lead = [*lead, line]
+        elif len(cells) == 1 and len(cells[0]) >= 10:
+            if close():
+                lead = []
+            name = cells[0].rstrip("：").rstrip(":")
+            title = f"{title}-{name}" if title and (name.endswith("区域") or len(name) <= 6) else name
+            body = [x for x in (header, rule) if x]
+        else:
+            header = header or line
+            body.append(line)
+    close()
+    return out or ([("", text.strip())] if text.strip() else [])
+
+
+def test_table_sections_against_the_rules_line_by_line(spark):
+    rng = random.Random(3)
+    kinds = ["| a | b |", "| --- |", "| - | - |", "some text", "", "null", "| a title of a section |  |", "| the area in the 区域： |  |", "|  | short：：：：：： |", "| another title row: |", " | x | y |", "| :: |"]
+    texts = {i: "\n".join(rng.choice(kinds) for _ in range(rng.randint(1, 14))) for i in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, content string").repartition(3)
+    got = {}
+    for r in sorted(c.split_table_sections(df).collect(), key=lambda r: (r.doc_id, r.seq)):
+        got.setdefault(r.doc_id, []).append((r.title, r.body))
+    assert {i: b for i, b in got.items()} == {i: b for i, t in texts.items() if (b := sections(t))}
 
 
 def test_strategies(spark):
