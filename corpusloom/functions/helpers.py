@@ -11,78 +11,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What image references, the trailing image section, figure numbers, pointers to drawings and case lines look like.
-IMAGE = re.compile(r"!\[([^\]]*)\]\(images/([^)]+)\)")
-IMAGE_SECTION = re.compile(r"(?s)(?:##\s+)?图片附件\s*\n.*?(?=\n##\s|\Z)")
-NUMERALS = {c: k for k, c in enumerate("一二三四五六七八九十")}
-FIGURES = ((r"图\s*(\d+)", lambda s: int(s) - 1), (r"附图\s*([一二三四五六七八九十]+)", lambda s: NUMERALS.get(s, -1)))
-POINTERS = "参考大样图|参考图|示意图|见附图|详见附图|如下图所示"
-CASES = re.compile(r"(?m)^情况[一二三四五六七八九十]+[：:].*$")
-COUNT_NOTE = re.compile(r"\n*本文件[共包含]*\s*\d+\s*[张个]图片[。，]?\s*\n*")
-
-
-def _after_line(text: str, at: int) -> int:
-    end = text.find("\n", at)
-    return end + 1 if end > 0 else len(text)
-
-
-def _put(text: str, inserts: list[tuple[int, str]]) -> str:
-    for at, image in sorted(inserts, reverse=True):
-        text = f"{text[:at]}{image}\n{text[at:]}"
-    return text
-
-
-def inline_images(text: str) -> str:
-    """Moves the images of the trailing image section to where the text speaks of them.
-
-    Numbered figures take the image of that number; a mark that points at a drawing takes the next free image,
-    or one for each case line among the next 800 characters; the rest goes round the ``##`` sections.
-    """
-    section = IMAGE_SECTION.search(text)
-    images = [m[0] for m in IMAGE.finditer(section[0])] if section else []
-    if not images:
-        return text
-    text = IMAGE_SECTION.sub("", text).rstrip()
-    text = COUNT_NOTE.sub("\n", text)
-    free = dict(enumerate(images))
-    inserts = []
-    for pattern, number in FIGURES:
-        for m in re.finditer(pattern, text):
-            if (k := number(m[1])) in free:
-                inserts.append((_after_line(text, m.end()), free.pop(k)))
-    text, inserts = _put(text, inserts), []
-    for m in re.finditer(POINTERS, text):
-        if not free:
-            break
-        at = _after_line(text, m.end())
-        near = text[at : at + 800]
-        cases = [c.end() for c in CASES.finditer(near)]
-        if not cases or len(cases) > len(free):
-            inserts.append((at, free.pop(min(free))))
-            continue
-        for end in cases:
-            stop = near.find("\n", end)
-            inserts.append((at + (stop + 1 if stop > 0 else end), free.pop(min(free))))
-    text = _put(text, inserts)
-    if not free:
-        return text
-    rest = [free[k] for k in sorted(free)]
-    starts = [_after_line(text, m.end()) for m in re.finditer(r"(?m)^##\s+.+$", text)]
-    if not starts:
-        return text + "\n\n" + "\n".join(rest)
-    return _put(text, [(starts[k % len(starts)], image) for k, image in enumerate(rest)])
-
-
-def embed_images_inline(text: Column) -> Column:
-    """inline_images for the texts that have an image section; others never leave the JVM's columns unchanged."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: inline_images(t) if t is not None and "图片附件" in t else t)
-
-    return run(text)
-
-
 @lru_cache(maxsize=200_000)
 def _gram(gram: str, dim: int) -> tuple[int, float]:
     raw = int.from_bytes(hashlib.blake2b(gram.encode("utf-8", "replace"), digest_size=8).digest(), "big")

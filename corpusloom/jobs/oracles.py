@@ -480,4 +480,32 @@ ORACLES |= {
     {STRIP(f"coalesce(string_agg(line, {NL}) FILTER (kind = 'text') OVER (PARTITION BY doc_id, lead_of ORDER BY seg), '')")} AS lead_text, {STRIP(f"array_to_string(table_rows, {NL})")} AS body FROM based WHERE true),
   found AS (SELECT doc_id, seg, title, CASE WHEN {noise("lead_text")} THEN body ELSE lead_text || {NL} || {NL} || body END AS body FROM made WHERE body <> '' AND NOT {noise("body")})
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg) - 1 AS seq, title, body FROM found""",
+    "embed_images_inline": rf"""WITH RECURSIVE {PAGES},
+  given AS (SELECT doc_id, regexp_extract_all(content, '!\[[^\]]*\]\(images/[^)]+\)') AS images,
+    {STRIP(r"' ' || regexp_replace(content, '!\[[^\n]*\n', CASE doc_id % 5 WHEN 0 THEN '图 1' || chr(10) WHEN 1 THEN '参考图' || chr(10) WHEN 2 THEN '如下图所示' || chr(10) || '情况一：x' || chr(10) || '情况二: y' || chr(10) WHEN 3 THEN '附图二 示意图' || chr(10) ELSE '图 2 图3' || chr(10) END, 'g')")} AS stripped,
+    regexp_extract(content, '^\s*') AS led FROM pages_md),
+  docs AS (SELECT doc_id, images, led || stripped || {NL} AS text FROM given WHERE len(images) > 0),
+  lines AS MATERIALIZED (SELECT doc_id, generate_subscripts(p, 1) - 1 AS i, unnest(p) AS line, len(p) AS n FROM (SELECT doc_id, string_split(text, {NL}) AS p FROM docs)),
+  placed AS MATERIALIZED (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS behind FROM lines),
+  pictures AS MATERIALIZED (SELECT doc_id, generate_subscripts(images, 1) - 1 AS k, unnest(images) AS image FROM docs),
+  numbers AS (SELECT doc_id, TRY_CAST(x AS INTEGER) - 1 AS k, min(i) AS i FROM (SELECT doc_id, i, unnest(regexp_extract_all(line, '图\s*(\d+)', 1)) AS x FROM lines) GROUP BY ALL),
+  numerals AS (SELECT doc_id, strpos('{CN}', x) - 1 AS k, min(i) AS i FROM (SELECT doc_id, i, unnest(regexp_extract_all(line, '附图\s*([{CN}]+)', 1)) AS x FROM lines) WHERE length(x) = 1 GROUP BY ALL),
+  figured AS MATERIALIZED (SELECT p.doc_id, p.k, image, coalesce(a.i, b.i) AS i FROM pictures p LEFT JOIN numbers a USING (doc_id, k) LEFT JOIN numerals b ON b.doc_id = p.doc_id AND b.k = p.k),
+  free AS MATERIALIZED (SELECT doc_id, image, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS f, count(*) OVER (PARTITION BY doc_id) AS n_free FROM figured WHERE i IS NULL),
+  mentions AS (SELECT doc_id, i, behind, unnest(regexp_extract_all(line, '参考大样图|参考图|示意图|见附图|详见附图|如下图所示')) AS word FROM placed),
+  cases AS (SELECT doc_id, i, behind - length(line) - 1 AS start FROM placed WHERE regexp_matches(line, '^情况[{CN}]+[：:]')),
+  pointers AS MATERIALIZED (SELECT m.doc_id, i, row_number() OVER (PARTITION BY m.doc_id ORDER BY i) AS nth, coalesce((SELECT list(c.i ORDER BY c.i) FROM cases c WHERE c.doc_id = m.doc_id AND c.start >= m.behind AND c.start < m.behind + 800), []) AS near FROM mentions m),
+  taken(doc_id, nth, n_free, used, at_lines) AS (SELECT doc_id, 0::BIGINT, any_value(n_free), 0::BIGINT, []::BIGINT[] FROM free GROUP BY doc_id
+    UNION ALL SELECT t.doc_id, p.nth, n_free, used + len(mine), mine FROM (SELECT t.*, p.nth AS next, CASE WHEN n_free - used <= 0 THEN [] WHEN len(near) > 0 AND len(near) <= n_free - used THEN near ELSE [p.i] END AS mine
+      FROM taken t JOIN pointers p ON p.doc_id = t.doc_id AND p.nth = t.nth + 1) t JOIN pointers p ON p.doc_id = t.doc_id AND p.nth = t.next),
+  pointed AS (SELECT doc_id, unnest(at_lines) AS i, used - len(at_lines) + unnest(range(len(at_lines))) AS f FROM taken WHERE len(at_lines) > 0),
+  rest AS (SELECT f.doc_id, image, row_number() OVER (PARTITION BY f.doc_id ORDER BY f) - 1 AS r FROM free f ANTI JOIN pointed USING (doc_id, f)),
+  heads AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS h, count(*) OVER (PARTITION BY doc_id) AS n_heads FROM lines WHERE regexp_matches(line, '^##[ \t]+\S')),
+  inserts AS (SELECT doc_id, i, 1 AS turn, image FROM figured WHERE i IS NOT NULL UNION ALL SELECT doc_id, i, 2, image FROM pointed JOIN free USING (doc_id, f)
+    UNION ALL SELECT rest.doc_id, i, 3, image FROM rest JOIN heads ON heads.doc_id = rest.doc_id AND h = r % n_heads),
+  shown AS (SELECT doc_id, i, string_agg(image, {NL} ORDER BY -turn, image) AS put, string_agg(image, {NL} ORDER BY turn, image) AS put_last FROM inserts GROUP BY doc_id, i),
+  tails AS (SELECT doc_id, string_agg(image, {NL} ORDER BY r) AS tail FROM rest WHERE doc_id NOT IN (SELECT doc_id FROM heads) GROUP BY doc_id),
+  made AS (SELECT doc_id, string_agg(CASE WHEN put IS NULL THEN line WHEN i = n - 1 THEN line || put_last || {NL} ELSE line || {NL} || put END, {NL} ORDER BY i) AS content FROM lines LEFT JOIN shown USING (doc_id, i) GROUP BY doc_id)
+  SELECT doc_id, content || coalesce({NL} || {NL} || tail, '') AS content FROM made LEFT JOIN tails USING (doc_id)
+  UNION ALL SELECT doc_id, led || stripped || {NL} || '本文件共 3 张图片。' || {NL} || '## 图片附件' || {NL} FROM given WHERE len(images) = 0""",
 }

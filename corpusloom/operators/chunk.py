@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from corpusloom.functions import helpers
 from corpusloom.functions import text as T
+from corpusloom.operators import inline
+from corpusloom.sources.tables import checkpointed
 
 BLOCKS = "array<struct<title:string,body:string>>"
 BRACKET = r"【[^】]+】"
@@ -218,26 +219,26 @@ def enrich_image_chunks(chunks: DataFrame, n_chars: int = 200) -> DataFrame:
 def dense_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with a dense number from 0 in the given order.
 
-    Rows are ranged over partitions; only the number of rows of each partition comes to the driver.
+    Rows are ranged over partitions and sorted there; only the number of rows of each partition comes to the driver.
     """
-    from corpusloom.sources.tables import checkpointed
-
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpointed(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()))
-    counts = {r["__part"]: r["count"] for r in ranged.groupBy("__part").count().collect()}
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = checkpointed(ranged.withColumn("__place", F.monotonically_increasing_id()))
+    part, row = F.shiftright("__place", 33).cast("int"), F.col("__place").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}
     offsets, total = [], 0
     for p in range(max(counts, default=-1) + 1):
         offsets.append(total)
         total += counts.get(p, 0)
-    place = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
-    start = F.get(F.array(*[F.lit(x).cast("long") for x in offsets or [0]]), F.col("__part"))
-    return ranged.withColumn(name, start + place).drop("__part")
+    start = F.get(F.array(*[F.lit(x).cast("long") for x in offsets or [0]]), part)
+    return placed.withColumn(name, start + row).drop("__place")
 
 
 def documents_to_blocks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, category, source_file, content) -> doc_id, strategy, seq, title, body after splitting."""
+    """docs (doc_id, category, source_file, content) -> doc_id, strategy, seq, title, body after splitting. With a column ``strategy`` that one counts."""
     text = F.col("content")
-    chosen = docs.where(text.isNotNull()).select("doc_id", "content").withColumn("strategy", choose_strategy(text))
+    chosen = docs if "strategy" in docs.columns else docs.withColumn("strategy", choose_strategy(text))
+    chosen = chosen.where(text.isNotNull()).select("doc_id", "content", "strategy")
     splits = F.when(F.col("strategy") == "BRACKET", split_brackets(text)).when(F.col("strategy") == "H2", split_headings(text))
     splits = splits.when(F.col("strategy") == "CN+DIGIT", split_numbered(text)).when(F.col("strategy") == "NL", split_blank_lines(text))
     plain = explode_blocks(chosen.where("strategy != 'TABLE'"), splits, "strategy")
@@ -246,15 +247,19 @@ def documents_to_blocks(docs: DataFrame) -> DataFrame:
 
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, category, source_file, content) -> the chunks table, numbered by category, file and place."""
-    docs = docs.withColumn("content", helpers.embed_images_inline(F.col("content")))
-    blocks = documents_to_blocks(docs)
+    """docs (doc_id, category, source_file, content) -> the chunks table, numbered by category, file and place.
+
+    Texts with their images and strategies are written once, and so are the blocks they are split into.
+    """
+    inlined = inline.embed_images_inline(docs.select("doc_id", "category", "source_file", "content"))
+    docs = checkpointed(inlined.withColumn("strategy", choose_strategy(F.col("content"))))
+    blocks = checkpointed(documents_to_blocks(docs))
     plain = blocks.where("strategy != 'BRACKET'").select("doc_id", "seq", "title", "body")
     merged = merge_numbered_items(merge_short(plain)).unionByName(blocks.where("strategy = 'BRACKET'").select("doc_id", "seq", "title", "body"))
     carried = carry_section(merged).withColumn("content_type", T.classify_content(F.col("body")))
     with_images = carried.withColumn("image_ids", T.image_ids(F.col("content"))).withColumn("has_image", F.size("image_ids") > 0)
     chunks = enrich_image_chunks(with_images).drop("title", "body")
-    about = docs.select("doc_id", "category", "source_file", choose_strategy(F.col("content")).alias("split_strategy"))
+    about = docs.select("doc_id", "category", "source_file", F.col("strategy").alias("split_strategy"))
     numbered = dense_index(chunks.join(about, "doc_id"), ["category", "source_file", "doc_id", "seq"], "chunk_index")
     return numbered.select(
         "chunk_index", "doc_id", "seq", "category", "source_file", "section_path", "content_type", "content", "split_strategy", "has_image", "image_ids", "enriched_content",

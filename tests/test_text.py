@@ -1,6 +1,7 @@
 import pytest
 from corpusloom.functions import helpers
 from corpusloom.functions import text as T
+from corpusloom.operators import inline
 from pyspark.sql import functions as F
 
 
@@ -62,8 +63,10 @@ def test_tokens_and_embedding_text(spark):
         ("## A\nx\n## B\ny\n图片附件\n![a](images/1.png)\n![b](images/2.png)\n![c](images/3.png)", "## A\n![a](images/1.png)\n![c](images/3.png)\nx\n## B\n![b](images/2.png)\ny"),
     ],
 )
-def test_inline_images(text, want):
-    assert helpers.inline_images(text) == want
+def test_inline_images(spark, text, want):
+    docs = spark.createDataFrame([(1, text, "x"), (2, None, "y"), (3, "图片附件\nno image", "z")], "doc_id long, content string, lines string")
+    got = {r.doc_id: (r.content, r["lines"]) for r in inline.embed_images_inline(docs).collect()}
+    assert got == {1: (want, "x"), 2: (None, "y"), 3: ("图片附件\nno image", "z")}
 
 
 def test_hashed_vectors_are_unit_and_stable(spark):
