@@ -16,7 +16,7 @@ Jaccard similarity is at least 3/4, and documents get the smallest id that they
    group are dropped, as are all but one of those with the same sets.
 4. Each cell is an R-tree over points. The sum of the smaller coordinates of two points, or of the upper
    corners of two nodes, bounds the overlap from above, so whole branches fall away. Pairs that are left pass finer
-   points, with a coordinate for every four shingles, and then their sets are read and compared.
+   points, with a coordinate for every shingle, and then their sets are read and compared.
 
 Large cells are split into tiles, and every pair of tiles is a tree of its own, so no group grows with the
 table. Frequent shingles are spread over salts before anything is brought together.
@@ -190,25 +190,53 @@ def shared_cells(rows: DataFrame) -> DataFrame:
     return dealt.join(several, ["token", "salt"]).select("token", "doc_id")
 
 
+HEAD = GROUPS + 4
+FINEST = 1 << 16
+#: The four counts in a byte of a fine point.
+PAIRS_OF_BITS = (np.arange(256, dtype=np.uint8)[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3
+
+
 def fine_point(hashes: np.ndarray) -> bytes:
-    """A point with a coordinate for every four shingles or so: between 128 and 16,384, a power of two."""
-    groups = min(max(GROUPS, 1 << (len(hashes) // 4).bit_length()), 1 << 14)
+    """The plain point, then one with a coordinate for each shingle or so: a power of two, FINEST at most.
+
+    Its counts take two bits each, up to 3; by how much they are larger in all stands before them.
+    """
+    groups = min(max(GROUPS, 1 << (len(hashes) - 1).bit_length()), FINEST) if len(hashes) else GROUPS
     counts = np.bincount((hashes % np.uint64(groups)).astype(np.int64), minlength=groups)
-    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+    least = np.minimum(counts, 3).astype(np.uint8).reshape(-1, 4)
+    packed = least[:, 0] | least[:, 1] << 2 | least[:, 2] << 4 | least[:, 3] << 6
+    return point(hashes) + int(counts.sum() - least.sum(dtype=np.int64)).to_bytes(4, "little") + packed.tobytes()
+
+
+def spread(fine: bytes) -> tuple[np.ndarray, int]:
+    """The counts of a fine point, and what they leave out."""
+    return PAIRS_OF_BITS[np.frombuffer(fine, np.uint8, offset=HEAD)].reshape(-1), int.from_bytes(fine[GROUPS:HEAD], "little")
+
+
+def spread_bounds(one: tuple[np.ndarray, int], others: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """Upper bounds of the overlaps of one with others of one length.
+
+    Where both counts are 3, both may be larger, by the smaller excess in all at most. A longer point is folded to the shorter one's length; then
+    a count may be larger beside any other, by both excesses at most.
+    """
+    x, extra = one
+    ys, extras = np.stack([y for y, _ in others]), np.array([e for _, e in others], np.int64)
+    size = min(len(x), ys.shape[1])
+    if len(x) == ys.shape[1]:
+        return np.minimum(x, ys).sum(axis=1, dtype=np.int64) + np.minimum(extra, extras)
+    x = x.reshape(-1, size).sum(axis=0, dtype=np.int32)
+    ys = ys.reshape(len(ys), -1, size).sum(axis=1, dtype=np.int32)
+    return np.minimum(x, ys).sum(axis=1, dtype=np.int64) + extra + extras
 
 
 def fine_bound(a: bytes, b: bytes) -> int:
-    """An upper bound of the overlap from two fine points; the longer one is folded to the length of the shorter."""
-    x, y = (np.frombuffer(p, np.uint8) for p in (a, b))
-    size = min(len(x), len(y))
-    x, y = (np.where(p == FULL, 1 << 40, p.astype(np.int64)).reshape(-1, size).sum(axis=0) for p in (x, y))
-    return int(np.minimum(x, y).sum())
+    """An upper bound of the overlap from two fine points."""
+    return int(spread_bounds(spread(a), [spread(b)])[0])
 
 
 def folded(fine: bytes) -> np.ndarray:
-    """The plain point that a fine one refines."""
-    parts = np.frombuffer(fine, np.uint8).reshape(-1, GROUPS)
-    return np.where((parts == FULL).any(axis=0), FULL, np.minimum(parts.sum(axis=0, dtype=np.int64), FULL)).astype(np.uint8)
+    """The plain point that goes with a fine one."""
+    return np.frombuffer(fine, np.uint8, GROUPS)
 
 
 def packed_sets(docs: DataFrame) -> DataFrame:
@@ -379,6 +407,21 @@ def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["token", "lo", "hi", "doc_id", "n", "grp", "tile", "point"]
     known: set[tuple[int, int]] = set()
 
+    def promising(fine: list[bytes], sizes: np.ndarray, pairs: list[tuple[int, int]]) -> np.ndarray:
+        """Which pairs of rows the fine points allow; the partners of one row are looked at together, by the length of their points."""
+        counts: dict[int, tuple[np.ndarray, int]] = {}
+        for k in {k for p in pairs for k in p}:
+            counts[k] = spread(fine[k])
+        fits, groups = np.zeros(len(pairs), bool), {}
+        for at, (i, j) in enumerate(pairs):
+            groups.setdefault((i, len(counts[j][0])), []).append(at)
+        for (i, _), where in groups.items():
+            for start in range(0, len(where), 256):
+                part = where[start : start + 256]
+                others = [pairs[at][1] for at in part]
+                fits[part] = 7 * spread_bounds(counts[i], [counts[j] for j in others]) >= 3 * (sizes[i] + sizes[others])
+        return fits
+
     def pairs_in(table: pa.Table, cuts: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
         _, lo, hi, ids, sizes, groups, tiles = columns
         fine = table.column("point").to_pylist()
@@ -393,7 +436,7 @@ def meet_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(known) > 1_000_000:  # a pair that comes again is looked at again
             known.clear()
         known.update(new)
-        good = [p for p, (i, j) in new.items() if 7 * fine_bound(fine[i], fine[j]) >= 3 * (sizes[i] + sizes[j])]
+        good = [p for p, fits in zip(new, promising(fine, sizes, list(new.values())), strict=True) if fits]
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     waiting: pa.Table | None = None
