@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from functools import lru_cache
 
@@ -61,3 +62,44 @@ def dictionary_tokens(text: Column, terms: list[str]) -> Column:
         return texts.map(cut)
 
     return run(text)
+
+
+def best_path(run: str, costs: dict[str, float], longest: int, unknown: float) -> list[str]:
+    """The cut of a run whose words cost least in all; of equal costs the one with fewer words, then the one with the longer word first."""
+    ways: list[tuple[float, int, int]] = [(0.0, 0, 0)] * (len(run) + 1)  # cost and number of words from a place to the end, and the first one's length
+    for at in range(len(run) - 1, -1, -1):
+        options = []
+        for size in range(1, min(longest, len(run) - at) + 1):
+            cost = costs.get(run[at : at + size], unknown if size == 1 else None)
+            if cost is not None:
+                rest, words, _ = ways[at + size]
+                options.append((round(cost + rest, 9), words + 1, -size))
+        cost, words, size = min(options)
+        ways[at] = cost, words, -size
+    out, at = [], 0
+    while at < len(run):
+        out.append(run[at : at + ways[at][2]])
+        at += ways[at][2]
+    return out
+
+
+def weighted_tokens(text: Column, counts: dict[str, float]) -> Column:
+    """Tokens with CJK runs cut into the words of a dictionary that are most likely together; other runs of letters and digits stay whole.
+
+    ``counts`` says how often each word occurs; a word costs the negative logarithm of its share, a character that is no word as much as a word seen once.
+    Index and queries must be cut with the same dictionary, which is sent to the workers: some hundred thousand words at most.
+    """
+    total = max(sum(counts.values()), 1.0)
+    costs = {w: math.log(total / c) for w, c in counts.items() if w and c > 0}
+    longest = max(map(len, costs), default=1)
+    run_of = re.compile(r"[一-鿿]+|[^\W一-鿿_]+")
+
+    def cut(t: str | None) -> list[str]:
+        parts = ([m[0]] if not "一" <= m[0][0] <= "鿿" else best_path(m[0], costs, longest, math.log(total)) for m in run_of.finditer(t or ""))
+        return [w for part in parts for w in part]
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(cut)
+
+    return run(text)

@@ -438,6 +438,7 @@ ORACLES |= {
         SELECT query_id, rank, chunk_index, relevance_score, relevance, CASE WHEN n > 3 THEN round({EXACT("len(list_intersect(x, y))")} / greatest(len(list_distinct(list_concat(x, y))), 1), 6) END AS rerank_score, source_file, category FROM pairs""",
 }
 
+SEGMENTED = "replace(text, ' the ', ' 配电 系统照明 ')"
 COMPOUND = "replace(text, ' the ', ' 配电系统 照明 ')"
 ORACLES |= {
     "bm25_dictionary": f"WITH {LEXICAL.replace(TOKENS('text'), TOKENS(COMPOUND))}, {lexical_top(10).replace(TOKENS('text'), TOKENS(COMPOUND))} SELECT * FROM lexical",
@@ -508,4 +509,12 @@ ORACLES |= {
   made AS (SELECT doc_id, string_agg(CASE WHEN put IS NULL THEN line WHEN i = n - 1 THEN line || put_last || {NL} ELSE line || {NL} || put END, {NL} ORDER BY i) AS content FROM lines LEFT JOIN shown USING (doc_id, i) GROUP BY doc_id)
   SELECT doc_id, content || coalesce({NL} || {NL} || tail, '') AS content FROM made LEFT JOIN tails USING (doc_id)
   UNION ALL SELECT doc_id, led || stripped || {NL} || '本文件共 3 张图片。' || {NL} || '## 图片附件' || {NL} FROM given WHERE len(images) = 0""",
+    "index_snapshot": ORACLES["bm25_term_stats"],
+    "bindings_roundtrip": ORACLES["image_bindings"],
+    "read_rules": "SELECT n_name AS pattern, r_name AS replacement FROM nation JOIN region ON r_regionkey = n_regionkey",
+    "bm25_segmented": f"WITH {LEXICAL.replace(TOKENS('text'), TOKENS(SEGMENTED))}, {lexical_top(10).replace(TOKENS('text'), TOKENS(SEGMENTED))} SELECT * FROM lexical",
+    "image_only_files": """SELECT o_orderkey AS file, count(l_linenumber) AS n_media, coalesce(any_value(o_orderkey % 3 <> 0) AND bool_or(l_quantity > 25) AND any_value(length(trim(repeat(o_orderpriority, o_orderkey % 20), ' '))) < 100, false) AS image_only
+        FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
+    "media_without_scraps": """SELECT l_orderkey AS file, count(*) AS n_media, CAST(sum(size) AS BIGINT) AS size FROM (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) % 3000 AS size FROM lineitem)
+        WHERE NOT (l_orderkey % 3 <> 0 AND size < 256 AND NOT l_quantity > 25) GROUP BY l_orderkey""",
 }

@@ -117,6 +117,26 @@ def caption_candidates(spark, sf_dir):
     return parse.caption_candidates(media)
 
 
+def order_media(spark, sf_dir):
+    """Orders as files, and their items as the images there."""
+    ext = F.when(F.col("o_orderkey") % 3 == 0, ".docx").otherwise(".pdf")
+    files = corpus.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), ext.alias("file_ext"), F.repeat("o_orderpriority", (F.col("o_orderkey") % 20).cast("int")).alias("text"))
+    size = (F.floor("l_extendedprice") % 3000).alias("size")
+    items = corpus.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), "l_linenumber", size, (F.col("l_quantity") > 25).alias("is_page_render"))
+    return files, items.join(files.select("file", "file_ext"), "file")
+
+
+@query
+def image_only_files(spark, sf_dir):
+    files, media = order_media(spark, sf_dir)
+    return parse.image_only(files, media)
+
+
+@query
+def media_without_scraps(spark, sf_dir):
+    return parse.worth_keeping(order_media(spark, sf_dir)[1]).groupBy("file").agg(F.count(F.lit(1)).alias("n_media"), F.sum("size").alias("size"))
+
+
 # ---- text
 
 
@@ -334,6 +354,38 @@ def table_roundtrip(spark, sf_dir):
     return spark.read.parquet(at).select("p_partkey", "p_brand", "p_type")
 
 
+@query
+def bindings_roundtrip(spark, sf_dir):
+    at = tables.scratch_path(spark, "bindings")
+    tables.write_bindings_json(QUERIES["image_bindings"](spark, sf_dir).withColumn("markdown", F.concat(F.lit("!["), "description", F.lit("]"))), at)
+    schema = "source_file string, images array<struct<chunk_index:long,pos:int,description:string,path:string,markdown:string,bound:boolean>>"
+    return spark.read.schema(schema).json(at).select("source_file", F.explode("images").alias("i")).select("source_file", "i.chunk_index", "i.pos", "i.description", "i.path", "i.bound")
+
+
+@query
+def read_rules(spark, sf_dir):
+    """The nations as a rule file: names to be replaced by regions."""
+    at = tables.scratch_path(spark, "rules")
+    nations = corpus.table(spark, sf_dir, "nation").join(corpus.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rules = F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("pattern"), F.col("r_name").alias("replacement"))))
+    nations.agg(F.to_json(rules)).write.text(at)
+    return spark.createDataFrame(tables.read_rules(spark, at), "pattern string, replacement string")
+
+
+@query
+def index_snapshot(spark, sf_dir):
+    """Term statistics of the last complete snapshot, after one rebuild and another that failed."""
+    at, chunks = tables.scratch_path(spark, "index"), corpus.document_chunks(spark, sf_dir).withColumn("enriched_content", F.lit(None).cast("string"))
+    index.rebuild(chunks, f"{at}/index", f"{at}/cache")
+    try:
+        with tables.new_snapshot(spark, f"{at}/index") as half:
+            chunks.write.parquet(f"{half}/chunks")
+            raise InterruptedError
+    except InterruptedError:
+        pass
+    return index.read_index(spark, f"{at}/index").terms.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 @query
 def read_terms(spark, sf_dir):
     at = tables.scratch_path(spark, "terms")
@@ -462,6 +514,16 @@ def bm25_dictionary(spark, sf_dir):
     return retrieve.bm25_topk(asked, index.build_bm25(chunks, cut), TOP_K, tokenize=cut)
 
 
+@query
+def bm25_segmented(spark, sf_dir):
+    """Lexical search with runs of CJK cut by word frequencies: the words of a run overlap, and the likelier pair is cut."""
+    compound = lambda c: F.replace(c, F.lit(" the "), F.lit(" 配电系统照明 "))
+    cut = lambda c: helpers.weighted_tokens(c, {"配电": 40, "系统照明": 50, "配电系统": 10, "照明": 5, "系统": 3})
+    chunks = corpus.document_chunks(spark, sf_dir).withColumn("content", compound("content"))
+    asked = corpus.benchmark_queries(spark, sf_dir).withColumn("query", compound("query"))
+    return retrieve.bm25_topk(asked, index.build_bm25(chunks, cut), TOP_K, tokenize=cut)
+
+
 @query
 def vector_topk(spark, sf_dir):
     return nearest(spark, sf_dir, TOP_K)

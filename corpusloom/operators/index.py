@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import helpers
 from corpusloom.functions import text as T
-from corpusloom.sources.tables import checkpointed
+from corpusloom.sources.tables import checkpointed, current_snapshot, folders, new_snapshot
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -91,6 +91,44 @@ def build_vectors(chunks: DataFrame, cache: DataFrame | None = None, dim: int =
     return keyed.select("chunk_index", "text_hash").join(known, "text_hash")
 
 
+def cached_vectors(chunks: DataFrame, cache: str, dim: int = 64, encoder=helpers.hashed_vector) -> DataFrame:
+    """build_vectors with a cache in a folder, to which what is new is appended: a text is embedded once for all builds.
+
+    The cache lies in folders by the first digit of the hash. A text that two builds embed at once is there twice and counts once.
+    """
+    spark = chunks.sparkSession
+    keyed = text_hashes(chunks)
+    todo = keyed.select("text_hash", "t").dropDuplicates(["text_hash"])
+    known = spark.read.parquet(cache).select("text_hash") if folders(spark, cache) else None
+    todo = checkpointed(todo if known is None else todo.join(known, "text_hash", "left_anti"))
+    made = todo.select("text_hash", helpers.embed(F.col("t"), dim, encoder).alias("embedding"), F.substring("text_hash", 1, 1).alias("digit"))
+    if known is None or not todo.isEmpty():
+        made.repartition("digit").write.mode("append").partitionBy("digit").parquet(cache)
+    if not folders(spark, cache):  # no text at all
+        return build_vectors(chunks, None, dim, encoder)
+    held = spark.read.parquet(cache).groupBy("text_hash").agg(F.first("embedding").alias("embedding"))
+    return keyed.select("chunk_index", "text_hash").join(held, "text_hash")
+
+
+def rebuild(chunks: DataFrame, root: str, cache: str, encoder=helpers.hashed_vector, tokenize: Tokenizer = T.tokenize) -> str:
+    """Chunks, postings, terms, corpus and vectors as one snapshot under ``root``; the folder. Readers have the one before until all is there."""
+    spark = chunks.sparkSession
+    with new_snapshot(spark, root) as at:
+        chunks.write.parquet(f"{at}/chunks")
+        stored = spark.read.parquet(f"{at}/chunks")
+        made = build_bm25(stored, tokenize)
+        for name in ("postings", "terms", "corpus"):
+            getattr(made, name).write.parquet(f"{at}/{name}")
+        cached_vectors(stored, cache, encoder=encoder).write.parquet(f"{at}/vectors")
+    return at
+
+
+def read_index(spark: SparkSession, root: str) -> LexicalIndex | None:
+    """The lexical index of the last complete snapshot."""
+    at = current_snapshot(spark, root)
+    return at and LexicalIndex(*[spark.read.parquet(f"{at}/{name}") for name in ("postings", "terms", "corpus")])
+
+
 def vector_table(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """The vector collection: one row per chunk, section paths cut to 8,000 characters."""
     about = chunks.select("chunk_index", "category", "source_file", F.substring("section_path", 1, 8000).alias("section_path"), "content_type", "content")

@@ -139,6 +139,21 @@ def media_inventory(files: DataFrame) -> DataFrame:
     return found.select("file", numbered.alias("filename"), "ext", "size", "source")
 
 
+def worth_keeping(media: DataFrame, least: int = 256) -> DataFrame:
+    """media without the scraps of PDF pages: embedded images there below ``least`` bytes."""
+    scrap = (F.lower("file_ext") == ".pdf") & (F.col("size") < least) & ~F.coalesce("is_page_render", F.lit(False))
+    return media.where(~F.coalesce(scrap, F.lit(False)))
+
+
+def image_only(files: DataFrame, media: DataFrame, short: int = 100) -> DataFrame:
+    """file, n_media and image_only for files (file, file_ext, text): a PDF with a rendered page and fewer than ``short`` characters of text."""
+    held = media.groupBy("file").agg(F.count(F.lit(1)).alias("n_media"), F.coalesce(F.bool_or("is_page_render"), F.lit(False)).alias("rendered"))
+    both = files.join(held, "file", "left")
+    text = F.length(F.trim(F.coalesce("text", F.lit(""))))
+    flag = (F.lower("file_ext") == ".pdf") & F.coalesce("rendered", F.lit(False)) & (text < short)
+    return both.select("file", F.coalesce("n_media", F.lit(0).cast("long")).alias("n_media"), F.coalesce(flag, F.lit(False)).alias("image_only"))
+
+
 def caption_candidates(media: DataFrame, min_size: int = 8192, per_file: int = 5) -> DataFrame:
     """The largest images of each file that are worth a caption: file, filename, size, place."""
     fit = media.where((F.col("size") >= min_size) & ~F.coalesce("is_page_render", F.lit(False)) & ~F.col("ext").isin(*NO_CAPTION))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +83,39 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+COMPLETE = "_COMPLETE"
+
+
+def _snapshots(spark: SparkSession, root: str, marker: str | None) -> list[int]:
+    return sorted(int(n.removeprefix("snapshot=")) for n in folders(spark, root, marker) if n.startswith("snapshot="))
+
+
+@contextmanager
+def new_snapshot(spark: SparkSession, root: str, keep: int = 2) -> Iterator[str]:
+    """A folder for a rebuild of several tables that belong together. It counts once all of it is written.
+
+    A marker is written last; until then, and if the rebuild fails, readers go on with the snapshot before. Of complete snapshots the last
+    ``keep`` stay, so whoever has begun to read one finds its files for another rebuild.
+    """
+    number = max(_snapshots(spark, root, None), default=0) + 1
+    at = f"{root}/snapshot={number}"
+    try:
+        yield at
+    except BaseException:
+        delete_folder(spark, at)
+        raise
+    marker, fs = _path(spark, f"{at}/{COMPLETE}")
+    fs.create(marker).close()
+    for old in _snapshots(spark, root, COMPLETE)[:-keep]:
+        delete_folder(spark, f"{root}/snapshot={old}")
+
+
+def current_snapshot(spark: SparkSession, root: str) -> str | None:
+    """The folder of the last complete snapshot, if there is one."""
+    found = _snapshots(spark, root, COMPLETE)
+    return f"{root}/snapshot={found[-1]}" if found else None
+
+
 def read_chunks_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Chunk records with image ids as a comma-joined string."""
     schema = "chunk_index long, category string, source_file string, section_path string, content_type string, content string, split_strategy string, has_image boolean, image_ids string, enriched_content string"

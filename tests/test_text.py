@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from corpusloom.functions import helpers
 from corpusloom.functions import text as T
@@ -72,3 +74,23 @@ def test_inline_images(spark, text, want):
 def test_hashed_vectors_are_unit_and_stable(spark):
     rows = values(spark, lambda c: helpers.embed(c, 32), ["some text", "some text", "other", "", None])
     assert rows[0] == rows[1] != rows[2] and abs(sum(x * x for x in rows[0]) - 1) < 1e-5 and not any(rows[3]) and not any(rows[4])
+
+
+def test_the_likeliest_cut_against_all_cuts():
+    rng = random.Random(1)
+    for _ in range(300):
+        costs = {"".join(rng.choice("甲乙丙") for _ in range(rng.randint(1, 3))): rng.choice([0.5, 1.0, 2.0, 3.5]) for _ in range(rng.randint(0, 8))}
+        run = "".join(rng.choice("甲乙丙丁") for _ in range(rng.randint(1, 8)))
+        ways = []
+        for bits in range(1 << len(run) - 1):
+            ends = [i + 1 for i in range(len(run) - 1) if bits >> i & 1] + [len(run)]
+            words = [run[a:b] for a, b in zip([0, *ends], ends)]
+            each = [costs.get(w, 4.0 if len(w) == 1 else None) for w in words]
+            if None not in each:
+                ways.append((round(sum(each), 6), len(words), [-len(w) for w in words], words))
+        assert helpers.best_path(run, costs, max(map(len, costs), default=1), 4.0) == min(ways)[3]
+
+
+def test_overlapping_words(spark):
+    cut = lambda c: helpers.weighted_tokens(c, {"配电": 40, "系统照明": 50, "配电系统": 10, "照明": 5})
+    assert values(spark, cut, ["配电系统照明 SPD x_1 配电箱", None, ""]) == [["配电", "系统照明", "SPD", "x", "1", "配电", "箱"], [], []]
