@@ -37,8 +37,25 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "n_chars_before", F.length("text").alias("n_chars"), "text")
 
 
+def with_quoting(conversations: DataFrame) -> DataFrame:
+    """The conversations, and beside each one (as -1 - conv_id) the same with quotes: every turn from the third on quotes the one two turns
+    before, and every fourth also what that one quoted, a level deeper."""
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    whole = rows.dropDuplicates(["conv_id", "turn"]).where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    lines = lambda c, mark: F.concat(F.lit(mark), F.replace(c, F.lit("\n"), F.lit(f"\n{mark}")), F.lit("\n"))
+    earlier = lambda n: whole.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"text_{n}"))
+    both = whole.join(earlier(2), ["conv_id", "turn"], "left").join(earlier(4), ["conv_id", "turn"], "left")
+    deeper = F.when(F.col("turn") % 4 == 0, F.coalesce(lines(F.col("text_4"), "> > "), F.lit(""))).otherwise("")
+    quoted = F.when(F.col("text_2").isNotNull(), F.concat(deeper, lines(F.col("text_2"), "> "), F.lit("\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    return rows.unionByName(both.select((-1 - F.col("conv_id")).alias("conv_id"), "turn", "role", quoted.alias("text")))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chat(table(spark, sf_dir, "conversations"))
+    """Messages without their quotes and what they answer, over the given conversations and the same ones with quotes; and with each message
+    the block of 256 turns of training text that it is in, by its digest and length."""
+    chat = chat_format.format_chat(with_quoting(table(spark, sf_dir, "conversations")))
+    blocks = chat_format.render(chat).select("conv_id", "block", F.sha2("text", 256).alias("block_sha256"), F.length("text").alias("block_chars"))
+    return chat.withColumn("block", F.floor(F.col("turn") / 256)).join(blocks, ["conv_id", "block"], "left")
 
 
 def spans_text(spans: Column) -> Column:

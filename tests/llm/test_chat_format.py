@@ -102,3 +102,25 @@ def test_the_turn_before_is_the_last_that_there_is(spark):
     got = {(r.conv_id, r.turn): (r.reply_to, r.linked_by) for r in c.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert [got[1, t][0] for t in turns] == [None, *turns[:-1]]
     assert got[2, 9] == (3, "turn") and got[2, None] == (None, None) == got[None, 4] and len(got) == 11
+
+
+def test_the_query_links_by_its_quotes(spark):
+    from corpusloom.llm.registry import op6_chat_format
+
+    rows = op6_chat_format(spark, "/root/testdata/sf0.001").collect()
+    given = {(r.conv_id, r.turn): r for r in rows}
+    quoting = [r for r in rows if r.conv_id < 0 and r.turn >= 2]
+    assert quoting and all(r.linked_by == "quote" and r.n_quotes for r in quoting)
+    for r in quoting:  # the quotes are gone, and what is left is the message itself
+        assert (r.text or "").strip("\n") == (given[-1 - r.conv_id, r.turn].text or "").strip("\n")
+        assert given[-1 - r.conv_id, r.reply_to].text == given[-1 - r.conv_id, r.turn - 2].text  # the one quoted, or an earlier one with the same words
+    assert {r.linked_by for r in rows if r.conv_id >= 0} == {"turn", None}
+    assert all(r.block == 0 and r.block_chars > 0 and len(r.block_sha256) == 64 for r in rows)
+
+
+def test_render_in_blocks(spark):
+    rows = [("c", t, None if t % 2 else "user", f"m{t}" if t % 5 else None) for t in range(600)] + [("d", None, "user", "x")]
+    chat = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    line = lambda t: f"<|user|>\n{f'm{t}' if t % 5 else ''}\n"
+    got = {(r.conv_id, r.block): r.text for r in c.render(chat).collect()}
+    assert got == {**{("c", b): "".join(line(t) for t in range(256 * b, min(256 * b + 256, 600))) for b in range(3)}, ("d", None): "<|user|>\nx\n"}
