@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.functions.text import ANSWER_STOP_WORDS, QUERY_STOP_WORDS, RULE_WORDS
+from corpusloom.functions.text import ANSWER_STOP_WORDS, QUERY_STOP_WORDS, RULE_WORDS, SECTION_WORDS
 
 NL = "chr(10)"
 STRIP = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
@@ -517,4 +517,10 @@ ORACLES |= {
         FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""",
     "media_without_scraps": """SELECT l_orderkey AS file, count(*) AS n_media, CAST(sum(size) AS BIGINT) AS size FROM (SELECT *, CAST(floor(l_extendedprice) AS BIGINT) % 3000 AS size FROM lineitem)
         WHERE NOT (l_orderkey % 3 <> 0 AND size < 256 AND NOT l_quantity > 25) GROUP BY l_orderkey""",
+    "cjk_rules": rf"""WITH made AS (SELECT doc_id, ['第' || doc_id || '页 / 第' || doc_id || '页', '本文件共提取 ' || doc_id || ' 张', '第' || doc_id || '页 ' || lang, '### 图片 ' || doc_id, '### 图片 ' || text, '一、' || text, '第三章 ' || text, '二  甲 ' || text,
+    '适用范围' || {NL} || text, text || {NL} || '不应', '图片附件' || text, '| 甲（含） | x |' || {NL} || '| 乙乙乙 | y |' || {NL} || text, '甲：1' || {NL} || '乙： 2' || {NL} || '丙:3' || {NL} || '丁 : 4' || {NL} || text,
+    '| （不含） | z |' || {NL} || '| 乙乙乙 | y |' || {NL} || text, '·•—', '四 ' || doc_id || ' 甲'] AS f FROM documents),
+  forms AS (SELECT doc_id, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS form, unnest(f) AS x FROM made)
+  SELECT doc_id, form, {noise("x")} AS noise, CASE WHEN regexp_matches({FIRST("x")}, '^(##[ \t]+.+|###[ \t]+.+|[{CN}]+、[ \t]*.+|第[{CN}百\d]+章[ \t]*.+|[{CN}]+[ \t]{{1,5}}[^\d\s].{{1,40}}|[0-9]+(\.[0-9]+)*[ \t]+.+|({SECTION_WORDS}))$')
+    AND NOT regexp_matches({FIRST("x")}, '图片描述|第\s*\d+\s*页|render|page\d+|\.\.\.\.') THEN {FIRST("x")} END AS section, {classify("x")} AS content_type FROM forms""",
 }

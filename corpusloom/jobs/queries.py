@@ -171,6 +171,19 @@ def detect_section(spark, sf_dir):
     return pages.select("doc_id", "pos", T.detect_section(F.col("part")).alias("section")).where("section IS NOT NULL")
 
 
+@query
+def cjk_rules(spark, sf_dir):
+    """Noise, sections and labels of the documents behind, before or beside CJK forms of each rule."""
+    d, t = F.col("doc_id").cast("string"), F.col("text")
+    forms = [
+        ("第", d, "页 / 第", d, "页"), ("本文件共提取 ", d, " 张"), ("第", d, "页 ", F.col("lang")), ("### 图片 ", d), ("### 图片 ", t), ("一、", t), ("第三章 ", t), ("二  甲 ", t), ("适用范围\n", t),
+        (t, "\n不应"), ("图片附件", t), ("| 甲（含） | x |\n| 乙乙乙 | y |\n", t), ("甲：1\n乙： 2\n丙:3\n丁 : 4\n", t), ("| （不含） | z |\n| 乙乙乙 | y |\n", t), ("·•—",), ("四 ", d, " 甲"),
+    ]
+    made = F.array(*[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in f]) for f in forms])
+    rows = corpus.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(made).alias("form", "x"))
+    return rows.select("doc_id", "form", T.is_noise(F.col("x")).alias("noise"), T.detect_section(F.col("x")).alias("section"), T.classify_content(F.col("x")).alias("content_type"))
+
+
 @query
 def strip_tables(spark, sf_dir):
     return corpus.table(spark, sf_dir, "documents").select("doc_id", F.md5(T.strip_tables(F.col("text"))).alias("stripped_md5"))
