@@ -56,3 +56,24 @@ def test_rows_without_id_stay(spark, tmp_path):
     kept = c.near_duplicates(spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in kept} == {*range(15, 25), None}
     assert sorted([r.text for r in kept if r.doc_id is None], key=str) == sorted(texts[2:], key=str)
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert c.run(spark, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_any_column_names_and_a_very_long_text(spark, tmp_path):
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(5000)]
+    prose = lambda n: " ".join(" ".join(rng.choices(words, k=9)).capitalize() + "." for _ in range(n // 9))
+    texts = {1: prose(90), 2: prose(90), 3: prose(60_000)}
+    rows = [(i, texts[i], "en", "s", len(texts[i]), "a", "b", "c", "d") for i in (1, 1, 2, 3)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, __line_id string, kept_id0 string, line_runs0 string, tile string"
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/documents.parquet")
+    packed = c.run(spark, str(tmp_path)).collect()
+    tokens = {}
+    for r in packed:
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.n_tokens
+    quarter = lambda i: -(-len(texts[i]) // 4)
+    assert tokens == {1: 2 * quarter(1), 2: quarter(2), 3: quarter(3)}  # rows that are the same stay or go together
