@@ -523,4 +523,5 @@ ORACLES |= {
   forms AS (SELECT doc_id, CAST(generate_subscripts(f, 1) - 1 AS INTEGER) AS form, unnest(f) AS x FROM made)
   SELECT doc_id, form, {noise("x")} AS noise, CASE WHEN regexp_matches({FIRST("x")}, '^(##[ \t]+.+|###[ \t]+.+|[{CN}]+、[ \t]*.+|第[{CN}百\d]+章[ \t]*.+|[{CN}]+[ \t]{{1,5}}[^\d\s].{{1,40}}|[0-9]+(\.[0-9]+)*[ \t]+.+|({SECTION_WORDS}))$')
     AND NOT regexp_matches({FIRST("x")}, '图片描述|第\s*\d+\s*页|render|page\d+|\.\.\.\.') THEN {FIRST("x")} END AS section, {classify("x")} AS content_type FROM forms""",
+    "bm25_bounded": f"WITH {LEXICAL}, {lexical_top(10).replace(TOKENS('text'), TOKENS('text') + '[-4:]')} SELECT * FROM lexical",
 }

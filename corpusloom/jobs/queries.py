@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 from corpusloom.functions import helpers
 from corpusloom.functions import text as T
 from corpusloom.jobs import corpus
-from corpusloom.operators import answer, audit, chunk, index, inline, parse, retrieve, vectors
+from corpusloom.operators import answer, audit, chunk, impact, index, inline, parse, retrieve, vectors
 from corpusloom.sources import tables
 from corpusloom.streaming import ingest
 
@@ -507,6 +507,19 @@ def bm25_topk(spark, sf_dir):
     return lexical(spark, sf_dir)
 
 
+def short_queries(spark, sf_dir) -> DataFrame:
+    """The queries by their last four words, as people type them."""
+    asked = corpus.benchmark_queries(spark, sf_dir)
+    return asked.select("query_id", F.array_join(F.reverse(F.slice(F.reverse(T.tokenize(F.col("query"))), 1, 4)), " ").alias("query"))
+
+
+@query
+def bm25_bounded(spark, sf_dir):
+    """Lexical top ten by bounds over blocks of postings; the same as by scoring them all."""
+    blocked = impact.impact_blocks(index.build_bm25(corpus.document_chunks(spark, sf_dir)))
+    return impact.bounded_bm25(short_queries(spark, sf_dir), blocked, TOP_K)[0]
+
+
 @query
 def bm25_padded(spark, sf_dir):
     """Each query asked by its last word, and filled up to ten chunks; those of every third query are English."""
