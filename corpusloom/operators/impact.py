@@ -3,7 +3,7 @@
 The impact of a posting is what it adds to a score for each unit of a query term's weight. A block holds postings of one term with nearly the same impact, some
 BLOCK_ROWS of them. The search is exact, in four steps:
 
-1. The strongest terms of each query are scored alone, and the k best chunks of these in full: the k-th score is a threshold.
+1. The blocks that can add most to each query are scored alone, and the k best chunks of these in full: the k-th score is a threshold.
 2. Of each query's terms in rising order of what they can add at most, those that together stay below the threshold are weak: no chunk that holds only
    them can be among the best. The others are strong.
 3. Of the strong terms' blocks those are opened that reach the threshold with all that the other terms can add. A chunk in any other block is
@@ -30,7 +30,7 @@ SLACK = 2e-6  # scores have six places
 
 @dataclass(frozen=True)
 class ImpactIndex:
-    """blocks(term, level, most, entries(chunk_index, impact)) and terms(term, df, idf, most)."""
+    """blocks(term, level, shard, n, most, entries(chunk_index, impact)) and terms(term, df, idf, most)."""
 
     blocks: DataFrame
     terms: DataFrame
@@ -47,7 +47,7 @@ def impact_blocks(index: LexicalIndex, block_rows: int = BLOCK_ROWS) -> ImpactIn
     sizes = rows.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     dealt = rows.join(sizes, ["term", "level"]).withColumn("shard", F.pmod(F.xxhash64("chunk_index"), F.col("blocks")))
     made = dealt.groupBy("term", "level", "shard").agg(F.max("impact").alias("most"), F.collect_list(F.struct("chunk_index", "impact")).alias("entries"))
-    blocks = checkpointed(made.select("term", "level", "most", "entries"))
+    blocks = checkpointed(made.select("term", "level", "shard", F.size("entries").alias("n"), "most", "entries"))
     most = blocks.groupBy("term").agg(F.max("most").alias("most"))
     return ImpactIndex(blocks, index.terms.join(most, "term"))
 
@@ -57,21 +57,20 @@ def _opened(blocks: DataFrame, *keep: str) -> DataFrame:
 
 
 def bounded_bm25(
-    queries: DataFrame, index: ImpactIndex, k: int, stop: list[str] = T.QUERY_STOP_WORDS, tokenize: Tokenizer = T.tokenize, seeds: int = 50
+    queries: DataFrame, index: ImpactIndex, k: int, stop: list[str] = T.QUERY_STOP_WORDS, tokenize: Tokenizer = T.tokenize, seeds: int = 10
 ) -> tuple[DataFrame, DataFrame]:
     """The same as retrieve.bm25_topk (query_id, rank, chunk_index, score), and what it took: query_id, n_postings of its terms and n_scored.
 
-    The first step takes the strongest terms until they have ``seeds`` times k postings. Queries of few words, as people type them, gain most: in long ones the weak terms
+    The first step takes the strongest blocks until they have ``seeds`` times k postings. Queries of few words, as people type them, gain most: in long ones the weak terms
     together reach any threshold.
     """
     words = queries.select("query_id", F.explode(tokenize(F.coalesce("query", F.lit("")))).alias("term")).where(~F.col("term").isin(stop))
     words = words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(index.terms, "term")
     weight = F.col("times") * F.col("idf")
     of_query = W.partitionBy("query_id")
-    falling = of_query.orderBy(F.desc("bound"), "term").rowsBetween(W.unboundedPreceding, -1)
     rising = of_query.orderBy("bound", "term").rowsBetween(W.unboundedPreceding, 0)
     asked = words.select("query_id", "term", "df", weight.alias("weight"), (F.greatest(weight, F.lit(0.0)) * F.col("most")).alias("bound"))
-    asked = asked.withColumns({"all": F.sum("bound").over(of_query), "up_to": F.sum("bound").over(rising), "before": F.coalesce(F.sum("df").over(falling), F.lit(0))})
+    asked = asked.withColumns({"all": F.sum("bound").over(of_query), "up_to": F.sum("bound").over(rising)})
     asked = checkpointed(asked)
 
     def sums(opened: DataFrame) -> DataFrame:
@@ -83,7 +82,11 @@ def bounded_bm25(
         postings = _opened(index.blocks.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi"))
         return sums(postings.join(broadcast_if_small(wanted), ["term", "chunk_index"]))
 
-    first = sums(_opened(index.blocks.join(broadcast_if_small(asked.where(F.col("before") < seeds * k).select("query_id", "term", "weight")), "term"), "query_id", "weight"))
+    best_first = of_query.orderBy(F.desc(F.col("weight") * F.col("most")), "term", "level", "shard").rowsBetween(W.unboundedPreceding, -1)
+    offered = index.blocks.select("term", "level", "shard", "n", "most").join(broadcast_if_small(asked.select("query_id", "term", "weight")), "term")
+    taken = offered.withColumn("before", F.coalesce(F.sum("n").over(best_first), F.lit(0))).where(F.col("before") < seeds * k)
+    opened = index.blocks.join(broadcast_if_small(taken.select("query_id", "weight", "term", "level", "shard")), ["term", "level", "shard"])
+    first = checkpointed(sums(_opened(opened, "query_id", "weight")))
     leaders = checkpointed(top(first, ["query_id"], [F.desc("score"), F.asc("chunk_index")], k))
     known = checkpointed(looked_up(leaders, asked))
     reached = known.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score") - SLACK).otherwise(F.lit(-1e300)).alias("threshold"))
