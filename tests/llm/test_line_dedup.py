@@ -107,3 +107,21 @@ def test_any_column_names(spark):
     cut = d.line_dedup(docs)
     assert cut.columns == docs.columns
     assert {r.doc_id: passage in r.text for r in cut.collect()} == {1: True, 2: False}
+
+
+def test_no_repeated_passage_of_the_given_table_is_left_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect()}
+    left = {r.doc_id: " ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in d.line_dedup(docs).collect()}
+    earlier, runs, kept = set(), 0, 0
+    for doc in sorted(words):
+        w = words[doc]
+        windows = [" ".join(w[i : i + 51]) for i in range(len(w) - 50)]
+        start = None
+        for i, known in enumerate([*(x in earlier for x in windows), False]):
+            if known and start is None:
+                start = i
+            elif not known and start is not None:
+                runs, kept, start = runs + 1, kept + (" ".join(w[start : i + 50]) in left[doc]), None
+        earlier.update(windows)
+    assert runs > 150 and kept == 0
