@@ -73,6 +73,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[count(k) for k in secret_scan.BASE],
         F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"),
         spans_text(F.array_sort(keyed)).alias("spans"),
+        spans_text(F.col("closed")).alias("closed"),
     )
 
 

@@ -8,6 +8,8 @@ each of its characters comes from, and findings are reported as spans of the ori
 The base kinds, leftmost and non-overlapping per kind, are ``assign`` (a password, passwd, secret, token or
 api key that is given a value of six characters or more), ``access`` (AKIA and what follows, 20 characters or
 more) and ``hex`` (24 hex digits or more). What only a decoded layer shows is reported as ``decoded_`` + kind.
+
+Packed data that has a mark but does not open to its end is not passed over: what opens is scanned, and the data's span is reported as ``closed``.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import base64
 import bz2
 import codecs
 import hashlib
+import io
 import lzma
 import re
 import zlib
@@ -48,6 +51,7 @@ WIDE = re.compile(rb"(\x00?)((?:[\t\n\r\x20-\x7e]\x00){%d,}[\t\n\r\x20-\x7e])(\x
 ZLIB = [bytes([c, f]) for c in range(0x08, 0x80, 0x10) for f in range(256) if (c << 8 | f) % 31 == 0 and not f & 0x20]
 ZSTD, BZIP, XZ = b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\x00"
 PACKED = re.compile(b"|".join([*map(re.escape, [b"\x1f\x8b\x08", ZSTD, XZ, *ZLIB]), rb"BZh[1-9]1AY&SY"]))
+SURE = re.compile(rb"(?s)\x1f\x8b\x08[\x00-\x1f].{4}[\x00\x02\x04][\x00-\x0d\xff]|" + b"|".join(map(re.escape, [ZSTD, XZ, BZIP])))  # hardly by chance
 UNPRINTABLE = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]")
 IN_RUN = "".join(map(chr, range(33, 127))) + "\r\n"
 BLOCK, OVERLAP, STEP = 8 << 20, 4096, 1024
@@ -131,61 +135,101 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(parts), runs)
 
 
+class Closed(Exception):
+    """Packed data that does not open to its end: it is damaged, cut off, or asks for more memory than it gets."""
+
+
+class _Pieces(io.BytesIO):
+    """Bytes that are read STEP at a time, and from ``careful`` on one by one."""
+
+    careful = 1 << 62
+
+    def read(self, size: int = -1) -> bytes:
+        return super().read(STEP if self.tell() < self.careful else 1)
+
+
+def _zstandard(raw: memoryview) -> Iterator[bytes]:
+    """What zstandard frames hold, by the codec of Arrow, which Spark's Python workers have."""
+    source, got = _Pieces(raw), 0
+    try:
+        stream = pa.CompressedInputStream(pa.PythonFile(source, "r"), "zstd")
+        while made := stream.read(STEP):
+            got += len(made)
+            yield made
+        return
+    except OSError:
+        again = _Pieces(raw)
+        again.careful = source.tell() - STEP
+    stream = pa.CompressedInputStream(pa.PythonFile(again, "r"), "zstd")  # once more, byte by byte to where it fails
+    for k in range(0, got, STEP):
+        stream.read(min(STEP, got - k))
+    try:
+        while made := stream.read(1):
+            got += 1
+            yield made
+    except OSError as error:
+        if not got or "frame descriptor" not in str(error):  # else a frame is over and what follows is none
+            raise Closed from error
+
+
 def _inflated(raw: memoryview) -> Iterator[bytes]:
     """What the zlib, gzip (all members), zstandard, bzip2, xz or bare deflated data at the start of raw holds, in blocks of bounded size.
 
-    Without the zstandard library its data stays closed.
+    Raises Closed behind what opens of data that has a mark but does not open to its end, as when xz data asks for over 256 MB or
+    zstandard data for over 128 MB. Bare deflated data has no mark, so where it does not open it was none.
     """
     if raw[:4] == ZSTD:
-        import io
-
-        try:
-            import zstandard
-        except ImportError:
-            return
-        reader = zstandard.ZstdDecompressor(max_window_size=1 << 27).stream_reader(io.BytesIO(raw), read_across_frames=True)
-        try:
-            while made := reader.read(BLOCK):
-                yield made
-        except zstandard.ZstdError:
-            return
+        yield from _zstandard(raw)
         return
-    if raw[:3] == BZIP or raw[:6] == XZ:
-        machine = bz2.BZ2Decompressor() if raw[:3] == BZIP else lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=1 << 28)
-        at = 0
-        while not machine.eof:
-            data = raw[at : at + STEP] if machine.needs_input else b""
-            at += len(data)
-            if not data and machine.needs_input:
-                return
+    marked = bool(PACKED.match(raw))
+    if raw[:3] == BZIP:
+        new = bz2.BZ2Decompressor
+    elif raw[:6] == XZ:
+        new = lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ, memlimit=1 << 28)
+    else:
+        new = lambda: zlib.decompressobj(47 if marked else -15)
+    failures = zlib.error, lzma.LZMAError, OSError, EOFError
+    at = 0
+    while True:
+        begin, machine = at, new()
+        while at < len(raw) and not machine.eof:
             try:
-                yield machine.decompress(data, BLOCK)
-            except (OSError, EOFError, lzma.LZMAError):
-                return
-        return
-    wrapped = bool(PACKED.match(raw))
-    machine, at, data = zlib.decompressobj(47 if wrapped else -15), 0, b""
-    while data or at < len(raw):
-        if not data:
-            data = raw[at : at + STEP]
-            at += len(data)
-        try:
-            yield machine.decompress(data, BLOCK)
-        except zlib.error:
+                yield machine.decompress(raw[at : at + STEP])
+            except failures as error:
+                if not marked:
+                    return
+                machine = new()
+                for k in range(begin, at, STEP):
+                    machine.decompress(raw[k : k + STEP])
+                try:
+                    for k in range(at, at + STEP):  # byte by byte to where it fails
+                        yield machine.decompress(raw[k : k + 1])
+                except failures:
+                    raise Closed from error
+            at = min(at + STEP, len(raw))
+        if not machine.eof:
+            if marked:
+                raise Closed
+            return
+        at -= len(machine.unused_data)
+        if raw[at : at + 2] != b"\x1f\x8b":
             return
-        data = machine.unconsumed_tail
-        if machine.eof:
-            data, at, machine = b"", at - len(machine.unused_data), zlib.decompressobj(47)
-            if raw[at : at + 2] != b"\x1f\x8b":
-                return
+        marked, new = True, lambda: zlib.decompressobj(47)
 
 
 def _unpacked(raw: memoryview) -> Iterator[str]:
     """The texts of packed data. Each holds the end of the one before it: 4096 characters, and all of a run
-    that is not finished there, up to 64 MB."""
+    that is not finished there, up to 64 MB. Raises Closed behind what opens of data that does not open to its end."""
     decode = codecs.getincrementaldecoder("utf-8")("replace").decode
-    parts, size, carry = [], 0, ""
-    for block in _inflated(raw):
+    parts, size, carry, failure = [], 0, "", None
+    blocks = _inflated(raw)
+    while True:
+        try:
+            block = next(blocks, None)
+        except Closed as error:
+            block, failure = None, error
+        if block is None:
+            break
         parts.append(decode(block))
         size += len(parts[-1])
         if size < BLOCK:
@@ -200,13 +244,17 @@ def _unpacked(raw: memoryview) -> Iterator[str]:
             carry = text
     if (text := carry + "".join(parts) + decode(b"", True)) and len(text) >= SHORTEST:
         yield text
+    if failure:
+        raise failure
 
 
-def _base64(layer: Layer, m: re.Match) -> Iterator[Layer]:
+def _base64(layer: Layer, m: re.Match, line: bool = False) -> Iterator[Layer | Span]:
     """The texts in a base64 run, which may be wrapped into lines and begin or end with characters of other things.
 
     The run is decoded from each of its first four characters. Printable stretches and what packed data
-    holds are kept wherever they begin in the bytes; a run that is one text is a layer as a whole.
+    holds are kept wherever they begin in the bytes; a run that is one text is a layer as a whole. Packed data that does not open
+    to its end is a span ``closed``; where its mark may stand there by chance, as that of zlib data, only if what opens of it is text. A line of a longer run (``line``) may well be
+    cut off and reports none.
     """
     run, lines, size = m[0].rstrip("="), [], 0
     at = 0
@@ -233,7 +281,7 @@ def _base64(layer: Layer, m: re.Match) -> Iterator[Layer]:
 
     for k, (_, p, n) in enumerate(lines if len(lines) > 1 else ()):  # a line may also be a run by itself
         if alone := BASE64.fullmatch(layer.text, p, m.end() if k + 1 == len(lines) else p + n):
-            yield from _base64(layer, alone)
+            yield from _base64(layer, alone, True)
     for shift in range(4):
         part = joined[shift:]
         if len(part) < 16 and shift:
@@ -259,12 +307,18 @@ def _base64(layer: Layer, m: re.Match) -> Iterator[Layer]:
                 for text in _unpacked(memoryview(raw)):
                     yield made_of(text, 0, 0, len(raw), False)
         for k in PACKED.finditer(raw):
-            for text in _unpacked(memoryview(raw)[k.start() :]):
-                yield made_of(text, shift, k.start(), len(raw), False)
+            text = ""
+            try:
+                for text in _unpacked(memoryview(raw)[k.start() :]):
+                    yield made_of(text, shift, k.start(), len(raw), False)
+            except Closed:
+                if not line and (SURE.match(raw, k.start()) or len(set(text)) >= SHORTEST and not UNPRINTABLE.search(text)):
+                    runs = made_of("", shift, k.start(), len(raw), False).runs
+                    yield Span(runs[0].start, runs[-1].end, "closed")
 
 
-def layers_under(layer: Layer) -> Iterator[Layer]:
-    """The layers one step below."""
+def layers_under(layer: Layer) -> Iterator[Layer | Span]:
+    """The layers one step below, and spans of the original that do not open to their end."""
     text = layer.text
     if "%" in text and (made := _rewritten(layer, URL, _url)) is not None:
         yield made
@@ -274,20 +328,28 @@ def layers_under(layer: Layer) -> Iterator[Layer]:
         yield from _base64(layer, m)
 
 
-def scan(text: str) -> tuple[list[Span], list[Span]]:
-    """The base spans of a text, and those that only its decoded layers show, in order."""
+def scan_whole(text: str) -> tuple[list[Span], list[Span], list[Span]]:
+    """The base spans of a text, those that only its decoded layers show, and those of packed data that does not open to its end, in order."""
     base = sorted(findings(text), key=lambda s: (s.start, ORDER[s.kind]))
     top = Layer(text, [Run(0, 0, len(text), True)])
-    todo, seen, more = deque([top]), set(), set()
+    todo, seen, more, closed = deque([top]), set(), set(), set()
     while todo:
         for layer in layers_under(todo.popleft()):
+            if isinstance(layer, Span):
+                closed.add(layer)
+                continue
             mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest() + repr(layer.runs[:1]).encode()
             if mark not in seen:
                 seen.add(mark)
                 more.update(Span(*layer.original(s.start, s.end), s.kind) for s in findings(layer.text))
                 todo.append(layer)
     decoded = [s._replace(kind="decoded_" + s.kind) for s in more - set(base)]
-    return base, sorted(decoded, key=lambda s: (s.start, ORDER[s.kind], s.end))
+    return base, sorted(decoded, key=lambda s: (s.start, ORDER[s.kind], s.end)), sorted(closed)
+
+
+def scan(text: str) -> tuple[list[Span], list[Span]]:
+    """The base spans of a text, and those that only its decoded layers show, in order."""
+    return scan_whole(text)[:2]
 
 
 def redact(text: str, spans: list[Span]) -> str:
@@ -304,7 +366,9 @@ SPANS = "array<struct<start:int,end:int,kind:string>>"
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and decoded (arrays of start, end, kind) for each row; code points, end exclusive.
+    """doc_id, base, decoded and closed (arrays of start, end, kind) for each row; code points, end exclusive.
+
+    ``closed`` are the spans of packed data that does not open to its end, so secrets in it may be missing.
 
     Null text counts as empty; repeated rows are scanned one by one; other columns are ignored.
     """
@@ -313,11 +377,11 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [scan(t or "") for t in batch.column("text").to_pylist()]
-            spans = [pa.array([[s._asdict() for s in pair[k]] for pair in found], kind) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *spans], names=["doc_id", "base", "decoded"])
+            found = [scan_whole(t or "") for t in batch.column("text").to_pylist()]
+            spans = [pa.array([[s._asdict() for s in lists[k]] for lists in found], kind) for k in (0, 1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *spans], names=["doc_id", "base", "decoded", "closed"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, base {SPANS}, decoded {SPANS}")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, base {SPANS}, decoded {SPANS}, closed {SPANS}")
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:

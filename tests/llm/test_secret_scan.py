@@ -176,3 +176,41 @@ def test_more_packed_forms_and_both_orders_of_wide_characters():
         run = base64.b64encode("password=hunter2".encode(order)).decode()
         _, decoded = s.scan(f"see {run} end")
         assert [(x.start, x.kind) for x in decoded] == [(4, "decoded_assign")] and decoded[0].end >= 4 + len(run.rstrip("=")) - 1
+
+
+def test_packed_data_that_does_not_open_is_reported(monkeypatch):
+    import bz2
+    import lzma
+    import sys
+
+    import pyarrow as pa
+
+    monkeypatch.setitem(sys.modules, "zstandard", None)  # not needed
+    rng = random.Random(4)
+    secret = b"password=hunter2secret " + bytes(rng.choices(b"abcdefghijklmnop ", k=300))
+    zstandard = pa.Codec("zstd").compress(secret, asbytes=True)
+    for whole in (zstandard, zstandard + b"xx", gzip.compress(secret), zlib.compress(secret), bz2.compress(secret), lzma.compress(secret)):
+        base, decoded, closed = s.scan_whole("see " + encoded(whole) + " end")
+        assert not base and not closed and [x.kind for x in decoded] == ["decoded_assign"]
+        wrapped = s.scan_whole("see\n" + encoded(whole, 76) + "\n\nend")
+        assert wrapped[1] and not wrapped[2]
+    large = bytes(rng.choices(range(32, 127), k=300_000))  # more than a block of each kind, which opens before what is cut off
+    made = [pa.Codec("zstd").compress(secret + large, asbytes=True), gzip.compress(secret + large), zlib.compress(secret + large), bz2.compress(secret + large, 1), lzma.compress(secret + large)]
+    for whole in made:
+        damaged = whole[:-200] + b"\xff" * 100 + whole[-100:]  # without a checksum zstandard data may not show it
+        for raw in (whole[:-40], damaged)[: 1 if whole is made[0] else 2]:
+            text = "see " + encoded(raw) + " end"
+            _, decoded, closed = s.scan_whole(text)
+            assert [x.kind for x in decoded][:1] == ["decoded_assign"], raw[:4]
+            assert [x.start for x in closed] == [4] and len(text) - 8 <= closed[0].end <= len(text) - 4, raw[:4]
+    greedy = lzma.compress(secret, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": 1 << 29}])
+    assert [x.kind for x in s.scan_whole(encoded(greedy))[2]] == ["closed"]
+
+
+def test_what_opens_of_a_small_damaged_one_is_scanned(spark):
+    secret = b"password=hunter2secret and then more"
+    for raw in (zlib.compress(secret)[:-4] + b"none", gzip.compress(secret)[:-8] + b"nonenone"):
+        text = "see " + encoded(raw) + " end"
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        row = s.scan_secrets(docs).first()
+        assert [x.kind for x in row.decoded] == ["decoded_assign"] and [x.kind for x in row.closed] == ["closed"]
