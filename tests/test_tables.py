@@ -28,6 +28,22 @@ def test_steps_go_when_they_are_over_and_when_the_operator_fails(spark):
     assert files(spark) == left and spark.conf.get(CLEANUP) == setting
 
 
+def test_overlapping_operators_leave_the_session_as_it_was(spark):
+    setting = spark.conf.get(CLEANUP)
+    assert setting == "false"
+    first, second = Steps(spark), Steps(spark)
+    first.__enter__()
+    second.__enter__()
+    first.__exit__(None, None, None)
+    assert spark.conf.get(CLEANUP) == "true"  # the second one still runs
+    second.__exit__(None, None, None)
+    assert spark.conf.get(CLEANUP) == setting
+    with pytest.raises(ValueError):
+        with Steps(spark), Steps(spark):
+            raise ValueError
+    assert spark.conf.get(CLEANUP) == setting
+
+
 def test_a_rebuild_that_fails_leaves_the_snapshot_before(spark, tmp_path):
     root, cache = str(tmp_path / "index"), str(tmp_path / "cache")
     chunks = lambda *texts: spark.createDataFrame([(i, "c", "f.md", "s", "t", x, None) for i, x in enumerate(texts)], "chunk_index long, category string, source_file string, section_path string, content_type string, content string, enriched_content string")
