@@ -1,4 +1,4 @@
-"""Deduplication of repeated runs of lines by winnowing (DataFrame functions only).
+"""Deduplication of repeated runs of lines by winnowing.
 
 A text is cut into lines, lines after each sentence, and sentences before each word that begins with a certain
 letter; what is still long is cut before more words. So a passage is cut alike wherever it was pasted. Every two
@@ -17,8 +17,11 @@ where a key is hot.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,6 @@ LONG = 72  # characters; units that are longer are cut before words that begin w
 FINER = ((" a",), (" e", " d", " s", " p", " m", " i", " o"), (" ",))
 MARK = "\u0001"
 BLANK = "\u0020"
-SHINGLE = 2
 EDGE = 160  # characters at each end of a run that are compared word by word: where a unit ends can depend on what precedes a passage
 LENGTH = 4095
 UNIT_BREAK = r"(?<=\n)|(?<=[.!?] )|(?<= )"
@@ -61,53 +63,140 @@ def units_of(text: Column) -> Column:
     return F.when(text.contains(MARK), F.split(text, UNIT_BREAK, -1)).otherwise(F.flatten(F.transform(coarse, each)))
 
 
-def unit_hashes(text: Column) -> Column:
-    """For each unit the hash of what it holds between white space, with its length (4095 at most) in the low 12 bits."""
-    bare = lambda u: F.btrim(u, F.lit(SEPARATORS))
-    packed = lambda x: F.xxhash64(x).bitwiseAND(F.lit(~LENGTH)).bitwiseOR(F.least(F.length(x), F.lit(LENGTH)).cast("long"))
-    return F.transform(F.transform(units_of(text), bare), packed)
-
-
-def _rows(made: Column) -> Column:
-    """A row for each element. Plain explode() would also filter by the array's size, and so make the array once more."""
-    return F.explode_outer(made)
-
-
-def _print(h: Column, i: Column) -> Column:
-    """The fingerprint of neighbouring units."""
-    return F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)])
-
-
-def fingerprints(hashes: Column, window: int) -> Column:
-    """Positions of the window minima over the hashes of neighbouring units.
+@lru_cache(4)
+def _powers(base: int, size: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, base, np.uint64)]))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers in which each bit depends on all bits of those given."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _before(marked: np.ndarray) -> np.ndarray:
+    """How many are marked before each place, the end included."""
+    out = np.zeros(len(marked) + 1, np.int32)
+    np.cumsum(marked, out=out[1:])
+    return out
+
+
+BASE = 0x9E3779B97F4A7C15
+BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+SOLID = ~np.isin(np.arange(256), list(SEPARATORS.encode()))
+STOP = np.isin(np.arange(256), [ord(b[0]) for b in BREAKS[1:]])
+NEXT = [np.isin(np.arange(256), [ord(b[1]) for b in breaks if len(b) > 1]) for breaks in FINER]
+CHUNK = 1 << 18  # bytes of texts that are worked on together
+
+
+def _ends_of_units(b: np.ndarray, ends: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Behind which bytes the units of ``units_of`` end; b holds texts with a line break behind each, which end at ``ends``."""
+    blank = b == ord(BLANK)
+    cut = b == ord("\n")
+    cut[1:] |= blank[1:] & STOP[b[:-1]]
+    plain = None
+    if (marks := np.flatnonzero(b == ord(MARK))).size:  # texts that hold the mark are cut at each blank
+        held = np.zeros(len(ends), bool)
+        held[np.searchsorted(ends, marks, "right")] = True
+        plain = ~np.repeat(held, np.diff(ends, prepend=0))
+        cut |= blank & ~plain
+    more = np.zeros(0, np.int64)
+    for breaks, letters in zip(FINER, NEXT):
+        edges = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        long = np.diff(chars[edges]) > LONG
+        if plain is not None:
+            long &= plain[edges[:-1]]
+        inside = np.repeat(long, np.diff(edges)) & blank
+        if breaks == (BLANK,):
+            last = edges[1:][long]
+            more = last[blank[last - 1]]  # behind the blank that ends a unit comes an empty one
+            cut |= inside
+        else:
+            cut[:-1] |= inside[:-1] & letters[b[1:]]
+    return np.sort(np.concatenate([np.flatnonzero(cut) + 1, more]))
+
+
+def _hashes(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit of the texts the hash of what it holds between white space, with its length (4095 at most) in the low 12 bits,
+    and how many units each text has. Bytes are weighed by powers of a base, so running sums give the hash of any stretch."""
+    begins = (b & 0xC0) != 0x80
+    begins[ends - 1] = False  # the line break behind a text is not its own
+    chars, solids, solid = _before(begins), _before(SOLID[b]), np.flatnonzero(SOLID[b])
+    to = _ends_of_units(b, ends, chars)
+    start = np.concatenate([[0], to[:-1]])
+    some = solids[to] > solids[start]
+    s, e = start.copy(), start.copy()
+    s[some], e[some] = solid[solids[start[some]]], solid[solids[to[some]] - 1] + 1
+    size = (chars[e] - chars[s]).astype(np.uint64)
+    sums, k = np.zeros(len(to), np.uint64), 0
+    while k < len(to):
+        n = max(int(np.searchsorted(e, s[k] + CHUNK, "right")), k + 1)
+        low, high = s[k], e[n - 1]
+        powers, inverse = (_powers(x, max(CHUNK, 1 << int(high - low).bit_length())) for x in (BASE, pow(BASE, -1, 1 << 64)))
+        run = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(BYTE[b[low:high]] * powers[: high - low], out=run[1:])
+        sums[k:n] = (run[e[k:n] - low] - run[s[k:n] - low]) * inverse[s[k:n] - low]
+        k = n
+    h = _mixed(sums + size * np.uint64(BASE)) & np.uint64(~LENGTH & (1 << 64) - 1) | np.minimum(size, np.uint64(LENGTH))
+    return h, np.diff(np.searchsorted(to, ends, "right"), prepend=0)
+
+
+def _fingerprints(h: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position and value of the window minima over the hashes of neighbouring units, and how many each text has.
 
     Hash and position share one number while minima are sought: the position fills the low bits, and of
-    equal hashes the rightmost is taken.
+    equal hashes the rightmost is taken. A text with fewer neighbours than a window has one minimum.
     """
-    low = (1 << PLACE_BITS) - 1
+    low, none = np.int64((1 << PLACE_BITS) - 1), np.iinfo(np.int64).max
+    start = np.cumsum(counts) - counts
+    row = np.repeat(np.arange(len(counts)), counts)
+    at = np.arange(len(h)) - start[row]
+    prints = np.zeros(len(h), np.uint64)
+    prints[:-1] = _mixed(_mixed(h[:-1]) + h[1:] * np.uint64(BASE))
+    prints, pairs = prints.view(np.int64), (counts - 1)[row]
+    packed = np.where(at < pairs, prints & ~low | (low - at), none)
+    least = packed.copy()
+    for k in range(1, min(window, len(h))):
+        np.minimum(least[:-k], packed[k:], out=least[:-k])
+    least[at + window > pairs] = none
+    brief = counts <= window
+    least[start[brief]] = np.minimum.reduceat(packed, start)[brief]
+    found = np.flatnonzero(least != none)
+    found = start[row[found]] + (low - (least[found] & low))
+    found = found[np.diff(found, prepend=-1) != 0]
+    # within a unit that is repeated over and over, each eighth place will do
+    found = found[~((at[found] % 8 != 0) & (h[found - 1] == h[found]) & (h[found] == h[found + 1]))]
+    return at[found], prints[found], np.bincount(row[found], minlength=len(counts))
 
-    def packed(h: Column) -> Column:
-        at = F.when(F.size(h) >= SHINGLE, F.sequence(F.lit(0), F.size(h) - SHINGLE)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: _print(h, i).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
 
-    def least(step: int) -> Callable[[Column], Column]:
-        """The smaller of each number and the one ``step`` on; those without such a one fall away, unless all do."""
+def hashed_lines(texts: DataFrame, window: int) -> DataFrame:
+    """doc_id, tag, h (the hashes of the units of the text), f and p (positions and values of its fingerprints)."""
 
-        def smaller(p: Column) -> Column:
-            rest = F.slice(p, 1, F.size(p) - step)
-            return F.when(F.size(p) <= step, F.slice(F.sort_array(p), 1, 1)).otherwise(F.transform(rest, lambda x, i: F.least(x, F.get(p, i + step))))
+    def lists(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
-        return smaller
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("text").cast(pa.large_string())
+            ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+            data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) else None
+            k = 0
+            while k < len(column):
+                n = max(int(np.searchsorted(ends, ends[k] + CHUNK, "right")) - 1, k + 1)
+                h, counts = _hashes(data[ends[k] : ends[n]], ends[k + 1 : n + 1] - ends[k])
+                f, p, found = _fingerprints(h, counts, window)
+                made = lists(counts, h.view(np.int64), pa.int64()), lists(found, f, pa.int32()), lists(found, p, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, n - k), batch.column("tag").slice(k, n - k), *made], names=["doc_id", "tag", "h", "f", "p"])
+                k = n
 
-    found, wide = _let(hashes, packed), 1
-    while wide < window:
-        step = min(wide, window - wide)
-        found = _let(found, least(step))
-        wide += step
-    places = F.transform(F.array_distinct(found), lambda m: (F.lit(low) - m.bitwiseAND(F.lit(low))).cast("int"))
-    # within a unit that is repeated over and over, each eighth place will do
-    again = lambda i: (i % 8 != 0) & F.coalesce((F.get(hashes, i - 1) == F.get(hashes, i)) & (F.get(hashes, i) == F.get(hashes, i + 1)), F.lit(False))
-    return F.filter(places, lambda i: ~again(i))
+    ended = texts.select("doc_id", "tag", F.concat("text", F.lit("\n")).alias("text"))
+    return ended.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, tag int, h array<long>, f array<int>, p array<long>")
+
+
+def _rows(made: Column) -> Column:
+    """A row for each element. Plain explode() would also filter by the array's size, and so make the array once more."""
+    return F.explode_outer(made)
 
 
 def _matching(a: Column, b: Column) -> Column:
@@ -155,10 +244,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.col(text_col).cast("string")
     narrow = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).dropna().select("doc_id", _tag(F.col("text")).alias("tag"), "text")
     with Steps(docs.sparkSession) as work:
-        both = _let(unit_hashes(F.col("text")), lambda h: F.struct(h.alias("h"), fingerprints(h, window).alias("f")))
-        lines = work.keep(narrow.select("doc_id", "tag", both.alias("l")).select("doc_id", "tag", "l.h", "l.f"))
-        prints = lines.select("doc_id", "tag", _rows(F.transform("f", lambda i: F.struct(_print(F.col("h"), i).alias("print"), i.alias("pos")))).alias("f"))
-        prints = prints.where("f IS NOT NULL").select("f.print", "doc_id", _at(F.col("tag"), F.col("f.pos")).alias("at"))
+        lines = work.keep(hashed_lines(narrow, window))
+        prints = lines.select("doc_id", "tag", F.inline(F.arrays_zip(F.col("p").alias("print"), F.col("f").alias("pos"))))
+        prints = prints.select("print", "doc_id", _at(F.col("tag"), F.col("pos")).alias("at"))
         firsts = prints.groupBy("print").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("places"))
         firsts = work.keep(firsts.where("places > 1").select("print", F.col("first.doc_id").alias("src"), F.col("first.at").alias("src_at")))
         found = prints.join(firsts.hint("shuffle_hash"), "print").where("doc_id != src OR at != src_at")
