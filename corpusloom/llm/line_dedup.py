@@ -87,15 +87,15 @@ def fingerprints(hashes: Column, window: int) -> Column:
     low = (1 << PLACE_BITS) - 1
 
     def packed(h: Column) -> Column:
-        at = F.when(F.size(h) >= SHINGLE, F.sequence(F.lit(0), F.size(h) - SHINGLE)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: _print(h, i).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
+        pairs = F.slice(h, 1, F.greatest(F.size(h) - SHINGLE + 1, F.lit(0)))
+        return F.transform(pairs, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE)]).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
 
     def least(step: int) -> Callable[[Column], Column]:
         """The smaller of each number and the one ``step`` on; those without such a one fall away, unless all do."""
 
         def smaller(p: Column) -> Column:
-            rest = F.slice(p, 1, F.size(p) - step)
-            return F.when(F.size(p) <= step, F.slice(F.sort_array(p), 1, 1)).otherwise(F.transform(rest, lambda x, i: F.least(x, F.get(p, i + step))))
+            rest = F.size(p) - step
+            return F.when(rest <= 0, F.slice(F.sort_array(p), 1, 1)).otherwise(F.zip_with(F.slice(p, 1, rest), F.slice(p, 1 + step, rest), lambda x, y: F.least(x, y)))
 
         return smaller
 
