@@ -150,11 +150,15 @@ def prefix_rows(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in blocks(batches):
-            seen, tokens, owners, marks = set(), [], [], []
-            for doc, s in zip(ids, sets, strict=True):
-                if not len(s) or doc is None or (key := set_key(s)) in seen:
+            tokens, owners, marks = [], [], []
+            keyed = [(doc, s, set_key(s)) for doc, s in zip(ids, sets, strict=True) if len(s) and doc is not None]
+            least: dict[bytes, int] = {}  # of equal sets the smallest id goes on, as in the classes
+            for doc, _, key in keyed:
+                least[key] = min(doc, least.get(key, doc))
+            for doc, s, key in keyed:
+                if least.get(key) != doc:
                     continue
-                seen.add(key)
+                del least[key]
                 take = len(s) // 4 + 1
                 first, late = s[:take], s[:0]
                 if len(ordered):
@@ -493,6 +497,11 @@ def between_groups(cells: DataFrame, groups: DataFrame, reps: DataFrame, work: S
     return unlike_cells(work.keep(banded.join(span.select("token"), "token", "left_semi")))
 
 
+def _packed(links: DataFrame) -> DataFrame:
+    """links in partitions of some size. A step has a file for each partition, and where files are local each one costs its executor a process."""
+    return links.hint("rebalance")
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = 65_536) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs.
 
@@ -525,12 +534,12 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, frequent: int = 65_53
         least = work.keep(least.join(alone, "cell"))
         alive = least.select("doc_id").distinct()
         sets = work.keep(packed_sets(narrow.join(alive, "doc_id", "left_semi")))
-        links = work.keep(star_links(least.where("k = 0").select("cell", "doc_id"), sets))
+        links = work.keep(_packed(star_links(least.where("k = 0").select("cell", "doc_id"), sets)))
         groups = components(links, work)
-        links = work.keep(links.union(star_links(least.where("k > 0").select("cell", "doc_id"), sets, groups)))
+        more = star_links(least.where("k > 0").select("cell", "doc_id"), sets, groups)
         clash = whole.groupBy("doc_id").agg(F.min("set_key").alias("k1"), F.max("set_key").alias("k2")).where("k1 != k2").select("doc_id")
         same_id = whole.join(clash, "doc_id", "left_semi").join(classes.select("set_key", F.col("doc_id").alias("a")), "set_key").select("a", F.col("doc_id").alias("b"))
-        links = work.keep(links.union(same_id))
+        links = links.union(work.keep(_packed(more.union(same_id))))
         groups = components(links, work)
 
         # the exact search between groups
@@ -542,8 +551,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, frequent: int = 65_53
             asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
             other = narrow.join(asked.join(alive, "doc_id", "left_anti"), "doc_id", "left_semi")
             near = work.keep(sets.union(packed_sets(other)).join(asked, "doc_id", "left_semi"))
-            links = work.keep(links.union(verify(pairs, near)))
-            groups = components(links, work)
+            groups = components(links.union(work.keep(_packed(verify(pairs, near)))), work)
 
         label = groups.select(F.col("id").alias("doc_id"), "component_id")
         of_class = classes.select("set_key", "doc_id").join(label, "doc_id", "left").select("set_key", F.coalesce("component_id", "doc_id").alias("component_id"))

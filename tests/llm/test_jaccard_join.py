@@ -165,3 +165,27 @@ def test_any_column_names(spark):
     docs = spark.createDataFrame([(1, text, "a", "b", "c"), (2, text, "a", "b", "d"), (None, text, "a", "b", "e"), (None, "own words", "a", "b", "f")], "doc_id long, text string, kept_id0 string, __kept_id string, Gone0 string")
     kept = j.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r.Gone0 for r in kept.collect()) == ["c", "f"]
+
+
+def test_steps_of_few_links_have_few_files(spark, monkeypatch):
+    parts, keep = [], Steps.keep
+
+    def watched(self, df):
+        out = keep(self, df)
+        if out.columns == ["a", "b"]:
+            parts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(Steps, "keep", watched)
+    rows = corpus(4, 30, 8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in j.similar_documents(docs).collect()} == brute(rows)
+    assert len(parts) >= 4 and max(parts) == 1
+
+
+def test_copies_in_any_order_of_ids_are_searched(spark, monkeypatch):
+    monkeypatch.setattr(j, "star_links", lambda least, sets, groups=None: least.selectExpr("doc_id AS a", "doc_id AS b").limit(0))
+    words = [f"w{i}" for i in range(80)]
+    rows = [(9, " ".join(words)), (3, " ".join(words)), (6, " ".join(words[:70])), (4, " ".join(words[:70]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in j.similar_documents(docs).collect()} == {k: 3 for k, _ in rows}
