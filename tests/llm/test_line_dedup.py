@@ -125,3 +125,32 @@ def test_no_repeated_passage_of_the_given_table_is_left_whole(spark):
                 runs, kept, start = runs + 1, kept + (" ".join(w[start : i + 50]) in left[doc]), None
         earlier.update(windows)
     assert runs > 150 and kept == 0
+
+
+def test_an_early_text_that_many_repeat(spark):
+    rng = random.Random(34)
+    passage = "".join(sentence(rng) for _ in range(6))
+    own = {k: sentence(rng) for k in range(1, 700)}
+    docs = spark.createDataFrame([(0, passage), *((k, own[k] + passage) for k in own)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in d.line_dedup(docs).collect()}
+    assert out.pop(0) == passage and out == own
+
+
+def test_few_shorter_runs_of_the_given_table_are_left_whole(spark):
+    """Runs of 16 words or more and 150 characters or more; with fingerprints of two units 22 were left whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    words = {r.doc_id: re.findall(r"[^\x20\x09-\x0D]+", r.text or "") for r in docs.collect()}
+    left = {r.doc_id: " ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in d.line_dedup(docs).collect()}
+    earlier, runs = set(), []
+    for doc in sorted(words):
+        w, start = words[doc], None
+        windows = [" ".join(w[i : i + 16]) for i in range(len(w) - 15)]
+        for i, known in enumerate([*(x in earlier for x in windows), False]):
+            if known and start is None:
+                start = i
+            elif not known and start is not None:
+                runs.append((doc, " ".join(w[start : i + 15])))
+                start = None
+        earlier.update(windows)
+    runs = [(doc, run) for doc, run in runs if len(run) >= 150]
+    assert len(runs) > 400 and sum(run in left[doc] for doc, run in runs) < 15
