@@ -83,12 +83,12 @@ def fingerprints(units: Column, window: int) -> Column:
     """``prints`` and ``pos``, two arrays: the window minima over the hashes of neighbouring units, and where they are.
 
     Hash and position share one number while minima are sought: the position fills the low bits, and of
-    equal hashes the rightmost is taken. At the text's end windows are shorter.
+    equal hashes the rightmost is taken. At the text's end windows are shorter. A text of two or three units has one hash of them all.
     """
     low = (1 << PLACE_BITS) - 1
 
     def packed(u: Column) -> Column:
-        first = F.slice(u, 1, F.greatest(F.size(u) - (SHINGLE - 1), F.lit(0)))
+        first = F.slice(u, 1, F.greatest(F.size(u) - (SHINGLE - 1), F.least(F.size(u) - 1, F.lit(1))))
         rest = lambda i: [F.get(u, i + k) for k in range(1, SHINGLE)]
         return F.transform(first, lambda x, i: F.xxhash64(x, *rest(i)).bitwiseAND(F.lit(~low)).bitwiseOR((F.lit(low) - i).cast("long")))
 

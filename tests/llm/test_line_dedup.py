@@ -154,3 +154,10 @@ def test_few_shorter_runs_of_the_given_table_are_left_whole(spark):
         earlier.update(windows)
     runs = [(doc, run) for doc, run in runs if len(run) >= 150]
     assert len(runs) > 400 and sum(run in left[doc] for doc, run in runs) < 15
+
+
+def test_copies_of_texts_of_few_units(spark):
+    texts = [" ".join("x" * 70 + f"{n}{k}." for k in range(n)) for n in (2, 3, 4)]
+    docs = spark.createDataFrame([(10 * i + k, x) for i, x in enumerate(texts) for k in (0, 1)], "doc_id long, text string").where("length(text) >= 150 OR doc_id < 10")
+    out = {r.doc_id: r.text for r in d.line_dedup(docs).collect()}
+    assert out == {0: texts[0], 1: texts[0] if len(texts[0]) < 150 else "", 10: texts[1], 11: "", 20: texts[2], 21: ""}
