@@ -44,6 +44,7 @@ def impact_blocks(index: LexicalIndex, block_rows: int = BLOCK_ROWS) -> ImpactIn
     """The postings of an index in blocks. Those of one term and level are dealt to as many blocks as they fill."""
     weighed = index.postings.crossJoin(F.broadcast(index.corpus.select("avgdl")))  # one row
     rows = weighed.select("term", "chunk_index", impact(F.col("tf"), F.col("dl"), F.col("avgdl")).alias("impact")).withColumn("level", F.floor(F.col("impact") * LEVELS))
+    rows = checkpointed(rows)  # read twice
     sizes = rows.groupBy("term", "level").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     dealt = rows.join(sizes, ["term", "level"]).withColumn("shard", F.pmod(F.xxhash64("chunk_index"), F.col("blocks")))
     made = dealt.groupBy("term", "level", "shard").agg(F.max("impact").alias("most"), F.collect_list(F.struct("chunk_index", "impact")).alias("entries"))

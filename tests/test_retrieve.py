@@ -1,6 +1,7 @@
 import math
 import random
 
+from corpusloom.functions import helpers, text
 from corpusloom.operators import answer, audit, index
 from corpusloom.operators import retrieve as r
 from pyspark.sql import functions as F
@@ -100,3 +101,19 @@ def test_each_query_has_its_own_filters(spark):
     made = r.retrieve(queries, df.withColumns({"has_image": F.lit(False), "image_ids": F.array(), "split_strategy": F.lit("NL")}), index.build_bm25(df), vectors, 4)
     assert {category[x.chunk_index] for x in made.collect() if x.query_id == 4} == {"d"}
     assert made.where("query_id = 1 AND rerank_score IS NULL").count() == 0
+
+
+def test_texts_travel_and_not_their_postings(spark):
+    df, _ = chunks(spark)
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id long, query string")
+    whole = lambda c: helpers.dictionary_tokens(c, ["配电"])
+    found = []
+    for cut in (text.tokenize, whole):
+        lexical = index.build_bm25(df, cut)
+        best = r.bm25_topk(asked, lexical, 5, tokenize=cut)
+        found.append(sorted(map(tuple, best.collect())))
+        for made, n in ((lexical.postings, 1), (best, 2)):  # texts by chunk, and the best by query
+            plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "term#" not in x]
+            assert len(dealt) == n and "chunk_index" in dealt[-1] and "hashpartitioning(term" not in lexical.postings._jdf.queryExecution().executedPlan().toString()
+    assert found[0] == found[1] and found[0]

@@ -1,5 +1,7 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from corpusloom.functions import helpers
 from corpusloom.functions import text as T
@@ -94,3 +96,18 @@ def test_the_likeliest_cut_against_all_cuts():
 def test_overlapping_words(spark):
     cut = lambda c: helpers.weighted_tokens(c, {"配电": 40, "系统照明": 50, "配电系统": 10, "照明": 5})
     assert values(spark, cut, ["配电系统照明 SPD x_1 配电箱", None, ""]) == [["配电", "系统照明", "SPD", "x", "1", "配电", "箱"], [], []]
+
+
+def test_tokens_of_few_texts_are_held_at_a_time():
+    rng = random.Random(3)
+    words = ["cable", "größe", "x_1", "配电系统照明", "size"]
+    texts = pa.array([None, "", " _ "] + [" ".join(rng.choices(words, k=4000)) for _ in range(512)])
+    pieces = []
+    tracemalloc.start()
+    made = helpers.joined_tokens(texts, lambda run: pieces.append(run) or [run[:4], run[4:]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6  # as lists, all tokens of these texts took 136 MB
+    assert made[:3].to_pylist() == [None] * 3 and pieces == ["配电系统照明"]
+    spaced = texts[3].as_py().replace("x_1", "x 1").replace("配电系统照明", "配电系统 照明")
+    assert made[3].as_py().split(T.BETWEEN) == spaced.split(" ")
