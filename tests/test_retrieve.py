@@ -4,6 +4,7 @@ import random
 from corpusloom.functions import helpers, text
 from corpusloom.operators import answer, audit, index
 from corpusloom.operators import retrieve as r
+from corpusloom.operators.match import contained
 from pyspark.sql import functions as F
 
 
@@ -117,3 +118,14 @@ def test_texts_travel_and_not_their_postings(spark):
             dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "term#" not in x]
             assert len(dealt) == n and "chunk_index" in dealt[-1] and "hashpartitioning(term" not in lexical.postings._jdf.queryExecution().executedPlan().toString()
     assert found[0] == found[1] and found[0]
+
+
+def test_boosted_names_travel_once(spark, monkeypatch):
+    keys = []
+    monkeypatch.setattr(r, "contained", lambda texts, key, *a: keys.append(texts.schema[key].dataType.typeName()) or contained(texts, key, *a))
+    names = ["red house.md", "red boat.md.md", "red house.md", "x.md", ".md", "", None, "house " * 5000 + ".md"]
+    asked = spark.createDataFrame([(1, "red red house boat a"), (2, "red"), (3, ""), (4, None)], "query_id long, query string")
+    got = r.filename_boost(asked, spark.createDataFrame([(n,) for n in names], "source_file string"))
+    want = {(1, "red house.md", 3 / 4), (1, "red boat.md.md", 3 / 4), (1, names[-1], 1 / 4), (2, "red house.md", 1.0), (2, "red boat.md.md", 1.0)}
+    assert {tuple(x) for x in got.collect()} == {(q, n, round(1 + share * 19, 6)) for q, n, share in want} and got.count() == len(want)
+    assert set(keys) == {"long"}  # a hit of a word carries the name's number, not the name
