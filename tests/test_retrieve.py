@@ -129,3 +129,20 @@ def test_boosted_names_travel_once(spark, monkeypatch):
     want = {(1, "red house.md", 3 / 4), (1, "red boat.md.md", 3 / 4), (1, names[-1], 1 / 4), (2, "red house.md", 1.0), (2, "red boat.md.md", 1.0)}
     assert {tuple(x) for x in got.collect()} == {(q, n, round(1 + share * 19, 6)) for q, n, share in want} and got.count() == len(want)
     assert set(keys) == {"long"}  # a hit of a word carries the name's number, not the name
+
+
+def test_columns_are_worked_out_for_hits_only(spark):
+    df, _ = chunks(spark, 400)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def kind(content):
+        seen.add(1)
+        return content[:1]
+
+    whole = df.withColumns({"content_type": kind("content"), "has_image": F.lit(False), "image_ids": F.array(), "split_strategy": F.lit("NL")})
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "chunk_index long, embedding array<float>")
+    queries = spark.createDataFrame([(1, "alpha beta", [1.0, 1.0])], "query_id long, query string, query_vec array<float>")
+    made = r.retrieve(queries, whole, index.build_bm25(whole), vectors, 4).collect()
+    assert len(made) == 4 and all(x.content_type == x.content[:1] for x in made)
+    assert 4 <= seen.value <= 40  # of 400 chunks
