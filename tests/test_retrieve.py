@@ -108,8 +108,9 @@ def test_texts_travel_and_not_their_postings(spark):
     df, _ = chunks(spark)
     asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id long, query string")
     whole = lambda c: helpers.dictionary_tokens(c, ["配电"])
+    likely = lambda c: helpers.weighted_tokens(c, {"配电": 3})
     found = []
-    for cut in (text.tokenize, whole):
+    for cut in (text.tokenize, whole, likely):
         lexical = index.build_bm25(df, cut)
         best = r.bm25_topk(asked, lexical, 5, tokenize=cut)
         found.append(sorted(map(tuple, best.collect())))
@@ -117,7 +118,7 @@ def test_texts_travel_and_not_their_postings(spark):
             plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
             dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "term#" not in x]
             assert len(dealt) == n and "chunk_index" in dealt[-1] and "hashpartitioning(term" not in lexical.postings._jdf.queryExecution().executedPlan().toString()
-    assert found[0] == found[1] and found[0]
+    assert found[0] == found[1] == found[2] and found[0]
 
 
 def test_boosted_names_travel_once(spark, monkeypatch):
