@@ -147,3 +147,13 @@ def test_columns_are_worked_out_for_hits_only(spark):
     made = r.retrieve(queries, whole, index.build_bm25(whole), vectors, 4).collect()
     assert len(made) == 4 and all(x.content_type == x.content[:1] for x in made)
     assert 4 <= seen.value <= 40  # of 400 chunks
+
+
+def test_filtered_scores_stay_where_their_chunks_lie(spark):
+    df, _ = chunks(spark)
+    asked = spark.createDataFrame([(1, "alpha beta", ["c"])], "query_id long, query string, categories array<string>")
+    best = r.bm25_topk(asked, index.build_bm25(df), 5, chunks=df)
+    assert best.count() == 5
+    plan = best._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and "term#" not in x]
+    assert "ShuffledHashJoin" in plan and len(dealt) == 3 and not any("query_id" in x and "chunk_index" in x for x in dealt)  # texts, kinds, and the best by query
